@@ -6,7 +6,8 @@
 3. Bands of the signature are bucket keys. The first candidates are stars: each member of a bucket with its smallest id.
    They are confirmed on the full shingle sets.
 4. Members of one bucket that are still in different components are compared as well, so that no link that a bucket
-   shows is lost; members that the stars have connected need no more comparisons.
+   shows is lost: block by block inside tasks that give back only links. Members that the stars have connected need no
+   more comparisons.
 
 The number of bands follows from the threshold: a pair at the threshold misses all buckets with probability under 1e-8.
 """
@@ -28,6 +29,8 @@ from cellweave.llm.store import stored
 
 ROWS = 4  # bins in a band
 MISS = 1e-8
+BLOCK = 256  # documents in a block, of which two meet in a group
+STEP = 4096  # shingles of one matrix product
 
 
 def bands_for(threshold: float) -> int:
@@ -105,6 +108,52 @@ def _confirmed(cands: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFr
     return cands.join(left, "a").join(right, "b").where(both * t.denominator >= (F.size("x") + F.size("y") - both) * t.numerator).select("a", "b")
 
 
+def _linked(t: Fraction):
+    """Links between the documents of one pair of blocks: counts of common shingles by products of 0/1 blocks."""
+
+    def run(block: pa.Table) -> pa.Table:
+        ids, comp, side = (block.column(c).to_numpy() for c in ("id", "comp", "side"))
+        items = block.column("items").combine_chunks()
+        size = items.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        _, code, docs = np.unique(items.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row, often = np.repeat(np.arange(len(ids)), size), docs[code] > 1
+        code, row = np.unique(code[often], return_inverse=True)[1], row[often]
+        order = np.argsort(code, kind="stable")
+        code, row = code[order], row[order]
+        both = np.zeros((len(ids), len(ids)), np.float32)
+        for at in range(0, int(code[-1]) + 1 if len(code) else 0, STEP):
+            lo, hi = np.searchsorted(code, [at, at + STEP])
+            part = np.zeros((len(ids), STEP), np.float32)
+            part[row[lo:hi], code[lo:hi] - at] = 1
+            both += part @ part.T
+        common = both.astype(np.int64)
+        ok = (common * t.denominator >= (size[:, None] + size[None, :] - common) * t.numerator) & (comp[:, None] != comp[None, :]) & (ids[:, None] > ids[None, :])
+        if len(np.unique(side)) > 1:
+            ok &= side[:, None] != side[None, :]
+        x, y = np.nonzero(ok)
+        return pa.table({"a": ids[x], "b": ids[y]})
+
+    return run
+
+
+def _across(rest: DataFrame, shared: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """The links between different components among documents whose buckets, taken together, hang together.
+
+    Such a cluster is cut into blocks; every pair of blocks is one group of bounded size, and only links leave it.
+    """
+    cluster = components(shared.select("id", F.col("c.id").alias("centre")), "id", "centre").withColumnRenamed("component_id", "cluster")
+    rows = stored(rest.join(cluster, "id"), "clusters")
+    many = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("cluster", "blocks")
+    dealt = rows.join(many, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sets = docs.join(dealt.select("id"), "id", "left_semi").mapInArrow(_sets(k), "id long, items array<long>")
+    pairs = (
+        dealt.join(sets, "id")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "comp", F.col("block").alias("side"), "items")
+    )
+    return pairs.groupBy("cluster", "x", "y").applyInArrow(_linked(t), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:
     """(id_col, n_shingles, component_id, kept) of every document.
 
@@ -127,11 +176,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     at = shared.join(found, "id", "left").select("key", "id", "n", F.coalesce("component_id", "id").alias("comp"))
     open_keys = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = at.join(open_keys, "key", "left_semi")
-    x, y = rest.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")), rest.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    more = stored(y.join(x, "key").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _alike(F.col("na"), F.col("nb"), t)).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = stored(links.unionByName(_confirmed(more, docs, words, t)), "links")
+    rest = stored(at.join(open_keys, "key", "left_semi").select("id", "comp").distinct(), "open")
+    if not rest.isEmpty():
+        links = stored(links.unionByName(_across(rest, shared, docs, words, t)), "links")
         found = components(links, "a", "b")
 
     of_rep = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("sig_a", "sig_b", "n", F.coalesce("component_id", "rep").alias("component_id"))
