@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage and their SQL, merged from the modules that have them."""
+"""The registered queries of this subpackage and their SQL: thin calls of the operators on whole tables."""
 
 from __future__ import annotations
 
@@ -6,16 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm import near_dedup
+from cellweave.llm import language, near_dedup, quality, toxicity
 from cellweave.llm.store import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold="0.85")
 
 
+def op9_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_minhash_near_dedup": op5_minhash_near_dedup}
+    own = (op1_quality_rules, op3_toxicity_neighbours, op5_minhash_near_dedup, op9_language_filters)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
