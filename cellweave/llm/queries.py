@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm import language, near_dedup, quality, toxicity
+from cellweave.llm import language, mixing, near_dedup, packing, quality, toxicity
 from cellweave.llm.store import table
 
 
@@ -20,19 +20,34 @@ def op3_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def tokenizer_path() -> str:
+    """Where the public byte-level vocabulary lies on this machine; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold="0.85")
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op3_toxicity_neighbours, op5_minhash_near_dedup, op9_language_filters)
+    own = (op1_quality_rules, op3_toxicity_neighbours, op4_best_fit_packing, op5_minhash_near_dedup, op7_mix_sources, op9_language_filters)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mix_sources": mixing.ORACLE}
