@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm import fingerprints, language, mixing, near_dedup, packing, pii, quality, toxicity
+from cellweave.llm import fingerprints, language, mixing, near_dedup, packing, pii, quality, substrings, toxicity, vectors
 from cellweave.llm.store import table
 
 
@@ -47,13 +47,21 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
 
 
+def op10_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_order_minhash, op3_toxicity_neighbours, op4_best_fit_packing, op5_minhash_near_dedup, op6_pseudonyms, op7_mix_sources, op9_language_filters)
+    own = (op1_quality_rules, op2_order_minhash, op3_toxicity_neighbours, op4_best_fit_packing, op5_minhash_near_dedup, op6_pseudonyms, op7_mix_sources, op8_rotated_codes, op9_language_filters, op10_prefix_free_repeats)
     return {f.__name__: f for f in own}
 
 
