@@ -50,8 +50,19 @@ def mix(docs: DataFrame, weight: Column | None = None, epochs: float = 3.0, seed
     by default 1, 2, 3 and again. Null sources are one source. Null and empty texts have size 0 and repeat floor(e)
     times. Repeated ids are ordered by their text's hash as well. No documents: no rows. Other columns are ignored.
     """
+    out = _planned(docs, weight, epochs, seed, id_col, text_col, source_col)
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weight: Column | None = None, epochs: float = 3.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as the mix takes them: every row as often as mix() says, with all its columns."""
+    out = _planned(docs, weight, epochs, seed, id_col, text_col, source_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    return out.where("repeats > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select("row.*")
+
+
+def _planned(docs: DataFrame, weight: Column | None, epochs: float, seed: str, id_col: str, text_col: str, source_col: str, row: Column | None = None) -> DataFrame:
     weight = F.col("rank") % 3 + 1 if weight is None else weight
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))).alias("place"))
+    rows = docs.select(F.lit(None).alias("row") if row is None else row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))).alias("place"))
     rows = rows.withColumn("bin", F.substring("place", 1, BIN_DIGITS))
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     goals = targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weight, epochs)
@@ -63,8 +74,7 @@ def mix(docs: DataFrame, weight: Column | None = None, epochs: float = 3.0, seed
     within = Window.partitionBy("p_source", "p_bin").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
     came = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))
     extra = (came + F.col("size") / 2.0 < F.col("more")) & (F.col("size") > 0)
-    out = at.withColumn("repeats", (F.col("whole") + F.when(extra, 1).otherwise(0)).cast("long"))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", F.col("target"), "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    return at.withColumn("repeats", (F.col("whole") + F.when(extra, 1).otherwise(0)).cast("long"))
 
 
 #: The same for the whole documents table, in DuckDB.

@@ -124,3 +124,11 @@ def classify(docs: DataFrame, model: Rules, id_col: str = "doc_id", text_col: st
     flat = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).select("_id", *[c.cast("double").alias(k) for k, c in stats.items()])
     scored = flat.select(F.col("_id").alias(id_col), held_out("_id").alias("held_out"), model.score({k: F.col(k) for k in stats}).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= accept).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Rules, text_col: str = "text", accept: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least `accept`."""
+    at = "__statistics"
+    stats = statistics(F.col(text_col))
+    scored = docs.withColumn(at, F.struct(*[c.cast("double").alias(k) for k, c in stats.items()]))
+    return scored.where(model.score({k: F.col(f"{at}.{k}") for k in stats}) >= accept).drop(at)
