@@ -29,7 +29,8 @@ from cellweave.llm import textkit as tk
 
 SEED = 24
 _LOW = np.uint64((1 << 40) - 1)
-_CODEC = "zstd"
+_CODEC = pa.Codec("zstd", compression_level=6)
+SLICES = 8  # parts of a bucket's dictionary that are put into order one after the other
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -39,11 +40,11 @@ def _pack(*arrays: np.ndarray) -> bytes:
         a = np.ascontiguousarray(a)
         parts += [np.array([len(a), a.dtype.itemsize], np.int64).tobytes(), a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()]
     raw = b"".join(parts)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True)
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec=_CODEC, asbytes=True)
+    raw = _CODEC.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
     out, at = [], 0
     for kind in kinds:
         n, size = np.frombuffer(raw, np.int64, 2, at).tolist()
@@ -138,13 +139,23 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[by
         yield now, held
 
 
+def _ints(values: np.ndarray) -> bytes:
+    """Numbers as bytes, four each where all fit, else eight; the last byte says which."""
+    wide = bool(values.size) and int(values.max()) >= 1 << 32
+    return values.astype("<i8" if wide else "<u4").tobytes() + bytes([wide])
+
+
+def _of_ints(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<i8" if blob[-1] else "<u4", (len(blob) - 1) // (8 if blob[-1] else 4)).astype(np.int64)
+
+
 def _replies(ids: np.ndarray, marks: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
     """Rows (id, mark, blob): the values of each document."""
     order = np.argsort(doc, kind="stable")
     cuts = np.flatnonzero(np.diff(doc[order])) + 1
     parts = np.split(order, cuts) if len(order) else []
     own = np.array([doc[x[0]] for x in parts], np.int64)
-    blobs = [np.stack([v[x] for v in values]).astype(np.int64).tobytes() for x in parts]
+    blobs = [_ints(np.stack([v[x] for v in values])) for x in parts]
     return pa.RecordBatch.from_arrays([pa.array(ids[own], pa.int64()), pa.array(marks[own], pa.int64()), pa.array(blobs, pa.binary())], names=["id", "mark", "blob"])
 
 
@@ -180,7 +191,7 @@ def _dictionary(length: int, buckets: int):
             for lo, hi, data, offsets in tk.chunks(batch.column(2)):
                 d, first, last, k = phrases(data, offsets, length)
                 base = np.searchsorted(d, np.arange(hi - lo))
-                picked = [base[i] + np.frombuffer(b"".join(x.as_py() for x in wanted[lo + i].values), np.int64) for i in range(hi - lo)]
+                picked = [base[i] + np.concatenate([_of_ints(x.as_py()) for x in wanted[lo + i].values]) for i in range(hi - lo)]
                 pick = np.unique(np.concatenate(picked)) if picked else np.zeros(0, np.int64)
                 d, first, last, k = d[pick], first[pick], last[pick], k[pick]
                 size = last - first + length
@@ -191,67 +202,76 @@ def _dictionary(length: int, buckets: int):
                     own, doc = np.unique(d[part], return_inverse=True)
                     src = part[one]
                     text = np.concatenate([data[first[j] : first[j] + size[j]] for j in src])
-                    found.append((b, _pack(ids[lo + own], marks[lo + own], size[src].astype(np.uint32), text, of.astype(np.uint32), doc.astype(np.uint32), (first[part] - offsets[d[part]]).astype(np.int64))))
+                    found.append((b, _pack(ids[lo + own], marks[lo + own], size[src].astype(np.uint32), (k[src] % np.uint64(SLICES)).astype(np.uint8), text, of.astype(np.uint32), doc.astype(np.uint32), (first[part] - offsets[d[part]]).astype(np.int64))))
                 if found:
                     yield _blobs(found)
 
     return run
 
 
+def _order(length: int, i, size, text_at, text, f, d, at):
+    """Ranges (document, start, end) of one slice: f, d, at are occurrences, the others entries of the whole bucket."""
+    used, f = np.unique(f, return_inverse=True)
+    size = size[used]
+    begin = np.cumsum(size) - size
+    prefix = tk.prefix_hash(text[np.arange(size.sum()) + np.repeat(text_at[used] - begin, size)])
+    # equal phrases of different blobs become one entry
+    whole = tk.span_hash(prefix, begin, begin + size) ^ tk.mix(size.astype(np.uint64))
+    _, one, of = np.unique(whole, return_index=True, return_inverse=True)
+    f, begin, size = of[f], begin[one], size[one]
+    own = i[d]
+    least = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(least, f, own)
+    # every window of every entry, in the order of their hashes
+    count = size - length + 1
+    at_window = np.cumsum(count) - count
+    entry = np.repeat(np.arange(len(one)), count)
+    shift = np.arange(count.sum()) - np.repeat(at_window, count)
+    h = tk.span_hash(prefix, begin[entry] + shift, begin[entry] + shift + length)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    window = np.empty(len(h), np.int64)
+    window[order] = np.repeat(np.minimum.reduceat(least[entry[order]], start), np.diff(np.concatenate([start, [len(h)]])))
+    top, bottom = np.maximum.reduceat(window, at_window), np.minimum.reduceat(window, at_window)
+    full, some = own > top[f], (own <= top[f]) & (own > bottom[f])
+    where, lo, hi = [d[full]], [at[full]], [at[full] + size[f[full]]]
+    part = np.flatnonzero(some)
+    if len(part):
+        c = count[f[part]]
+        occ = np.repeat(part, c)
+        sh = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        hit = window[np.repeat(at_window[f[part]], c) + sh] < own[occ]
+        occ, sh = occ[hit], sh[hit]
+        if len(occ):
+            new = np.flatnonzero(np.concatenate([[True], (occ[1:] != occ[:-1]) | (sh[1:] != sh[:-1] + 1)]))
+            end = np.concatenate([new[1:], [len(occ)]]) - 1
+            where.append(d[occ[new]])
+            lo.append(at[occ[new]] + sh[new])
+            hi.append(at[occ[new]] + sh[end] + length)
+    return np.concatenate(where), np.concatenate(lo), np.concatenate(hi)
+
+
 def _decide(length: int):
     """Byte ranges (start, end) of windows that a smaller document has as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in _by_bucket(batches):
-            ids, marks, sizes, texts, phrase, docs, starts, n, m = [], [], [], [], [], [], [], 0, 0
-            for blob in blobs:
-                i, mk, s, t, f, d, at = _unpack(blob, "<i8", "<i8", "<u4", "<u1", "<u4", "<u4", "<i8")
-                ids.append(i)
-                marks.append(mk)
-                sizes.append(s.astype(np.int64))
-                texts.append(t)
-                phrase.append(f.astype(np.int64) + m)
-                docs.append(d.astype(np.int64) + n)
-                starts.append(at)
+            ids, marks, sizes, slices, texts, phrase, docs, starts, n, m = [], [], [], [], [], [], [], [], 0, 0
+            while blobs:
+                i, mk, s, sl, t, f, d, at = _unpack(blobs.pop(), "<i8", "<i8", "<u4", "<u1", "<u1", "<u4", "<u4", "<i8")
+                for held, value in ((ids, i), (marks, mk), (sizes, s.astype(np.int64)), (slices, sl), (texts, t), (phrase, f.astype(np.int64) + m), (docs, d.astype(np.int64) + n), (starts, at)):
+                    held.append(value)
                 n, m = n + len(i), m + len(s)
-            i, mk, size, text, f, d, at = (np.concatenate(x) for x in (ids, marks, sizes, texts, phrase, docs, starts))
-            begin = np.cumsum(size) - size
-            prefix = tk.prefix_hash(text)
-            # equal phrases of different blobs become one entry
-            whole = tk.span_hash(prefix, begin, begin + size) ^ tk.mix(size.astype(np.uint64))
-            _, one, of = np.unique(whole, return_index=True, return_inverse=True)
-            f, begin, size = of[f], begin[one], size[one]
-            least = np.full(len(one), np.iinfo(np.int64).max)
-            np.minimum.at(least, f, i[d])
-            # every window of every entry, in the order of their hashes
-            count = size - length + 1
-            entry = np.repeat(np.arange(len(one)), count)
-            shift = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            h = tk.span_hash(prefix, begin[entry] + shift, begin[entry] + shift + length)
-            order = np.argsort(h, kind="stable")
-            start = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-            low = np.minimum.reduceat(least[entry[order]], start)
-            window = np.empty(len(h), np.int64)
-            window[order] = np.repeat(low, np.diff(np.concatenate([start, [len(h)]])))
-            top = np.maximum.reduceat(window, np.cumsum(count) - count)
-            bottom = np.minimum.reduceat(window, np.cumsum(count) - count)
-            own = i[d]
-            full, some = own > top[f], (own <= top[f]) & (own > bottom[f])
-            where, lo, hi = [d[full]], [at[full]], [at[full] + size[f[full]]]
-            part = np.flatnonzero(some)
-            if len(part):
-                c = count[f[part]]
-                occ = np.repeat(part, c)
-                sh = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                hit = window[np.repeat((np.cumsum(count) - count)[f[part]], c) + sh] < own[occ]
-                occ, sh = occ[hit], sh[hit]
-                if len(occ):
-                    new = np.flatnonzero(np.concatenate([[True], (occ[1:] != occ[:-1]) | (sh[1:] != sh[:-1] + 1)]))
-                    end = np.concatenate([new[1:], [len(occ)]]) - 1
-                    where.append(d[occ[new]])
-                    lo.append(at[occ[new]] + sh[new])
-                    hi.append(at[occ[new]] + sh[end] + length)
-            where, lo, hi = np.concatenate(where), np.concatenate(lo), np.concatenate(hi)
+            i, mk, size, sl, text, f, d, at = (np.concatenate(x) for x in (ids, marks, sizes, slices, texts, phrase, docs, starts))
+            del texts
+            text_at = np.cumsum(size) - size
+            found = []
+            for k in range(SLICES):
+                pick = np.flatnonzero(sl[f] == k)
+                if len(pick):
+                    found.append(_order(length, i, size, text_at, text, f[pick], d[pick], at[pick]))
+            where, lo, hi = (np.concatenate(x) for x in zip(*found))
             if len(where):
                 yield _replies(i, mk, where, lo, hi)
 
@@ -262,7 +282,7 @@ def merged(blobs: list[bytes]) -> np.ndarray:
     """Disjoint ranges (start, end), ascending, that cover what the blobs cover; ranges that touch become one."""
     if not blobs:
         return np.zeros((0, 2), np.int64)
-    both = np.concatenate([np.frombuffer(b, np.int64).reshape(2, -1) for b in blobs], axis=1)
+    both = np.concatenate([_of_ints(b).reshape(2, -1) for b in blobs], axis=1)
     both = both[:, np.argsort(both[0], kind="stable")]
     reach = np.maximum.accumulate(both[1])
     new = np.flatnonzero(np.concatenate([[True], both[0, 1:] > reach[:-1]]))
@@ -312,7 +332,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     answers = copies.withColumn("first", F.lit(True)).join(ranges, ["id", "mark"], "left")
     final = texts.join(answers, ["id", "mark"], "left")
     n = F.octet_length("text")
-    everything = F.array(F.concat(*[_little(x) for x in (F.lit(0), n)]))
+    everything = F.array(F.concat(_little(F.lit(0)), _little(n), F.unhex(F.lit("01"))))
     blobs = F.when(F.col("first"), F.col("blobs")).when(n >= length, everything)
     final = final.select("id", "text", blobs.alias("blobs")).unionByName(rows.where("id is null").select("id", "text", F.lit(None).cast("array<binary>").alias("blobs")))
     out = final.mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
