@@ -149,18 +149,45 @@ def _of_ints(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, "<i8" if blob[-1] else "<u4", (len(blob) - 1) // (8 if blob[-1] else 4)).astype(np.int64)
 
 
-def _replies(ids: np.ndarray, marks: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    """Rows (id, mark, blob): the values of each document."""
-    order = np.argsort(doc, kind="stable")
-    cuts = np.flatnonzero(np.diff(doc[order])) + 1
-    parts = np.split(order, cuts) if len(order) else []
-    own = np.array([doc[x[0]] for x in parts], np.int64)
-    blobs = [_ints(np.stack([v[x] for v in values])) for x in parts]
-    return pa.RecordBatch.from_arrays([pa.array(ids[own], pa.int64()), pa.array(marks[own], pa.int64()), pa.array(blobs, pa.binary())], names=["id", "mark", "blob"])
+def _replies(ids: np.ndarray, marks: np.ndarray, doc: np.ndarray, buckets: int, *values: np.ndarray) -> pa.RecordBatch:
+    """Values for documents as blobs by the bucket of the document."""
+    found = []
+    for b, part in _split((tk.mix(ids[doc].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
+        part = part[np.argsort(doc[part], kind="stable")]
+        own, of = np.unique(doc[part], return_inverse=True)
+        found.append((b, _pack(ids[own], marks[own], of.astype(np.uint32), *(v[part].astype(np.int64) for v in values))))
+    return _blobs(found)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gathered(n_values: int):
+    """One row (id, mark, blob) for each document that has replies, the blob with all its values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in _by_bucket(batches):
+            parts = [_unpack(blob, "<i8", "<i8", "<u4", *["<i8"] * n_values) for blob in blobs]
+            i, m = (np.concatenate([p[c][p[2]] for p in parts]) for c in (0, 1))
+            values = np.stack([np.concatenate([p[3 + c] for p in parts]) for c in range(n_values)])
+            order = np.lexsort((values[0], m, i))
+            i, m, values = i[order], m[order], values[:, order]
+            start = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (m[1:] != m[:-1])]))
+            ends = np.concatenate([start[1:], [len(i)]])
+            for k in range(0, len(start), 4096):
+                rows = [_ints(values[:, a:b]) for a, b in zip(start[k : k + 4096], ends[k : k + 4096])]
+                yield pa.RecordBatch.from_arrays([pa.array(i[start[k : k + 4096]]), pa.array(m[start[k : k + 4096]]), pa.array(rows, pa.binary())], names=["id", "mark", "blob"])
+
+    return run
+
+
+def _shared(buckets: int):
     """Places of the triggers whose key more than one document has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (_replies(i, m, d, buckets, p) for i, m, d, p in _common(batches) if len(d))
+
+    return run
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     for _, blobs in _by_bucket(batches):
         ids, marks, keys, docs, places, n = [], [], [], [], [], 0
         for blob in blobs:
@@ -178,8 +205,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = i[d]
         many = np.minimum.reduceat(of, start) < np.maximum.reduceat(of, start)
         keep = np.repeat(many, np.diff(np.concatenate([start, [len(k)]])))
-        if keep.any():
-            yield _replies(i, m, d[keep], p[keep])
+        yield i, m, d[keep], p[keep].astype(np.int64)
 
 
 def _dictionary(length: int, buckets: int):
@@ -191,7 +217,7 @@ def _dictionary(length: int, buckets: int):
             for lo, hi, data, offsets in tk.chunks(batch.column(2)):
                 d, first, last, k = phrases(data, offsets, length)
                 base = np.searchsorted(d, np.arange(hi - lo))
-                picked = [base[i] + np.concatenate([_of_ints(x.as_py()) for x in wanted[lo + i].values]) for i in range(hi - lo)]
+                picked = [base[i] + _of_ints(wanted[lo + i].as_py()) for i in range(hi - lo)]
                 pick = np.unique(np.concatenate(picked)) if picked else np.zeros(0, np.int64)
                 d, first, last, k = d[pick], first[pick], last[pick], k[pick]
                 size = last - first + length
@@ -252,7 +278,7 @@ def _order(length: int, i, size, text_at, text, f, d, at):
     return np.concatenate(where), np.concatenate(lo), np.concatenate(hi)
 
 
-def _decide(length: int):
+def _decide(length: int, buckets: int):
     """Byte ranges (start, end) of windows that a smaller document has as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,16 +299,16 @@ def _decide(length: int):
                     found.append(_order(length, i, size, text_at, text, f[pick], d[pick], at[pick]))
             where, lo, hi = (np.concatenate(x) for x in zip(*found))
             if len(where):
-                yield _replies(i, mk, where, lo, hi)
+                yield _replies(i, mk, where, buckets, lo, hi)
 
     return run
 
 
-def merged(blobs: list[bytes]) -> np.ndarray:
-    """Disjoint ranges (start, end), ascending, that cover what the blobs cover; ranges that touch become one."""
-    if not blobs:
+def merged(blob: bytes | None) -> np.ndarray:
+    """Disjoint ranges (start, end), ascending, that cover what the blob covers; ranges that touch become one."""
+    both = _of_ints(blob).reshape(2, -1) if blob else np.zeros((2, 0), np.int64)
+    if not both.size:
         return np.zeros((0, 2), np.int64)
-    both = np.concatenate([_of_ints(b).reshape(2, -1) for b in blobs], axis=1)
     both = both[:, np.argsort(both[0], kind="stable")]
     reach = np.maximum.accumulate(both[1])
     new = np.flatnonzero(np.concatenate([[True], both[0, 1:] > reach[:-1]]))
@@ -293,9 +319,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, _, _ in tk.chunks(batch.column(1), 1 << 23):
             out: list[tuple] = []
-            for text, blobs in zip(batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo)):
+            for text, blob in zip(batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo)):
                 data = (text.as_py() or "").encode()
-                spans = merged(blobs.as_py() or [])
+                spans = merged(blob.as_py())
                 digest, at = hashlib.sha256(), 0
                 for a, b in spans.tolist():
                     digest.update(data[at:a])
@@ -314,27 +340,27 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     holds the removed ranges (start, end, start, end ...). Null texts are empty. Rows with the same id do not count as
     smaller than each other; a row with a null id loses nothing and removes nothing. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    texts = rows.where("id is not null").select("id", "mark", "text")
-    spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    value = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(value).alias("mark"), value.alias("text"))
+    texts = rows.where("id is not null")
+    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # of equal texts the first one speaks for all: the others are repeats as a whole
     copies = texts.groupBy("mark", F.md5("text").alias("sum"), F.octet_length("text").alias("n")).agg(F.min("id").alias("id")).select("id", "mark").distinct()
+    part, reply = "bucket int, blob binary", "id long, mark long, blob binary"
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
-    first = texts.join(copies, ["id", "mark"], "left_semi").select("id", "mark", "text")
-    triggers = dealt(first.mapInArrow(_parse(length, buckets), "bucket int, blob binary"))
-    asked = triggers.mapInArrow(_shared, "id long, mark long, blob binary").groupBy("id", "mark").agg(F.collect_list("blob").alias("blobs"))
-    entries = dealt(texts.join(asked, ["id", "mark"]).select("id", "mark", "text", "blobs").mapInArrow(_dictionary(length, buckets), "bucket int, blob binary"))
-    ranges = entries.mapInArrow(_decide(length), "id long, mark long, blob binary").groupBy("id", "mark").agg(F.collect_list("blob").alias("blobs"))
+    triggers = dealt(texts.join(copies, ["id", "mark"]).select("id", "mark", "text").mapInArrow(_parse(length, buckets), part))
+    asked = dealt(triggers.mapInArrow(_shared(buckets), part)).mapInArrow(_gathered(1), reply)
+    entries = dealt(texts.join(asked, ["id", "mark"]).select("id", "mark", "text", "blob").mapInArrow(_dictionary(length, buckets), part))
+    ranges = dealt(entries.mapInArrow(_decide(length, buckets), part)).mapInArrow(_gathered(2), reply)
     answers = copies.withColumn("first", F.lit(True)).join(ranges, ["id", "mark"], "left")
     final = texts.join(answers, ["id", "mark"], "left")
     n = F.octet_length("text")
-    everything = F.array(F.concat(_little(F.lit(0)), _little(n), F.unhex(F.lit("01"))))
-    blobs = F.when(F.col("first"), F.col("blobs")).when(n >= length, everything)
-    final = final.select("id", "text", blobs.alias("blobs")).unionByName(rows.where("id is null").select("id", "text", F.lit(None).cast("array<binary>").alias("blobs")))
+    everything = F.concat(_little(F.lit(0)), _little(n), F.unhex(F.lit("01")))
+    final = final.select("id", "text", F.when(F.col("first"), F.col("blob")).when(n >= length, everything).alias("blob"))
+    final = final.unionByName(rows.where("id is null").select("id", "text", F.lit(None).cast("binary").alias("blob")))
     out = final.mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     return out.withColumnRenamed("id", id_col)
 
