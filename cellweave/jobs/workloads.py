@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.operators import cells, hotspot, polar, scores, shapes, stencil
+from cellweave.sources.lineage import cut
 
 
 def hot_spot_planes(pixels: DataFrame, fdr: bool = True, **options) -> DataFrame:
@@ -28,6 +29,7 @@ def calculate_features(pixels: DataFrame, mask: DataFrame, include_scores: bool
     edge = stencil.perimeter(mask)
     planes = hot_spot_planes(pixels, **options)
     if weighted:
+        planes = cut(planes)
         hot = planes.where(F.col("channel").endswith("_GPhot")).select("image_id", "row", "col", F.regexp_replace("channel", "_GPhot$", "").alias("channel"), F.col("value").alias("p_hot"))
         w = pixels.join(cells.p_weights(hot, "p_hot", min_pval, offset), ["image_id", "channel", "row", "col"])
         planes = planes.unionByName(w.select("image_id", F.concat("channel", F.lit("_weighted")).alias("channel"), "row", "col", (F.col("value") * F.col("weight")).alias("value")))
@@ -38,9 +40,10 @@ def calculate_features(pixels: DataFrame, mask: DataFrame, include_scores: bool
         f = f.join(cells.core_edge_difference(planes, edge), cells.KEY, "left")
     if not include_scores:
         return f
+    f = cut(f)  # the scores read it nine times
     hot = f.where(F.col("channel").endswith("_GPhot")).select("image_id", "ObjectNumber", F.regexp_replace("channel", "_GPhot$", "").alias("channel"), *[F.col(c).alias(f"p_{c}") for c in ("MEAN", "EDGE_MEAN", "CORE_MEAN")])
     own = f.where(~F.col("channel").rlike("_(GP|GPhot|weighted)$")).join(hot, cells.KEY)
-    peak = scores.smooth_max(own.select("image_id", "channel", "ObjectNumber", F.col("MEAN").alias("x"), F.col("p_MEAN").alias("y")))
+    peak = cut(scores.smooth_max(own.select("image_id", "channel", "ObjectNumber", F.col("MEAN").alias("x"), F.col("p_MEAN").alias("y"))))
     made = [scores.score(own.withColumn("x", F.col(c)), peak, f"p_{c}", "s").select(*cells.KEY, F.col("s").alias(f"{c.removesuffix('_MEAN')}_GP_SCORE")) for c in ("MEAN", "EDGE_MEAN", "CORE_MEAN")]
     s = reduce(lambda a, b: a.join(b, cells.KEY), made)
     return f.join(s, cells.KEY, "left").withColumn("SCORE_DIFF", F.col("CORE_GP_SCORE") - F.col("EDGE_GP_SCORE")).withColumn("AREA_MIN_EDGE_CORE", F.least("AREA_EDGE", "AREA_CORE"))
