@@ -45,7 +45,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(name: str, base: int, n: int) -> np.ndarray:
-    if len(_POWERS.get(name, ())) < n:
+    if name not in _POWERS or len(_POWERS[name]) < n:
         steps = np.full(max(n, CHUNK + 1), base, _U)
         steps[0] = 1
         _POWERS[name] = np.cumprod(steps, dtype=_U)

@@ -26,9 +26,17 @@ TERMS = 600  # terms of the index, at most
 STEMS = (5, 6, 7, 8)  # first letters of a word that are terms, too
 K = 15
 BLOCK = 64
+LEAST_EVIDENCE = 4.2  # a term's root likelihood ratio for label 1; about one of 80,000 terms passes by chance
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _evidence(a: int, n: int, b: int, m: int) -> float:
+    """Root of the likelihood-ratio statistic of a in n against b in m."""
+    p = (a + b) / (n + m)
+    cells = ((a, n * p), (n - a, n * (1 - p)), (b, m * p), (m - b, m * (1 - p)))
+    return math.sqrt(max(0.0, 2 * sum(x * math.log(x / e) for x, e in cells if x)))
+
+
 def _forms(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
 
@@ -45,12 +53,11 @@ class Index:
                 hit.update(bag.keys())
         strength = {}
         for term, d in df.items():
-            if d >= max(4, n // 2000):
-                a, b = hit[term], d - hit[term]
-                p, q = (a + 0.5) / (pos + 1), (b + 0.5) / (n - pos + 1)
-                z = (math.log(p / (1 - p)) - math.log(q / (1 - q))) / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-                if z > 4.5 and p > 4 * q:
-                    strength[term] = z
+            a, b = hit[term], d - hit[term]
+            if d >= max(4, n // 2000) and a * (n - pos) > 3 * b * pos:
+                g = _evidence(a, pos, b, n - pos)
+                if g > LEAST_EVIDENCE:
+                    strength[term] = g
         chosen = sorted(strength, key=lambda x: (-strength[x], x))[:TERMS]
         self.term = {t: i for i, t in enumerate(sorted(chosen))}
         self.idf = np.array([math.log((n + 1) / (df[t] + 0.5)) for t in self.term], np.float64)
