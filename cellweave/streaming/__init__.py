@@ -1,0 +1 @@
+"""No streaming operators: the survey lists none."""
