@@ -93,8 +93,9 @@ def hodges_lehmann(pixels: DataFrame, perimeter: DataFrame, pairs: int = 1 << 22
                 hi = mid
             else:
                 lo = mid
-        d = edge[np.minimum(np.searchsorted(edge, core - hi, "left"), len(edge) - 1)]
-        return float((core - d).max(initial=-np.inf, where=core - d <= hi))
+        at = np.searchsorted(edge, core - hi, "left")  # the same comparison as in the count, so rounding cannot part them
+        ok = at < len(edge)
+        return float((core[ok] - edge[at[ok]]).max())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         edge, core = (pdf.loc[pdf["is_edge"] == e, "value"].to_numpy() for e in (True, False))
