@@ -31,6 +31,7 @@ ROWS = 4  # bins in a band
 MISS = 1e-8
 BLOCK = 256  # documents in a block, of which two meet in a group
 STEP = 4096  # shingles of one matrix product
+FEW = 1 << 20  # ids that are broadcast to filter texts, at most: about 64 MB in a task's memory
 
 
 def bands_for(threshold: float) -> int:
@@ -94,6 +95,12 @@ def _sets(k: int):
     return run
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, items) of the documents in ids (stored, distinct). Texts are shuffled only where the ids are more than FEW."""
+    few = ids.count() <= FEW
+    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_sets(k), "id long, items array<long>")
+
+
 def _alike(n: Column, m: Column, t: Fraction) -> Column:
     """Sets of these sizes can reach the threshold."""
     return F.least(n, m) * t.denominator >= F.greatest(n, m) * t.numerator
@@ -101,8 +108,8 @@ def _alike(n: Column, m: Column, t: Fraction) -> Column:
 
 def _confirmed(cands: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     """The candidate pairs (a, b) whose full shingle sets reach the threshold, exactly in whole numbers."""
-    needed = cands.select(F.col("a").alias("id")).unionByName(cands.select(F.col("b").alias("id"))).distinct()
-    sets = stored(docs.join(needed, "id", "left_semi").mapInArrow(_sets(k), "id long, items array<long>"), "sets")
+    needed = stored(cands.select(F.col("a").alias("id")).unionByName(cands.select(F.col("b").alias("id"))).distinct(), "needed")
+    sets = stored(_sets_of(docs, needed, k), "sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return cands.join(left, "a").join(right, "b").where(both * t.denominator >= (F.size("x") + F.size("y") - both) * t.numerator).select("a", "b")
@@ -145,7 +152,7 @@ def _across(rest: DataFrame, shared: DataFrame, docs: DataFrame, k: int, t: Frac
     rows = stored(rest.join(cluster, "id"), "clusters")
     many = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("cluster", "blocks")
     dealt = rows.join(many, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    sets = docs.join(dealt.select("id"), "id", "left_semi").mapInArrow(_sets(k), "id long, items array<long>")
+    sets = _sets_of(docs, stored(dealt.select("id"), "needed"), k)
     pairs = (
         dealt.join(sets, "id")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
