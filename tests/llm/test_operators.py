@@ -149,10 +149,17 @@ def test_genetic_packing_is_near_the_bound():
     assert len(bins) <= -(-sum(lengths) // 1024) * 1.03
 
 
-def test_encoder_is_the_tokenizer():
-    e = packing.Encoder(queries.tokenizer_path())
-    for t in ("It's  a\n\n test 12ab  ", "naïve Straße, ¿qué?", "x<|endoftext|>y", "日本語 ²½", " a b", " \t\r\n ", "don't we'll I'M"):
-        assert e(t)[:-4] == np.array(e.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+def test_encoding_is_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    texts = ["It's  a\n\n test 12ab  ", "naïve Straße, ¿qué?", "x<|endoftext|>y", "日本語 ²½", " a\u00a0b", " \t\r\n ", "don't we'll I'M", "a" * 30000, " " * 30000 + "x", "\n\u2003" * 9000]
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x33000 or 0xE0000 <= c < 0xE0200)]
+    texts += ["".join(f"a{chr(c)}b {chr(c)}1\n" for c in points[i : i + 4096]) for i in range(0, len(points), 4096)]
+    for t in texts:
+        assert packing.encode(t, path)[:-4] == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing.encode(None, path) == packing.encode("", path) == b"\2\0\0\0"
 
 
 def test_pseudonyms(spark, none):
