@@ -7,9 +7,9 @@ a window is cut depends on its own bytes only, and equal windows lie at the same
 1. The parse: tasks send each document's triggers to the bucket of their hash, packed into blobs. A bucket sends back to
    documents which of their triggers other documents have as well.
 2. The dictionary: the phrases of such triggers go to the bucket of the trigger. There equal phrases become one entry
-   with its smallest document, and the entries' suffixes are put into order down to `length` bytes (by the hashes of
-   their windows): in each class of equal windows the smallest document decides. Since a window lies wholly inside its
-   phrase, no order beyond the dictionary is needed.
+   with its smallest document, and the entries' suffixes are sorted by their bytes down to `length` of them (prefix
+   doubling): in each class of suffixes that begin alike the smallest document decides. Since a window lies wholly inside
+   its phrase, no order beyond the bucket's dictionary is needed; a suffix array of all buckets or of the parse is not built.
 3. What the classes decide is carried back through the parse to the documents, as byte ranges.
 
 Texts are partitioned by document once; the three joins that need them use the same exchange.
@@ -30,6 +30,7 @@ from cellweave.llm import textkit as tk
 SEED = 24
 _LOW = np.uint64((1 << 40) - 1)
 _CODEC = pa.Codec("zstd", compression_level=6)
+BUCKET_BYTES = 1 << 25  # text for one bucket, about
 SLICES = 8  # parts of a bucket's dictionary that are put into order one after the other
 
 
@@ -235,25 +236,43 @@ def _dictionary(length: int, buckets: int):
     return run
 
 
+def suffix_keys(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A number for each suffix of text that starts at `at`: in the order of the suffixes' first `length` bytes, equal where those are."""
+    span = min(8, length)
+    n = len(text) - span + 1
+    key = np.zeros(n, np.uint64)
+    for j in range(span):
+        key = key << np.uint64(8) | text[j : j + n]
+    while span < length:
+        step = min(span, length - span)
+        rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+        key = rank[: len(rank) - step] << np.uint64(32) | rank[step:]
+        span += step
+    return key[at]
+
+
 def _order(length: int, i, size, text_at, text, f, d, at):
     """Ranges (document, start, end) of one slice: f, d, at are occurrences, the others entries of the whole bucket."""
     used, f = np.unique(f, return_inverse=True)
     size = size[used]
     begin = np.cumsum(size) - size
-    prefix = tk.prefix_hash(text[np.arange(size.sum()) + np.repeat(text_at[used] - begin, size)])
+    text = text[np.arange(size.sum()) + np.repeat(text_at[used] - begin, size)]
+    prefix = tk.prefix_hash(text)
     # equal phrases of different blobs become one entry
     whole = tk.span_hash(prefix, begin, begin + size) ^ tk.mix(size.astype(np.uint64))
     _, one, of = np.unique(whole, return_index=True, return_inverse=True)
-    f, begin, size = of[f], begin[one], size[one]
+    f, size, old = of[f], size[one], begin[one]
+    begin = np.cumsum(size) - size
+    text = text[np.arange(size.sum()) + np.repeat(old - begin, size)]
     own = i[d]
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, f, own)
-    # every window of every entry, in the order of their hashes
+    # every suffix of every entry that has a whole window, in the order of their bytes
     count = size - length + 1
     at_window = np.cumsum(count) - count
     entry = np.repeat(np.arange(len(one)), count)
     shift = np.arange(count.sum()) - np.repeat(at_window, count)
-    h = tk.span_hash(prefix, begin[entry] + shift, begin[entry] + shift + length)
+    h = suffix_keys(text, begin[entry] + shift, length)
     order = np.argsort(h, kind="stable")
     h = h[order]
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -343,7 +362,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     value = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(value).alias("mark"), value.alias("text"))
     texts = rows.where("id is not null")
-    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     # of equal texts the first one speaks for all: the others are repeats as a whole
     copies = texts.groupBy("mark", F.md5("text").alias("sum"), F.octet_length("text").alias("n")).agg(F.min("id").alias("id")).select("id", "mark").distinct()
     part, reply = "bucket int, blob binary", "id long, mark long, blob binary"
