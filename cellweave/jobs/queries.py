@@ -438,14 +438,19 @@ ss AS (SELECT {O}, shape_id, sum(s) AS sm, sum(depth) AS sn FROM ly JOIN sh USIN
 wi AS (SELECT {O}, shape_id, sn AS n, (ns + sm) / (nn + sn) AS marker FROM ss JOIN nu USING ({O}))"""
 
 
-def _what_if(spark, d):
-    return shapes.what_if(fx.radial(spark, d), shapes.shapes(spark, 8, 2, 0, 0.4), 2)
+def _sql_shapes(spark):
+    """The shapes that _SHAPES has: its SQL counts widths from 1, so the shapes of width 0 are left to the jobs without SQL."""
+    return shapes.shapes(spark, 8, 2, 0, 0.4).where("depth > 0")
+
+
+def _what_if(spark, d, s):
+    return shapes.what_if(fx.radial(spark, d), s, 2)
 
 
 @query("b2_b3_shape_stats_of_cells", f"w AS (SELECT 1), {_SHAPES}, e AS (SELECT {O}, max({O}) % 132 AS k FROM rad GROUP BY {O}) SELECT {L(O, O)}, {L('shape_id', 'shape_id')}, {L('sum(depth)', 'covered')}, {L('max(depth)', 'max_depth')}, {D('avg(depth)', 'mean_depth')} FROM e JOIN sh ON shape_id = 8 + k GROUP BY {O}, shape_id")
 def b2(spark, d):
     ids = fx.radial(spark, d).select("ObjectNumber").distinct().withColumn("shape_id", (8 + F.col("ObjectNumber") % 132).cast("int"))
-    return ids.join(shapes.shape_stats(shapes.shapes(spark, 8, 2, 0, 0.4)), "shape_id").select("ObjectNumber", "shape_id", "covered", "max_depth", "mean_depth")
+    return ids.join(shapes.shape_stats(_sql_shapes(spark)), "shape_id").select("ObjectNumber", "shape_id", "covered", "max_depth", "mean_depth")
 
 
 @query("b4_boundary", f"w AS (SELECT 1), {_BOUND} SELECT 'emb' AS image_id, {L(O, O)}, {L('angle', 'angle')}, {L('inner_', chr(34) + 'inner' + chr(34))}, {L('outer_', chr(34) + 'outer' + chr(34))}, {L('outer_ + 2', 'outmost')} FROM bd")
@@ -473,25 +478,25 @@ def b7(spark, d):
 @query("b8_shape_sums", f"{_WHATIF} SELECT 'emb' AS image_id, {L(O, O)}, 'emb' AS channel, {L('shape_id', 'shape_id')}, {D('sm', 'shape_sum')}, {L('sn', 'shape_n')} FROM ss")
 def b8(spark, d):
     r = fx.radial(spark, d)
-    return shapes.shape_sums(shapes.layers(r.where("channel = 'emb'"), shapes.nucleus_boundary(r), 2), shapes.shapes(spark, 8, 2, 0, 0.4))
+    return shapes.shape_sums(shapes.layers(r.where("channel = 'emb'"), shapes.nucleus_boundary(r), 2), _sql_shapes(spark))
 
 
 @query("b8a_sliding_sums", f"""w AS (SELECT 1), {_SHAPES}, {_BOUND}, ly AS (SELECT {O}, angle, ring - outer_ + 1 AS depth, sum(value) OVER (PARTITION BY {O}, angle ORDER BY ring) AS s FROM rad JOIN bd USING ({O}, angle) WHERE ring - outer_ BETWEEN 0 AND 2),
 mv AS (SELECT shape_id, angle, depth + t.t AS depth, t.t AS start FROM sh, range(2) t(t)) SELECT 'emb' AS image_id, {L(O, O)}, 'emb' AS channel, {L('shape_id', 'shape_id')}, {L('start', 'start')}, {D('sum(s)', 'shape_sum')}, {L('sum(depth)', 'shape_n')} FROM ly JOIN mv USING (angle, depth) GROUP BY {O}, shape_id, start""")
 def b8a(spark, d):
     r = fx.radial(spark, d)
-    return shapes.sliding_sums(shapes.layers(r.where("channel = 'emb'"), shapes.nucleus_boundary(r), 3), shapes.shapes(spark, 8, 2, 0, 0.4), 3)
+    return shapes.sliding_sums(shapes.layers(r.where("channel = 'emb'"), shapes.nucleus_boundary(r), 3), _sql_shapes(spark), 3, full_inner=False)  # as its SQL has it
 
 
 @query("b9_b10_what_if", f"{_WHATIF} SELECT 'emb' AS image_id, {L(O, O)}, 'emb' AS channel, {L('shape_id', 'shape_id')}, {L('n', 'n')}, {D('marker', 'marker')}, 'ok' AS status FROM wi")
 def b10(spark, d):
-    return _what_if(spark, d)
+    return _what_if(spark, d, _sql_shapes(spark))
 
 
 @query("b11_histogram", f"""{_WHATIF}, me AS (SELECT {O}, avg(value) + 2000 AS mean FROM rad GROUP BY {O}), re AS (SELECT {O}, marker / mean AS rel FROM wi JOIN me USING ({O})), en AS (SELECT min(rel) AS lo, (max(rel) - min(rel)) / 100 AS st FROM re),
 hi AS (SELECT {O}, greatest(0, least(99, CAST(ceil(round((rel - lo) / st, 9)) AS INT) - 1)) AS bin, lo, st FROM re, en) SELECT 'emb' AS image_id, {L(O, O)}, 'emb' AS channel, {L('bin', 'bin')}, {D('min(lo + (bin + 1) * st)', 'grid')}, {L('count(*)', 'n')} FROM hi GROUP BY {O}, bin""")
 def b11(spark, d):
-    return shapes.histogram(_what_if(spark, d), _means(spark, d))
+    return shapes.histogram(_what_if(spark, d, _sql_shapes(spark)), _means(spark, d))
 
 
 def _means(spark, d):
@@ -500,7 +505,7 @@ def _means(spark, d):
 
 @query("b13_histogram_mean")
 def b13(spark, d):
-    return shapes.histogram_mean(shapes.histogram(_what_if(spark, d), _means(spark, d)))
+    return shapes.histogram_mean(shapes.histogram(_what_if(spark, d, shapes.shapes(spark, 8, 2, 0, 0.4)), _means(spark, d)))
 
 
 _SUM = f"{D('max(marker)', 'max')}, {D('min(marker)', 'min')}, {D('avg(marker)', 'mean')}, {D('median(marker)', 'median')}, {D('stddev_pop(marker)', 'sd')}, {D('max(marker) - min(marker)', 'range')}, {D('stddev_pop(marker) / nullif(avg(marker), 0)', 'cv')}"
@@ -508,7 +513,7 @@ _SUM = f"{D('max(marker)', 'max')}, {D('min(marker)', 'min')}, {D('avg(marker)',
 
 @query("b12_summaries", f"{_WHATIF} SELECT 'emb' AS image_id, {L(O, O)}, 'emb' AS channel, {_SUM} FROM wi GROUP BY {O}")
 def b12(spark, d):
-    return shapes.marker_summaries(_what_if(spark, d))
+    return shapes.marker_summaries(_what_if(spark, d, _sql_shapes(spark)))
 
 
 @query("w2_boundary_what_if_job")

@@ -20,13 +20,15 @@ def angle_subsets(spark: SparkSession, n: int) -> DataFrame:
 def shapes(spark: SparkSession, n: int = 8, dmax: int = 2, minp: float = 0.0, maxp: float = 0.4) -> DataFrame:
     """(shape_id, angle, depth): runs of neighbouring angles (wrapping), each with its own depth 1..dmax.
 
-    Widths go from int(n minp) to int(n maxp); width 0 has no angle and so no row here. Ids count width by width, start by
-    start, depths as the digits of a number; duplicates of full width stay.
+    Widths go from int(n minp) to int(n maxp); a shape of width 0 is one row of depth 0 without an angle. Ids count width by
+    width, start by start, depths as the digits of a number; duplicates of width 0 and of full width stay.
     """
     out, first = None, 0
     for width in range(int(n * minp), int(n * maxp) + 1):
         each = dmax**width
-        if width:
+        if width == 0:
+            out = spark.range(n).select(F.col("id").cast("int").alias("shape_id"), F.lit(None).cast("int").alias("angle"), F.lit(0).alias("depth"))
+        else:
             ids = spark.range(n * each).withColumn("start", F.expr(f"id div {each}")).withColumn("code", F.col("id") % each)
             at = ids.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
             digit = F.expr(f"code div cast(pow({dmax}, i) as bigint)") % dmax + 1
@@ -86,11 +88,26 @@ def shape_sums(layered: DataFrame, s: DataFrame, own: DataFrame | None = None) -
         at = at.join(own.select(*CELL, "angle", "ring", F.col("value").alias("__own")), [*CELL, "angle", "ring"]).withColumn("value", F.col("value") * F.col("__own"))
     w = Window.partitionBy(*PROFILE, "angle").orderBy("layer").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = at.select(*PROFILE, "angle", (F.col("layer") + 1).alias("depth"), F.sum("value").over(w).alias("s"))
-    return cum.join(F.broadcast(s), ["angle", "depth"]).groupBy(*PROFILE, "shape_id").agg(F.sum("s").alias("shape_sum"), F.sum("depth").alias("shape_n"))
+    sums = cum.join(F.broadcast(s), ["angle", "depth"]).groupBy(*PROFILE, "shape_id").agg(F.sum("s").alias("shape_sum"), F.sum("depth").alias("shape_n"))
+    return sums.unionByName(layered.select(*PROFILE).distinct().crossJoin(F.broadcast(_empty(s))).withColumn("shape_sum", F.lit(0.0)).withColumn("shape_n", F.lit(0).cast("long")))
 
 
-def sliding_sums(layered: DataFrame, s: DataFrame, maxdist: int) -> DataFrame:
-    """As shape_sums for dmax 2, with the two-layer pattern moved outward by start = 0..maxdist-2; inner layers are full."""
+def _empty(s: DataFrame) -> DataFrame:
+    return s.where("depth = 0").select("shape_id").distinct()
+
+
+def sliding_sums(layered: DataFrame, s: DataFrame, maxdist: int, full_inner: bool = True) -> DataFrame:
+    """As shape_sums for dmax 2, with the two-layer pattern moved outward by start = 0..maxdist-2; inner layers are full.
+
+    full_inner: the layers before start are those of all angles, not of the shape's own ones only.
+    """
+    if full_inner:
+        starts = F.explode(F.sequence(F.lit(0), F.lit(max(maxdist - 2, 0))))
+        own = s.where("depth > 0").withColumn("start", starts).withColumn("layer", F.explode(F.expr("sequence(start, start + depth - 1)")))
+        own = layered.join(F.broadcast(own.drop("depth")), ["angle", "layer"]).groupBy(*PROFILE, "shape_id", "start").agg(F.sum("value").alias("own_sum"), F.count(F.lit(1)).alias("own_n"))
+        inner = layered.withColumn("start", starts).groupBy(*PROFILE, "start").agg(F.sum(F.when(F.col("layer") < F.col("start"), F.col("value")).otherwise(0.0)).alias("in_sum"), F.count(F.when(F.col("layer") < F.col("start"), 1)).alias("in_n"))
+        every = inner.crossJoin(F.broadcast(s.select("shape_id").distinct())).join(own, [*PROFILE, "shape_id", "start"], "left").fillna(0, ["own_sum", "own_n"])
+        return every.select(*PROFILE, "shape_id", "start", (F.col("in_sum") + F.col("own_sum")).alias("shape_sum"), (F.col("in_n") + F.col("own_n")).alias("shape_n"))
     w = Window.partitionBy(*PROFILE, "angle").orderBy("layer").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = layered.select(*PROFILE, "angle", (F.col("layer") + 1).alias("depth"), F.sum("value").over(w).alias("s"))
     moved = s.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(max(maxdist - 2, 0))))).withColumn("depth", F.col("depth") + F.col("start"))
