@@ -84,14 +84,23 @@ def padding(mask: DataFrame, transforms: DataFrame) -> DataFrame:
     return mask.select("image_id").distinct().join(pads, "image_id", "left").fillna(1, ["pad"])
 
 
-def warped(mask: DataFrame, jitter: DataFrame, pad: int = 2, swapped_centre: bool = True) -> DataFrame:
+def _padded(boxes: DataFrame, mask: DataFrame, pad: int | None, transforms: DataFrame | None = None) -> DataFrame:
+    """boxes with pad: the given one, or that of the image under the transforms (the extreme ones of RANGES), 2 at least."""
+    if pad is not None:
+        return boxes.withColumn("pad", F.lit(pad))
+    pads = padding(mask, transform_grid(mask.sparkSession, 2) if transforms is None else transforms)
+    return boxes.join(pads.select("image_id", F.greatest("pad", F.lit(2)).alias("pad")), "image_id")
+
+
+def warped(mask: DataFrame, jitter: DataFrame, pad: int | None = None, swapped_centre: bool = True) -> DataFrame:
     """(image_id, iter, ObjectNumber, row, col): each cell's pixels after its own transform in each iteration.
 
     jitter: (image_id, ObjectNumber, iter, tx .. shy). A target pixel belongs to the cell if the bilinear weight of the
     cell's own pixels at its source is at least a half. The centre of a box is (size / 2), in the order (row, col) used as
-    (x, y) when swapped_centre, as the definition has it.
+    (x, y) when swapped_centre, as the definition has it. The target window is the box and pad pixels on each side.
     """
-    b = boxes(mask).select(*CELL, "r0", "c0", "r1", "c1")
+    b = _padded(boxes(mask).select(*CELL, "r0", "c0", "r1", "c1"), mask, pad)
+    pad = F.col("pad")
     h, w = (F.col("r1") - F.col("r0") + 2 * pad).cast("double"), (F.col("c1") - F.col("c0") + 2 * pad).cast("double")
     at = jitter.join(b, CELL)
     at = with_matrix(at, *((h / 2, w / 2) if swapped_centre else (w / 2, h / 2)))
@@ -108,7 +117,7 @@ def warped(mask: DataFrame, jitter: DataFrame, pad: int = 2, swapped_centre: boo
     return hit.select("image_id", "iter", "ObjectNumber", F.col("trow").alias("row"), F.col("tcol").alias("col"))
 
 
-def random_masks(mask: DataFrame, n_iter: int, seed: int = 42, pad: int = 2, **options) -> DataFrame:
+def random_masks(mask: DataFrame, n_iter: int, seed: int = 42, pad: int | None = None, **options) -> DataFrame:
     """(image_id, iter, row, col, label), dense: all cells warped and painted in random order (the later wins), then closed."""
     cells = mask.where("label <> 0").select("image_id", F.col("label").alias("ObjectNumber")).distinct()
     jitter = random_transforms(cells.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1)))), seed)
@@ -126,7 +135,7 @@ def _medians(means: DataFrame, mask: DataFrame, pixels: DataFrame) -> DataFrame:
     return rows.join(means.groupBy(*CELL, "channel").agg(F.median("mean").alias("median")), [*CELL, "channel"], "left")
 
 
-def affine_medians(pixels: DataFrame, mask: DataFrame, n_iter: int = 10, seed: int = 42, pad: int = 2, **options) -> DataFrame:
+def affine_medians(pixels: DataFrame, mask: DataFrame, n_iter: int = 10, seed: int = 42, pad: int | None = None, **options) -> DataFrame:
     """(image_id, ObjectNumber, area, channel, median): the median over random masks of each cell's mean.
 
     A cell that vanishes from a mask is skipped there; NULL where it vanishes from all.
@@ -136,14 +145,15 @@ def affine_medians(pixels: DataFrame, mask: DataFrame, n_iter: int = 10, seed: i
     return _medians(means, mask, pixels)
 
 
-def direct_affine_medians(pixels: DataFrame, mask: DataFrame, transforms: DataFrame, pad: int = 2, chunk: int = 128, swapped_centre: bool = True) -> DataFrame:
+def direct_affine_medians(pixels: DataFrame, mask: DataFrame, transforms: DataFrame, pad: int | None = None, chunk: int = 128, swapped_centre: bool = True) -> DataFrame:
     """As affine_medians with every cell warped alone by every transform (cells may overlap), inside one group per cell.
 
     transforms (tx .. shy) is a bounded table: it is read once and travels with the tasks.
     """
     names = ["tx", "ty", "rot", "sx", "sy", "shx", "shy"]
     params = np.array([[float(r[n]) for n in names] for r in transforms.select(*names).collect()])
-    b = boxes(mask).select(*CELL, "r0", "c0", "r1", "c1")
+    b = _padded(boxes(mask).select(*CELL, "r0", "c0", "r1", "c1"), mask, pad, transforms)
+    pad = F.col("pad")
     tile = 32
     near = b.withColumn("tr", F.explode(F.sequence(F.floor((F.col("r0") - pad) / tile), F.floor((F.col("r1") + pad - 1) / tile)))).withColumn("tc", F.explode(F.sequence(F.floor((F.col("c0") - pad) / tile), F.floor((F.col("c1") + pad - 1) / tile))))
     px = pixels.join(mask, PIXEL).withColumn("tr", F.floor(F.col("row") / tile)).withColumn("tc", F.floor(F.col("col") / tile))
