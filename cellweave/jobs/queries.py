@@ -398,7 +398,7 @@ def r7(spark, d):
 
 @query("r8_resampled")
 def r8(spark, d):
-    return polar.scaled(_profile(spark, d), 6, minp=1).select("image_id", "ObjectNumber", "channel", "angle", F.posexplode("values").alias("bin", "value"))
+    return polar.scaled(_profile(spark, d), 6).select("image_id", "ObjectNumber", "channel", "angle", F.posexplode("values").alias("bin", "value"))
 
 
 @query("r9_to_grid", f"{_RADIAL} SELECT {KEYS}, {L('dr', 'drow')}, {L('dc', 'dcol')}, {D('value', 'value')} FROM rp JOIN lut USING (angle, ring)")

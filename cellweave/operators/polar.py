@@ -126,23 +126,30 @@ def outside_part(profile: DataFrame, thr: float = 0.5, minp: int = 0) -> DataFra
 
 
 def resample(values: np.ndarray, extent: int) -> np.ndarray:
-    """A profile on `extent` bins: linear interpolation, or for long profiles weights 1 - 2.5 d^2 + 1.5 d^3 below d = 1."""
+    """A profile on `extent` bins, its first ring on the first one, its last on the last: linear interpolation, or for long profiles weights 1 - 2.5 d^2 + 1.5 d^3 below d = 1."""
     n = len(values)
     if n == 0:
         return np.zeros(extent)
-    at = (np.arange(extent) + 0.5) * n / extent - 0.5
+    at, place = np.arange(extent), np.linspace(0, extent - 1, n)
     if n < extent + 2:
-        return np.interp(at, np.arange(n), values)
-    step = n / extent
-    d = np.abs(np.arange(n)[None, :] - at[:, None]) / step
+        return np.interp(at, place, values)
+    d = np.abs(place[None, :] - at[:, None])
     w = np.where(d < 1, 1 - 2.5 * d**2 + 1.5 * d**3, 0.0)
     return (w @ values) / w.sum(axis=1)
 
 
-def scaled(profile: DataFrame, extent: int = 10, thr: float = 0.5, minp: int = 0, invert: bool = False) -> DataFrame:
-    """(image_id, ObjectNumber, channel, angle, values): each angle between the boundaries (or outside) on `extent` bins."""
-    at = _bounds(profile, thr, minp)
-    at = at.where(F.col("ring") > F.col("cb")) if invert else at.where((F.col("ring") > F.col("nb")) & (F.col("ring") <= F.col("cb")))
+def scaled(profile: DataFrame, extent: int = 10, invert: bool = False) -> DataFrame:
+    """(image_id, ObjectNumber, channel, angle, values): each angle's rings of the own cell (or those past them) on `extent` bins.
+
+    The rings go from the first to the last one with any pixel of the own cell; without one, it is the first ring alone. Up
+    to the last one the planes that say in any or the own cell or nucleus are set to 1.
+    """
+    keys = ["image_id", "ObjectNumber", "angle"]
+    some = F.when(F.col("value") > 0, F.col("ring"))
+    ends = profile.where("channel = 'own_cell'").groupBy(*keys).agg(F.coalesce(F.min(some), F.lit(0)).alias("lo"), F.coalesce(F.max(some), F.lit(0)).alias("hi"))
+    filled = F.col("channel").isin("any_cell", "own_cell", "any_nucleus", "own_nucleus") & (F.col("ring") <= F.col("hi"))
+    at = profile.join(ends, keys).withColumn("value", F.when(filled, 1.0).otherwise(F.col("value")))
+    at = at.where(F.col("ring") > F.col("hi")) if invert else at.where((F.col("ring") >= F.col("lo")) & (F.col("ring") <= F.col("hi")))
     lists = at.groupBy(*PROFILE, "angle").agg(F.array_sort(F.collect_list(F.struct("ring", "value"))).alias("p"))
     lists = profile.select(*PROFILE, "angle").distinct().join(lists, [*PROFILE, "angle"], "left")
 
