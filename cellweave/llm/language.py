@@ -1,8 +1,8 @@
 """Language ID by language-bitmask n-gram filters.
 
 For each language the n-grams that are typical of it are put into a Bloom filter. The filters of all languages are
-bit-sliced: slot s holds one word whose bit l says whether language l has set s. One lookup (the AND of the words at an
-n-gram's slots) returns every language that contains it. Per language the hits are counted over the whole text, the
+bit-sliced: slot s holds a bit for each language, 64 to a word, that says whether the language has set s. One lookup (the
+AND of the words at an n-gram's slots) returns every language that contains it. Per language the hits are counted over the whole text, the
 expected false positives are taken off, and the largest corrected share decides.
 """
 
@@ -23,7 +23,7 @@ GRAMS = (2, 3, 4)
 SLOTS = 1 << 17
 HASHES = 2
 SHARE, RATIO = 2e-5, 0.5  # an n-gram is a language's if it is this frequent in it, and this near to where it is most so
-LANGUAGES = 63  # bits in a word
+BITS = 64  # languages in a word; a slot has as many words as the languages need
 
 
 def _letters() -> np.ndarray:
@@ -76,23 +76,25 @@ def _slots(h: np.ndarray) -> list[np.ndarray]:
 class Filters:
     """The bit-sliced filters, the languages' names by bit, and each language's false-positive rate."""
 
-    def __init__(self, hashes: np.ndarray, masks: np.ndarray, names: list[str]):
-        self.names, self.words = names, np.zeros(SLOTS, np.uint64)
+    def __init__(self, hashes: np.ndarray, langs: np.ndarray, names: list[str]):
+        self.names, self.words = names, np.zeros((-(-len(names) // BITS), SLOTS), np.uint64)
         for s in _slots(hashes):
-            np.bitwise_or.at(self.words, s, masks)
-        bits = np.array([((self.words >> np.uint64(b)) & np.uint64(1)).mean() for b in range(len(names))])
+            np.bitwise_or.at(self.words, (langs // BITS, s), np.left_shift(np.uint64(1), (langs % BITS).astype(np.uint64)))
+        bits = np.array([((self.words[b // BITS] >> np.uint64(b % BITS)) & np.uint64(1)).mean() for b in range(len(names))])
         self.false = np.minimum(bits**HASHES, 0.9)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Names and scores; und and 0 for a text without a letter. No hit at all: the first name, 0."""
         h, row, some = grams(texts)
-        found = np.full(len(h), np.uint64(0xFFFFFFFFFFFFFFFF))
-        for s in _slots(h):
-            found &= self.words[s]
+        slots = _slots(h)
         total = np.maximum(np.bincount(row, minlength=len(texts)), 1).astype(float)
         share = np.empty((len(texts), len(self.names)))
         for b in range(len(self.names)):
-            hit = np.bincount(row, ((found >> np.uint64(b)) & np.uint64(1)).astype(float), minlength=len(texts))
+            if b % BITS == 0:
+                found = self.words[b // BITS][slots[0]]
+                for s in slots[1:]:
+                    found &= self.words[b // BITS][s]
+            hit = np.bincount(row, ((found >> np.uint64(b % BITS)) & np.uint64(1)).astype(float), minlength=len(texts))
             share[:, b] = np.maximum((hit / total - self.false[b]) / (1 - self.false[b]), 0)
         if not self.names:
             return ["und"] * len(texts), np.zeros(len(texts))
@@ -106,7 +108,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_c
     """Filters fitted on at most `rows` rows of each language, those with the smallest hash of their id, none held out.
 
     Counting is done in tasks; what comes to the driver is bounded by the n-grams that pass the frequency limit.
-    At most LANGUAGES languages are learnt: the most frequent ones of the sample.
+    Every language of the sample is learnt.
     """
     ids = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
     # row_number with a bound: Spark keeps only so many rows of a key before it shuffles
@@ -126,9 +128,9 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_c
     counted = texts.select("id", "text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).cache()
     try:
         totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        names = sorted(sorted(totals, key=lambda x: (-totals[x], x))[:LANGUAGES])
+        names = sorted(totals)
         size = F.create_map(*[F.lit(x) for k in names for x in (k, float(totals[k]))]) if names else F.lit(None).cast("map<string,double>")
-        got = counted.where(F.col("lang").isin(names)).select("lang", "gram", (F.col("n") / F.element_at(size, F.col("lang"))).alias("p")).where(F.col("p") >= SHARE).toArrow()
+        got = counted.select("lang", "gram", (F.col("n") / F.element_at(size, F.col("lang"))).alias("p")).where(F.col("p") >= SHARE).toArrow()
     finally:
         counted.unpersist()
     bit = {x: i for i, x in enumerate(names)}
@@ -138,7 +140,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_c
     most = np.zeros(len(u))
     np.maximum.at(most, at, p)
     ok = p >= RATIO * most[at]
-    return Filters(gram[ok], np.left_shift(np.uint64(1), lang[ok].astype(np.uint64)), names)
+    return Filters(gram[ok], lang[ok], names)
 
 
 def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
