@@ -1,9 +1,11 @@
 """Document fingerprints by Order MinHash, with column expressions only.
 
 The k-mers of a text are runs of WORDS words. Each gets the number of its earlier occurrences, so repeats count apart.
-The hashes of (k-mer, number) fall into BUCKETS ranges; in each range the two smallest are kept, put back into text order
-and hashed as a tuple. Two texts agree on a range when the same k-mers are selected and stand in the same order there, so
-agreement falls with edits that move text as well as with edits that replace it.
+There are BUCKETS sketches. Sketch b orders the hashes of (k-mer, number) from the start of the b-th of as many ranges on,
+around the end to the start again; of the whole text the two first in this order are put back into text order and hashed
+as a tuple. Long texts have two k-mers in each range; in short ones a sketch goes on to those of later ranges. Two texts
+agree on a sketch when the same k-mers are selected and stand in the same order there, so agreement falls with edits that
+move text as well as with edits that replace it.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ from pyspark.sql import functions as F
 from cellweave.llm.exprs import let
 
 WORDS = 3
-BUCKETS = 64  # ranges, by the top six bits of a hash
+BUCKETS = 64  # sketches and ranges, by the top six bits of a hash
 BLOCK_BITS = 10  # documents with the same id but for so many bits are one group when neighbours are looked up
+UPPER_BITS = 18  # block numbers with the same number but for so many bits are one group
 _WORD = r"[^\x20\x09-\x0D]{1,16}"  # longer words are cut, so that text without spaces has words as well
 
 
 def _top(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 58)
+    return F.shiftright(x, 58) + 32  # ascending as the signed hashes are
 
 
 def _occurrence(s: Column, bits: Column) -> Column:
@@ -46,27 +49,33 @@ def _kmers(words: Column, k: int) -> Column:
 
 
 def _pairs(s: Column, hashes: Column, mask: Column) -> Column:
-    """Of the sorted hashes with positions s: per range one long, the range and the hash of its two in text order."""
+    """Of the sorted hashes with positions s: per sketch one long, the sketch and the hash of its two in text order."""
+    # the two smallest of each range are enough to find the two that follow the start of any range
     kept = F.filter(s, lambda x, i: (i < 2) | (_top(F.get(s, F.greatest(i - 2, F.lit(0)))) != _top(x)))
 
     def tuples(sel: Column) -> Column:
+        last = _top(F.element_at(sel, -1)).cast("int")
+
         def one(x: Column, i: Column) -> Column:
-            before = (i > 0) & (_top(F.get(sel, F.greatest(i - 1, F.lit(0)))) == _top(x))
-            y = F.get(sel, i + 1)
-            both = y.isNotNull() & (_top(y) == _top(x))
+            top = _top(x).cast("int")
+            before = F.when(i == 0, F.lit(-1)).otherwise(_top(F.get(sel, F.greatest(i - 1, F.lit(0)))).cast("int"))
+            y = F.coalesce(F.get(sel, i + 1), F.get(sel, F.lit(0)))
             px, py = x.bitwiseAND(mask), y.bitwiseAND(mask)
             at = lambda p: F.get(hashes, p.cast("int"))
-            code = F.when(both, F.when(px < py, F.xxhash64(at(px), at(py))).otherwise(F.xxhash64(at(py), at(px)))).otherwise(F.xxhash64(at(px)))
-            packed = F.call_function("shiftleft", _top(x).cast("long"), F.lit(34)).bitwiseOR(code.bitwiseAND(F.lit((1 << 34) - 1)))
-            return F.when(~before, packed)
+            code = F.when(F.size(sel) == 1, F.xxhash64(at(px))).when(px < py, F.xxhash64(at(px), at(py))).otherwise(F.xxhash64(at(py), at(px)))
+            # the sketches that begin past the range before and up to x's own; the first one has those past the last range, too
+            own = F.sequence(before + 1, top)
+            sketches = F.when((i == 0) & (last < BUCKETS - 1), F.concat(own, F.sequence(F.least(last + 1, F.lit(BUCKETS - 1)), F.lit(BUCKETS - 1)))).otherwise(own)
+            packed = let(code.bitwiseAND(F.lit((1 << 34) - 1)), lambda c: F.transform(sketches, lambda r: F.call_function("shiftleft", r.cast("long"), F.lit(34)).bitwiseOR(c)))
+            return F.when(before < top, packed)
 
-        return F.array_sort(F.filter(F.transform(sel, one), lambda v: v.isNotNull()))
+        return F.array_sort(F.flatten(F.filter(F.transform(sel, one), lambda v: v.isNotNull())))
 
-    return let(kept, tuples)
+    return F.when(F.size(s) == 0, s).otherwise(let(kept, tuples))
 
 
 def fingerprint(text: Column, k: int = WORDS) -> Column:
-    """array<bigint>: for each range that a k-mer falls into, range << 34 | hash of the selected tuple, ascending.
+    """array<bigint>: for each sketch, its number << 34 | hash of the selected tuple, ascending.
 
     Equal texts have equal fingerprints. Fewer than k words are one k-mer; null, empty and blank texts have none.
     """
@@ -108,7 +117,7 @@ def fingerprint(text: Column, k: int = WORDS) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the ranges filled in either fingerprint on which both agree; 1 for two empty ones."""
+    """Share of the sketches of either fingerprint on which both agree; 1 for two empty ones."""
     ranges = lambda x: F.transform(x, lambda v: F.shiftright(v, 34))
     common = F.size(F.array_intersect(ranges(a), ranges(b)))
     filled = F.size(a) + F.size(b) - common
@@ -119,21 +128,30 @@ def printed(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda v: F.lpad(F.lower(F.hex(v)), 10, "0")), "")
 
 
+def _follows(values: DataFrame, bits: int = 64 - BLOCK_BITS) -> DataFrame:
+    """(v, next): the next larger of distinct values, the smallest for the largest. No window has over 2^UPPER_BITS rows, but for one of nulls."""
+    if bits <= UPPER_BITS:
+        return values.select("v", F.coalesce(F.lead("v").over(Window.orderBy("v")), F.min("v").over(Window.partitionBy())).alias("next"))
+    at = values.withColumn("u", F.shiftright("v", UPPER_BITS))
+    starts = at.groupBy("u").agg(F.min("v").alias("start"))
+    uppers = _follows(starts.select(F.col("u").alias("v")), bits - UPPER_BITS).withColumnRenamed("v", "u").withColumnRenamed("next", "next_u")
+    after = uppers.join(starts.withColumnRenamed("u", "next_u"), "next_u").select("u", "start")
+    inner = at.withColumn("inside", F.lead("v").over(Window.partitionBy("u").orderBy("v")))
+    return inner.join(after, "u").select("v", F.coalesce("inside", "start").alias("next"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (id, text, fp) with next_text and next_fp of the next id; the first follows the last.
 
     Neighbours are found within blocks of ids; a block's last row takes the first row of the next block that has any.
-    Only (block, smallest id) goes through the window over blocks, itself in blocks of blocks.
+    Only block numbers go through the windows over blocks, in blocks of blocks of blocks and so on.
     """
     block = F.coalesce(F.shiftright("id", BLOCK_BITS), F.lit(-(1 << 62)))
     docs = docs.withColumn("block", block)
     order = Window.partitionBy("block").orderBy("id", "text")
     inner = docs.withColumn("nxt", F.lead(F.struct("text", "fp")).over(order))
     firsts = docs.groupBy("block").agg(F.min(F.struct("id", "text")).alias("first"))
-    keys = docs.groupBy("block").agg(F.count(F.lit(1)).alias("n")).select("block", F.shiftright("block", BLOCK_BITS).alias("upper"))
-    uppers = keys.groupBy("upper").agg(F.min("block").alias("start"))
-    chain = uppers.select("upper", F.coalesce(F.lead("start").over(Window.orderBy("upper")), F.min("start").over(Window.partitionBy())).alias("after"))
-    follows = keys.join(chain, "upper").select("block", F.coalesce(F.lead("block").over(Window.partitionBy("upper").orderBy("block")), F.col("after")).alias("next_block"))
+    follows = _follows(docs.select("block").distinct().withColumnRenamed("block", "v")).select(F.col("v").alias("block"), F.col("next").alias("next_block"))
     heads = follows.join(firsts.withColumnRenamed("block", "next_block"), "next_block").select("block", F.col("first.text").alias("h_text"))
     heads = heads.withColumn("h_fp", fingerprint(F.col("h_text")))
     joined = inner.join(heads, "block", "left")
