@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted lists.
 
 The examples are a bounded sample of labelled rows. Their terms are words, and the first letters of words, that stand
-out in one of the two classes; TF-IDF vectors over these terms are stored as inverted lists cut into blocks of examples,
+out in label 1; how many of all documents have a term gives its IDF. TF-IDF vectors over these terms are stored as inverted lists cut into blocks of examples,
 each with its largest weight per term. A text is held against a block only if the sum of those maxima can still reach
 the k-th best cosine so far, so the k neighbours are exact. Votes weighted by cosine give a raw score; a logistic curve
 fitted on the examples' own votes (each left out of its own neighbours) turns it into a probability.
@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,9 @@ def _forms(word: str) -> list[str]:
 class Index:
     """Examples' TF-IDF vectors over chosen terms as block-max inverted lists."""
 
-    def __init__(self, bags: list[Counter], labels: np.ndarray, ids: np.ndarray):
+    @staticmethod
+    def chosen(bags: list[Counter], labels: np.ndarray) -> tuple[list[str], Counter]:
+        """The terms of the index, and how many examples have each form."""
         n, pos = len(bags), int(labels.sum())
         df, hit = Counter(), Counter()
         for bag, y in zip(bags, labels):
@@ -58,9 +60,15 @@ class Index:
                 g = _evidence(a, pos, b, n - pos)
                 if g > LEAST_EVIDENCE:
                     strength[term] = g
-        chosen = sorted(strength, key=lambda x: (-strength[x], x))[:TERMS]
-        self.term = {t: i for i, t in enumerate(sorted(chosen))}
-        self.idf = np.array([math.log((n + 1) / (df[t] + 0.5)) for t in self.term], np.float64)
+        return sorted(sorted(strength, key=lambda x: (-strength[x], x))[:TERMS]), df
+
+    def __init__(self, bags: list[Counter], labels: np.ndarray, ids: np.ndarray, frequency: tuple[int, dict[str, int]] | None = None):
+        """frequency: the number of documents and of those that have a term; where it is not given, the examples are all documents."""
+        n, pos = len(bags), int(labels.sum())
+        chosen, df = self.chosen(bags, labels)
+        self.term = {t: i for i, t in enumerate(chosen)}
+        n_docs, having = frequency or (n, df)
+        self.idf = np.array([math.log((n_docs + 1) / (having.get(t, 0) + 0.5)) for t in self.term], np.float64)
         keep = [i for i, bag in enumerate(bags) if bag.keys() & self.term.keys()]
         self.labels, self.ids = labels[keep].astype(np.float64), ids[keep]
         self.base = pos / max(n, 1)
@@ -140,8 +148,40 @@ def bag_of(text: str | None) -> Counter:
     return bag
 
 
+def known_forms(terms: Iterable[str], texts: Iterable[str | None]) -> Iterator[Counter]:
+    """The bag of each text, of the given terms only."""
+    known: dict[str, tuple[str, ...]] = {}
+    for text in texts:
+        bag: Counter = Counter()
+        for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            forms = known.get(word)
+            if forms is None:
+                if len(known) > 300_000:
+                    known.clear()
+                forms = known[word] = tuple(f for f in _forms(word) if f in terms)
+            for form in forms:
+                bag[form] += n
+        yield bag
+
+
+def document_frequency(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[int, dict[str, int]]:
+    """The number of all documents, and of those that have each of the terms (a bounded list): counted in tasks."""
+    wanted = set(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, Counter()
+        for batch in batches:
+            n += batch.num_rows
+            for bag in known_forms(wanted, (t.as_py() for t in batch.column(0))) if wanted else ():
+                total.update(bag.keys())
+        yield pa.RecordBatch.from_arrays([pa.array([None, *total], pa.string()), pa.array([n, *total.values()], pa.int64())], names=["t", "n"])
+
+    got = {r["t"]: r["n"] for r in docs.select(text_col).mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    return got.pop(None, 0), got
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Index:
-    """The index over at most `rows` labelled examples that are not held out; their bags are made in tasks."""
+    """The index over at most `rows` labelled examples that are not held out, IDF from all documents; bags are made in tasks."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
         made.unpersist()
     got = got.sort_by("id")
     found = [Counter(dict(zip(t or (), c or ()))) for t, c in zip(got.column("t").to_pylist(), got.column("c").to_pylist())]
-    return Index(found, got.column("label").to_numpy().astype(np.int64), got.column("id").to_numpy())
+    y = got.column("label").to_numpy().astype(np.int64)
+    return Index(found, y, got.column("id").to_numpy(), document_frequency(docs, Index.chosen(found, y)[0]))
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", flag: float = 0.3) -> DataFrame:
@@ -176,19 +217,9 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idx = shared.value
-        known: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             scores, near, cosines = [], [], []
-            for text in batch.column(1):
-                bag: Counter = Counter()
-                for word, n in Counter(_WORD.findall((text.as_py() or "").lower())).items():
-                    forms = known.get(word)
-                    if forms is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        forms = known[word] = tuple(f for f in _forms(word) if f in idx.term)
-                    for form in forms:
-                        bag[form] += n
+            for bag in known_forms(idx.term, (t.as_py() for t in batch.column(1))):
                 s, i, c = idx.score(bag)
                 scores.append(s)
                 near.append(idx.ids[i].tolist())
