@@ -187,37 +187,37 @@ def g4(spark, d):
     return hotspot.g_radius(fx.pixels(spark, d), 5).drop("value")
 
 
-_SMALL = "g7_shuffle_permutation g8_resampled_permutation g10_disc_permutation g11_radii_mean g11_radii_min g13_h_permutation".split()
+_PERMUTED = "g7_shuffle_permutation g8_resampled_permutation g10_disc_permutation g11_radii_mean g11_radii_min g13_h_permutation".split()
 
 
-@query(_SMALL[0])
+@query(_PERMUTED[0])
 def g7(spark, d):
-    return hotspot.g_permutation(fx.pixels(spark, d), 49)
+    return hotspot.g_permutation(fx.pixels(spark, d))
 
 
-@query(_SMALL[1])
+@query(_PERMUTED[1])
 def g8(spark, d):
-    return hotspot.g_permutation(fx.pixels(spark, d), 49, whole_image=False)
+    return hotspot.g_permutation(fx.pixels(spark, d), whole_image=False)
 
 
-@query(_SMALL[2])
+@query(_PERMUTED[2])
 def g10(spark, d):
-    return hotspot.g_disc_permutation(fx.pixels(spark, d), 4, 19)
+    return hotspot.g_disc_permutation(fx.pixels(spark, d), 50)
 
 
-@query(_SMALL[3])
+@query(_PERMUTED[3])
 def g11(spark, d):
-    return hotspot.g_radii(fx.pixels(spark, d), (3, -1), 19)
+    return hotspot.g_radii(fx.pixels(spark, d))
 
 
-@query(_SMALL[4])
+@query(_PERMUTED[4])
 def g11_min(spark, d):
-    return hotspot.g_radii(fx.pixels(spark, d), (3, -1), 19, "min")
+    return hotspot.g_radii(fx.pixels(spark, d), merge="min")
 
 
-@query(_SMALL[5])
+@query(_PERMUTED[5])
 def g13(spark, d):
-    return hotspot.h_permutation(fx.pixels(spark, d), 49)
+    return hotspot.h_permutation(fx.pixels(spark, d))
 
 
 @query("g12_heteroscedasticity", f"""w AS (SELECT 1), {_near('px', 'value', 'nb')}, rr AS (SELECT image_id, channel, row, col, pow(abs(value - xns / 9.0), 2.0) AS r FROM px JOIN nb USING (image_id, channel, row, col)), {_near('rr', 'r', 'rn')},
@@ -297,7 +297,7 @@ def c4(spark, d):
 
 @query("c5_bootstrap_share")
 def c5(spark, d):
-    return scores.bootstrap_share(fx.areas(spark, d), 200)
+    return scores.bootstrap_share(fx.areas(spark, d))
 
 
 def _bands(spark, d):
@@ -323,7 +323,7 @@ def p9(spark, d):
 
 @query("c6_marker_location")
 def c6(spark, d):
-    return scores.marker_location(_bands(spark, d), n_bootstrap=200)
+    return scores.marker_location(_bands(spark, d))
 
 
 @query("a9_features_job", f"w AS (SELECT 1), {_EDGE}, {_FEATURES} SELECT {KEYS}, {_FEATURE_COLUMNS} FROM fe LEFT JOIN iq USING (image_id, {O}, channel)")
@@ -339,7 +339,7 @@ def a10(spark, d):
 
 @query("c7_marker_location_job")
 def c7(spark, d):
-    return workloads.marker_location(fx.pixels(spark, d), fx.mask(spark, d), n_bootstrap=200)
+    return workloads.marker_location(fx.pixels(spark, d), fx.mask(spark, d))
 
 
 # --- polar profiles ----------------------------------------------------------------------------------------------------
@@ -518,7 +518,7 @@ def b12(spark, d):
 
 @query("w2_boundary_what_if_job")
 def w2(spark, d):
-    return workloads.boundary_what_if(fx.pixels(spark, d), fx.mask(spark, d), fx.mask_nuc(spark, d), rmax=6)
+    return workloads.boundary_what_if(fx.pixels(spark, d), fx.mask(spark, d), fx.mask_nuc(spark, d))
 
 
 # --- affine jitter -----------------------------------------------------------------------------------------------------
@@ -554,9 +554,9 @@ def t4(spark, d):
 
 @query("t6_affine_medians")
 def t6(spark, d):
-    return affine.affine_medians(fx.pixels(spark, d), fx.mask(spark, d), 5)
+    return affine.affine_medians(fx.pixels(spark, d), fx.mask(spark, d))
 
 
 @query("t7_direct_medians")
 def t7(spark, d):
-    return affine.direct_affine_medians(fx.pixels(spark, d), fx.mask(spark, d), affine.transform_grid(spark, 2))
+    return affine.direct_affine_medians(fx.pixels(spark, d), fx.mask(spark, d), affine.transform_grid(spark))
