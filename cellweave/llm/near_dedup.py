@@ -4,14 +4,16 @@
    signature, and an empty bin takes the value of the first filled bin in its own fixed random order of bins.
 2. Documents with equal shingle sets become one class before any bucket is made, so a huge group of copies is one row.
 3. Bands of the signature are bucket keys. The first candidates are stars: each member of a bucket with its smallest id.
-   They are confirmed on the full shingle sets.
+   They are confirmed on the full shingle sets, which are made once, of the members of buckets.
 4. Members of one bucket that are still in different components are compared as well, so that no link that a bucket
-   shows is lost: block by block inside tasks that give back only links. Members that the stars have connected need no
-   more comparisons.
+   shows is lost. Buckets with equal members count once. The members outside a bucket's largest component are held
+   against one another and against that component, block by block inside tasks that give back only which components
+   hang together. Members that the stars have connected need no more comparisons.
 
 The number of bands follows from the threshold: a pair at the threshold misses all buckets with probability under 1e-8.
 """
 
+
 from __future__ import annotations
 
 import math
@@ -25,13 +27,14 @@ from pyspark.sql import functions as F
 
 from cellweave.llm import textkit as tk
 from cellweave.llm.graph import components
+from cellweave.llm.groups import each_group
 from cellweave.llm.store import stored
 
 ROWS = 4  # bins in a band
 MISS = 1e-8
-BLOCK = 256  # documents in a block, of which two meet in a group
+BLOCK = 256  # documents in a block, about, of which two meet in a group
+BLOCK_ITEMS = 1 << 20  # shingles in a block, about
 STEP = 4096  # shingles of one matrix product
-FEW = 1 << 20  # ids that are broadcast to filter texts, at most: about 64 MB in a task's memory
 
 
 def bands_for(threshold: float) -> int:
@@ -95,100 +98,119 @@ def _sets(k: int):
     return run
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, items) of the documents in ids (stored, distinct). Texts are shuffled only where the ids are more than FEW."""
-    few = ids.count() <= FEW
-    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_sets(k), "id long, items array<long>")
-
-
 def _alike(n: Column, m: Column, t: Fraction) -> Column:
     """Sets of these sizes can reach the threshold."""
     return F.least(n, m) * t.denominator >= F.greatest(n, m) * t.numerator
 
 
-def _confirmed(cands: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
+def _confirmed(cands: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """The candidate pairs (a, b) whose full shingle sets reach the threshold, exactly in whole numbers."""
-    needed = stored(cands.select(F.col("a").alias("id")).unionByName(cands.select(F.col("b").alias("id"))).distinct(), "needed")
-    sets = stored(_sets_of(docs, needed, k), "sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return cands.join(left, "a").join(right, "b").where(both * t.denominator >= (F.size("x") + F.size("y") - both) * t.numerator).select("a", "b")
 
 
 def _linked(t: Fraction):
-    """Links between the documents of one pair of blocks: counts of common shingles by products of 0/1 blocks."""
+    """Which components hang together by links within one group of documents: a spanning forest over the components.
+
+    Common shingles are counted by products of 0/1 blocks.
+    """
 
-    def run(block: pa.Table) -> pa.Table:
-        ids, comp, side = (block.column(c).to_numpy() for c in ("id", "comp", "side"))
+    def group(block: pa.Table) -> pa.RecordBatch | None:
+        comp = block.column("comp").to_numpy()
+        names, own = np.unique(comp, return_inverse=True)
+        if len(names) < 2:
+            return None
         items = block.column("items").combine_chunks()
         size = items.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         _, code, docs = np.unique(items.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        row, often = np.repeat(np.arange(len(ids)), size), docs[code] > 1
+        row, often = np.repeat(np.arange(len(comp)), size), docs[code] > 1
         code, row = np.unique(code[often], return_inverse=True)[1], row[often]
         order = np.argsort(code, kind="stable")
         code, row = code[order], row[order]
-        both = np.zeros((len(ids), len(ids)), np.float32)
+        both = np.zeros((len(comp), len(comp)), np.float32)
         for at in range(0, int(code[-1]) + 1 if len(code) else 0, STEP):
             lo, hi = np.searchsorted(code, [at, at + STEP])
-            part = np.zeros((len(ids), STEP), np.float32)
+            part = np.zeros((len(comp), STEP), np.float32)
             part[row[lo:hi], code[lo:hi] - at] = 1
             both += part @ part.T
         common = both.astype(np.int64)
-        ok = (common * t.denominator >= (size[:, None] + size[None, :] - common) * t.numerator) & (comp[:, None] != comp[None, :]) & (ids[:, None] > ids[None, :])
-        if len(np.unique(side)) > 1:
-            ok &= side[:, None] != side[None, :]
-        x, y = np.nonzero(ok)
-        return pa.table({"a": ids[x], "b": ids[y]})
-
-    return run
-
-
-def _across(rest: DataFrame, shared: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """The links between different components among documents whose buckets, taken together, hang together.
-
-    Such a cluster is cut into blocks; every pair of blocks is one group of bounded size, and only links leave it.
+        ok = (common * t.denominator >= (size[:, None] + size[None, :] - common) * t.numerator) & (comp[:, None] != comp[None, :])
+        x, y = own[np.stack(np.nonzero(ok))]
+        root = np.arange(len(names))  # the smallest component reached; names are in ascending order
+        while len(x):
+            least = root.copy()
+            np.minimum.at(least, x, root[y])
+            if (least == root).all():
+                break
+            root = least
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], names=["a", "b"])
+
+    return group
+
+
+def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, comp, n) of the buckets whose members are in several components, each set of members once."""
+    at = stored(shared.select("key", "id", "n").join(found, "id", "left").select("key", "id", "n", F.coalesce("component_id", "id").alias("comp")), "members")
+    mark = lambda salt: F.bit_xor(F.xxhash64("id", F.lit(salt))).alias(f"m{salt}")
+    keys = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), mark(1), mark(2)).where("lo < hi")
+    keys = keys.groupBy("size", "lo", "hi", "m1", "m2").agg(F.min("key").alias("key"))
+    return at.join(keys.select("key"), "key", "left_semi")
+
+
+def _across(open_: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b): components that hang together by links between members of one open bucket.
+
+    The largest component of a bucket is cut into blocks, and the other members into blocks. Each block of these meets
+    each one of both kinds in a group of bounded size; members of the largest component never meet one another.
     """
-    cluster = components(shared.select("id", F.col("c.id").alias("centre")), "id", "centre").withColumnRenamed("component_id", "cluster")
-    rows = stored(rest.join(cluster, "id"), "clusters")
-    many = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("cluster", "blocks")
-    dealt = rows.join(many, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    sets = _sets_of(docs, stored(dealt.select("id"), "needed"), k)
-    pairs = (
-        dealt.join(sets, "id")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "comp", F.col("block").alias("side"), "items")
-    )
-    return pairs.groupBy("cluster", "x", "y").applyInArrow(_linked(t), "a long, b long")
+    parts = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    blocks = lambda c, s: F.ceil(F.greatest(c / F.lit(BLOCK), s / F.lit(BLOCK_ITEMS))).cast("int")
+    plan = parts.groupBy("key").agg(F.max(F.struct("c", "s", "comp")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    plan = plan.select("key", F.col("top.comp").alias("top"), blocks(F.col("top.c"), F.col("top.s")).alias("tops"), blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("rests"))
+    dealt = open_.join(plan, "key").withColumn("side", F.col("comp") == F.col("top"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("side"), F.col("tops")).otherwise(F.col("rests"))).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    meets = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    # x: a block of the others; y: a block of the largest component from 0 on, or another block of the others from -1 down
+    own = F.col("block")
+    with_top = F.transform(every(F.col("tops")), lambda i: meets(own, i))
+    with_rest = F.when(F.col("rests") > 1, F.transform(every(F.col("rests")), lambda i: meets(F.least(own, i), -1 - F.greatest(own, i)))).otherwise(F.array().cast("array<struct<x:int,y:int>>"))
+    groups = F.when(F.col("side"), F.transform(every(F.col("rests")), lambda i: meets(i, own))).otherwise(F.concat(with_top, with_rest))
+    dealt = dealt.select("key", "id", "comp", F.explode(groups).alias("g")).select("key", "g.x", "g.y", "id", "comp")
+    full = dealt.join(sets, "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return full.select("key", "x", "y", "comp", "items").mapInArrow(each_group(("key", "x", "y"), _linked(t)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:
     """(id_col, n_shingles, component_id, kept) of every document.
 
     A document's set: the distinct shingles of so many words, A-Z lower-cased, over the whole text. Null or empty texts
-    and texts of white space have an empty set and are linked with nothing. Ids are unique and not null; rows with a null
-    id are left out of the links and returned with themselves (component_id null, kept true). Other columns are ignored.
+    and texts of white space have an empty set and are linked with nothing. Ids are unique; where one repeats, every
+    row still gets a component, and rows of equal sets the same one. Rows with a null id are left out of the links and
+    returned with themselves (component_id null, kept true). No documents: no rows. Other columns are ignored.
     """
     t = Fraction(threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = stored(docs.mapInArrow(_signed(words, bands_for(float(t))), "id long, n long, sig_a long, sig_b long, bands array<long>"), "signed")
     real = signed.where("n > 0 and id is not null")
     classes = stored(real.groupBy("sig_a", "sig_b", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = real.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    reps = real.join(classes.withColumnRenamed("rep", "id"), ["id", "sig_a", "sig_b", "n"], "left_semi")
     members = reps.select("id", "n", F.explode("bands").alias("key"))
     centres = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(members.join(centres, "key").select("key", "id", "n", "c"), "buckets")
-    stars = stored(shared.where((F.col("id") != F.col("c.id")) & _alike(F.col("n"), F.col("c.n"), t)).select(F.col("id").alias("a"), F.col("c.id").alias("b")).distinct(), "stars")
-    links = stored(_confirmed(stars, docs, words, t), "links")
-    found = components(links, "a", "b")
-
-    at = shared.join(found, "id", "left").select("key", "id", "n", F.coalesce("component_id", "id").alias("comp"))
-    open_keys = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = stored(at.join(open_keys, "key", "left_semi").select("id", "comp").distinct(), "open")
-    if not rest.isEmpty():
-        links = stored(links.unionByName(_across(rest, shared, docs, words, t)), "links")
-        found = components(links, "a", "b")
-
-    of_rep = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("sig_a", "sig_b", "n", F.coalesce("component_id", "rep").alias("component_id"))
+    # texts are dealt out by id once, whatever the number of ids that are wanted
+    wanted = shared.select("id").distinct()
+    sets = stored(docs.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_sets(words), "id long, items array<long>"), "sets")
+    stars = shared.where((F.col("id") != F.col("c.id")) & _alike(F.col("n"), F.col("c.n"), t)).select(F.col("id").alias("a"), F.col("c.id").alias("b")).distinct()
+    found = stored(components(_confirmed(stars, sets, t), "a", "b"), "components")
+    more = components(_across(_open(shared, found), sets, t), "a", "b")
+    of = found.withColumnRenamed("component_id", "comp").join(more.withColumnRenamed("id", "comp"), "comp", "left").select("id", F.coalesce("component_id", "comp").alias("component_id"))
+    # components of one member are in `more` alone
+    of = of.unionByName(more.join(found.select("id"), "id", "left_anti"))
+
+    of_rep = classes.join(of.withColumnRenamed("id", "rep"), "rep", "left").select("sig_a", "sig_b", "n", F.coalesce("component_id", "rep").alias("component_id"))
     joined = signed.select("id", "n", "sig_a", "sig_b").join(of_rep, ["sig_a", "sig_b", "n"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
+    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component_id", "id")).otherwise(F.col("id"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (component.isNull() | (component == F.col("id"))).alias("kept"))
