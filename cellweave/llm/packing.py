@@ -3,14 +3,17 @@
 1. Tasks turn whole texts into token ids and cut them: a document over the capacity gives full pieces, of which the
    first may be shorter. Full pieces are sequences of their own; all others are items to pack.
 2. Items are dealt by hash into groups of bounded size. Several islands work on each group from different seeds. A
-   solution is a list of bins. Crossover injects the best-filled bins of one parent into the other, drops the bins that
-   hold the same items, and puts displaced items back by best fit (after trying to swap pairs into gaps).
+   solution is a list of bins. Crossover injects the best-filled bins of one parent whole into the other, drops the bins
+   that hold the same items, opens the bins with room left, and puts all displaced items back by best fit: room after
+   room takes the one or two items that leave least of it, exact fits first.
 3. After each epoch the best solution of a group over its islands migrates to all of them; the last epoch's is the result.
+   A group stops early where it has reached a lower bound of the bins that it needs.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -26,9 +29,11 @@ from cellweave.llm import textkit as tk
 from cellweave.llm.store import stored
 
 CAPACITY, END = 1024, 2
-GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 2, 4, 4
+GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 2, 16, 6
 #: Fixed: how the byte-level vocabulary cuts a text into words before it merges bytes.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space of a length that the pattern's look-ahead cannot step back over (Unicode's White_Space, fixed).
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{65536,}")
 
 
 def _byte_of() -> dict[str, int]:
@@ -39,11 +44,11 @@ def _byte_of() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def encoding(path: str) -> tiktoken.Encoding:
+def encoding(path: str) -> tuple[tiktoken.Encoding, tiktoken.Encoding]:
     """The byte-level vocabulary of a tokenizer file, whose ids are the order of its merges, once in a worker.
 
     It gives the ids of the file's own tokenizer (held against it in the tests) in half the time, and keeps no cache of
-    words that grows with the corpus.
+    words that grows with the corpus. The second encoding takes its whole text as one word.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -52,13 +57,23 @@ def encoding(path: str) -> tiktoken.Encoding:
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     byte = _byte_of()
     ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding(path, pat_str=_WORDS, mergeable_ranks=ranks, special_tokens=special)
+    return tuple(tiktoken.Encoding(f"{path} {name}", pat_str=x, mergeable_ranks=ranks, special_tokens=special) for name, x in (("words", _WORDS), ("whole", r"[\s\S]+")))
 
 
 def encode(text: str | None, path: str) -> bytes:
-    """Ids of a whole text as little-endian 32-bit bytes, ended by END; special tokens in the text are such tokens."""
-    ids = encoding(path).encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes() if text else b""
-    return ids + END.to_bytes(4, "little")
+    """Ids of a whole text as little-endian 32-bit bytes, ended by END; special tokens in the text are such tokens.
+
+    White space is one word but for the last character before other text. A very long run is handed over as that word,
+    and the texts before and after it apart; no other word looks beyond its end.
+    """
+    by_word, whole = encoding(path)
+    ids = lambda e, x: e.encode_to_numpy(x, allowed_special="all").astype("<u4", copy=False).tobytes() if x else b""
+    out, at = [], 0
+    for run in _LONG_SPACE.finditer(text) if text and len(text) >= 65536 else ():
+        end = run.end() - (run.end() < len(text))
+        out += [ids(by_word, text[at : run.start()]), ids(whole, text[run.start() : end])]
+        at = end
+    return b"".join(out) + ids(by_word, text[at:] if text and at else text) + END.to_bytes(4, "little")
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,53 +123,119 @@ class Bins:
                 insort(self.rooms, (room - n, k))
 
 
-def _fitness(lengths: list[int], bins: list[list[int]]) -> tuple[int, float]:
-    """Fewer bins are better; among as many, fuller ones."""
-    return len(bins), -sum((sum(lengths[i] for i in b) / CAPACITY) ** 2 for b in bins)
-
-
-def _cross(lengths: list[int], a: list[list[int]], b: list[list[int]], rng: np.random.Generator) -> list[list[int]]:
-    """b with some of a's best-filled bins injected; bins that held their items go, displaced items are put back."""
-    fill = np.array([sum(lengths[i] for i in x) for x in a])
-    best = np.argsort(-(fill + rng.random(len(a)) * 8))[: max(1, int(len(a) * rng.uniform(0.4, 0.8)))]
-    injected = [a[k] for k in best]
-    taken = {i for x in injected for i in x}
-    kept, loose = [], []
-    for x in b:
-        if taken.isdisjoint(x):
-            kept.append(x)
-        else:
-            loose += [i for i in x if i not in taken]
-    # the worst-filled bins are opened as well, so that best fit has something to choose from
-    kept.sort(key=lambda x: -sum(lengths[i] for i in x))
-    cut = int(len(kept) * rng.uniform(0.7, 0.95))
-    out = Bins(lengths, injected + kept[:cut])
-    out.put(loose + [i for x in kept[cut:] for i in x])
-    return [x for x in out.bins if x]
+class Pool:
+    """Displaced items by length, from which rooms take what leaves least of them."""
+
+    def __init__(self, lengths: np.ndarray, items: np.ndarray):
+        self.items = items[np.argsort(lengths[items], kind="stable")]
+        self.count = np.bincount(lengths[items], minlength=CAPACITY + 1)
+        self.first = np.cumsum(self.count) - self.count
+        self.left = len(items)
+
+    def take(self, n: int) -> int:
+        self.count[n] -= 1
+        self.left -= 1
+        return int(self.items[self.first[n] + self.count[n]])
+
+    def top(self, room: int) -> int:
+        """The largest length that fits, 0 if none does."""
+        found = np.flatnonzero(self.count[: room + 1])
+        return int(found[-1]) if len(found) else 0
+
+    def fill(self, room: int, rng: np.random.Generator | None) -> list[int]:
+        """Items for a room: one that fits exactly, or two that do, or the longest and so on with the room it leaves."""
+        out = []
+        while room > 0 and self.left:
+            if self.count[room]:
+                out.append(self.take(room))
+                break
+            has = self.count[1:room] > 0
+            both = np.flatnonzero(has & has[::-1]) + 1
+            both = both[len(both) // 2 :]  # the longer of each two
+            if len(both) and 2 * both[0] == room and self.count[both[0]] < 2:
+                both = both[1:]
+            if len(both):
+                n = int(both[-1 if rng is None else int(rng.integers(len(both)))])
+                out += [self.take(n), self.take(room - n)]
+                break
+            n = self.top(room)
+            if not n:
+                break
+            out.append(self.take(n))
+            room -= n
+        return out
+
+    def bins(self, rng: np.random.Generator | None = None) -> list[list[int]]:
+        """All items in new bins, each begun with the longest item left."""
+        out = []
+        while self.left:
+            n = self.top(CAPACITY)
+            out.append([self.take(n), *self.fill(CAPACITY - n, rng)])
+        return out
+
+
+def best_fit(lengths: np.ndarray) -> list[list[int]]:
+    """Plain best fit, the longest item first."""
+    out = Bins(lengths.tolist())
+    out.put(list(range(len(lengths))))
+    return out.bins
+
+
+def _fills(lengths: np.ndarray, bins: list[list[int]]) -> np.ndarray:
+    size = np.array([len(b) for b in bins])
+    return np.add.reduceat(lengths[np.concatenate(bins).astype(np.int64)], np.cumsum(size) - size) if len(bins) else np.zeros(0, np.int64)
+
+
+def _fitness(lengths: np.ndarray, bins: list[list[int]]) -> tuple[int, float]:
+    """Fewer bins are better; among as many, those with fuller bins and so more room in one place."""
+    return len(bins), -float(((_fills(lengths, bins) / CAPACITY) ** 2).sum())
+
+
+def _cross(lengths: np.ndarray, a: list[list[int]], b: list[list[int]], rng: np.random.Generator) -> list[list[int]]:
+    """b with some of a's best-filled bins injected whole; bins that hold their items go, displaced items are put back."""
+    fill = _fills(lengths, a)
+    best = np.argsort(-(fill + rng.random(len(a)) * 8))[: max(1, int(len(a) * rng.uniform(0.3, 0.7)))]
+    injected = [a[k] for k in best if fill[k] == CAPACITY or rng.random() < 0.5]
+    taken = np.zeros(len(lengths), bool)
+    taken[[i for x in injected for i in x]] = True
+    # bins with room left are opened as well, and some full ones, so that best fit has something to choose from
+    again = rng.uniform(0.02, 0.3)
+    kept = [x for x, f in zip(b, _fills(lengths, b)) if f == CAPACITY and not taken[x].any() and rng.random() >= again]
+    taken[[i for x in kept for i in x]] = True
+    return injected + kept + Pool(lengths, np.flatnonzero(~taken)).bins(rng)
+
+
+def bound(lengths: np.ndarray) -> int:
+    """Bins that any packing needs: for each small length k, items over half a bin have one each, those over CAPACITY - k
+    alone, and the items from k to half a bin need what room these leave, or more bins."""
+    most = np.bincount(lengths, minlength=CAPACITY + 1).astype(np.int64)
+    n, s = np.cumsum(most), np.cumsum(most * np.arange(CAPACITY + 1))  # items and tokens of lengths up to the index
+    half, k = CAPACITY // 2, np.arange(1, CAPACITY // 2 + 1)
+    large, beside = n[-1] - n[half], n[CAPACITY - k] - n[half]
+    room = beside * CAPACITY - (s[CAPACITY - k] - s[half])
+    more = -((s[half] - s[k - 1] - room) // -CAPACITY)
+    return int((large + np.maximum(more, 0)).max())
 
 
 def evolve(lengths: list[int], start: list[list[int]], seed: int) -> list[list[int]]:
     """The best packing that one island finds in one epoch; start: the migrated solution, empty at first."""
+    lengths = np.asarray(lengths, np.int64)
     rng = np.random.default_rng(seed)
-    least = -(-sum(lengths) // CAPACITY)
-    everyone = list(range(len(lengths)))
-    first = Bins(lengths)
-    first.put(everyone)
-    people = [start or first.bins, first.bins]
-    while len(people) < POPULATION and len(people[0]) > least:
-        part = Bins(lengths)  # some items in random order, the rest by size
-        held = rng.random(len(lengths)) < 0.15
-        for i in rng.permutation(np.flatnonzero(held)):
-            part.put([int(i)])
-        part.put([i for i in everyone if not held[i]])
-        people.append(part.bins)
+    least = bound(lengths)
+    rank = lambda x: _fitness(lengths, x)
+    people = [start] if start else [best_fit(lengths)]
+    if len(people[0]) <= least:
+        return people[0]
+    people.append(Pool(lengths, np.arange(len(lengths))).bins())
+    while len(people) < POPULATION:
+        people.append(Pool(lengths, np.arange(len(lengths))).bins(rng))
     for _ in range(GENERATIONS):
-        people.sort(key=lambda x: _fitness(lengths, x))
+        people.sort(key=rank)
         if len(people[0]) <= least:
             break
         mate = int(rng.integers(1, len(people)))
-        people[-1] = min((_cross(lengths, people[0], people[mate], rng), _cross(lengths, people[mate], people[0], rng)), key=lambda x: _fitness(lengths, x))
-    return min(people, key=lambda x: _fitness(lengths, x))
+        people[-1] = min((_cross(lengths, people[0], people[mate], rng), _cross(lengths, people[mate], people[0], rng)), key=rank)
+    return min(people, key=rank)
 
 
 def _epoch(epoch: int):
@@ -169,7 +250,7 @@ def _epoch(epoch: int):
         of = np.empty(len(lengths), np.int64)
         for k, x in enumerate(bins):
             of[x] = k
-        size, fill = _fitness(lengths, bins)
+        size, fill = _fitness(np.asarray(lengths), bins)
         n = len(lengths)
         return pa.table({"grp": block.column("grp"), "island": block.column("island"), "row": block.column("row"), "length": block.column("length"), "bin": of, "bins": np.full(n, size), "fill": np.full(n, fill)})
 
