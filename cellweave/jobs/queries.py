@@ -207,7 +207,7 @@ def g10(spark, d):
 
 @query(_PERMUTED[3])
 def g11(spark, d):
-    return hotspot.g_radii(fx.pixels(spark, d))
+    return hotspot.g_radii(fx.pixels(spark, d), merge="mean")
 
 
 @query(_PERMUTED[4])
@@ -326,10 +326,19 @@ def c6(spark, d):
     return scores.marker_location(_bands(spark, d))
 
 
-@query("a9_features_job", f"w AS (SELECT 1), {_EDGE}, {_FEATURES} SELECT {KEYS}, {_FEATURE_COLUMNS} FROM fe LEFT JOIN iq USING (image_id, {O}, channel)")
+def _adjusted(p: str, name: str) -> str:
+    """CTE: p of gp, adjusted within image columns."""
+    return f"""{name}r AS (SELECT image_id, channel, row, col, p, count(p) OVER (PARTITION BY image_id, channel, col) AS m, count(p) OVER (PARTITION BY image_id, channel, col ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i FROM (SELECT *, {p} AS p FROM g1 WHERE g IS NOT NULL)),
+{name} AS (SELECT image_id, channel, row, col, least(1.0, min(p * m / i) OVER (PARTITION BY image_id, channel, col ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS value FROM {name}r)"""
+
+
+_PLANES = f"""{_near('px', 'value', 'nb')}, {_g(True, True)}, {_adjusted(f'2 * (1 - {phi_sql("abs(g)")})', 'fb')}, {_adjusted(f'1 - {phi_sql("g")}', 'fh')},
+pl AS (SELECT image_id, channel, row, col, value FROM px UNION ALL SELECT image_id, channel || '_GP', row, col, value FROM fb UNION ALL SELECT image_id, channel || '_GPhot', row, col, value FROM fh)"""
+
+
+@query("a9_features_job", f"w AS (SELECT 1), {_PLANES}, {_EDGE.replace('FROM px JOIN pe', 'FROM pl JOIN pe')}, {_FEATURES} SELECT {KEYS}, {_FEATURE_COLUMNS} FROM fe LEFT JOIN iq USING (image_id, {O}, channel)")
 def a9(spark, d):
-    f = workloads.calculate_features(fx.pixels(spark, d), fx.mask(spark, d))
-    return f.where(~F.col("channel").rlike("_GP"))
+    return workloads.calculate_features(fx.pixels(spark, d), fx.mask(spark, d))
 
 
 @query("a10_scored_features_job")
@@ -370,7 +379,7 @@ def r4(spark, d):
 
 
 def _edge_of(plane: str, name: str) -> str:
-    return f"""{name}0 AS (SELECT image_id, {O}, angle, ring, value >= 0.5 AS v, lead(value >= 0.5) OVER (PARTITION BY image_id, {O}, angle ORDER BY ring) AS nx FROM rp WHERE channel = '{plane}'),
+    return f"""{name}0 AS (SELECT image_id, {O}, angle, ring, value >= 1.0 AS v, lead(value >= 1.0) OVER (PARTITION BY image_id, {O}, angle ORDER BY ring) AS nx FROM rp WHERE channel = '{plane}'),
 {name} AS (SELECT image_id, {O}, angle, coalesce(min(ring) FILTER (v <> nx AND ring >= 1), 1) AS {name} FROM {name}0 GROUP BY ALL)"""
 
 
@@ -379,7 +388,7 @@ _PARTS = f"{_RADIAL}, {_edge_of('own_nucleus', 'nb')}, {_edge_of('own_cell', 'cb
 
 @query("r5_nucleus_part", f"{_PARTS} SELECT {_BIN}, {D('CASE WHEN ring <= nb THEN value ELSE 0 END', 'value')} FROM bo")
 def r5(spark, d):
-    return polar.nucleus_part(_profile(spark, d), minp=1)
+    return polar.nucleus_part(_profile(spark, d))
 
 
 def _moved(where: str, shift: str) -> str:
@@ -388,12 +397,12 @@ def _moved(where: str, shift: str) -> str:
 
 @query("r6_cytoplasm_part", _moved("ring > nb AND ring <= cb", "nb"))
 def r6(spark, d):
-    return polar.cytoplasm_part(_profile(spark, d), minp=1)
+    return polar.cytoplasm_part(_profile(spark, d))
 
 
 @query("r7_outside_part", _moved("ring > cb", "cb"))
 def r7(spark, d):
-    return polar.outside_part(_profile(spark, d), minp=1)
+    return polar.outside_part(_profile(spark, d))
 
 
 @query("r8_resampled")
@@ -418,7 +427,7 @@ def r10(spark, d):
 up AS (SELECT cr.image_id, cr.{O}, cr.channel, cr.row * 2 + i AS row, cr.col * 2 + j AS col, greatest(0, least((cr.row * 2 + i + 0.5) / 2 - 0.5, mr)) AS y, greatest(0, least((cr.col * 2 + j + 0.5) / 2 - 0.5, mc)) AS x FROM cr JOIN mx USING (image_id, {O}, channel), range(2) a(i), range(2) b(j))
 SELECT up.image_id, {L('up.' + O, O)}, up.channel, {L('up.row', 'row')}, {L('up.col', 'col')}, {D('sum(value * (1 - abs(y - s.row)) * (1 - abs(x - s.col)))', 'value')} FROM up JOIN cr s ON s.image_id = up.image_id AND s.{O} = up.{O} AND s.channel = up.channel AND abs(y - s.row) < 1 AND abs(x - s.col) < 1 GROUP BY ALL""")
 def r3(spark, d):
-    return polar.upscaled(polar.crops(fx.pixels(spark, d), cells.boxes(fx.mask(spark, d)), 1).where("channel = 'A' or channel <> 'A'"), 2)
+    return polar.upscaled(polar.crops(fx.pixels(spark, d), cells.boxes(fx.mask(spark, d)), 1), 2)
 
 
 @query("r11_shift_similarity", f"""w AS (SELECT a.{O}, a.ring, s.s AS shift, a.value AS v, b.value AS v2 FROM rad a CROSS JOIN range(8) s(s) JOIN rad b ON b.{O} = a.{O} AND b.ring = a.ring AND b.angle = (a.angle + s.s) % 8)
@@ -429,33 +438,33 @@ def r11(spark, d):
 
 # --- boundary shapes ---------------------------------------------------------------------------------------------------
 
+#: sh: angles and depths of the shapes; those of width 0, with the ids 0 to 7, have none.
 _SHAPES = """sh0 AS (SELECT w.w AS wd, s.s AS start, c.c AS code, CAST(CASE w.w WHEN 1 THEN 8 + s.s * 2 + c.c WHEN 2 THEN 24 + s.s * 4 + c.c ELSE 56 + s.s * 8 + c.c END AS INT) AS shape_id FROM range(1, 4) w(w), range(8) s(s), range(8) c(c) WHERE c.c < CAST(pow(2, w.w) AS INT)),
 sh AS (SELECT shape_id, CAST((start + i.i) % 8 AS INT) AS angle, CAST((code // CAST(pow(2, i.i) AS INT)) % 2 + 1 AS INT) AS depth FROM sh0, range(3) i(i) WHERE i.i < wd)"""
 _BOUND = f"""bd AS (SELECT {O}, angle, coalesce(min(ring) FILTER (own >= 0.5), 0) AS inner_, coalesce(max(ring) FILTER (own >= 0.5) + 1, 0) AS outer_ FROM rad GROUP BY ALL)"""
 _WHATIF = f"""w AS (SELECT 1), {_SHAPES}, {_BOUND}, nu AS (SELECT {O}, sum(value) AS ns, count(*) AS nn FROM rad JOIN bd USING ({O}, angle) WHERE ring BETWEEN inner_ AND outer_ GROUP BY {O}),
 ly AS (SELECT {O}, angle, ring - outer_ + 1 AS depth, sum(value) OVER (PARTITION BY {O}, angle ORDER BY ring) AS s FROM rad JOIN bd USING ({O}, angle) WHERE ring - outer_ BETWEEN 0 AND 1),
-ss AS (SELECT {O}, shape_id, sum(s) AS sm, sum(depth) AS sn FROM ly JOIN sh USING (angle, depth) GROUP BY ALL),
+ss AS (SELECT {O}, shape_id, sum(s) AS sm, sum(depth) AS sn FROM ly JOIN sh USING (angle, depth) GROUP BY ALL UNION ALL SELECT DISTINCT {O}, CAST(i.i AS INT), 0, 0 FROM rad, range(8) i(i)),
 wi AS (SELECT {O}, shape_id, sn AS n, (ns + sm) / (nn + sn) AS marker FROM ss JOIN nu USING ({O}))"""
 
 
-def _sql_shapes(spark):
-    """The shapes that _SHAPES has: its SQL counts widths from 1, so the shapes of width 0 are left to the jobs without SQL."""
-    return shapes.shapes(spark, 8, 2, 0, 0.4).where("depth > 0")
+def _all_shapes(spark):
+    return shapes.shapes(spark, 8, 2, 0, 0.4)
 
 
 def _what_if(spark, d, s):
     return shapes.what_if(fx.radial(spark, d), s, 2)
 
 
-@query("b2_b3_shape_stats_of_cells", f"w AS (SELECT 1), {_SHAPES}, e AS (SELECT {O}, max({O}) % 132 AS k FROM rad GROUP BY {O}) SELECT {L(O, O)}, {L('shape_id', 'shape_id')}, {L('sum(depth)', 'covered')}, {L('max(depth)', 'max_depth')}, {D('avg(depth)', 'mean_depth')} FROM e JOIN sh ON shape_id = 8 + k GROUP BY {O}, shape_id")
+@query("b2_b3_shape_stats_of_cells", f"w AS (SELECT 1), {_SHAPES}, e AS (SELECT {O}, max({O}) % 132 AS k FROM rad GROUP BY {O}) SELECT {L(O, O)}, {L('shape_id', 'shape_id')}, {L('sum(depth)', 'covered')}, {L('max(depth)', 'max_depth')}, {D('avg(depth)', 'mean_depth')}, {D('CASE WHEN round(atan2(sum(sin(angle * tau) * depth), sum(cos(angle * tau) * depth)) / tau, 9) < 0 THEN 8 - 1e-12::DOUBLE ELSE 0 END + atan2(sum(sin(angle * tau) * depth), sum(cos(angle * tau) * depth)) / tau', 'mean_angle')}, {D('sqrt(-2 * ln(greatest(1e-300::DOUBLE, least(1, sqrt(pow(sum(sin(angle * tau) * depth), 2) + pow(sum(cos(angle * tau) * depth), 2)) / sum(depth))))) / tau', 'sd_angle')} FROM e JOIN sh ON shape_id = 8 + k, (SELECT 2 * pi() / (8 - 1e-12::DOUBLE) AS tau) GROUP BY {O}, shape_id, tau")
 def b2(spark, d):
     ids = fx.radial(spark, d).select("ObjectNumber").distinct().withColumn("shape_id", (8 + F.col("ObjectNumber") % 132).cast("int"))
-    return ids.join(shapes.shape_stats(_sql_shapes(spark)), "shape_id").select("ObjectNumber", "shape_id", "covered", "max_depth", "mean_depth")
+    return ids.join(shapes.shape_stats(_all_shapes(spark)), "shape_id").select("ObjectNumber", "shape_id", "covered", "max_depth", "mean_depth", "mean_angle", "sd_angle")
 
 
 @query("b4_boundary", f"w AS (SELECT 1), {_BOUND} SELECT 'emb' AS image_id, {L(O, O)}, {L('angle', 'angle')}, {L('inner_', chr(34) + 'inner' + chr(34))}, {L('outer_', chr(34) + 'outer' + chr(34))}, {L('outer_ + 2', 'outmost')} FROM bd")
 def b4(spark, d):
-    return shapes.nucleus_boundary(fx.radial(spark, d))
+    return shapes.nucleus_boundary(fx.radial(spark, d), maxdist=2)
 
 
 @query("b5_shrinkage", f"w AS (SELECT 1), {_BOUND} SELECT 'emb' AS image_id, {L(O, O)}, {L('min(outer_ - inner_)', 'shrinkage')} FROM bd GROUP BY {O}")
@@ -478,34 +487,46 @@ def b7(spark, d):
 @query("b8_shape_sums", f"{_WHATIF} SELECT 'emb' AS image_id, {L(O, O)}, 'emb' AS channel, {L('shape_id', 'shape_id')}, {D('sm', 'shape_sum')}, {L('sn', 'shape_n')} FROM ss")
 def b8(spark, d):
     r = fx.radial(spark, d)
-    return shapes.shape_sums(shapes.layers(r.where("channel = 'emb'"), shapes.nucleus_boundary(r), 2), _sql_shapes(spark))
+    return shapes.shape_sums(shapes.layers(r.where("channel = 'emb'"), shapes.nucleus_boundary(r), 2), _all_shapes(spark))
 
 
-@query("b8a_sliding_sums", f"""w AS (SELECT 1), {_SHAPES}, {_BOUND}, ly AS (SELECT {O}, angle, ring - outer_ + 1 AS depth, sum(value) OVER (PARTITION BY {O}, angle ORDER BY ring) AS s FROM rad JOIN bd USING ({O}, angle) WHERE ring - outer_ BETWEEN 0 AND 2),
-mv AS (SELECT shape_id, angle, depth + t.t AS depth, t.t AS start FROM sh, range(2) t(t)) SELECT 'emb' AS image_id, {L(O, O)}, 'emb' AS channel, {L('shape_id', 'shape_id')}, {L('start', 'start')}, {D('sum(s)', 'shape_sum')}, {L('sum(depth)', 'shape_n')} FROM ly JOIN mv USING (angle, depth) GROUP BY {O}, shape_id, start""")
+@query("b8a_sliding_sums", f"""w AS (SELECT 1), {_SHAPES}, {_BOUND}, ly AS (SELECT {O}, angle, ring - outer_ AS layer, value FROM rad JOIN bd USING ({O}, angle) WHERE ring - outer_ BETWEEN 0 AND 2),
+inn AS (SELECT {O}, t.t AS start, coalesce(sum(value) FILTER (layer < t.t), 0) AS s, count(*) FILTER (layer < t.t) AS n FROM ly, range(2) t(t) GROUP BY ALL),
+own AS (SELECT {O}, shape_id, t.t AS start, sum(value) AS s, count(*) AS n FROM ly JOIN sh USING (angle), range(2) t(t) WHERE layer BETWEEN t.t AND t.t + depth - 1 GROUP BY ALL),
+al AS (SELECT DISTINCT shape_id FROM sh UNION ALL SELECT CAST(i.i AS INT) FROM range(8) i(i))
+SELECT 'emb' AS image_id, {L('inn.' + O, O)}, 'emb' AS channel, {L('al.shape_id', 'shape_id')}, {L('inn.start', 'start')}, {D('inn.s + coalesce(own.s, 0)', 'shape_sum')}, {L('inn.n + coalesce(own.n, 0)', 'shape_n')}
+ FROM inn CROSS JOIN al LEFT JOIN own ON own.{O} = inn.{O} AND own.shape_id = al.shape_id AND own.start = inn.start""")
 def b8a(spark, d):
     r = fx.radial(spark, d)
-    return shapes.sliding_sums(shapes.layers(r.where("channel = 'emb'"), shapes.nucleus_boundary(r), 3), _sql_shapes(spark), 3, full_inner=False)  # as its SQL has it
+    return shapes.sliding_sums(shapes.layers(r.where("channel = 'emb'"), shapes.nucleus_boundary(r), 3), _all_shapes(spark), 3)
 
 
 @query("b9_b10_what_if", f"{_WHATIF} SELECT 'emb' AS image_id, {L(O, O)}, 'emb' AS channel, {L('shape_id', 'shape_id')}, {L('n', 'n')}, {D('marker', 'marker')}, 'ok' AS status FROM wi")
 def b10(spark, d):
-    return _what_if(spark, d, _sql_shapes(spark))
+    return _what_if(spark, d, _all_shapes(spark))
+
+
+_HIST = f"""{_WHATIF}, me AS (SELECT {O}, avg(value) AS mean FROM rad GROUP BY {O}), ow AS (SELECT {O}, min(marker) AS lo, max(marker) AS hi, min(mean) AS mean FROM wi JOIN me USING ({O}) GROUP BY {O}),
+en AS (SELECT min(lo - mean) AS a, max(hi - mean) AS b FROM ow),
+fi AS (SELECT {O}, lo, hi, mean, CASE WHEN hi > lo THEN least(999, floor((marker - lo) * (1000 / (hi - lo)))) ELSE 500 END AS j FROM wi JOIN ow USING ({O})),
+po AS (SELECT {O}, a, b, (lo - mean) + j * ((hi - lo) / 999) AS x FROM fi, en),
+bi AS (SELECT {O}, a, b, CASE WHEN b > a THEN least(100, ceil(round((x - a) / ((b - a) / 100), 9))) - 1 ELSE -1 END AS i FROM po),
+hi AS (SELECT {O}, a, b, CASE WHEN i < 0 THEN 99 ELSE i END AS bin FROM bi),
+hg AS (SELECT {O}, CAST(bin AS INT) AS bin, a + bin * ((b - a) / 99) AS grid, count(*) AS n FROM hi GROUP BY ALL)"""
 
 
-@query("b11_histogram", f"""{_WHATIF}, me AS (SELECT {O}, avg(value) + 2000 AS mean FROM rad GROUP BY {O}), re AS (SELECT {O}, marker / mean AS rel FROM wi JOIN me USING ({O})), en AS (SELECT min(rel) AS lo, (max(rel) - min(rel)) / 100 AS st FROM re),
-hi AS (SELECT {O}, greatest(0, least(99, CAST(ceil(round((rel - lo) / st, 9)) AS INT) - 1)) AS bin, lo, st FROM re, en) SELECT 'emb' AS image_id, {L(O, O)}, 'emb' AS channel, {L('bin', 'bin')}, {D('min(lo + (bin + 1) * st)', 'grid')}, {L('count(*)', 'n')} FROM hi GROUP BY {O}, bin""")
+@query("b11_histogram", f"{_HIST} SELECT 'emb' AS image_id, {L(O, O)}, 'emb' AS channel, {L('bin', 'bin')}, {D('grid', 'grid')}, {L('n', 'n')} FROM hg")
 def b11(spark, d):
-    return shapes.histogram(_what_if(spark, d, _sql_shapes(spark)), _means(spark, d))
+    return shapes.histogram(_what_if(spark, d, _all_shapes(spark)), _means(spark, d), shapes.n_shapes(8, 2, 0, 0.4))
 
 
 def _means(spark, d):
-    return fx.radial(spark, d).where("channel = 'emb'").groupBy("image_id", "ObjectNumber", "channel").agg((F.avg("value") + 2000).alias("value"))
+    return fx.radial(spark, d).where("channel = 'emb'").groupBy("image_id", "ObjectNumber", "channel").agg(F.avg("value").alias("value"))
 
 
-@query("b13_histogram_mean")
+@query("b13_histogram_mean", f"{_HIST} SELECT 'emb' AS image_id, {L(O, O)}, 'emb' AS channel, {D('sum(n * grid) / sum(n)', 'mean')} FROM hg GROUP BY {O}")
 def b13(spark, d):
-    return shapes.histogram_mean(shapes.histogram(_what_if(spark, d, shapes.shapes(spark, 8, 2, 0, 0.4)), _means(spark, d)))
+    return shapes.histogram_mean(shapes.histogram(_what_if(spark, d, _all_shapes(spark)), _means(spark, d), shapes.n_shapes(8, 2, 0, 0.4)))
 
 
 _SUM = f"{D('max(marker)', 'max')}, {D('min(marker)', 'min')}, {D('avg(marker)', 'mean')}, {D('median(marker)', 'median')}, {D('stddev_pop(marker)', 'sd')}, {D('max(marker) - min(marker)', 'range')}, {D('stddev_pop(marker) / nullif(avg(marker), 0)', 'cv')}"
@@ -513,7 +534,7 @@ _SUM = f"{D('max(marker)', 'max')}, {D('min(marker)', 'min')}, {D('avg(marker)',
 
 @query("b12_summaries", f"{_WHATIF} SELECT 'emb' AS image_id, {L(O, O)}, 'emb' AS channel, {_SUM} FROM wi GROUP BY {O}")
 def b12(spark, d):
-    return shapes.marker_summaries(_what_if(spark, d, _sql_shapes(spark)))
+    return shapes.marker_summaries(_what_if(spark, d, _all_shapes(spark)))
 
 
 @query("w2_boundary_what_if_job")

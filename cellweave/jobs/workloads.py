@@ -20,19 +20,22 @@ def hot_spot_planes(pixels: DataFrame, fdr: bool = True, **options) -> DataFrame
     return pixels.unionByName(long.select("image_id", F.col("p.c").alias("channel"), "row", "col", F.col("p.v").alias("value")))
 
 
-def calculate_features(pixels: DataFrame, mask: DataFrame, include_scores: bool = False, weighted: bool = False, min_pval: float = 0.1, offset: float = 0.1, qs: tuple[float, ...] = cells.QUANTILES, calc_hle: bool = False, calc_coreedgediff: bool = False, **options) -> DataFrame:
+def calculate_features(pixels: DataFrame, mask: DataFrame, include_scores: bool = False, weighted: bool = False, include_weights: bool = False, min_pval: float = 0.1, offset: float = 0.1, qs: tuple[float, ...] = cells.QUANTILES, calc_hle: bool = False, calc_coreedgediff: bool = False, **options) -> DataFrame:
     """Features of every cell and plane; with include_scores also MEAN_GP_SCORE, EDGE_GP_SCORE and CORE_GP_SCORE.
 
-    Scores hold a plane's mean against its mean hot p-value; all three use the point found for MEAN. weighted adds the
-    features of planes {channel}_weighted, values times p-weights.
+    Scores hold a plane's mean against its mean two-sided p-value; all three use the point found for MEAN. weighted adds
+    the features of planes {channel}_weighted, values times p-weights, include_weights those of {channel}_weights, the
+    p-weights themselves.
     """
     edge = stencil.perimeter(mask)
     planes = hot_spot_planes(pixels, **options)
-    if weighted:
+    if weighted or include_weights:
         planes = cut(planes)
         hot = planes.where(F.col("channel").endswith("_GPhot")).select("image_id", "row", "col", F.regexp_replace("channel", "_GPhot$", "").alias("channel"), F.col("value").alias("p_hot"))
         w = pixels.join(cells.p_weights(hot, "p_hot", min_pval, offset), ["image_id", "channel", "row", "col"])
-        planes = planes.unionByName(w.select("image_id", F.concat("channel", F.lit("_weighted")).alias("channel"), "row", "col", (F.col("value") * F.col("weight")).alias("value")))
+        for asked, name, value in ((weighted, "_weighted", F.col("value") * F.col("weight")), (include_weights, "_weights", F.col("weight"))):
+            if asked:
+                planes = planes.unionByName(w.select("image_id", F.concat("channel", F.lit(name)).alias("channel"), "row", "col", value.alias("value")))
     f = cells.features(planes, edge, qs)
     if calc_hle:
         f = f.join(cells.hodges_lehmann(planes, edge), cells.KEY, "left")
@@ -41,8 +44,8 @@ def calculate_features(pixels: DataFrame, mask: DataFrame, include_scores: bool
     if not include_scores:
         return f
     f = cut(f)  # the scores read it nine times
-    hot = f.where(F.col("channel").endswith("_GPhot")).select("image_id", "ObjectNumber", F.regexp_replace("channel", "_GPhot$", "").alias("channel"), *[F.col(c).alias(f"p_{c}") for c in ("MEAN", "EDGE_MEAN", "CORE_MEAN")])
-    own = f.where(~F.col("channel").rlike("_(GP|GPhot|weighted)$")).join(hot, cells.KEY)
+    both = f.where(F.col("channel").endswith("_GP")).select("image_id", "ObjectNumber", F.regexp_replace("channel", "_GP$", "").alias("channel"), *[F.col(c).alias(f"p_{c}") for c in ("MEAN", "EDGE_MEAN", "CORE_MEAN")])
+    own = f.where(~F.col("channel").rlike("_(GP|GPhot|weighted|weights)$")).join(both, cells.KEY)
     peak = cut(scores.smooth_max(own.select("image_id", "channel", "ObjectNumber", F.col("MEAN").alias("x"), F.col("p_MEAN").alias("y"))))
     made = [scores.score(own.withColumn("x", F.col(c)), peak, f"p_{c}", "s").select(*cells.KEY, F.col("s").alias(f"{c.removesuffix('_MEAN')}_GP_SCORE")) for c in ("MEAN", "EDGE_MEAN", "CORE_MEAN")]
     s = reduce(lambda a, b: a.join(b, cells.KEY), made)

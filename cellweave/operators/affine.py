@@ -15,7 +15,7 @@ from cellweave.sources.images import PIXEL
 
 CELL = ["image_id", "ObjectNumber"]
 #: (low, high) of each parameter: shifts in pixels, rotation in radians, scales and shears.
-RANGES = {"tx": (-1.0, 1.0), "ty": (-1.0, 1.0), "rot": (-math.pi / 36, math.pi / 36), "sx": (0.95, 1.05), "sy": (0.95, 1.05), "shx": (-0.05, 0.05), "shy": (-0.05, 0.05)}
+RANGES = {"tx": (-1.0, 1.0), "ty": (-1.0, 1.0), "rot": (-math.pi / 12, math.pi / 12), "sx": (0.8, 1.2), "sy": (0.8, 1.2), "shx": (-0.1, 0.1), "shy": (-0.1, 0.1)}
 
 
 def transform_grid(spark: SparkSession, steps: int = 3, ranges: dict[str, tuple[float, float]] = RANGES) -> DataFrame:
@@ -84,6 +84,17 @@ def padding(mask: DataFrame, transforms: DataFrame) -> DataFrame:
     return mask.select("image_id").distinct().join(pads, "image_id", "left").fillna(1, ["pad"])
 
 
+def chosen_transforms(spark: SparkSession, n_iter: int = -1, sample_fraction: float = 1.0, steps: int = 3, seed: int = 42, normal: bool = False, ranges: dict[str, tuple[float, float]] = RANGES) -> DataFrame:
+    """(transform_id, tx .. shy): n_iter random transforms, or all of the grid if it is negative; of these a fraction, rounded down.
+
+    The fraction keeps the transforms with the smallest hashes of their number.
+    """
+    made = transform_grid(spark, steps, ranges) if n_iter < 0 else random_transforms(spark.range(n_iter).withColumnRenamed("id", "transform_id"), seed, normal, ranges)
+    if sample_fraction >= 1:
+        return made
+    return made.orderBy(F.xxhash64("transform_id", F.lit(seed))).limit(int((steps ** len(ranges) if n_iter < 0 else n_iter) * sample_fraction))
+
+
 def _padded(boxes: DataFrame, mask: DataFrame, pad: int | None, transforms: DataFrame | None = None) -> DataFrame:
     """boxes with pad: the given one, or that of the image under the transforms (the extreme ones of RANGES), 2 at least."""
     if pad is not None:

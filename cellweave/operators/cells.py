@@ -58,11 +58,12 @@ def features(pixels: DataFrame, perimeter: DataFrame, qs: tuple[float, ...] = QU
     edge = F.when(F.col("is_edge"), F.col("value"))
     got = at.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("AREA"), F.count_if("is_edge").alias("AREA_EDGE"), F.sum("value").alias("__sum"), F.sum(edge).alias("__edge"),
-        F.percentile(edge, F.array(*map(F.lit, (0.25, 0.75, *qs)))).alias("__q"),
+        F.percentile(edge, F.array(*map(F.lit, (0.25, 0.75, *qs)))).alias("__q"), F.collect_list(edge).alias("__e"),
     )
-    fence = got.select(*KEY, (F.col("__q")[1] + 1.5 * (F.col("__q")[1] - F.col("__q")[0])).alias("__fence"))
-    iq = at.where("is_edge").join(fence, KEY).groupBy(*KEY).agg(F.avg(F.when(F.col("value") <= F.col("__fence"), F.col("value"))).alias("EDGE_IQMEAN"))
-    got = got.withColumn("AREA_CORE", _core(F.col("AREA"), F.col("AREA_EDGE"))).join(iq, KEY, "left")
+    # the edge values of one cell travel as an array, so that pixels are grouped once
+    fence = F.col("__q")[1] + 1.5 * (F.col("__q")[1] - F.col("__q")[0])
+    within = F.aggregate("__e", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, v: F.when(v <= fence, F.struct((a["s"] + v).alias("s"), (a["n"] + 1).alias("n"))).otherwise(a))
+    got = got.withColumn("AREA_CORE", _core(F.col("AREA"), F.col("AREA_EDGE"))).withColumn("__w", within).withColumn("EDGE_IQMEAN", F.try_divide("__w.s", "__w.n"))
     return got.select(
         *KEY, "AREA", "AREA_EDGE", "AREA_CORE", F.try_divide("__sum", "AREA").alias("MEAN"), F.try_divide("__edge", "AREA_EDGE").alias("EDGE_MEAN"),
         F.coalesce(F.try_divide(_core(F.col("__sum"), F.coalesce("__edge", F.lit(0.0))), F.col("AREA_CORE")), F.lit(0.0)).alias("CORE_MEAN"),

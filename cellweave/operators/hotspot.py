@@ -210,16 +210,30 @@ def g_permutation(pixels: DataFrame, n_iter: int = 99, queen: bool = True, centr
     return _p_from_counts(_blocks(pixels, n_iter, block).groupBy(*PLANE, "block").applyInPandas(run, _COUNTS))
 
 
+def _disc_totals(x: np.ndarray, r2: float) -> np.ndarray:
+    """Sum of x over the disc around each element, in rows of running sums; what lies outside x counts as 0."""
+    h, w = x.shape
+    run = np.concatenate([np.zeros((h, 1)), np.cumsum(x, axis=1)], axis=1)
+    out, cols = np.zeros(x.shape), np.arange(w)
+    reach = int(np.floor(np.sqrt(r2)))
+    for a in range(-min(reach, h - 1), min(reach, h - 1) + 1):
+        b = int(np.floor(np.sqrt(r2 - a * a)))
+        rows = run[max(a, 0) : h + min(a, 0)]
+        out[max(-a, 0) : h + min(-a, 0)] += rows[:, np.minimum(cols + b, w - 1) + 1] - rows[:, np.maximum(cols - b, 0)]
+    return out
+
+
 def g_disc_permutation(pixels: DataFrame, radius: float, n_iter: int = 99, queen: bool = True, seed: int = 42, tile: int = 0) -> DataFrame:
     """As g_permutation with neighbours drawn from the disc of radius + 0.5 around each pixel (up to ten tries for distinct ones).
 
-    The plane is cut into tiles with a halo, so a group is bounded whatever the image's size. Observed g lacks the
-    centre, permuted g has it; both divide by the disc's sum.
+    The plane is cut into tiles with a halo, so a group is bounded whatever the image's size. Places are drawn from the
+    square around a pixel, cut off at the image's edges, and drawn again outside the disc, so memory goes with the pixels
+    of a tile, not with the disc. Observed g lacks the centre, permuted g has it; both divide by the disc's sum.
     """
+    r2 = (radius + 0.5) ** 2
     r = int(np.floor(radius + 0.5))
     side = tile or max(32, 4 * r)
-    offs = np.array([(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if (a, b) != (0, 0) and a * a + b * b <= (radius + 0.5) ** 2])
-    k = min(8 if queen else 4, len(offs))
+    k = min(8 if queen else 4, sum(a * a + b * b <= r2 for a in range(-r, r + 1) for b in range(-r, r + 1)) - 1)
     reach = F.sequence(F.lit(-1), F.lit(1))
     t = pixels.select(*PLANE, "row", "col", "value").withColumn("dr", F.explode(reach)).withColumn("dc", F.explode(reach))
     t = t.withColumn("tr", F.floor(F.col("row") / side) + F.col("dr")).withColumn("tc", F.floor(F.col("col") / side) + F.col("dc"))
@@ -231,31 +245,43 @@ def g_disc_permutation(pixels: DataFrame, radius: float, n_iter: int = 99, queen
         r0, c0 = int(pdf["row"].min()), int(pdf["col"].min())
         x = np.full((int(pdf["row"].max()) - r0 + 1, int(pdf["col"].max()) - c0 + 1), np.nan)
         x[pdf["row"] - r0, pdf["col"] - c0] = pdf["value"]
-        own = pdf[(pdf["row"] // side == tr) & (pdf["col"] // side == tc)]
+        own = pdf[(pdf["row"] // side == tr) & (pdf["col"] // side == tc)].sort_values(["row", "col"])
         if own.empty:
             return pd.DataFrame(columns=["image_id", "channel", "row", "col", "g", "n_both", "n_cold", "n_hot", "n"])
         rng = np.random.default_rng(_seed(seed, pdf["image_id"].iloc[0], pdf["channel"].iloc[0], tr, tc, "disc"))
-        near = _stencil(x, queen)
         i, j = (own["row"] - r0).to_numpy(), (own["col"] - c0).to_numpy()
-        ii, jj = i[:, None] + offs[:, 0], j[:, None] + offs[:, 1]
-        inside = (ii >= 0) & (jj >= 0) & (ii < x.shape[0]) & (jj < x.shape[1])
-        vals = np.where(inside, x[np.clip(ii, 0, x.shape[0] - 1), np.clip(jj, 0, x.shape[1] - 1)], np.nan)
-        centre = x[i, j]
-        total = np.nansum(vals, axis=1) + centre
-        weight = inside / np.maximum(inside.sum(axis=1, keepdims=True), 1)
-        cum = np.cumsum(weight, axis=1)
+        places = _disc_totals(np.ones(x.shape), r2)[i, j] - 1
+        total, centre = _disc_totals(np.nan_to_num(x), r2)[i, j], x[i, j]
+        low, high = (np.stack(e) for e in ((np.maximum(-r, -i), np.maximum(-r, -j)), (np.minimum(r, x.shape[0] - 1 - i) + 1, np.minimum(r, x.shape[1] - 1 - j) + 1)))
+
+        def drawn(at: np.ndarray) -> np.ndarray:
+            """Places (2, len(at), k) within the disc and the image, without the centre."""
+            got = rng.integers(low[:, at, None], high[:, at, None], (2, len(at), k))
+            flat, of = got.reshape(2, -1), np.repeat(at, k)
+            again = np.arange(flat.shape[1])
+            while True:
+                d = flat[0, again] ** 2 + flat[1, again] ** 2
+                again = again[(d > r2) | (d == 0)]
+                if not len(again):
+                    return flat.reshape(got.shape)
+                flat[:, again] = rng.integers(low[:, of[again]], high[:, of[again]])
+
         with np.errstate(all="ignore"):
-            gi = near[i, j] / total
+            gi = _stencil(x, queen)[i, j] / total
             both, cold, hot = (np.zeros(len(own), int) for _ in range(3))
-            for _ in range(n_iter):
-                pick = (rng.random((len(own), k, 1)) > cum[:, None, :]).sum(axis=2)
+            some = np.flatnonzero(places >= 1)
+            for _ in range(n_iter if k else 0):
+                pick = drawn(some)
+                bad = np.arange(len(some))
                 for _ in range(10):
-                    s = np.sort(pick, axis=1)
-                    bad = (s[:, 1:] == s[:, :-1]).any(axis=1)
-                    if not bad.any():
+                    s = np.sort(pick[0, bad] * (4 * r + 1) + pick[1, bad], axis=1)
+                    bad = bad[(s[:, 1:] == s[:, :-1]).any(axis=1)]
+                    if not len(bad):
                         break
-                    pick[bad] = (rng.random((int(bad.sum()), k, 1)) > cum[bad][:, None, :]).sum(axis=2)
-                gp = (centre + np.take_along_axis(vals, np.minimum(pick, len(offs) - 1), axis=1).sum(axis=1)) / total
+                    pick[:, bad] = drawn(some[bad])
+                gp = centre.copy()
+                gp[some] += x[i[some, None] + pick[0], j[some, None] + pick[1]].sum(axis=1)
+                gp /= total
                 both += np.abs(gp) > np.abs(gi)
                 cold += gp < gi
                 hot += gp > gi
@@ -264,7 +290,7 @@ def g_disc_permutation(pixels: DataFrame, radius: float, n_iter: int = 99, queen
     return _p_from_counts(t.groupBy(*PLANE, "tr", "tc").applyInPandas(run, _COUNTS))
 
 
-def g_radii(pixels: DataFrame, radii: tuple[float, ...] = (10, 25, 50, 100), n_iter: int = 99, merge: str = "mean", **options) -> DataFrame:
+def g_radii(pixels: DataFrame, radii: tuple[float, ...] = (10, 25, 50, 100), n_iter: int = 99, merge: str = "min", **options) -> DataFrame:
     """Permutation G over several radii (-1: the whole plane), merged by pixel: means, or for each test the least p and its g."""
     runs = []
     for pos, radius in enumerate(radii):
@@ -311,7 +337,7 @@ def h_permutation(pixels: DataFrame, n_iter: int = 99, queen: bool = True, seed:
     return got.groupBy(*PLANE, "row", "col").agg(F.first("h").alias("h"), ((1 + F.sum("more")) / (1 + F.sum("n"))).alias("p"))
 
 
-def g_statistic(pixels: DataFrame, n_iter: int = 0, radius: float | tuple[float, ...] | None = None, types: int = HOT | COLD | BOTH, queen: bool = True, centre: bool = True, whole_image: bool = True, merge: str = "mean", seed: int = 42) -> DataFrame:
+def g_statistic(pixels: DataFrame, n_iter: int = 0, radius: float | tuple[float, ...] | None = None, types: int = HOT | COLD | BOTH, queen: bool = True, centre: bool = True, whole_image: bool = True, merge: str = "min", seed: int = 42) -> DataFrame:
     """G with p-values by the way that the options name: analytic (n_iter 0) or permuted, global, in one disc or in several."""
     if n_iter == 0:
         if isinstance(radius, (tuple, list)):

@@ -102,7 +102,7 @@ def _bounds(profile: DataFrame, thr: float, minp: int) -> DataFrame:
     return profile.join(_boundary(profile, "own_nucleus", "nb", thr, minp), keys).join(_boundary(profile, "own_cell", "cb", thr, minp), keys, "left")
 
 
-def nucleus_part(profile: DataFrame, thr: float = 0.5, minp: int = 0) -> DataFrame:
+def nucleus_part(profile: DataFrame, thr: float = 1.0, minp: int = 1) -> DataFrame:
     """Rings past the nucleus boundary become 0."""
     at = profile.join(_boundary(profile, "own_nucleus", "nb", thr, minp), ["image_id", "ObjectNumber", "angle"])
     return at.select(*PROFILE, "angle", "ring", F.when(F.col("ring") <= F.col("nb"), F.col("value")).otherwise(0.0).alias("value"))
@@ -113,13 +113,13 @@ def _shifted(profile: DataFrame, kept: DataFrame) -> DataFrame:
     return rings.join(kept, [*PROFILE, "angle", "ring"], "left").fillna(0.0, ["value"])
 
 
-def cytoplasm_part(profile: DataFrame, thr: float = 0.5, minp: int = 0) -> DataFrame:
+def cytoplasm_part(profile: DataFrame, thr: float = 1.0, minp: int = 1) -> DataFrame:
     """The rings between the nucleus and the cell boundary, from 0 on; the rest is 0."""
     at = _bounds(profile, thr, minp).where((F.col("ring") > F.col("nb")) & (F.col("ring") <= F.col("cb")))
     return _shifted(profile, at.select(*PROFILE, "angle", (F.col("ring") - F.col("nb") - 1).alias("ring"), "value"))
 
 
-def outside_part(profile: DataFrame, thr: float = 0.5, minp: int = 0) -> DataFrame:
+def outside_part(profile: DataFrame, thr: float = 1.0, minp: int = 1) -> DataFrame:
     """The rings past the cell boundary, from 0 on; the rest is 0."""
     at = _bounds(profile, thr, minp).where(F.col("ring") > F.col("cb"))
     return _shifted(profile, at.select(*PROFILE, "angle", (F.col("ring") - F.col("cb") - 1).alias("ring"), "value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -89,27 +91,26 @@ def weighted_share(values: DataFrame) -> DataFrame:
     return values.groupBy(*PLANE).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.try_divide(pos, F.sum("weight")), F.lit(0.0)).alias("proportion"))
 
 
-def bootstrap_share(values: DataFrame, n_bootstrap: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """(image_id, channel, ci_low, ci_high): percentile interval of the weighted share over resamples.
+def bootstrap_share(values: DataFrame, n_bootstrap: int = 1000, alpha: float = 0.05, seed: int = 42, block: int = 50) -> DataFrame:
+    """(image_id, channel, ci_low, ci_high): percentile interval of the weighted share over resamples of n out of n values.
 
-    Each value is drawn a Poisson(1) number of times in each resample, from a generator seeded by its own key, so
-    resamples need no shuffle: tasks send partial sums of all resamples, two arrays for each channel and task.
+    A group is one channel of one image (a value for each of its cells) and a block of resamples, seeded by its key; what
+    leaves it is one share for each resample.
     """
 
-    def run(batches):
-        sums: dict[tuple, np.ndarray] = {}
-        for pdf in batches:
-            for img, ch, obj, v, w in zip(pdf["image_id"], pdf["channel"], pdf["key"], pdf["value"], pdf["weight"]):
-                n = np.random.Generator(np.random.PCG64([seed, int(obj) & (1 << 63) - 1])).poisson(1.0, n_bootstrap)
-                both = sums.setdefault((img, ch), np.zeros((2, n_bootstrap)))
-                both[0] += n * w * (v > 0)
-                both[1] += n * w
-        rows = [(i, c, b, s[0, b], s[1, b]) for (i, c), s in sums.items() for b in range(n_bootstrap)]
-        yield pd.DataFrame(rows, columns=["image_id", "channel", "b", "pos", "total"])
-
-    keyed = values.select(*PLANE, F.xxhash64(*PLANE, "ObjectNumber").alias("key"), "value", "weight")
-    drawn = keyed.mapInPandas(run, "image_id string, channel string, b int, pos double, total double")
-    share = drawn.groupBy(*PLANE, "b").agg(F.coalesce(F.try_divide(F.sum("pos"), F.sum("total")), F.lit(0.0)).alias("s"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ObjectNumber", "value", "weight"])
+        first = int(pdf["block"].iloc[0]) * block
+        rng = np.random.default_rng(zlib.crc32("|".join(map(str, (seed, *pdf[[*PLANE, "block"]].iloc[0]))).encode()))
+        w, n = pdf["weight"].to_numpy(float), len(pdf)
+        both = np.stack([np.where(pdf["value"].to_numpy(float) > 0, w, 0.0), w])
+        drawn = np.stack([both[:, rng.integers(0, n, n)].sum(axis=1) for _ in range(min(block, n_bootstrap - first))])
+        with np.errstate(all="ignore"):
+            share = np.where(drawn[:, 0] > 0, drawn[:, 0] / drawn[:, 1], 0.0)
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "channel": pdf["channel"].iloc[0], "s": share})
+
+    spread = values.select(*PLANE, "ObjectNumber", "value", "weight").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_bootstrap - 1) // block))))
+    share = spread.groupBy(*PLANE, "block").applyInPandas(run, "image_id string, channel string, s double")
     q = share.groupBy(*PLANE).agg(F.percentile("s", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
     return q.select(*PLANE, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
@@ -122,10 +123,11 @@ def location_rule(shares: DataFrame, min_p: float = 0.5) -> DataFrame:
 def marker_location(cells: DataFrame, low: float = 0.5, high: float = 1.0, alpha: float = 0.05, min_p: float = 0.5, n_bootstrap: int = 1000, min_area: float | None = None, seed: int = 42) -> DataFrame:
     """(image_id, channel, location, n, proportion, ci_low, ci_high) from cells (ObjectNumber, edge, core, AREA...).
 
-    Values are core - edge; weights are areas, scaled so that they add up to the number of cells.
+    Values are core - edge; weights are the smaller area of edge and core, scaled so that they add up to the number of cells.
     """
     kept = band(cells, low=low, high=high, min_area=min_area).withColumn("value", F.col("core") - F.col("edge"))
-    size = kept.groupBy(*PLANE).agg((F.count(F.lit(1)) / F.sum("AREA")).alias("k"))
-    v = kept.join(size, PLANE).select(*PLANE, "ObjectNumber", "value", (F.col("AREA") * F.col("k")).alias("weight"))
+    area = F.least("AREA_EDGE", "AREA_CORE")
+    size = kept.groupBy(*PLANE).agg(F.try_divide(F.count(F.lit(1)), F.sum(area)).alias("k"))
+    v = kept.join(size, PLANE).select(*PLANE, "ObjectNumber", "value", F.coalesce(area * F.col("k"), F.lit(0.0)).alias("weight"))
     out = weighted_share(v).join(bootstrap_share(v, n_bootstrap, alpha, seed), PLANE)
     return location_rule(out, min_p).select(*PLANE, "location", "n", "proportion", "ci_low", "ci_high")

@@ -38,6 +38,11 @@ def shapes(spark: SparkSession, n: int = 8, dmax: int = 2, minp: float = 0.0, ma
     return out if out is not None else spark.createDataFrame([], "shape_id int, angle int, depth int")
 
 
+def n_shapes(n: int = 8, dmax: int = 2, minp: float = 0.0, maxp: float = 0.4) -> int:
+    """Rows of shapes(), counted by its parameters."""
+    return sum(n * dmax**width for width in range(int(n * minp), int(n * maxp) + 1))
+
+
 def shape_stats(s: DataFrame) -> DataFrame:
     """(shape_id, mean_angle, sd_angle, max_depth, covered, mean_depth): circular mean and sd over covered cells, period 8."""
     t = F.col("angle") * (2 * 3.141592653589793 / (8 - 1e-12))
@@ -45,10 +50,10 @@ def shape_stats(s: DataFrame) -> DataFrame:
     k = (8 - 1e-12) / (2 * 3.141592653589793)
     mean = F.atan2("sn", "cs") * k
     r = F.least(F.lit(1.0), F.sqrt(F.col("sn") * F.col("sn") + F.col("cs") * F.col("cs")) / F.col("covered"))
-    return got.select("shape_id", F.when(mean < 0, mean + (8 - 1e-12)).otherwise(mean).alias("mean_angle"), (F.sqrt(-2 * F.log(F.greatest(r, F.lit(1e-300)))) * k).alias("sd_angle"), "max_depth", "covered", "mean_depth")
+    return got.select("shape_id", F.when(F.round(mean, 9) < 0, mean + (8 - 1e-12)).otherwise(mean).alias("mean_angle"), (F.sqrt(-2 * F.log(F.greatest(r, F.lit(1e-300)))) * k).alias("sd_angle"), "max_depth", "covered", "mean_depth")
 
 
-def nucleus_boundary(profile: DataFrame, thr: float = 0.5, maxdist: int = 2, offset: int = 0) -> DataFrame:
+def nucleus_boundary(profile: DataFrame, thr: float = 1.0, maxdist: int = 3, offset: int = 0) -> DataFrame:
     """(image_id, ObjectNumber, angle, inner, outer, outmost): first ring of the nucleus, the ring past its last, + maxdist.
 
     Without a nucleus at an angle both are 0. outer is moved by offset, but not below inner.
@@ -96,22 +101,17 @@ def _empty(s: DataFrame) -> DataFrame:
     return s.where("depth = 0").select("shape_id").distinct()
 
 
-def sliding_sums(layered: DataFrame, s: DataFrame, maxdist: int, full_inner: bool = True) -> DataFrame:
-    """As shape_sums for dmax 2, with the two-layer pattern moved outward by start = 0..maxdist-2; inner layers are full.
+def sliding_sums(layered: DataFrame, s: DataFrame, maxdist: int) -> DataFrame:
+    """As shape_sums for dmax 2, with the two-layer pattern moved outward by start = 0..maxdist-2.
 
-    full_inner: the layers before start are those of all angles, not of the shape's own ones only.
+    The layers before start are those of all angles, the layers from start on those of the shape's own angles.
     """
-    if full_inner:
-        starts = F.explode(F.sequence(F.lit(0), F.lit(max(maxdist - 2, 0))))
-        own = s.where("depth > 0").withColumn("start", starts).withColumn("layer", F.explode(F.expr("sequence(start, start + depth - 1)")))
-        own = layered.join(F.broadcast(own.drop("depth")), ["angle", "layer"]).groupBy(*PROFILE, "shape_id", "start").agg(F.sum("value").alias("own_sum"), F.count(F.lit(1)).alias("own_n"))
-        inner = layered.withColumn("start", starts).groupBy(*PROFILE, "start").agg(F.sum(F.when(F.col("layer") < F.col("start"), F.col("value")).otherwise(0.0)).alias("in_sum"), F.count(F.when(F.col("layer") < F.col("start"), 1)).alias("in_n"))
-        every = inner.crossJoin(F.broadcast(s.select("shape_id").distinct())).join(own, [*PROFILE, "shape_id", "start"], "left").fillna(0, ["own_sum", "own_n"])
-        return every.select(*PROFILE, "shape_id", "start", (F.col("in_sum") + F.col("own_sum")).alias("shape_sum"), (F.col("in_n") + F.col("own_n")).alias("shape_n"))
-    w = Window.partitionBy(*PROFILE, "angle").orderBy("layer").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = layered.select(*PROFILE, "angle", (F.col("layer") + 1).alias("depth"), F.sum("value").over(w).alias("s"))
-    moved = s.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(max(maxdist - 2, 0))))).withColumn("depth", F.col("depth") + F.col("start"))
-    return cum.join(F.broadcast(moved), ["angle", "depth"]).groupBy(*PROFILE, "shape_id", "start").agg(F.sum("s").alias("shape_sum"), F.sum("depth").alias("shape_n"))
+    starts = F.explode(F.sequence(F.lit(0), F.lit(max(maxdist - 2, 0))))
+    own = s.where("depth > 0").withColumn("start", starts).withColumn("layer", F.explode(F.expr("sequence(start, start + depth - 1)")))
+    own = layered.join(F.broadcast(own.drop("depth")), ["angle", "layer"]).groupBy(*PROFILE, "shape_id", "start").agg(F.sum("value").alias("own_sum"), F.count(F.lit(1)).alias("own_n"))
+    inner = layered.withColumn("start", starts).groupBy(*PROFILE, "start").agg(F.sum(F.when(F.col("layer") < F.col("start"), F.col("value")).otherwise(0.0)).alias("in_sum"), F.count(F.when(F.col("layer") < F.col("start"), 1)).alias("in_n"))
+    every = inner.crossJoin(F.broadcast(s.select("shape_id").distinct())).join(own, [*PROFILE, "shape_id", "start"], "left").fillna(0, ["own_sum", "own_n"])
+    return every.select(*PROFILE, "shape_id", "start", (F.col("in_sum") + F.col("own_sum")).alias("shape_sum"), (F.col("in_n") + F.col("own_n")).alias("shape_n"))
 
 
 def normalised(sums: DataFrame, nucleus: DataFrame, how: str = "all", inverted: bool = False) -> DataFrame:
@@ -126,32 +126,43 @@ def normalised(sums: DataFrame, nucleus: DataFrame, how: str = "all", inverted:
     return at.withColumn("marker", made[how]).withColumnRenamed("shape_n", "n").drop("nuc_sum", "nuc_n", "shape_sum")
 
 
-def what_if(profile: DataFrame, s: DataFrame, maxdist: int = 2, how: str = "all", thr: float = 0.5, offset: int = 0, only_own: bool = False) -> DataFrame:
+def what_if(profile: DataFrame, s: DataFrame, maxdist: int = 3, how: str = "all", thr: float = 1.0, offset: int = 0, only_own: bool = False) -> DataFrame:
     """(image_id, ObjectNumber, channel, shape_id, n, marker, status) for each cell and shape.
 
-    status: past_last_ring for a cell whose boundary + maxdist passes the profile (its marker is NULL), else ok.
+    status: past_last_ring for a cell whose boundary + maxdist reaches the number of rings, nucleus_too_small for one that
+    is to shrink by more rings than its nucleus has at some angle (both have a NULL marker), else ok.
     """
-    b = nucleus_boundary(profile, thr, max(maxdist, 0), offset)
+    b = nucleus_boundary(profile, thr, abs(maxdist), offset)
     data = profile.where("channel <> 'own_nucleus'")
     own = profile.where("channel = 'own_nucleus'") if only_own else None
     sums = shape_sums(layers(data, b, maxdist), s.where(F.col("depth") <= abs(maxdist)), own)
     out = normalised(sums, nucleus_sums(data, b), how, maxdist < 0)
-    last = profile.groupBy(*CELL).agg(F.max("ring").alias("last")).join(b.groupBy(*CELL).agg(F.max("outmost").alias("most")), CELL)
-    status = last.select(*CELL, F.when(F.col("most") - 1 > F.col("last"), "past_last_ring").otherwise("ok").alias("status"))
+    last = profile.groupBy(*CELL).agg(F.max("ring").alias("last")).join(b.groupBy(*CELL).agg(F.max("outmost").alias("most"), F.min(F.col("outer") - F.col("inner")).alias("depth")), CELL)
+    status = last.select(*CELL, F.when(F.col("most") > F.col("last"), "past_last_ring").when(F.col("depth") < -maxdist, "nucleus_too_small").otherwise("ok").alias("status"))
     return out.join(status, CELL).withColumn("marker", F.when(F.col("status") == "ok", F.col("marker")))
 
 
-def histogram(markers: DataFrame, means: DataFrame, bins: int = 100) -> DataFrame:
-    """(image_id, ObjectNumber, channel, bin, grid, n): markers relative to the cell's mean on one grid for all cells.
+def histogram(markers: DataFrame, means: DataFrame, n_shapes: int) -> DataFrame:
+    """(image_id, ObjectNumber, channel, bin, grid, n): markers less the cell's mean, counted on one grid for all cells.
 
-    Bins are closed on the right; the lowest value goes to the first one. Only the grid's two ends are gathered.
+    There are max(100, n_shapes // 200) bins. A cell's markers are counted first in ten times as many equal bins between
+    its own least and greatest marker; each of these stands for a point of as many evenly spaced ones over that range,
+    which then falls into one of the common bins. Those are closed on the right; a point on the lower end of the range is
+    counted in the last bin. grid: evenly spaced points over the range, both ends included. Only the ends are gathered.
     """
-    rel = markers.where("marker is not null").join(means.select(*PROFILE, F.col("value").alias("mean")), PROFILE).withColumn("rel", F.try_divide("marker", "mean")).where("rel is not null")
-    ends = rel.groupBy("image_id", "channel").agg(F.min("rel").alias("lo"), F.max("rel").alias("hi"))
-    step = (F.col("hi") - F.col("lo")) / bins
-    at = rel.join(ends, ["image_id", "channel"])
-    b = F.when(step > 0, F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.ceil(F.round((F.col("rel") - F.col("lo")) / step, 9)).cast("int") - 1))).otherwise(0)
-    return at.withColumn("bin", b.cast("int")).withColumn("grid", F.col("lo") + (F.col("bin") + 1) * step).groupBy(*PROFILE, "bin").agg(F.first("grid").alias("grid"), F.count(F.lit(1)).alias("n"))
+    bins = max(100, n_shapes // 200)
+    fine = bins * 10
+    own = markers.where("marker is not null").groupBy(*PROFILE).agg(F.min("marker").alias("lo"), F.max("marker").alias("hi")).join(means.select(*PROFILE, F.col("value").alias("mean")), PROFILE)
+    ends = own.groupBy("image_id", "channel").agg(F.min(F.col("lo") - F.col("mean")).alias("first"), F.max(F.col("hi") - F.col("mean")).alias("last"))
+    spread = F.col("hi") - F.col("lo")
+    j = F.when(spread > 0, F.least(F.lit(fine - 1), F.floor((F.col("marker") - F.col("lo")) * (fine / spread)))).otherwise(fine // 2)
+    at = markers.where("marker is not null").join(own, PROFILE).withColumn("j", j).groupBy(*PROFILE, "j", "lo", "hi", "mean").agg(F.count(F.lit(1)).alias("c"))
+    at = at.join(ends, ["image_id", "channel"])
+    point = (F.col("lo") - F.col("mean")) + F.col("j") * (spread / (fine - 1))
+    width = (F.col("last") - F.col("first")) / bins
+    b = F.when(width > 0, F.least(F.lit(bins), F.ceil(F.round((point - F.col("first")) / width, 9))) - 1).otherwise(-1)
+    at = at.withColumn("bin", F.when(b < 0, bins - 1).otherwise(b).cast("int")).withColumn("grid", F.col("first") + F.col("bin") * ((F.col("last") - F.col("first")) / (bins - 1)))
+    return at.groupBy(*PROFILE, "bin").agg(F.first("grid").alias("grid"), F.sum("c").alias("n"))
 
 
 def histogram_mean(hist: DataFrame) -> DataFrame:
