@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted lists.
 
-The examples are a bounded sample of labelled rows. Their terms are words, and the first letters of words, that stand
-out in label 1; how many of all documents have a term gives its IDF. TF-IDF vectors over these terms are stored as inverted lists cut into blocks of examples,
+The examples are a bounded sample of labelled rows. Their terms are words, and the first letters of words, that tell the
+labels apart, of whichever label, as many as there are; how many of all documents have a term gives its IDF. TF-IDF vectors over these terms are stored as inverted lists cut into blocks of examples,
 each with its largest weight per term. A text is held against a block only if the sum of those maxima can still reach
 the k-th best cosine so far, so the k neighbours are exact. Votes weighted by cosine give a raw score; a logistic curve
 fitted on the examples' own votes (each left out of its own neighbours) turns it into a probability.
@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from cellweave.llm.labelled import held_out, training_rows
 
 SAMPLE_ROWS = 6000  # labelled rows that are the examples, at most
-TERMS = 600  # terms of the index, at most
 STEMS = (5, 6, 7, 8)  # first letters of a word that are terms, too
 K = 15
-BLOCK = 64
-LEAST_EVIDENCE = 4.2  # a term's root likelihood ratio for label 1; about one of 80,000 terms passes by chance
+BLOCK = 64  # examples of a block
+FIRST = 4  # blocks of the highest bounds, whose cosines tell which others are worth a look
+LEAST_EVIDENCE = 4.2  # a term's root likelihood ratio between the labels; about one of 80,000 terms passes by chance
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -46,21 +46,16 @@ class Index:
 
     @staticmethod
     def chosen(bags: list[Counter], labels: np.ndarray) -> tuple[list[str], Counter]:
-        """The terms of the index, and how many examples have each form."""
+        """The terms of the index: all forms that tell the labels apart; and how many examples have each form."""
         n, pos = len(bags), int(labels.sum())
         df, hit = Counter(), Counter()
         for bag, y in zip(bags, labels):
             df.update(bag.keys())
             if y:
                 hit.update(bag.keys())
-        strength = {}
-        for term, d in df.items():
-            a, b = hit[term], d - hit[term]
-            if d >= max(4, n // 2000) and a * (n - pos) > 3 * b * pos:
-                g = _evidence(a, pos, b, n - pos)
-                if g > LEAST_EVIDENCE:
-                    strength[term] = g
-        return sorted(sorted(strength, key=lambda x: (-strength[x], x))[:TERMS]), df
+        if not 0 < pos < n:
+            return [], df
+        return sorted(t for t, d in df.items() if d >= max(4, n // 2000) and _evidence(hit[t], pos, d - hit[t], n - pos) > LEAST_EVIDENCE), df
 
     def __init__(self, bags: list[Counter], labels: np.ndarray, ids: np.ndarray, frequency: tuple[int, dict[str, int]] | None = None):
         """frequency: the number of documents and of those that have a term; where it is not given, the examples are all documents."""
@@ -100,22 +95,31 @@ class Index:
         if not len(terms):
             return np.zeros(0, np.int64), np.zeros(0)
         bound = w @ self.most[terms]
-        best_c, best_i = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_c) == K and bound[b] < best_c[-1] - 1e-12:
-                break
-            total = np.zeros(min(BLOCK, len(self.labels) - b * BLOCK))
-            for t, x in zip(terms, w):
-                lo, hi = self.at[t, b], self.at[t, b + 1]
-                total[self.doc[lo:hi] - b * BLOCK] += x * self.weight[lo:hi]
-            got = np.flatnonzero(total > 0)
-            c, i = np.concatenate([best_c, total[got]]), np.concatenate([best_i, got + b * BLOCK])
-            if skip >= 0:
-                c, i = c[i != skip], i[i != skip]
-            order = np.lexsort((i, -c))[:K]
-            best_c, best_i = c[order], i[order]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        best_i, best_c = self._best(terms, w, order[:FIRST], skip)
+        rest = order[FIRST:]
+        if len(best_c) == K:
+            rest = rest[bound[rest] >= best_c[-1] - 1e-12]
+        if len(rest):
+            more_i, more_c = self._best(terms, w, rest, skip)
+            best_i, best_c = np.concatenate([best_i, more_i]), np.concatenate([best_c, more_c])
+            kept = np.lexsort((best_i, -best_c))[:K]
+            best_i, best_c = best_i[kept], best_c[kept]
         return best_i, best_c
 
+    def _best(self, terms: np.ndarray, w: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """The K nearest among the examples of some blocks."""
+        lo = self.at[np.ix_(terms, blocks)].ravel()
+        size = self.at[np.ix_(terms, blocks + 1)].ravel() - lo
+        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        total = np.bincount(self.doc[at], np.repeat(np.repeat(w, len(blocks)), size) * self.weight[at], minlength=len(self.labels))
+        if skip >= 0:
+            total[skip] = 0
+        got = np.flatnonzero(total > 0)
+        kept = np.lexsort((got, -total[got]))[:K]
+        return got[kept], total[got[kept]]
+
     def votes(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """Log odds of the votes: a neighbour at distance 1 - cosine votes with 1 / (0.1 + distance)."""
         v = 1 / (1.1 - np.minimum(cosine, 1))
