@@ -12,13 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm import textkit as tk
 from cellweave.llm.labelled import held_out
 
-SAMPLE_ROWS = 600  # rows of each language that the filters are fitted on, at most
+SAMPLE_ROWS = 600  # rows of each language that the filters are fitted on, about
 GRAMS = (2, 3, 4)
 SLOTS = 1 << 17
 HASHES = 2
@@ -105,15 +105,17 @@ class Filters:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
-    """Filters fitted on at most `rows` rows of each language, those with the smallest hash of their id, none held out.
+    """Filters fitted on about `rows` rows of each language, chosen by a hash of their id, none held out.
 
-    Counting is done in tasks; what comes to the driver is bounded by the n-grams that pass the frequency limit.
-    Every language of the sample is learnt.
+    A language with fewer rows is learnt from all of them, and every language is learnt. Counting is done in tasks; what
+    comes to the driver is a count of rows for each language, and the n-grams that pass the frequency limit.
     """
-    ids = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    # row_number with a bound: Spark keeps only so many rows of a key before it shuffles
-    picked = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("r") <= rows).drop("r")
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    own = own.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
+    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
+    part = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, rows / n)]) if sizes else F.lit(None).cast("map<string,double>")
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
+    texts = own.where(place < F.element_at(part, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
