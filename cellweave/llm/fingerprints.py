@@ -1,6 +1,7 @@
 """Document fingerprints by Order MinHash, with column expressions only.
 
-The k-mers of a text are runs of WORDS words. Each gets the number of its earlier occurrences, so repeats count apart.
+The k-mers of a text are runs of WORDS words; a long word counts as all its pieces of LONG characters, so that an edit
+in text without spaces changes only the pieces around it. Each gets the number of its earlier occurrences, so repeats count apart.
 There are BUCKETS sketches. Sketch b orders the hashes of (k-mer, number) from the start of the b-th of as many ranges on,
 around the end to the start again; of the whole text the two first in this order are put back into text order and hashed
 as a tuple. Long texts have two k-mers in each range; in short ones a sketch goes on to those of later ranges. Two texts
@@ -19,7 +20,8 @@ WORDS = 3
 BUCKETS = 64  # sketches and ranges, by the top six bits of a hash
 BLOCK_BITS = 10  # documents with the same id but for so many bits are one group when neighbours are looked up
 UPPER_BITS = 18  # block numbers with the same number but for so many bits are one group
-_WORD = r"[^\x20\x09-\x0D]{1,16}"  # longer words are cut, so that text without spaces has words as well
+LONG = 16  # characters of a word, over which it is taken apart
+_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _top(x: Column) -> Column:
@@ -35,13 +37,34 @@ def _occurrence(s: Column, bits: Column) -> Column:
             full = (F.get(groups, start) == g) & (start > 0)
             return F.when(full, longer).otherwise(i - start - F.array_position(F.slice(groups, start + 1, n + 1), g) + 1)
 
-        everything = (i - F.array_position(groups, g) + 1).cast("long")
+        def halved(at: Column, _: Column) -> Column:
+            """One step of the search for the first place of g, between at.lo and at.hi."""
+            middle = F.shiftright(at["lo"] + at["hi"], 1)
+            return let(middle, lambda m: F.when(F.get(groups, m) < g, F.struct(F.least(m + 1, at["hi"]).alias("lo"), at["hi"].alias("hi"))).otherwise(F.struct(at["lo"].alias("lo"), m.alias("hi"))))
+
+        searched = i - F.aggregate(F.sequence(F.lit(1), F.lit(31)), F.struct(F.lit(0).alias("lo"), i.alias("hi")), halved)["hi"]
         one_before = (i > 0) & (F.get(groups, i - 1) == g)
-        return F.when(one_before, within(8, within(128, within(2048, everything)))).otherwise(F.lit(0)).cast("long")
+        return F.when(one_before, within(8, within(128, searched))).otherwise(F.lit(0)).cast("long")
 
     return let(F.transform(s, lambda x: F.call_function("shiftright", x, bits)), lambda groups: F.transform(s, lambda x, i: F.call_function("shiftleft", number(groups, F.get(groups, i), i), F.lit(32)).bitwiseOR(x - F.call_function("shiftleft", F.get(groups, i), bits))))
 
 
+def _is_long(word: Column) -> Column:
+    return F.length(word) > LONG
+
+
+def _pieces(words: Column) -> Column:
+    """The words, with every piece of LONG characters in place of a longer one."""
+
+    def cut(word: Column) -> Column:
+        def of(c: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.size(c) - (LONG - 1)), lambda i: F.array_join(F.slice(c, i, F.lit(LONG)), ""))
+
+        return F.when(_is_long(word), let(F.split(word, ""), of)).otherwise(F.array(word))
+
+    return F.flatten(F.transform(words, cut))
+
+
 def _kmers(words: Column, k: int) -> Column:
     n = F.size(words)
     whole = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(words)))
@@ -69,7 +92,7 @@ def _pairs(s: Column, hashes: Column, mask: Column) -> Column:
             packed = let(code.bitwiseAND(F.lit((1 << 34) - 1)), lambda c: F.transform(sketches, lambda r: F.call_function("shiftleft", r.cast("long"), F.lit(34)).bitwiseOR(c)))
             return F.when(before < top, packed)
 
-        return F.array_sort(F.flatten(F.filter(F.transform(sel, one), lambda v: v.isNotNull())))
+        return F.sort_array(F.flatten(F.filter(F.transform(sel, one), lambda v: v.isNotNull())))
 
     return F.when(F.size(s) == 0, s).otherwise(let(kept, tuples))
 
@@ -92,11 +115,11 @@ def fingerprint(text: Column, k: int = WORDS) -> Column:
             numbered = let(
                 F.when(F.size(F.array_distinct(kh)) == F.size(kh), kh).otherwise(
                     let(
-                        F.array_sort(_numbers(kh, packed, b)),
+                        F.sort_array(_numbers(kh, packed, b)),
                         lambda rows: F.transform(rows, lambda r, i: let(F.get(kh, i), lambda h: let(r.bitwiseAND(F.lit((1 << 31) - 1)), lambda o: F.when(o == 0, h).otherwise(F.xxhash64(h, o))))),
                     )
                 ),
-                lambda hs: let(F.array_sort(F.transform(hs, packed)), lambda s: _pairs(s, hs, low)),
+                lambda hs: let(F.sort_array(F.transform(hs, packed)), lambda s: _pairs(s, hs, low)),
             )
             return numbered
 
@@ -105,7 +128,7 @@ def fingerprint(text: Column, k: int = WORDS) -> Column:
     def _numbers(kh: Column, packed, b: Column) -> Column:
         """position << 31 | number, to be sorted by position."""
         return let(
-            F.array_sort(F.transform(kh, packed)),
+            F.sort_array(F.transform(kh, packed)),
             lambda s: F.transform(
                 _occurrence(s, b),
                 lambda x: F.call_function("shiftleft", x.bitwiseAND(F.lit((1 << 32) - 1)), F.lit(31)).bitwiseOR(F.call_function("shiftright", x, F.lit(32))),
@@ -113,7 +136,7 @@ def fingerprint(text: Column, k: int = WORDS) -> Column:
         )
 
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORD), F.lit(0))
-    return let(words, lambda w: let(_kmers(w, k), of_kmers))
+    return let(words, lambda w: let(F.when(F.exists(w, _is_long), _pieces(w)).otherwise(w), lambda p: let(_kmers(p, k), of_kmers)))
 
 
 def likeness(a: Column, b: Column) -> Column:
