@@ -7,11 +7,19 @@ a window is cut depends on its own bytes only, and equal windows lie at the same
 1. The parse: tasks send each document's triggers to the bucket of their hash, packed into blobs. A bucket sends back to
    documents which of their triggers other documents have as well.
 2. The dictionary: the phrases of such triggers go to the bucket of the trigger. There equal phrases become one entry
-   with its smallest document, and the entries' suffixes are sorted by their bytes down to `length` of them (prefix
-   doubling): in each class of suffixes that begin alike the smallest document decides. Since a window lies wholly inside
-   its phrase, no order beyond the bucket's dictionary is needed; a suffix array of all buckets or of the parse is not built.
+   with its smallest document. The entries' suffixes are put into a suffix array down to a depth of `length` bytes
+   (prefix doubling, so bytes decide); neighbours in it that have `length` bytes in common are one class, in which the
+   smallest document decides.
 3. What the classes decide is carried back through the parse to the documents, as byte ranges.
 
+Prefix-free parsing orders suffixes that reach beyond their phrase by the order of the parse. Here a window lies wholly
+inside its phrase, and equal windows in phrases of equal triggers, so neither the parse's order nor that of two buckets is
+ever asked for, and neither is built.
+
+What documents of one batch have in common is settled in its task: of a trigger the smallest and the largest document go
+to the bucket, of a phrase the smallest one, and the others get their answer at once. So a passage that a third of all
+documents have costs its bucket two rows for each batch.
+
 Texts are partitioned by document once; the three joins that need them use the same exchange.
 """
 
@@ -98,6 +106,25 @@ def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[part[0]]), part
 
 
+def _starts(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    n = len(sorted_by[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.logical_or.reduce([a[1:] != a[:-1] for a in sorted_by])
+    return np.flatnonzero(new)
+
+
+def _over(start: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
+    """One value for each run, repeated over the run."""
+    return np.repeat(values, np.diff(np.concatenate([start, [n]])))
+
+
+def _passed(replies: pa.RecordBatch) -> pa.RecordBatch:
+    """Answers that are known before their bucket is asked: they go by it, with negative bucket numbers."""
+    return pa.RecordBatch.from_arrays([pa.array(-1 - replies.column(0).to_numpy(), pa.int32()), replies.column(1)], names=["bucket", "blob"])
+
+
 def _blobs(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "blob"])
 
@@ -115,6 +142,15 @@ def _parse(length: int, buckets: int):
                 key.append(k)
                 place.append(_ordinals(d))
             d, k, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, key, place))
+            order = np.argsort(k, kind="stable")
+            d, k, p = d[order], k[order].astype(np.uint64), p[order]
+            if len(d):
+                start, own = _starts(k), ids[d]
+                least, most = (_over(start, len(d), f.reduceat(own, start)) for f in (np.minimum, np.maximum))
+                between = (own > least) & (own < most)
+                if between.any():
+                    yield _passed(_replies(ids, marks, d[between], buckets, p[between]))
+                    d, k, p = d[~between], k[~between], p[~between]
             found = []
             for b, part in _split(_buckets(k.astype(np.uint64), buckets)):
                 part = part[np.argsort(k[part], kind="stable")]
@@ -183,30 +219,35 @@ def _shared(buckets: int):
     """Places of the triggers whose key more than one document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return (_replies(i, m, d, buckets, p) for i, m, d, p in _common(batches) if len(d))
+        for b, blobs in _by_bucket(batches):
+            if b < 0:
+                yield _blobs([(-1 - b, x) for x in blobs])
+                continue
+            i, m, d, p = _common(blobs)
+            if len(d):
+                yield _replies(i, m, d, buckets, p)
 
     return run
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    for _, blobs in _by_bucket(batches):
-        ids, marks, keys, docs, places, n = [], [], [], [], [], 0
-        for blob in blobs:
-            i, m, k, d, p = _unpack(blob, "<i8", "<i8", "<u8", "<u4", "<u4")
-            ids.append(i)
-            marks.append(m)
-            keys.append(np.cumsum(k, dtype=np.uint64))
-            docs.append(d.astype(np.int64) + n)
-            places.append(p)
-            n += len(i)
-        i, m, k, d, p = (np.concatenate(x) for x in (ids, marks, keys, docs, places))
-        order = np.argsort(k, kind="stable")
-        k, d, p = k[order], d[order], p[order]
-        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        of = i[d]
-        many = np.minimum.reduceat(of, start) < np.maximum.reduceat(of, start)
-        keep = np.repeat(many, np.diff(np.concatenate([start, [len(k)]])))
-        yield i, m, d[keep], p[keep].astype(np.int64)
+def _common(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    ids, marks, keys, docs, places, n = [], [], [], [], [], 0
+    for blob in blobs:
+        i, m, k, d, p = _unpack(blob, "<i8", "<i8", "<u8", "<u4", "<u4")
+        ids.append(i)
+        marks.append(m)
+        keys.append(np.cumsum(k, dtype=np.uint64))
+        docs.append(d.astype(np.int64) + n)
+        places.append(p)
+        n += len(i)
+    i, m, k, d, p = (np.concatenate(x) for x in (ids, marks, keys, docs, places))
+    order = np.argsort(k, kind="stable")
+    k, d, p = k[order], d[order], p[order]
+    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    of = i[d]
+    many = np.minimum.reduceat(of, start) < np.maximum.reduceat(of, start)
+    keep = np.repeat(many, np.diff(np.concatenate([start, [len(k)]])))
+    return i, m, d[keep], p[keep].astype(np.int64)
 
 
 def _dictionary(length: int, buckets: int):
@@ -215,6 +256,7 @@ def _dictionary(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks, wanted = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            parts, texts = [], []
             for lo, hi, data, offsets in tk.chunks(batch.column(2)):
                 d, first, last, k = phrases(data, offsets, length)
                 base = np.searchsorted(d, np.arange(hi - lo))
@@ -222,16 +264,30 @@ def _dictionary(length: int, buckets: int):
                 pick = np.unique(np.concatenate(picked)) if picked else np.zeros(0, np.int64)
                 d, first, last, k = d[pick], first[pick], last[pick], k[pick]
                 size = last - first + length
-                whole = tk.span_hash(tk.prefix_hash(data), first, first + size) ^ tk.mix(size.astype(np.uint64))
-                found = []
-                for b, part in _split(_buckets(k, buckets)):
-                    _, one, of = np.unique(whole[part], return_index=True, return_inverse=True)
-                    own, doc = np.unique(d[part], return_inverse=True)
-                    src = part[one]
-                    text = np.concatenate([data[first[j] : first[j] + size[j]] for j in src])
-                    found.append((b, _pack(ids[lo + own], marks[lo + own], size[src].astype(np.uint32), (k[src] % np.uint64(SLICES)).astype(np.uint8), text, of.astype(np.uint32), doc.astype(np.uint32), (first[part] - offsets[d[part]]).astype(np.int64))))
-                if found:
-                    yield _blobs(found)
+                whole = [tk.span_hash(tk.prefix_hash(data, x), first, first + size, x) for x in (0, 1)]
+                parts.append((d + lo, first, first - offsets[d], size, k, *whole, np.full(len(d), len(texts))))
+                texts.append(data)
+            d, first, at, size, k, one, two, chunk = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 8
+            if not len(d):
+                continue
+            order = np.lexsort((size, two, one))
+            d, first, at, size, k, one, two, chunk = (x[order] for x in (d, first, at, size, k, one, two, chunk))
+            start, own = _starts(one, two, size), ids[d]
+            later = own > _over(start, len(d), np.minimum.reduceat(own, start))
+            if later.any():
+                yield _passed(_replies(ids, marks, d[later], buckets, at[later], at[later] + size[later]))
+                d, first, at, size, k, one, two, chunk = (x[~later] for x in (d, first, at, size, k, one, two, chunk))
+            start = _starts(one, two, size)
+            entry = _over(start, len(d), np.arange(len(start)))
+            found = []
+            for b, part in _split(_buckets(k, buckets)):
+                own_entries, of = np.unique(entry[part], return_inverse=True)
+                docs, doc = np.unique(d[part], return_inverse=True)
+                src = start[own_entries]
+                text = np.concatenate([texts[chunk[j]][first[j] : first[j] + size[j]] for j in src])
+                found.append((b, _pack(ids[docs], marks[docs], size[src].astype(np.uint32), (k[src] % np.uint64(SLICES)).astype(np.uint8), text, of.astype(np.uint32), doc.astype(np.uint32), at[part].astype(np.int64))))
+            if found:
+                yield _blobs(found)
 
     return run
 
@@ -257,10 +313,12 @@ def _order(length: int, i, size, text_at, text, f, d, at):
     size = size[used]
     begin = np.cumsum(size) - size
     text = text[np.arange(size.sum()) + np.repeat(text_at[used] - begin, size)]
-    prefix = tk.prefix_hash(text)
-    # equal phrases of different blobs become one entry
-    whole = tk.span_hash(prefix, begin, begin + size) ^ tk.mix(size.astype(np.uint64))
-    _, one, of = np.unique(whole, return_index=True, return_inverse=True)
+    # equal phrases of different blobs become one entry; two hashes of 64 bits and the size tell phrases apart
+    whole = [tk.span_hash(tk.prefix_hash(text, x), begin, begin + size, x) for x in (0, 1)]
+    order = np.lexsort((size, *whole))
+    start = _starts(size[order], *(x[order] for x in whole))
+    one, of = order[start], np.empty(len(size), np.int64)
+    of[order] = _over(start, len(size), np.arange(len(start)))
     f, size, old = of[f], size[one], begin[one]
     begin = np.cumsum(size) - size
     text = text[np.arange(size.sum()) + np.repeat(old - begin, size)]
@@ -273,11 +331,10 @@ def _order(length: int, i, size, text_at, text, f, d, at):
     entry = np.repeat(np.arange(len(one)), count)
     shift = np.arange(count.sum()) - np.repeat(at_window, count)
     h = suffix_keys(text, begin[entry] + shift, length)
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    array = np.argsort(h, kind="stable")  # the suffix array; equal keys: at least `length` bytes in common
+    start = _starts(h[array])
     window = np.empty(len(h), np.int64)
-    window[order] = np.repeat(np.minimum.reduceat(least[entry[order]], start), np.diff(np.concatenate([start, [len(h)]])))
+    window[array] = _over(start, len(h), np.minimum.reduceat(least[entry[array]], start))
     top, bottom = np.maximum.reduceat(window, at_window), np.minimum.reduceat(window, at_window)
     full, some = own > top[f], (own <= top[f]) & (own > bottom[f])
     where, lo, hi = [d[full]], [at[full]], [at[full] + size[f[full]]]
@@ -301,7 +358,10 @@ def _decide(length: int, buckets: int):
     """Byte ranges (start, end) of windows that a smaller document has as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in _by_bucket(batches):
+        for b, blobs in _by_bucket(batches):
+            if b < 0:
+                yield _blobs([(-1 - b, x) for x in blobs])
+                continue
             ids, marks, sizes, slices, texts, phrase, docs, starts, n, m = [], [], [], [], [], [], [], [], 0, 0
             while blobs:
                 i, mk, s, sl, t, f, d, at = _unpack(blobs.pop(), "<i8", "<i8", "<u4", "<u1", "<u1", "<u4", "<u4", "<i8")

@@ -52,16 +52,19 @@ def _powers(name: str, base: int, n: int) -> np.ndarray:
     return _POWERS[name][:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+_BASES = (_BASE, 0x2545F4914F6CDD1D)  # two hashes that are independent of each other
+
+
+def prefix_hash(data: np.ndarray, which: int = 0) -> np.ndarray:
     """Prefix sums of a polynomial hash; see span_hash."""
     out = np.zeros(len(data) + 1, _U)
-    np.cumsum(_TABLE[data] * _powers("up", _BASE, len(data)), out=out[1:])
+    np.cumsum(mix(_TABLE + _U(which))[data] * _powers(f"up{which}", _BASES[which], len(data)), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """Hashes of data[start:end]: equal bytes give equal hashes wherever they stand."""
-    down = _powers("down", pow(_BASE, -1, 1 << 64), len(prefix))
+    down = _powers(f"down{which}", pow(_BASES[which], -1, 1 << 64), len(prefix))
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
