@@ -101,7 +101,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarr
     at = np.concatenate([[0], np.cumsum(per)])
     whole = np.zeros(len(h), _U)
     for j in range(k):
-        whole[: len(h) - j] += h[j:] * _U(0x9E3779B97F4A7C15 * (2 * j + 1) & (1 << 64) - 1)
+        whole[: max(len(h) - j, 0)] += h[j:] * _U(0x9E3779B97F4A7C15 * (2 * j + 1) & (1 << 64) - 1)
     whole = mix(whole)
     for i in range(n):
         a, b = at[i], at[i + 1]
