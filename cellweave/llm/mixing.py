@@ -48,7 +48,8 @@ def mix(docs: DataFrame, weight: Column | None = None, epochs: float = 3.0, seed
     size: words of the text. repeats: how often the mix takes it; taken = size * repeats, at most `epochs` times the
     size. A source's taken words differ from its target by less than one document. weight: an expression over `rank`;
     by default 1, 2, 3 and again. Null sources are one source. Null and empty texts have size 0 and repeat floor(e)
-    times. Repeated ids are ordered by their text's hash as well. No documents: no rows. Other columns are ignored.
+    times. Rows with the same id are ordered by size; rows with a null id
+    are placed by their text's hash. No documents: no rows. Other columns are ignored.
     """
     out = _planned(docs, weight, epochs, seed, id_col, text_col, source_col)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
@@ -62,7 +63,7 @@ def mixed(docs: DataFrame, weight: Column | None = None, epochs: float = 3.0, se
 
 def _planned(docs: DataFrame, weight: Column | None, epochs: float, seed: str, id_col: str, text_col: str, source_col: str, row: Column | None = None) -> DataFrame:
     weight = F.col("rank") % 3 + 1 if weight is None else weight
-    rows = docs.select(F.lit(None).alias("row") if row is None else row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))).alias("place"))
+    rows = docs.select(F.lit(None).alias("row") if row is None else row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text_col).cast("string")), F.lit(f":{seed}"))).alias("place"))
     rows = rows.withColumn("bin", F.substring("place", 1, BIN_DIGITS))
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     goals = targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weight, epochs)
