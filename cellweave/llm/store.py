@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (as in tests), a new one, set for the session."""
+    """The folder in spark.checkpoint.dir; where that is unset on one machine (as in tests), a new one, set for the session.
+
+    On a cluster the setting must be there: each machine would write to a folder of its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-")
         if not current.isDefined():
             spark.sparkContext.setCheckpointDir(found)
