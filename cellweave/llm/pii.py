@@ -36,7 +36,11 @@ def _keyed(key: str, *parts: Column) -> Column:
 
 
 def permute(value: Column, size: Column, key: str, tweak: Column) -> Column:
-    """A keyed one-to-one map of 0..size-1 onto itself: Feistel rounds on a grid just larger, walked until inside."""
+    """A keyed one-to-one map of 0..size-1 onto itself: Feistel rounds on a grid just larger, walked until inside.
+
+    The grid has under sqrt(size) + 1 places more than size, so a walk passes them all within WALKS steps for sizes under
+    500, and for larger ones is still outside with probability under size^(-WALKS / 2); its value then stays as it is.
+    """
 
     def turned(i: int, a: Column, b: Column):
         def left(s: Column) -> Column:
@@ -57,7 +61,8 @@ def permute(value: Column, size: Column, key: str, tweak: Column) -> Column:
                     state = let(state, turned(i, a, b))
                 return let(state, lambda s: s["l"] * b + s["r"])
 
-            return F.aggregate(F.sequence(F.lit(0), F.lit(WALKS)), value, lambda x, i: F.when((i > 0) & (x < size), x).otherwise(once(x)))
+            walked = F.aggregate(F.sequence(F.lit(0), F.lit(WALKS)), value, lambda x, i: F.when((i > 0) & (x < size), x).otherwise(once(x)))
+            return let(walked, lambda x: F.when(x < size, x).otherwise(value))
 
         return let(div(size + b - 1, b), with_rows)
 
@@ -141,9 +146,11 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
+    """A digest as long as the secret, in its case, behind the prefix that tells its kind."""
+    prefix = F.regexp_extract(m, "^(?:AKIA|gh[pousr]_|sk-)", 0)
     name = F.concat_ws("|", F.lit(key), F.lit("secret"), m)
-    digest = F.substring(F.concat(*[F.sha2(F.concat_ws("|", name, F.lit(i)), 256) for i in range(2)]), F.lit(1), F.length(m))
-    return F.when(m.rlike("^[0-9A-F]+$"), F.upper(digest)).otherwise(digest)
+    digest = F.substring(F.concat(*[F.sha2(F.concat_ws("|", name, F.lit(i)), 256) for i in range(2)]), F.lit(1), F.length(m) - F.length(prefix))
+    return F.concat(prefix, F.when(m.rlike("^[0-9A-Z]+$"), F.upper(digest)).otherwise(digest))
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -173,9 +180,11 @@ def pseudonym(m: Column, key: str) -> Column:
     return let(kind, of_kind)
 
 
-def pseudonymise(docs: DataFrame, key: str = "key for tests: set your own", text_col: str = "text", count_col: str | None = "n_replaced") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_replaced") -> DataFrame:
     """docs with text_col's personal data replaced, and how many finds changed in count_col, if that is named.
 
+    key: whoever has it can undo the permutations; the same key gives the same pseudonyms in every run.
+
     Null texts stay null (0 finds), texts without finds stay as they are; all other columns and all rows are kept. A
     column of the frame that is named like count_col is replaced.
     """

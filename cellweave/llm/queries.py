@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +40,13 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold="0.85")
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret key named in spark.cellweave.pii.key; without one, a random key for this call, which nobody can undo."""
+    return spark.conf.get("spark.cellweave.pii.key", None) or secrets.token_hex(32)
+
+
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

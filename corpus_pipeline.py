@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import mixing, near_dedup, packing, pii, quality
-from cellweave.llm.queries import tokenizer_path
+from cellweave.llm.queries import pii_key, tokenizer_path
 from cellweave.llm.store import stored, table
 
 
@@ -20,15 +20,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id (five words, similarity 0.8)."""
+    """One document of each group of near copies stays: the one with the smallest id (five words, similarity 0.8).
+
+    Rows with a null id stay."""
     found = near_dedup.near_duplicates(docs, words=5, threshold="0.8")
     return docs.join(found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes pseudonyms; n_chars follows the new text."""
-    out = pii.pseudonymise(docs, count_col=None)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+    out = pii.pseudonymise(docs, pii_key(spark), count_col=None)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Trees, MinHash and a genetic algorithm have no SQL; the stages are tested one by one against brute force.
+#: Trees, MinHash and a genetic algorithm have no SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -165,7 +165,7 @@ def test_encoding_is_the_tokenizer():
 def test_pseudonyms(spark, none):
     text = 'Mail jo.x@mail7.example.com, call +1 (974) 555-3436, card 4111111111111111 not 4111111111111112, ip 10.2.3.4 not 10.2.3.400, on 2024-02-29 not 2023-02-29, 31.12.1999, 078-05-1120 not 000-05-1120, token = "04dbebab91ab85687d33eeaaf9ac699e1188aaaa".'
     rows = [(0, text), (1, text + " again"), (2, None), (3, ""), (4, "nothing 12 here")]
-    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "test").collect()}
     new = got[0]["text"]
     for gone in ("jo.x@", "555-3436", "4111111111111111 ", "10.2.3.4 ", "2024-02-29", "31.12.1999", "078-05-1120", "04dbebab"):
         assert gone not in new
@@ -174,7 +174,7 @@ def test_pseudonyms(spark, none):
     assert got[1]["text"] == new + " again" and got[0]["n_replaced"] == 8 and got[2]["text"] is None and got[4]["text"] == rows[4][1]
     card = re.search(r"card (\d{16})", new)[1]
     assert sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(card))) % 10 == 0
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(none, "test").count() == 0
 
 
 def test_permutation_is_one_to_one(spark):
