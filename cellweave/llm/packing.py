@@ -29,7 +29,8 @@ from cellweave.llm import textkit as tk
 from cellweave.llm.store import stored
 
 CAPACITY, END = 1024, 2
-GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 2, 16, 6
+GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 2, 30, 6
+PATIENCE = 8  # generations without a better packing, after which an island rests
 #: Fixed: how the byte-level vocabulary cuts a text into words before it merges bytes.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space of a length that the pattern's look-ahead cannot step back over (Unicode's White_Space, fixed).
@@ -142,13 +143,21 @@ class Pool:
         found = np.flatnonzero(self.count[: room + 1])
         return int(found[-1]) if len(found) else 0
 
-    def fill(self, room: int, rng: np.random.Generator | None) -> list[int]:
-        """Items for a room: one that fits exactly, or two that do, or the longest and so on with the room it leaves."""
+    def fill(self, room: int, rng: np.random.Generator | None, eager: bool) -> list[int]:
+        """Items for a room: one that fits exactly, or two that do, or the longest and so on with the room it leaves.
+
+        Unless eager, two are looked for only where the longest would leave room that nothing fits into, which spares the
+        short items.
+        """
         out = []
         while room > 0 and self.left:
-            if self.count[room]:
-                out.append(self.take(room))
+            n = self.top(room)
+            if not n:
                 break
+            if n == room or not eager and self.count[1 : room - n + 1].any():
+                out.append(self.take(n))
+                room -= n
+                continue
             has = self.count[1:room] > 0
             both = np.flatnonzero(has & has[::-1]) + 1
             both = both[len(both) // 2 :]  # the longer of each two
@@ -158,19 +167,16 @@ class Pool:
                 n = int(both[-1 if rng is None else int(rng.integers(len(both)))])
                 out += [self.take(n), self.take(room - n)]
                 break
-            n = self.top(room)
-            if not n:
-                break
             out.append(self.take(n))
             room -= n
         return out
 
-    def bins(self, rng: np.random.Generator | None = None) -> list[list[int]]:
+    def bins(self, rng: np.random.Generator | None = None, eager: bool = False) -> list[list[int]]:
         """All items in new bins, each begun with the longest item left."""
         out = []
         while self.left:
             n = self.top(CAPACITY)
-            out.append([self.take(n), *self.fill(CAPACITY - n, rng)])
+            out.append([self.take(n), *self.fill(CAPACITY - n, rng, eager)])
         return out
 
 
@@ -198,11 +204,18 @@ def _cross(lengths: np.ndarray, a: list[list[int]], b: list[list[int]], rng: np.
     injected = [a[k] for k in best if fill[k] == CAPACITY or rng.random() < 0.5]
     taken = np.zeros(len(lengths), bool)
     taken[[i for x in injected for i in x]] = True
-    # bins with room left are opened as well, and some full ones, so that best fit has something to choose from
-    again = rng.uniform(0.02, 0.3)
-    kept = [x for x, f in zip(b, _fills(lengths, b)) if f == CAPACITY and not taken[x].any() and rng.random() >= again]
+    # some other bins are opened as well, so that best fit has something to choose from: those with room left, or the emptiest
+    again, by_room = rng.uniform(0.02, 0.3), rng.random() < 0.5
+    fills = _fills(lengths, b)
+    full = fills > np.quantile(fills, again / 2) if by_room else fills == CAPACITY
+    kept = [x for x, f in zip(b, full) if f and not taken[x].any() and rng.random() >= again]
     taken[[i for x in kept for i in x]] = True
-    return injected + kept + Pool(lengths, np.flatnonzero(~taken)).bins(rng)
+    rest = np.flatnonzero(~taken)
+    if by_room:  # item by item into the room that it leaves least of, also in bins that are kept
+        out = Bins(lengths.tolist(), injected + kept)
+        out.put(rest.tolist())
+        return out.bins
+    return injected + kept + Pool(lengths, rest).bins(rng, rng.random() < 0.5)
 
 
 def bound(lengths: np.ndarray) -> int:
@@ -227,15 +240,19 @@ def evolve(lengths: list[int], start: list[list[int]], seed: int) -> list[list[i
     if len(people[0]) <= least:
         return people[0]
     people.append(Pool(lengths, np.arange(len(lengths))).bins())
+    people.append(Pool(lengths, np.arange(len(lengths))).bins(rng, eager=True))
     while len(people) < POPULATION:
         people.append(Pool(lengths, np.arange(len(lengths))).bins(rng))
+    people.sort(key=rank)
+    stale = 0
     for _ in range(GENERATIONS):
-        people.sort(key=rank)
-        if len(people[0]) <= least:
+        if len(people[0]) <= least or stale == PATIENCE:
             break
         mate = int(rng.integers(1, len(people)))
-        people[-1] = min((_cross(lengths, people[0], people[mate], rng), _cross(lengths, people[mate], people[0], rng)), key=rank)
-    return min(people, key=rank)
+        child = _cross(lengths, people[0], people[mate], rng) if rng.random() < 0.5 else _cross(lengths, people[mate], people[0], rng)
+        stale = 0 if rank(child) < rank(people[0]) else stale + 1
+        people = sorted([*people[:-1], child], key=rank) if rank(child) < rank(people[-1]) else people
+    return people[0]
 
 
 def _epoch(epoch: int):
@@ -261,14 +278,17 @@ def assign(items: DataFrame) -> DataFrame:
     """(row, bin_group, bin) of items (row, length), each length under the capacity; bins count within their group."""
     total = items.count()
     groups = max(1, -(-total // GROUP))
+    # a named number of partitions is not merged by the size of the rows, which are few bytes for much work
+    parts = min(groups * ISLANDS, max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups * ISLANDS // 16))
+    islands = lambda x: x.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).repartition(parts, "grp", "island")
     dealt = items.select(F.pmod(F.xxhash64("row"), F.lit(groups)).alias("grp"), "row", "length", F.lit(0).cast("long").alias("bin"))
-    now = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+    now = islands(dealt)
     schema = "grp long, island int, row long, length long, bin long, bins long, fill double"
     for epoch in range(EPOCHS):
         done = stored(now.groupBy("grp", "island").applyInArrow(_epoch(epoch), schema), "epoch")
         elite = done.groupBy("grp").agg(F.min(F.struct("bins", "fill", "island")).alias("e")).select("grp", F.col("e.island").alias("island"))
         best = done.join(elite, ["grp", "island"]).select("grp", "row", "length", "bin")
-        now = best.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+        now = islands(best)
     return best.select("row", F.col("grp").alias("bin_group"), "bin")
 
 
