@@ -29,8 +29,8 @@ from cellweave.llm import textkit as tk
 from cellweave.llm.store import stored
 
 CAPACITY, END = 1024, 2
-GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 2, 30, 6
-PATIENCE = 8  # generations without a better packing, after which an island rests
+GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 2, 30, 5
+PATIENCE = 10  # generations without a better packing, after which an island rests
 #: Fixed: how the byte-level vocabulary cuts a text into words before it merges bytes.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space of a length that the pattern's look-ahead cannot step back over (Unicode's White_Space, fixed).
@@ -208,7 +208,9 @@ def _cross(lengths: np.ndarray, a: list[list[int]], b: list[list[int]], rng: np.
     again, by_room = rng.uniform(0.02, 0.3), rng.random() < 0.5
     fills = _fills(lengths, b)
     full = fills > np.quantile(fills, again / 2) if by_room else fills == CAPACITY
-    kept = [x for x, f in zip(b, full) if f and not taken[x].any() and rng.random() >= again]
+    size = np.array([len(x) for x in b])
+    free = ~np.logical_or.reduceat(taken[np.concatenate(b).astype(np.int64)], np.cumsum(size) - size)
+    kept = [b[k] for k in np.flatnonzero(full & free & (rng.random(len(b)) >= again))]
     taken[[i for x in kept for i in x]] = True
     rest = np.flatnonzero(~taken)
     if by_room:  # item by item into the room that it leaves least of, also in bins that are kept
@@ -243,16 +245,18 @@ def evolve(lengths: list[int], start: list[list[int]], seed: int) -> list[list[i
     people.append(Pool(lengths, np.arange(len(lengths))).bins(rng, eager=True))
     while len(people) < POPULATION:
         people.append(Pool(lengths, np.arange(len(lengths))).bins(rng))
-    people.sort(key=rank)
+    ranked = sorted(((rank(x), x) for x in people), key=lambda r: r[0])
     stale = 0
     for _ in range(GENERATIONS):
-        if len(people[0]) <= least or stale == PATIENCE:
+        (top, best), (_, mate), (last, _) = ranked[0], ranked[int(rng.integers(1, len(ranked)))], ranked[-1]
+        if top[0] <= least or stale == PATIENCE:
             break
-        mate = int(rng.integers(1, len(people)))
-        child = _cross(lengths, people[0], people[mate], rng) if rng.random() < 0.5 else _cross(lengths, people[mate], people[0], rng)
-        stale = 0 if rank(child) < rank(people[0]) else stale + 1
-        people = sorted([*people[:-1], child], key=rank) if rank(child) < rank(people[-1]) else people
-    return people[0]
+        child = _cross(lengths, best, mate, rng) if rng.random() < 0.5 else _cross(lengths, mate, best, rng)
+        new = rank(child)
+        stale = 0 if new < top else stale + 1
+        if new < last:
+            ranked = sorted([*ranked[:-1], (new, child)], key=lambda r: r[0])
+    return ranked[0][1]
 
 
 def _epoch(epoch: int):
