@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.labelled import held_out, training_rows
@@ -37,6 +37,15 @@ def _evidence(a: int, n: int, b: int, m: int) -> float:
     return math.sqrt(max(0.0, 2 * sum(x * math.log(x / e) for x, e in cells if x)))
 
 
+def _telling(n: int, pos: int) -> Column:
+    """Index.chosen as a condition on d examples with a form, a of them of label 1; a hair wider, as the index chooses itself."""
+    a, d = F.col("a").cast("double"), F.col("d").cast("double")
+    share = d / max(n, 1)
+    cells = ((a, share * pos), (pos - a, (1 - share) * pos), (d - a, share * (n - pos)), (n - pos - d + a, (1 - share) * (n - pos)))
+    total = sum((F.when((x > 0) & (e > 0), x * F.log(x / e)).otherwise(0.0) for x, e in cells), F.lit(0.0))
+    return (F.col("d") >= max(4, n // 2000)) & (2 * total > (LEAST_EVIDENCE - 1e-6) ** 2)
+
+
 def _forms(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
 
@@ -198,9 +207,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
 
     made = training_rows(docs, labels, label, rows).mapInArrow(bags, "id long, label int, terms array<string>, counts array<int>").cache()
     try:
-        # a form that fewer than four examples have is never a term of the index
-        common = made.select(F.explode("terms").alias("t")).groupBy("t").count().where("count >= 4").select("t")
-        kept = made.select("id", F.explode(F.arrays_zip("terms", "counts")).alias("e")).select("id", F.col("e.terms").alias("t"), F.col("e.counts").alias("c")).join(common, "t")
+        # which forms tell the labels apart is counted by Spark, so that only the index's own terms come to the driver
+        n, pos = made.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+        pairs = made.select("id", "label", F.explode(F.arrays_zip("terms", "counts")).alias("e")).select("id", "label", F.col("e.terms").alias("t"), F.col("e.counts").alias("c"))
+        forms = pairs.groupBy("t").agg(F.count(F.lit(1)).alias("d"), F.sum("label").alias("a"))
+        kept = pairs.join(forms.where(_telling(n, pos)).select("t"), "t")
         got = made.select("id", "label").join(kept.groupBy("id").agg(F.collect_list("t").alias("t"), F.collect_list("c").alias("c")), "id", "left").toArrow()
     finally:
         made.unpersist()
