@@ -41,7 +41,7 @@ _FOLD: list[np.ndarray] = []
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each n-gram, its row, rows that have a letter). n-grams lie within a word and its two edges."""
+    """(hash of each n-gram, its row, rows that have a letter). n-grams lie within a word and one of its edges."""
     if not _FOLD:
         _FOLD.append(_letters())
     parts = [np.frombuffer((" " + (t or "") + " ").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
