@@ -46,6 +46,7 @@ def L(x: str, name: str) -> str:
 
 O = '"ObjectNumber"'  # noqa: E741
 KEYS = f"image_id, {L(O, O)}, channel"
+_PIX = f"image_id, channel, {L('row', 'row')}, {L('col', 'col')}"
 
 
 # --- sources and per-cell aggregates ---------------------------------------------------------------------------------
@@ -72,6 +73,17 @@ def s3(spark, d):
 _WIDE = ", ".join(f"{D(f'avg(value) FILTER (channel = {chr(39)}{c}{chr(39)})', f'{chr(34)}{c}_MEAN{chr(34)}')}, {D(f'max(value) FILTER (channel = {chr(39)}{c}{chr(39)})', f'{chr(34)}{c}_MAX{chr(34)}')}" for c in fx.CHANNELS)
 
 
+@query("s3_chosen_channels", f"SELECT {_PIX}, {D('value', 'value')} FROM px WHERE channel IN ('A', 'R')")
+def s3_chosen(spark, d):
+    return images.chosen_channels(fx.pixels(spark, d), ["A", "R"])
+
+
+@query("j2_cells_with_metadata", f"w AS (SELECT image_id, l_suppkey % 50 AS o, count(*) AS n, sum(CAST(l_quantity AS DOUBLE)) AS q FROM ln GROUP BY ALL) SELECT {KEYS}, {D('avg(value)', 'value')}, {L('any_value(n)', 'lines')}, {D('any_value(q)', 'quantity')} FROM cl JOIN w ON w.image_id = cl.image_id AND w.o = cl.{O} GROUP BY cl.image_id, cl.{O}, channel".replace("SELECT image_id, CAST", "SELECT cl.image_id, CAST"))
+def j2(spark, d):
+    info = fx._lines(spark, d).groupBy("image_id", (F.col("l_suppkey") % 50).cast("int").alias("ObjectNumber")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("l_quantity").cast("double")).alias("quantity"))
+    return images.with_metadata(cells.cell_intensities(fx.pixels(spark, d), fx.mask(spark, d)).select(*cells.KEY, "value"), info)
+
+
 @query("s4_wide_cells", f"SELECT image_id, {L(O, O)}, {_WIDE} FROM cl GROUP BY image_id, {O}")
 def s4(spark, d):
     p, m = fx.pixels(spark, d), fx.mask(spark, d)
@@ -131,9 +143,6 @@ def a8(spark, d):
 
 # --- grid statistics ---------------------------------------------------------------------------------------------------
 
-_PIX = f"image_id, channel, {L('row', 'row')}, {L('col', 'col')}"
-
-
 def _near(source: str, value: str, name: str, queen: bool = True) -> str:
     """CTE: 3 x 3 sums (rook: cross) with the border repeated, centre included."""
     shape = "" if queen else "WHERE dr * dc = 0"
@@ -187,6 +196,44 @@ def g4(spark, d):
     return hotspot.g_radius(fx.pixels(spark, d), 5).drop("value")
 
 
+#: Offsets and weights within a distance of 2, exp(-distance), and sums with them; the centre is among them.
+_WIDE_KERNEL = "w AS (SELECT dr, dc, exp(-sqrt(dr * dr + dc * dc)) AS w FROM (SELECT unnest(range(-2, 3)) AS dr) x, (SELECT unnest(range(-2, 3)) AS dc) y WHERE dr * dr + dc * dc <= 4), w1 AS (SELECT sum(w) AS w1 FROM w)"
+
+
+def _weighted(source: str, value: str, name: str) -> str:
+    return f"""{name} AS (SELECT a.image_id, a.channel, a.row, a.col, sum(b.{value} * w) AS xns FROM {source} a CROSS JOIN w JOIN {source} b ON b.image_id = a.image_id AND b.channel = a.channel
+ AND b.row = greatest(0, least({fx.SIDE - 1}, a.row + dr)) AND b.col = greatest(0, least({fx.SIDE - 1}, a.col + dc)) GROUP BY ALL)"""
+
+
+def _wide_kernel():
+    return stencil.circular_kernel(2, weight="exp")
+
+
+@query("g3_weighted_kernel", f"""{_WIDE_KERNEL}, {_weighted('px', 'value', 'nb')}, gs AS (SELECT image_id, channel, avg(value) AS m, avg(value * value) AS m2, CAST(count(*) AS DOUBLE) AS n FROM px GROUP BY ALL),
+ z AS (SELECT *, (m2 - m * m) * (n * w1 - w1 * w1) / (n - 1) AS spread FROM nb JOIN gs USING (image_id, channel), w1) SELECT {_PIX}, {D('CASE WHEN spread > 1e-12 THEN (xns - m * w1) / sqrt(spread) END', 'g')} FROM z""")
+def g3_kernel(spark, d):
+    return hotspot.g_classical(fx.pixels(spark, d), kernel=_wide_kernel()).drop("value")
+
+
+@query("g4_raw", f"""w AS (SELECT 1), {_near('px', 'value', 'nb')}, ds AS (SELECT a.image_id, a.channel, a.row, a.col, sum(b.value) AS sx
+ FROM px a JOIN px b ON b.image_id = a.image_id AND b.channel = a.channel AND b.row BETWEEN a.row - 5 AND a.row + 5 AND (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) <= 25 GROUP BY ALL)
+ SELECT {_PIX}, {D('xns / nullif(sx, 0)', 'g')} FROM ds JOIN nb USING (image_id, channel, row, col)""")
+def g4_raw(spark, d):
+    return hotspot.g_radius(fx.pixels(spark, d), 5, normalize=False).drop("value")
+
+
+@query("g12_weighted_kernel", f"""{_WIDE_KERNEL}, {_weighted('px', 'value', 'nb')}, rr AS (SELECT image_id, channel, row, col, pow(abs(value - xns / w1), 2.0) AS r FROM px JOIN nb USING (image_id, channel, row, col), w1), {_weighted('rr', 'r', 'rn')},
+ hs AS (SELECT image_id, channel, avg(r) AS mr, avg(r * r) AS mr2, CAST(count(*) AS DOUBLE) AS n FROM rr GROUP BY ALL),
+ hh AS (SELECT image_id, channel, row, col, xns / nullif(mr * w1, 0) AS h, 1.0 / (n - 1) * pow(1.0 / (mr * w1), 2.0) * (mr2 - mr * mr) * (n * w1 - w1 * w1) AS v FROM rn JOIN hs USING (image_id, channel), w1) SELECT {_PIX}, {D('h', 'h')}, {D('v', 'h_var')}, {D('2 * h / v', 'hz')} FROM hh""")
+def g12_kernel(spark, d):
+    return hotspot.h_classical(fx.pixels(spark, d), kernel=_wide_kernel()).select("image_id", "channel", "row", "col", "h", "h_var", "hz")
+
+
+@query("g13a_h_permuted")
+def g13a_permuted(spark, d):
+    return hotspot.h_statistic(fx.pixels(spark, d))
+
+
 _PERMUTED = "g7_shuffle_permutation g8_resampled_permutation g10_disc_permutation g11_radii_mean g11_radii_min g13_h_permutation".split()
 
 
@@ -405,7 +452,12 @@ def r7(spark, d):
     return polar.outside_part(_profile(spark, d))
 
 
-@query("r8_resampled")
+#: From the first to the last ring of the own cell; six rings at most, so that all of it is linear interpolation.
+_RESAMPLED = f"""{_RADIAL}, en AS (SELECT image_id, {O}, angle, coalesce(min(ring) FILTER (value > 0), 0) AS lo, coalesce(max(ring) FILTER (value > 0), 0) AS hi FROM rp WHERE channel = 'own_cell' GROUP BY ALL),
+fd AS (SELECT rp.image_id, rp.{O}, channel, angle, ring - lo AS j, hi - lo + 1 AS n, CASE WHEN channel IN ('any_cell', 'own_cell', 'any_nucleus', 'own_nucleus') THEN 1.0 ELSE value END AS value FROM rp JOIN en USING (image_id, {O}, angle) WHERE ring BETWEEN lo AND hi)"""
+
+
+@query("r8_resampled", f"""{_RESAMPLED} SELECT {KEYS}, {L('angle', 'angle')}, {L('k.k', 'bin')}, {D('sum(value * greatest(0, 1 - abs(k.k * (n - 1) / 5.0::DOUBLE - j)))', 'value')} FROM fd, range(6) k(k) GROUP BY image_id, {O}, channel, angle, k.k""")
 def r8(spark, d):
     return polar.scaled(_profile(spark, d), 6).select("image_id", "ObjectNumber", "channel", "angle", F.posexplode("values").alias("bin", "value"))
 
@@ -415,6 +467,15 @@ def r9(spark, d):
     return polar.to_grid(_profile(spark, d), polar.lookup(8, 6))
 
 
+_FINE = "fine(dr, dc, angle, ring) AS (VALUES " + ", ".join(map(str, polar.lookup(8, 12))) + ")"
+
+
+@query("r9_to_scaled_grid", f"""{_RADIAL}, {_FINE}, fr AS (SELECT image_id, {O}, channel, angle, k.k AS ring, sum(value * greatest(0, 1 - abs(k.k * 5.0 / 11.0::DOUBLE - ring))) AS value FROM rp, range(12) k(k) GROUP BY ALL)
+SELECT {KEYS}, {L('dr', 'drow')}, {L('dc', 'dcol')}, {D('value', 'value')} FROM fr JOIN fine USING (angle, ring)""")
+def r9_scaled(spark, d):
+    return polar.to_grid(_profile(spark, d), polar.lookup(8, 12), 2)
+
+
 _CROP = f"w AS (SELECT image_id, label AS {O}, min(row) AS r0, min(col) AS c0, max(row) AS r1, max(col) AS c1 FROM mk WHERE label <> 0 GROUP BY ALL), cr AS (SELECT image_id, {O}, channel, row - r0 + 1 AS row, col - c0 + 1 AS col, value FROM w JOIN px USING (image_id) WHERE row BETWEEN r0 - 1 AND r1 + 1 AND col BETWEEN c0 - 1 AND c1 + 1)"
 
 

@@ -5,6 +5,7 @@ A constant plane has no spread: G, H and p are NULL there.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from cellweave.functions.special import phi
-from cellweave.operators.stencil import PLANE, disc_sums, neighbourhood_sum
+from cellweave.operators.stencil import PLANE, Kernel, disc_sums, kernel_sum, neighbourhood_sum
 
 HOT, COLD, BOTH = 1, 2, 4
 
@@ -36,22 +37,38 @@ def _z(xns, x, n, sx, sx2, w1, inner) -> Column:
     return F.when(spread > 1e-12, (xns - m * w1) / F.sqrt(spread))
 
 
-def g_classical(pixels: DataFrame, queen: bool = True, centre: bool = True, normalize: bool = True) -> DataFrame:
-    """pixels with g: the Getis-Ord statistic against the whole plane (z-score, or the raw share)."""
-    w1, inner = float((8 if queen else 4) + centre), 0.0 if centre else 1.0
+def _around(grid: DataFrame, queen: bool, centre: bool, kernel: Kernel | None, value: str = "value", out: str = "xns") -> DataFrame:
+    return neighbourhood_sum(grid, value, out, queen, centre) if kernel is None else kernel_sum(grid, kernel, value, out)
+
+
+def _weight(queen: bool, centre: bool, kernel: Kernel | None) -> tuple[float, float]:
+    """(sum of the weights, 1 if the centre is left out)."""
+    if kernel is None:
+        return float((8 if queen else 4) + centre), 0.0 if centre else 1.0
+    return sum(w for _, _, w in kernel), 0.0 if any(a == b == 0 for a, b, _ in kernel) else 1.0
+
+
+def g_classical(pixels: DataFrame, queen: bool = True, centre: bool = True, normalize: bool = True, kernel: Kernel | None = None) -> DataFrame:
+    """pixels with g: the Getis-Ord statistic against the whole plane (z-score, or the raw share).
+
+    A kernel takes the place of queen (or rook) and centre.
+    """
+    w1, inner = _weight(queen, centre, kernel)
     x = F.col("value")
-    g = _with_plane_sums(neighbourhood_sum(pixels, queen=queen, centre=centre), sx=F.sum("value"), sx2=F.sum(x * x), nn=F.count(F.lit(1)).cast("double"))
+    g = _with_plane_sums(_around(pixels, queen, centre, kernel), sx=F.sum("value"), sx2=F.sum(x * x), nn=F.count(F.lit(1)).cast("double"))
     z = _z(F.col("xns"), x, F.col("nn") - inner, F.col("sx"), F.col("sx2") - x * x * inner, F.lit(w1), inner)
     out = z if normalize else F.try_divide(F.col("xns"), F.col("sx") - x * inner)
     return g.withColumn("g", out).drop("xns", "sx", "sx2", "nn")
 
 
-def g_radius(pixels: DataFrame, radius: float, queen: bool = True, centre: bool = True) -> DataFrame:
-    """pixels with g against the mean and spread of the disc around each pixel; the squares keep the centre."""
-    w1, inner = float((8 if queen else 4) + centre), 0.0 if centre else 1.0
+def g_radius(pixels: DataFrame, radius: float = 50, queen: bool = True, centre: bool = True, normalize: bool = True, kernel: Kernel | None = None) -> DataFrame:
+    """As g_classical against the mean and spread (raw: the sum) of the disc around each pixel; the squares keep the centre."""
+    w1, inner = _weight(queen, centre, kernel)
     x = F.col("value")
-    g = disc_sums(neighbourhood_sum(pixels, queen=queen, centre=centre), {"sx": x, "sx2": x * x, "nn": F.lit(1.0)}, radius)
-    return g.withColumn("g", _z(F.col("xns"), x, F.col("nn") - inner, F.col("sx"), F.col("sx2"), F.lit(w1), inner)).drop("xns", "sx", "sx2", "nn")
+    g = disc_sums(_around(pixels, queen, centre, kernel), {"sx": x, "sx2": x * x, "nn": F.lit(1.0)}, radius)
+    z = _z(F.col("xns"), x, F.col("nn") - inner, F.col("sx"), F.col("sx2"), F.lit(w1), inner)
+    out = z if normalize else F.try_divide(F.col("xns"), F.col("sx") - x * inner)
+    return g.withColumn("g", out).drop("xns", "sx", "sx2", "nn")
 
 
 def with_p(stat: DataFrame, types: int = HOT | COLD | BOTH) -> DataFrame:
@@ -60,12 +77,12 @@ def with_p(stat: DataFrame, types: int = HOT | COLD | BOTH) -> DataFrame:
     return stat.withColumns({c: made[c] for c in split_types(types)})
 
 
-def h_classical(pixels: DataFrame, queen: bool = True, centre: bool = True, a: float = 2.0) -> DataFrame:
-    """pixels with h (local against mean residual), hz (2h / variance) and h_var."""
-    w1 = float((8 if queen else 4) + centre)
-    g = neighbourhood_sum(pixels, queen=queen, centre=centre)
+def h_classical(pixels: DataFrame, queen: bool = True, centre: bool = True, a: float = 2.0, kernel: Kernel | None = None) -> DataFrame:
+    """pixels with h (local against mean residual), hz (2h / variance) and h_var; a kernel takes the place of queen and centre."""
+    w1, _ = _weight(queen, centre, kernel)
+    g = _around(pixels, queen, centre, kernel)
     g = g.withColumn("r", F.pow(F.abs(F.col("value") - F.col("xns") / w1), F.lit(a)))
-    g = neighbourhood_sum(g, "r", "rns", queen=queen, centre=centre)
+    g = _around(g, queen, centre, kernel, "r", "rns")
     g = _with_plane_sums(g, mr=F.avg("r"), mr2=F.avg(F.col("r") * F.col("r")), nn=F.count(F.lit(1)).cast("double"))
     denom = F.col("mr") * w1
     var = F.try_divide(F.lit(1.0), F.col("nn") - 1) * F.pow(F.try_divide(F.lit(1.0), denom), F.lit(2.0)) * (F.col("mr2") - F.col("mr") * F.col("mr")) * (F.col("nn") * w1 - w1 * w1)
@@ -74,35 +91,40 @@ def h_classical(pixels: DataFrame, queen: bool = True, centre: bool = True, a: f
 
 
 def _gammaincc(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised upper incomplete gamma by its series or continued fraction."""
-    from math import lgamma
-
-    out = np.empty(len(x))
-    for i, (s, t) in enumerate(zip(a, x)):
-        if not (s > 0 and t >= 0):
-            out[i] = np.nan
-        elif t == 0:
-            out[i] = 1.0
-        elif t < s + 1:
-            term = total = 1 / s
-            k = s
-            while abs(term) > abs(total) * 1e-15:
+    """Regularised upper incomplete gamma by its series or continued fraction, all values of a batch at once."""
+    out = np.full(len(x), np.nan)
+    ok = (a > 0) & (x >= 0)
+    out[ok & (x == 0)] = 1.0
+    out[ok & np.isinf(x)] = 0.0
+    ok &= (x > 0) & np.isfinite(x)
+    for low in (True, False):
+        at = ok & ((x < a + 1) == low)
+        s, t = a[at], x[at]
+        if not len(s):
+            continue
+        some, place = np.unique(s, return_inverse=True)
+        front = np.exp(-t + s * np.log(t) - np.array([math.lgamma(v) for v in some])[place])
+        if low:
+            term = 1 / s
+            total, k = term.copy(), s.copy()
+            while (np.abs(term) > np.abs(total) * 1e-15).any():
                 k += 1
                 term *= t / k
                 total += term
-            out[i] = 1 - total * np.exp(-t + s * np.log(t) - lgamma(s))
+            out[at] = 1 - total * front
         else:
-            b, c = t + 1 - s, 1e300
-            d = h = 1 / b
-            for n in range(1, 500):
+            b, c = t + 1 - s, np.full(len(s), 1e300)
+            d = 1 / b
+            f = d.copy()
+            for n in range(1, 10_000):
                 an = -n * (n - s)
-                b += 2
-                d = 1 / (an * d + b or 1e-300)
-                c = b + an / c or 1e-300
-                h *= d * c
-                if abs(d * c - 1) < 1e-15:
+                b = b + 2
+                d = 1 / np.where(an * d + b == 0, 1e-300, an * d + b)
+                c = np.where(b + an / c == 0, 1e-300, b + an / c)
+                f *= d * c
+                if (np.abs(d * c - 1) < 1e-15).all():
                     break
-            out[i] = np.exp(-t + s * np.log(t) - lgamma(s)) * h
+            out[at] = front * f
     return out
 
 
@@ -337,12 +359,25 @@ def h_permutation(pixels: DataFrame, n_iter: int = 99, queen: bool = True, seed:
     return got.groupBy(*PLANE, "row", "col").agg(F.first("h").alias("h"), ((1 + F.sum("more")) / (1 + F.sum("n"))).alias("p"))
 
 
-def g_statistic(pixels: DataFrame, n_iter: int = 0, radius: float | tuple[float, ...] | None = None, types: int = HOT | COLD | BOTH, queen: bool = True, centre: bool = True, whole_image: bool = True, merge: str = "min", seed: int = 42) -> DataFrame:
-    """G with p-values by the way that the options name: analytic (n_iter 0) or permuted, global, in one disc or in several."""
+def h_statistic(pixels: DataFrame, n_iter: int = 99, queen: bool = True, seed: int = 42) -> DataFrame:
+    """(image_id, channel, row, col, hz, p): the normalised H with its chi-square p (n_iter 0) or the permuted one."""
+    key = [*PLANE, "row", "col"]
+    if n_iter == 0:
+        return h_with_p(pixels, queen=queen).select(*key, "hz", "p")
+    return h_classical(pixels, queen).select(*key, "hz").join(h_permutation(pixels, n_iter, queen, seed).select(*key, "p"), key)
+
+
+def g_statistic(pixels: DataFrame, n_iter: int = 0, radius: float | tuple[float, ...] | None = None, types: int = HOT | COLD | BOTH, queen: bool = True, centre: bool = True, whole_image: bool = True, merge: str = "min", seed: int = 42, kernel: Kernel | None = None) -> DataFrame:
+    """G with p-values by the way that the options name: analytic (n_iter 0) or permuted, global, in one disc or in several.
+
+    Permutations take the neighbours of queen or rook only, not a kernel.
+    """
+    if n_iter and kernel is not None:
+        raise ValueError("permutations take queen or rook neighbours, not a kernel")
     if n_iter == 0:
         if isinstance(radius, (tuple, list)):
             raise ValueError("several radii need permutations")
-        g = g_classical(pixels, queen, centre) if radius is None else g_radius(pixels, radius, queen, centre)
+        g = g_classical(pixels, queen, centre, kernel=kernel) if radius is None else g_radius(pixels, radius, queen, centre, kernel=kernel)
         return with_p(g.drop("value"), types)
     if isinstance(radius, (tuple, list)):
         return g_radii(pixels, tuple(radius), n_iter, merge, queen=queen, seed=seed)

@@ -160,8 +160,22 @@ def scaled(profile: DataFrame, extent: int = 10, invert: bool = False) -> DataFr
     return lists.select(*PROFILE, "angle", to_bins(F.transform(F.coalesce("p", F.array().cast("array<struct<ring:int,value:double>>")), lambda s: s["value"])).alias("values"))
 
 
-def to_grid(profile: DataFrame, lut: list[tuple[int, int, int, int]]) -> DataFrame:
-    """(image_id, ObjectNumber, channel, drow, dcol, value): profiles back on the pixel grid around the centre."""
+def to_grid(profile: DataFrame, lut: list[tuple[int, int, int, int]], scale: int = 1) -> DataFrame:
+    """(image_id, ObjectNumber, channel, drow, dcol, value): profiles back on the pixel grid around the centre.
+
+    With a scale each angle's rings, 0 where the profile has none, are resampled onto scale times as many first; the
+    lookup is one of that many rings.
+    """
+    if scale != 1:
+        rings = F.sequence(F.lit(0), F.lit((max(ring for *_, ring in lut) + 1) // scale - 1))
+        lists = profile.groupBy(*PROFILE, "angle").agg(F.map_from_entries(F.collect_list(F.struct("ring", "value"))).alias("p"))
+
+        @F.pandas_udf("array<double>")
+        def longer(v: pd.Series) -> pd.Series:
+            return v.map(lambda x: resample(np.asarray(x, float), len(x) * scale))
+
+        full = F.transform(rings, lambda k: F.coalesce(F.try_element_at("p", k), F.lit(0.0)))
+        profile = lists.select(*PROFILE, "angle", F.posexplode(longer(full)).alias("ring", "value"))
     at = F.explode(_lookup_column(lut)).alias("o")
     # one small list of offsets for each bin, joined by the bin
     offs = profile.sparkSession.range(1).select(at).select(F.col("o")[2].alias("angle"), F.col("o")[3].alias("ring"), F.col("o")[0].alias("drow"), F.col("o")[1].alias("dcol"))

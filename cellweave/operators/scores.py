@@ -36,9 +36,9 @@ def smooth_max(xy: DataFrame, max_dist: float = 10.0, min_dist: float = 25.0, mi
 def smoothed(xy: DataFrame, max_dist: float = 10.0, min_dist: float = 25.0, minp: float = 0.01) -> DataFrame:
     """xy with ys: y smoothed over x with a triangular kernel of each point's own width (x >= 0).
 
-    The width of a point is its minp-quantile of distances, cut to q99 / min_dist .. q99 / max_dist; quantiles are looked
-    up in each channel's own sorted x inside one group of (x) values, neighbours are joined by bands as wide as the
-    largest width, so that no pair of far points is made.
+    The width of a point is its minp-quantile of distances, cut to q99 / min_dist .. q99 / max_dist. Quantiles are looked
+    up in the sorted x of one channel of one image (a value for each of its cells); neighbours are joined by bands as wide
+    as the largest width, so that no pair of far points is made.
     """
     some = xy.where("x is not null and y is not null")
 
@@ -48,14 +48,17 @@ def smoothed(xy: DataFrame, max_dist: float = 10.0, min_dist: float = 25.0, minp
         pos = minp * (len(x) - 1)
         k, part = int(pos), pos - int(pos)
 
-        def kth(v: float, j: int) -> float:  # the j-th smallest distance to v, by bisection on the distance
+        u = np.unique(x)
+
+        def kth(j: int) -> np.ndarray:
+            """The j-th smallest distance to each u: the nearest j + 1 values are a run of x, and the best run is the one whose ends lie about u."""
             j = min(j, len(x) - 1)
-            at = np.searchsorted(x, v)
-            d = np.sort(np.abs(x[max(0, at - j - 1) : at + j + 1] - v))
-            return d[j]
+            low, high = x[: len(x) - j], x[j:]
+            at = np.searchsorted(low + high, 2 * u)
+            runs = (np.clip(at - 1, 0, len(low) - 1), np.clip(at, 0, len(low) - 1))
+            return np.minimum(*[np.maximum(np.abs(u - low[r]), np.abs(high[r] - u)) for r in runs])
 
-        u = np.unique(x)
-        w = np.array([kth(v, k) * (1 - part) + kth(v, k + 1) * part for v in u])
+        w = kth(k) * (1 - part) + kth(k + 1) * part
         w = np.maximum(np.minimum(w, q99 / max_dist), q99 / min_dist)
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "channel": pdf["channel"].iloc[0], "x": u, "width": w, "band": q99 / max_dist})
 

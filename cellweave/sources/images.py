@@ -35,6 +35,20 @@ def shape_violations(pixels: DataFrame, mask: DataFrame) -> DataFrame:
     return out.where("missing > 0 or extra > 0")
 
 
+def chosen_channels(pixels: DataFrame, channels: list[str]) -> DataFrame:
+    """The pixels of the asked channels; a ValueError names those that no image has. At most len(channels) names are gathered."""
+    kept = pixels.where(F.col("channel").isin(channels))
+    missing = set(channels) - {r["channel"] for r in kept.select("channel").distinct().collect()}
+    if missing:
+        raise ValueError(f"no such channels: {sorted(missing)}")
+    return kept
+
+
+def with_metadata(cells: DataFrame, info: DataFrame) -> DataFrame:
+    """cells with the columns of info (image_id, ObjectNumber, ...); cells without a row there are left out."""
+    return cells.join(info, ["image_id", "ObjectNumber"])
+
+
 def unique_names(channels: DataFrame, idx: str = "idx", name: str = "name") -> DataFrame:
     """channels with `channel`: the name, or name_1, name_2 ... where several have it; null names become Channel_{idx}."""
     base = F.coalesce(F.col(name), F.concat(F.lit("Channel_"), F.col(idx).cast("string")))
