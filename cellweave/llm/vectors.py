@@ -7,8 +7,10 @@ double precision.
 
 Runs of code bits are bucket keys; how many bits and runs follows from the number of vectors and from the threshold (a
 pair at the threshold misses all buckets with probability under MISS). Equal vectors become one class first. Buckets are
-cut into blocks, and pairs of blocks are compared inside tasks, which give back only counts and a spanning forest of the
-links, never the pairs; a pair in several buckets counts in the first.
+cut into blocks, and pairs of blocks are compared inside tasks, in two passes. The first has codes, factors and vectors
+rounded to a byte for each component (what rounding can add goes into the bound), and gives back the members of pairs that
+stay open; a pair in several buckets counts in the first. Whole vectors travel in the second pass, for these members only,
+which gives back counts and a spanning forest of the links, never the pairs.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.graph import components
+from cellweave.llm.groups import each_group
 from cellweave.llm.store import stored
 
 MISS = 1e-4
 BLOCK = 512  # vectors in a block, of which two meet
 FILL = 32  # vectors that a bucket would hold if all were spread evenly
 SIGMAS = 5.0
+PAIRS = 1 << 15  # pairs looked at together in a task
+GROUP = ("key", "dim", "x", "y")
 
 
 def plan(n: int, threshold: float) -> tuple[int, int]:
@@ -64,9 +69,13 @@ def _codes(bits: int, keys: int):
                 code = np.packbits((turned >= 0).reshape(len(v), -1), axis=1)
                 key = _keys(code, bits, keys)
                 at = lambda n: pa.array((np.arange(len(v) + 1) * n).astype(np.int32))
+                step = np.abs(v).max(axis=1) / 127
+                rounded = np.rint(v / step[:, None]).astype(np.int8)
+                binary = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
+                lists = lambda rows, kind: pa.ListArray.from_arrays(pa.array((np.arange(len(v) + 1) * rows.shape[1]).astype(np.int32)), pa.array(rows.ravel().astype(kind)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rep"), part.column("label"), part.column("copies"), part.column("vec"), pa.array([c.tobytes() for c in code], pa.binary()), pa.ListArray.from_arrays(at(factor.shape[1]), pa.array(factor.ravel())), pa.ListArray.from_arrays(at(keys), pa.array(key.ravel()))],
-                    names=["rep", "label", "copies", "vec", "code", "factor", "keys"],
+                    [part.column("rep"), part.column("label"), part.column("copies"), part.column("vec"), binary(code), lists(factor, np.float32), lists(key, np.int64), binary(rounded), pa.array(step.astype(np.float32))],
+                    names=["rep", "label", "copies", "vec", "code", "factor", "keys", "rounded", "step"],
                 )
 
     return run
@@ -77,36 +86,76 @@ def _keys(code: np.ndarray, bits: int, keys: int) -> np.ndarray:
     return raw @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def _compare(bits: int, keys: int, threshold: float):
-    def group(t: pa.Table, turn: dict[int, np.ndarray]) -> tuple[np.ndarray, ...]:
-        """Of one pair of blocks: ids, linked vectors (copies counted), and the smallest id linked to it here."""
-        ids, copies, side = (t.column(c).to_numpy() for c in ("rep", "copies", "block"))
-        v = _rows(t.column("vec").combine_chunks())
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        dim = v.shape[1]
+def _bytes(t: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(column).to_pylist()), kind).reshape(t.num_rows, -1)
+
+
+def _across(t: pa.Table, near: np.ndarray) -> np.ndarray:
+    """Of the pairs marked in near: each once, and only those between the two blocks where there are two."""
+    side = t.column("block").to_numpy()
+    near = np.triu(near, 1)
+    return near if t.column("x")[0] == t.column("y")[0] else near & (side[:, None] != side[None, :])
+
+
+def _pairs(t: pa.Table, near: np.ndarray, bits: int, keys: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs marked in near whose first common key is this group's, some at a time."""
+    x, y = np.nonzero(near)
+    key, band = _keys(_bytes(t, "code", np.uint8), bits, keys), t.column("band")[0].as_py()
+    for lo in range(0, len(x), PAIRS):
+        a, b = x[lo : lo + PAIRS], y[lo : lo + PAIRS]
+        first = np.argmax(key[a] == key[b], axis=1) == band
+        yield a[first], b[first]
+
+
+def _open(bits: int, keys: int, threshold: float):
+    """Of one pair of blocks: the members with a pair that the codes do not settle."""
+    turn: dict[int, np.ndarray] = {}
+
+    def group(t: pa.Table) -> pa.RecordBatch | None:
+        if t.num_rows < 2:
+            return None
+        step = t.column("step").to_numpy()
+        v = _bytes(t, "rounded", np.int8) * step[:, None]
+        n, dim = v.shape
         if dim not in turn:
-            turn[dim] = rotations(dim, bits * keys)
-        turned = np.einsum("rij,nj->nri", turn[dim], v)
-        sign = (np.unpackbits(code, axis=1)[:, : turned.shape[1] * dim].reshape(turned.shape) * 2.0 - 1) / math.sqrt(dim)
+            turn[dim] = rotations(dim, bits * keys).astype(np.float32)
+        turned = np.einsum("rij,nj->nri", turn[dim], v, optimize=True)
+        signs = turned.shape[1]
+        code = np.unpackbits(_bytes(t, "code", np.uint8), axis=1)[:, : signs * dim].reshape(turned.shape) * np.float32(2) - 1
         factor = _rows(t.column("factor").combine_chunks())
         # unbiased estimates by each rotation, averaged; both directions of a pair
-        est = (sign / factor[:, :, None]).reshape(len(ids), -1) @ turned.reshape(len(ids), -1).T / turned.shape[1]
+        est = (code / (factor[:, :, None] * math.sqrt(dim))).astype(np.float32).reshape(n, -1) @ turned.reshape(n, -1).T / signs
         est = (est + est.T) / 2
-        error = SIGMAS * np.sqrt(np.maximum(1 / factor**2 - 1, 0).mean(axis=1) / (max(dim - 1, 1) * turned.shape[1]))
-        open_ = np.triu(est + np.maximum(error[:, None], error[None, :]) >= threshold, 1)
-        if len(np.unique(side)) > 1:
-            open_ &= side[:, None] != side[None, :]
-        x, y = np.nonzero(open_)
-        if len(x):
-            key = _keys(code, bits, keys)
-            first = np.argmax(key[x] == key[y], axis=1) == t.column("band")[0].as_py()
-            x, y = x[first], y[first]
+        error = SIGMAS * np.sqrt(np.maximum(1 / factor**2 - 1, 0).mean(axis=1) / (max(dim - 1, 1) * signs))
+        error += (1 / factor).mean(axis=1) * step.max() * math.sqrt(dim) / 2 + 1e-5  # rounding of either side
+        flagged = np.zeros(n, bool)
+        for x, y in _pairs(t, _across(t, est + np.maximum(error[:, None], error[None, :]) >= threshold), bits, keys):
+            flagged[x] = flagged[y] = True
+        return t.select([*GROUP, "band", "block", "rep"]).filter(pa.array(flagged)).combine_chunks().to_batches()[0] if flagged.any() else None
+
+    return each_group(GROUP, group)
+
+
+def _compare(bits: int, keys: int, threshold: float):
+    """Of one pair of blocks: ids, linked vectors (copies counted), and the smallest id linked to it here."""
+
+    def group(t: pa.Table) -> pa.RecordBatch | None:
+        ids, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
+        label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        v = _rows(t.column("vec").combine_chunks())
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        links, ends = np.zeros(len(ids), np.int64), []
+        for x, y in _pairs(t, _across(t, (v @ v.T >= threshold - 1e-9) & (label[:, None] == label[None, :])), bits, keys):
             near = np.einsum("ij,ij->i", v[x], v[y]) >= threshold
             x, y = x[near], y[near]
-        links = np.bincount(x, copies[y], len(ids)) + np.bincount(y, copies[x], len(ids)) if len(x) else np.zeros(len(ids))
+            np.add.at(links, x, copies[y])
+            np.add.at(links, y, copies[x])
+            ends.append((x, y))
+        if not links.any():
+            return None
+        x, y = (np.concatenate(e) for e in zip(*ends))
         root = ids.copy()
-        while len(x):
+        while True:
             least = root.copy()
             np.minimum.at(least, x, root[y])
             np.minimum.at(least, y, root[x])
@@ -114,31 +163,9 @@ def _compare(bits: int, keys: int, threshold: float):
                 break
             root = least
         got = links > 0
-        return ids[got], links[got].astype(np.int64), root[got]
+        return pa.RecordBatch.from_arrays([pa.array(ids[got]), pa.array(links[got]), pa.array(root[got])], names=["rep", "links", "root"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn: dict[int, np.ndarray] = {}
-        held: pa.Table | None = None
-
-        def out(t: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            found = [group(t.slice(a, b - a), turn) for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["rep", "links", "root"])
-
-        def bounds(t: pa.Table) -> np.ndarray:
-            a = np.stack([t.column(c).to_numpy() for c in ("key", "x", "y")])
-            return np.concatenate([[0], np.flatnonzero((a[:, 1:] != a[:, :-1]).any(axis=0)) + 1, [t.num_rows]])
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-            cuts = bounds(t)
-            yield from out(t, cuts[:-1])
-            held = t.slice(cuts[-2])  # the last group may go on in the next batch
-        if held is not None and held.num_rows:
-            yield from out(held, np.array([0, held.num_rows]))
-
-    return run
+    return each_group(GROUP, group)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -154,15 +181,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     classes = stored(good_rows.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
     most = classes.groupBy("label", F.size("vec")).count().agg(F.max("count")).first()[0] or 0
     bits, keys = plan(most, threshold)
-    coded = stored(classes.select("rep", "label", "copies", "vec").mapInArrow(_codes(bits, keys), "rep long, label string, copies long, vec array<double>, code binary, factor array<double>, keys array<long>"), "codes")
-    spread = coded.select("rep", F.posexplode("keys").alias("band", "bits"), "label", F.size("vec").alias("dim")).select("rep", "band", F.xxhash64("label", "dim", "band", "bits").alias("key"))
+    coded = stored(classes.select("rep", "label", "copies", "vec").mapInArrow(_codes(bits, keys), "rep long, label string, copies long, vec array<double>, code binary, factor array<float>, keys array<long>, rounded binary, step float"), "codes")
+    spread = coded.select("rep", F.posexplode("keys").alias("band", "bits"), "label", F.size("vec").alias("dim")).select("rep", "band", "dim", F.xxhash64("label", "dim", "band", "bits").alias("key"))
     sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = spread.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "band", "block", "rep")
-    full = dealt.join(coded.select("rep", "copies", "vec", "code", "factor"), "rep").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
-    full = full.select("key", "x", "y", "band", "block", "rep", "copies", "vec", "code", "factor")
-    found = stored(full.mapInArrow(_compare(bits, keys, threshold), "rep long, links long, root long"), "near")
+    dealt = dealt.select("key", "dim", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "band", "block", "rep")
+
+    def grouped(members: DataFrame, *columns: str) -> DataFrame:
+        at = members.join(coded.select("rep", *columns), "rep").select(*GROUP, "band", "block", "rep", *columns)
+        return at.repartition(*GROUP).sortWithinPartitions(*GROUP, "rep")
+
+    open_ = stored(grouped(dealt, "code", "factor", "rounded", "step").mapInArrow(_open(bits, keys, threshold), "key long, dim int, x int, y int, band int, block int, rep long"), "open")
+    found = stored(grouped(open_, "label", "copies", "vec", "code").mapInArrow(_compare(bits, keys, threshold), "rep long, links long, root long"), "near")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found, "rep", "root").withColumnRenamed("id", "rep")
     state = classes.select("label", "vec", "rep", "copies").join(links, "rep", "left").join(parts, "rep", "left")
