@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm import fingerprints, language, mixing, near_dedup, packing, pii, quality, substrings, toxicity, vectors
+from cellweave.llm import codes, fingerprints, language, ledger, merkle, mixing, near_dedup, packing, pii, quality, substrings, toxicity, vectors
 from cellweave.llm.store import table
 
 
@@ -66,10 +66,22 @@ def op10_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.verdicts(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_rows(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_order_minhash, op3_toxicity_neighbours, op4_best_fit_packing, op5_minhash_near_dedup, op6_pseudonyms, op7_mix_sources, op8_rotated_codes, op9_language_filters, op10_prefix_free_repeats)
+    own = (op1_quality_rules, op2_order_minhash, op3_toxicity_neighbours, op4_best_fit_packing, op5_minhash_near_dedup, op6_pseudonyms, op7_mix_sources, op8_rotated_codes, op9_language_filters, op10_prefix_free_repeats, op11_vector_codes, op12_rule_ledger, op13_merkle_manifest)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": mixing.ORACLE}
+    return {"op7_mix_sources": mixing.ORACLE, "op11_vector_codes": codes.ORACLE, "op12_rule_ledger": ledger.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
