@@ -619,7 +619,14 @@ def t1(spark, d):
     return affine.with_matrix(affine.random_transforms(c), 4.0, 4.0)
 
 
-@query("t2_t3_padding")
+@query("t2_t3_padding", f"""w AS (SELECT image_id, label AS o, max(row) - min(row) + 1 AS h, max(col) - min(col) + 1 AS wd, count(*) AS a FROM mk WHERE label <> 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY h DESC, o) AS rh, row_number() OVER (PARTITION BY image_id ORDER BY wd DESC, o) AS rw, row_number() OVER (PARTITION BY image_id ORDER BY a DESC, o) AS ra, floor(count(*) OVER (PARTITION BY image_id) * 0.1) AS n FROM w),
+big AS (SELECT DISTINCT image_id, h, wd FROM r WHERE n < 1 OR (rh <= n AND rw <= n AND ra <= n)),
+tf AS (SELECT 2.0 * (g // 64 % 2) - 1 AS tx, 2.0 * (g // 32 % 2) - 1 AS ty, (2 * (g // 16 % 2) - 1) * pi() / 12 AS rot, 0.8::DOUBLE + 0.4::DOUBLE * (g // 8 % 2) AS sx, 0.8::DOUBLE + 0.4::DOUBLE * (g // 4 % 2) AS sy, 0.2::DOUBLE * (g // 2 % 2) - 0.1::DOUBLE AS shx, 0.2::DOUBLE * (g % 2) - 0.1::DOUBLE AS shy FROM range(128) t(g)),
+mt AS (SELECT tx, ty, cos(rot) * sx - sin(rot) * shy * sx AS m00, cos(rot) * shx * sy - sin(rot) * sy AS m01, sin(rot) * sx + cos(rot) * shy * sx AS m10, sin(rot) * shx * sy + cos(rot) * sy AS m11 FROM tf),
+co AS (SELECT image_id, h, wd, (wd - 1) / 2.0::DOUBLE AS cx, (h - 1) / 2.0::DOUBLE AS cy, i * h - (wd - 1) / 2.0::DOUBLE AS dx, j * wd - (h - 1) / 2.0::DOUBLE AS dy FROM big, range(2) a(i), range(2) b(j)),
+ov AS (SELECT image_id, max(greatest(0, -(cx + tx + m00 * dx + m01 * dy), cx + tx + m00 * dx + m01 * dy - h, -(cy + ty + m10 * dx + m11 * dy), cy + ty + m10 * dx + m11 * dy - wd)) AS most FROM co, mt GROUP BY image_id)
+SELECT img.image_id, {L('coalesce(ceil(round(most, 9)) + 1, 1)', 'pad')} FROM img LEFT JOIN ov USING (image_id)""")
 def t3(spark, d):
     return affine.padding(fx.mask(spark, d), affine.transform_grid(spark, 2))
 

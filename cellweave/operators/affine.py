@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,19 +71,46 @@ def largest_cells(mask: DataFrame, share: float = 0.1) -> DataFrame:
     return b.where((F.col("n") < 10) | (top[0] & top[1] & top[2])).select(*CELL, "height", "width", "area")
 
 
+def _linear(params: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(m00, m01, m10, m11) of transforms tx .. shy, one in each row."""
+    _, _, rot, sx, sy, shx, shy = params.T
+    co, si = np.cos(rot), np.sin(rot)
+    return co * sx - si * shy * sx, co * shx * sy - si * sy, si * sx + co * shy * sx, si * shx * sy + co * sy
+
+
+def _corners(params: np.ndarray, x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], cx: np.ndarray, cy: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(least x, greatest x, least y, greatest y) that boxes reach under any of the transforms about their centres."""
+    a, b, d, e = (m[:, None] for m in _linear(params))
+    tx, ty = params[:, 0, None], params[:, 1, None]
+    xs, ys = zip(*[(cx + tx + a * (i - cx) + b * (j - cy), cy + ty + d * (i - cx) + e * (j - cy)) for i in x for j in y])
+    return np.min(xs, axis=(0, 1)), np.max(xs, axis=(0, 1)), np.min(ys, axis=(0, 1)), np.max(ys, axis=(0, 1))
+
+
+def _listed(transforms: DataFrame) -> np.ndarray:
+    """A bounded table of transforms as rows of numbers, which travel with the tasks."""
+    return np.array([[float(r[n]) for n in RANGES] for r in transforms.select(*RANGES).collect()]).reshape(-1, len(RANGES))
+
+
 def padding(mask: DataFrame, transforms: DataFrame) -> DataFrame:
-    """(image_id, pad): how far corners of large cells' boxes leave them under any of the transforms, rounded up, + 1.
+    """(image_id, pad): how far the corners of large cells' boxes get under any of the transforms, rounded up, + 1.
 
-    Without a cell large in all three ways the pad is 1. The transforms (with a matrix about 0) are a bounded table.
+    As the definition has it, corners are (row, column) used as (x, y) while the centre is ((width - 1) / 2, (height - 1)
+    / 2); so pads of elongated cells are wide. Without a cell large in all three ways the pad is 1. The transforms are a
+    bounded table.
     """
-    big = largest_cells(mask).select("image_id", "height", "width").distinct()
-    corners = big.select("image_id", "height", "width", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-0.5, 0.5) for b in (-0.5, 0.5)])).alias("s"))
-    corners = corners.select("image_id", "height", "width", (F.col("s.a") * F.col("width")).alias("x"), (F.col("s.b") * F.col("height")).alias("y"), F.lit(1).alias("k"))
-    t = F.broadcast(with_matrix(transforms).withColumn("k", F.lit(1)))
-    at = corners.join(t, "k")
-    over = F.greatest(F.abs(F.col("m00") * F.col("x") + F.col("m01") * F.col("y") + F.col("m02")) - F.col("width") / 2, F.abs(F.col("m10") * F.col("x") + F.col("m11") * F.col("y") + F.col("m12")) - F.col("height") / 2, F.lit(0.0))
-    pads = at.groupBy("image_id").agg((F.ceil(F.max(over)) + 1).cast("int").alias("pad"))
-    return mask.select("image_id").distinct().join(pads, "image_id", "left").fillna(1, ["pad"])
+    params = _listed(transforms)
+    big = largest_cells(mask).select("image_id", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width")).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            h, w = pdf["height"].to_numpy(float), pdf["width"].to_numpy(float)
+            low_x, high_x, low_y, high_y = _corners(params, (0 * h, h), (0 * w, w), (w - 1) / 2, (h - 1) / 2)
+            most = np.max([-low_x, high_x - h, -low_y, high_y - w, 0 * h], axis=0)
+            yield pd.DataFrame({"image_id": pdf["image_id"], "pad": np.ceil(np.round(most, 9)).astype(int) + 1})
+
+    pads = big.mapInPandas(run, "image_id string, pad int").groupBy("image_id").agg(F.max("pad").alias("pad")) if len(params) else None
+    images = mask.select("image_id").distinct()
+    return images.withColumn("pad", F.lit(1)) if pads is None else images.join(pads, "image_id", "left").fillna(1, ["pad"])
 
 
 def chosen_transforms(spark: SparkSession, n_iter: int = -1, sample_fraction: float = 1.0, steps: int = 3, seed: int = 42, normal: bool = False, ranges: dict[str, tuple[float, float]] = RANGES) -> DataFrame:
@@ -95,37 +124,95 @@ def chosen_transforms(spark: SparkSession, n_iter: int = -1, sample_fraction: fl
     return made.orderBy(F.xxhash64("transform_id", F.lit(seed))).limit(int((steps ** len(ranges) if n_iter < 0 else n_iter) * sample_fraction))
 
 
-def _padded(boxes: DataFrame, mask: DataFrame, pad: int | None, transforms: DataFrame | None = None) -> DataFrame:
-    """boxes with pad: the given one, or that of the image under the transforms (the extreme ones of RANGES), 2 at least."""
+def _centred(mask: DataFrame, pad: int | None, transforms: DataFrame | None, swapped: bool, less: int) -> DataFrame:
+    """(image_id, ObjectNumber, r0 .. c1, the centre cx, cy of transforms, and lr .. hc, the pixels that may be painted).
+
+    The centre of a box is ((height - less) / 2, (width - less) / 2) from the corner of its padded window, plus the margins
+    that the image leaves to the box, in the order (row, column) used as (x, y) when swapped: where a cell is nearer to the
+    border than the pad, margins differ and so the swapped centre moves. Without a pad that of the image under the transforms
+    counts for the centre alone, and whatever a transform reaches inside the image may be painted; a given pad clips.
+    """
+    b = boxes(mask).select(*CELL, "r0", "c0", "r1", "c1").join(mask.groupBy("image_id").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols")), "image_id")
+    if pad is None:
+        b = b.join(padding(mask, transform_grid(mask.sparkSession, 2) if transforms is None else transforms), "image_id")
+    else:
+        b = b.withColumn("pad", F.lit(pad))
+    h, w, top, left = F.col("r1") - F.col("r0") - less, F.col("c1") - F.col("c0") - less, F.least("r0", "pad"), F.least("c0", "pad")
+    x, y = (h / 2 + top - left, w / 2 + left - top) if swapped else (w / 2, h / 2)
+    box = [F.lit(0), F.lit(0), F.col("rows"), F.col("cols")]
     if pad is not None:
-        return boxes.withColumn("pad", F.lit(pad))
-    pads = padding(mask, transform_grid(mask.sparkSession, 2) if transforms is None else transforms)
-    return boxes.join(pads.select("image_id", F.greatest("pad", F.lit(2)).alias("pad")), "image_id")
+        box = [F.greatest(F.lit(0), F.col("r0") - pad), F.greatest(F.lit(0), F.col("c0") - pad), F.least("rows", F.col("r1") + pad), F.least("cols", F.col("c1") + pad)]
+    return b.select(*CELL, "r0", "c0", "r1", "c1", (F.col("c0") + x).alias("cx"), (F.col("r0") + y).alias("cy"), *[c.cast("int").alias(n) for c, n in zip(box, ("lr", "lc", "hr", "hc"))])
+
+
+TILE = 64  # side of the tiles in which cells are painted
+HALF = 0.5 - 1e-9  # a weight of a half counts, whatever the rounding of its terms
+
+
+def _inside(own: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the bilinear weight of own (a plane with a border of zeros, whose first inner pixel is 0, 0) is a half or more."""
+    x0, y0 = np.floor(x), np.floor(y)
+    fx, fy = x - x0, y - y0
+    r, c = np.clip(y0.astype(int) + 1, 0, own.shape[0] - 2), np.clip(x0.astype(int) + 1, 0, own.shape[1] - 2)
+    reach = (x > -1) & (y > -1) & (x < own.shape[1] - 2) & (y < own.shape[0] - 2)
+    weight = (1 - fy) * ((1 - fx) * own[r, c] + fx * own[r, c + 1]) + fy * ((1 - fx) * own[r + 1, c] + fx * own[r + 1, c + 1])
+    return reach & (weight >= HALF)
+
+
+def _painted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Target pixels of one cell, transform and tile in each row."""
+    for batch in batches:
+        col = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("m00", "m01", "m02", "m10", "m11", "m12", "tr", "tc", "lr", "lc", "hr", "hc")}
+        lists = batch.column("own")
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        which, rows, cols = [], [], []
+        for k in range(batch.num_rows):
+            m00, m01, m02, m10, m11, m12, tr, tc, lr, lc, hr, hc = (v[k] for v in col.values())
+            r, c = flat[ends[k] : ends[k + 1]] >> 32, flat[ends[k] : ends[k + 1]] & 0xFFFFFFFF
+            r0, c0 = r.min(), c.min()
+            own = np.zeros((r.max() - r0 + 3, c.max() - c0 + 3))
+            own[r - r0 + 1, c - c0 + 1] = 1
+            # the target of these pixels' box and one pixel around it
+            edge_x, edge_y = np.array([c0 - 1, c.max() + 1]), np.array([[r0 - 1], [r.max() + 1]])
+            to_x, to_y = m00 * edge_x + m01 * edge_y + m02, m10 * edge_x + m11 * edge_y + m12
+            top, left = max(lr, tr * TILE, math.floor(to_y.min())), max(lc, tc * TILE, math.floor(to_x.min()))
+            below, right = min(hr, tr * TILE + TILE, math.ceil(to_y.max()) + 1), min(hc, tc * TILE + TILE, math.ceil(to_x.max()) + 1)
+            if top >= below or left >= right:
+                continue
+            dx, dy, det = np.arange(left, right) - m02, np.arange(top, below)[:, None] - m12, m00 * m11 - m01 * m10
+            at = np.nonzero(_inside(own, (m11 * dx - m01 * dy) / det - c0, (m00 * dy - m10 * dx) / det - r0))
+            which.append(np.full(len(at[0]), k))
+            rows.append(at[0] + top)
+            cols.append(at[1] + left)
+        if which:
+            at = pa.array(np.concatenate(which))
+            yield pa.RecordBatch.from_arrays([*[batch.column(n).take(at) for n in ("image_id", "iter", "ObjectNumber")], pa.array(np.concatenate(rows).astype(np.int32)), pa.array(np.concatenate(cols).astype(np.int32))], names=["image_id", "iter", "ObjectNumber", "row", "col"])
 
 
 def warped(mask: DataFrame, jitter: DataFrame, pad: int | None = None, swapped_centre: bool = True) -> DataFrame:
     """(image_id, iter, ObjectNumber, row, col): each cell's pixels after its own transform in each iteration.
 
     jitter: (image_id, ObjectNumber, iter, tx .. shy). A target pixel belongs to the cell if the bilinear weight of the
-    cell's own pixels at its source is at least a half. The centre of a box is (size / 2), in the order (row, col) used as
-    (x, y) when swapped_centre, as the definition has it. The target window is the box and pad pixels on each side.
+    cell's own pixels at its source is at least a half. For centre and pad see `_centred`. Cells are cut into tiles; each
+    tile goes to the target tiles that its box reaches under the transform, where one task paints it, so memory follows
+    the tile and not the cell.
     """
-    b = _padded(boxes(mask).select(*CELL, "r0", "c0", "r1", "c1"), mask, pad)
-    pad = F.col("pad")
-    h, w = (F.col("r1") - F.col("r0") + 2 * pad).cast("double"), (F.col("c1") - F.col("c0") + 2 * pad).cast("double")
-    at = jitter.join(b, CELL)
-    at = with_matrix(at, *((h / 2, w / 2) if swapped_centre else (w / 2, h / 2)))
-    det = F.col("m00") * F.col("m11") - F.col("m01") * F.col("m10")
-    at = at.withColumn("det", det).withColumn("tr", F.explode(F.sequence(F.lit(0), (F.col("r1") - F.col("r0") + 2 * pad - 1)))).withColumn("tc", F.explode(F.sequence(F.lit(0), (F.col("c1") - F.col("c0") + 2 * pad - 1))))
-    dx, dy = F.col("tc") - F.col("m02"), F.col("tr") - F.col("m12")
-    at = at.withColumn("x", (F.col("m11") * dx - F.col("m01") * dy) / F.col("det")).withColumn("y", (F.col("m00") * dy - F.col("m10") * dx) / F.col("det"))
-    corners = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    at = at.withColumn("k", corners).withColumn("sr", (F.floor("y") + F.col("k.i")).cast("int")).withColumn("sc", (F.floor("x") + F.col("k.j")).cast("int"))
-    at = at.withColumn("weight", (1 - F.abs(F.col("y") - F.col("sr"))) * (1 - F.abs(F.col("x") - F.col("sc"))))
-    src = at.select(*CELL, "iter", (F.col("tr") + F.col("r0") - pad).cast("int").alias("trow"), (F.col("tc") + F.col("c0") - pad).cast("int").alias("tcol"), "weight", (F.col("sr") + F.col("r0") - pad).cast("int").alias("row"), (F.col("sc") + F.col("c0") - pad).cast("int").alias("col"))
-    own = mask.where("label <> 0").withColumnRenamed("label", "ObjectNumber")
-    hit = src.join(own, [*CELL, "row", "col"]).groupBy(*CELL, "iter", "trow", "tcol").agg(F.sum("weight").alias("weight")).where("weight >= 0.5")
-    return hit.select("image_id", "iter", "ObjectNumber", F.col("trow").alias("row"), F.col("tcol").alias("col"))
+    cells = mask.where("label <> 0").withColumnRenamed("label", "ObjectNumber")
+    pieces = cells.groupBy(*CELL, F.expr(f"row div {TILE}"), F.expr(f"col div {TILE}")).agg(
+        F.collect_list(F.shiftleft(F.col("row").cast("long"), 32) + F.col("col")).alias("own"), (F.min("row") - 1).alias("y0"), (F.max("row") + 1).alias("y1"), (F.min("col") - 1).alias("x0"), (F.max("col") + 1).alias("x1")
+    ).select(*CELL, "own", "y0", "y1", "x0", "x1")
+    at = with_matrix(jitter.join(_centred(mask, pad, None, swapped_centre, 0), CELL), F.col("cx"), F.col("cy"))
+    m = ["m00", "m01", "m02", "m10", "m11", "m12"]
+    limits = ["lr", "lc", "hr", "hc"]
+    at = at.select(*CELL, "iter", *m, *limits).join(pieces, CELL)
+    to = lambda a, b, o: [F.col(a) * F.col(x) + F.col(b) * F.col(y) + F.col(o) for x in ("x0", "x1") for y in ("y0", "y1")]
+    tiles = lambda ends, low, high: F.sequence(F.floor(F.greatest(low, F.least(*ends)) / TILE).cast("int"), F.floor(F.least(high, F.greatest(*ends)) / TILE).cast("int"))
+    x, y = to("m00", "m01", "m02"), to("m10", "m11", "m12")
+    seen = (F.greatest(*y) >= F.col("lr")) & (F.least(*y) <= F.col("hr") - 1) & (F.greatest(*x) >= F.col("lc")) & (F.least(*x) <= F.col("hc") - 1)
+    at = at.where(seen).withColumn("tr", F.explode(tiles(y, F.col("lr"), F.col("hr") - 1))).withColumn("tc", F.explode(tiles(x, F.col("lc"), F.col("hc") - 1)))
+    met = at.groupBy(*CELL, "iter", "tr", "tc").agg(F.flatten(F.collect_list("own")).alias("own"), *[F.first(c).alias(c) for c in (*m, *limits)])
+    kinds = ", ".join(f"{n} {jitter.schema[n].dataType.simpleString() if n != 'ObjectNumber' else cells.schema[n].dataType.simpleString()}" for n in ("image_id", "iter", "ObjectNumber"))
+    return met.mapInArrow(_painted, f"{kinds}, row int, col int")
 
 
 def random_masks(mask: DataFrame, n_iter: int, seed: int = 42, pad: int | None = None, **options) -> DataFrame:
@@ -156,48 +243,59 @@ def affine_medians(pixels: DataFrame, mask: DataFrame, n_iter: int = 10, seed: i
     return _medians(means, mask, pixels)
 
 
-def direct_affine_medians(pixels: DataFrame, mask: DataFrame, transforms: DataFrame, pad: int | None = None, chunk: int = 128, swapped_centre: bool = True) -> DataFrame:
+def direct_affine_medians(pixels: DataFrame, mask: DataFrame, transforms: DataFrame, pad: int | None = None, swapped_centre: bool = True) -> DataFrame:
     """As affine_medians with every cell warped alone by every transform (cells may overlap), inside one group per cell.
 
-    transforms (tx .. shy) is a bounded table: it is read once and travels with the tasks.
+    transforms (tx .. shy) is a bounded table: it is read once and travels with the tasks. A group holds the pixels that the
+    cell reaches under any of them, inside the image (or inside the pad, where one is given).
     """
-    names = ["tx", "ty", "rot", "sx", "sy", "shx", "shy"]
-    params = np.array([[float(r[n]) for n in names] for r in transforms.select(*names).collect()])
-    b = _padded(boxes(mask).select(*CELL, "r0", "c0", "r1", "c1"), mask, pad, transforms)
-    pad = F.col("pad")
+    params = _listed(transforms)
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 256):
+                b = pdf.iloc[lo : lo + 256].copy()
+                low_x, high_x, low_y, high_y = _corners(params, (b["c0"].to_numpy(float) - 1, b["c1"].to_numpy(float)), (b["r0"].to_numpy(float) - 1, b["r1"].to_numpy(float)), b["cx"].to_numpy(), b["cy"].to_numpy())
+                b["lr"], b["lc"] = np.maximum(b["lr"], np.floor(low_y).astype(int)), np.maximum(b["lc"], np.floor(low_x).astype(int))
+                b["hr"], b["hc"] = np.minimum(b["hr"], np.ceil(high_y).astype(int) + 1), np.minimum(b["hc"], np.ceil(high_x).astype(int) + 1)
+                yield b
+
+    b = _centred(mask, pad, transforms, swapped_centre, 1)
+    b = b.mapInPandas(windows, b.schema).where("hr > lr and hc > lc")
+    own = mask.where("label <> 0").withColumnRenamed("label", "ObjectNumber").join(b, CELL).select(*CELL, F.lit(None).cast("string").alias("channel"), "row", "col", F.lit(0.0).alias("value"), "cx", "cy")
     tile = 32
-    near = b.withColumn("tr", F.explode(F.sequence(F.floor((F.col("r0") - pad) / tile), F.floor((F.col("r1") + pad - 1) / tile)))).withColumn("tc", F.explode(F.sequence(F.floor((F.col("c0") - pad) / tile), F.floor((F.col("c1") + pad - 1) / tile))))
-    px = pixels.join(mask, PIXEL).withColumn("tr", F.floor(F.col("row") / tile)).withColumn("tc", F.floor(F.col("col") / tile))
-    at = px.join(near, ["image_id", "tr", "tc"]).where((F.col("row") >= F.col("r0") - pad) & (F.col("row") < F.col("r1") + pad) & (F.col("col") >= F.col("c0") - pad) & (F.col("col") < F.col("c1") + pad))
-    at = at.select(*CELL, "channel", (F.col("row") - F.col("r0") + pad).alias("row"), (F.col("col") - F.col("c0") + pad).alias("col"), "value", (F.col("label") == F.col("ObjectNumber")).alias("own"), (F.col("r1") - F.col("r0") + 2 * pad).alias("h"), (F.col("c1") - F.col("c0") + 2 * pad).alias("w"))
+    tiles = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / tile), F.floor((F.col(high) - 1) / tile)))
+    near = b.withColumn("tr", tiles("lr", "hr")).withColumn("tc", tiles("lc", "hc"))
+    px = pixels.withColumn("tr", F.floor(F.col("row") / tile)).withColumn("tc", F.floor(F.col("col") / tile))
+    at = px.join(near, ["image_id", "tr", "tc"]).where("row >= lr and row < hr and col >= lc and col < hc").select(*CELL, "channel", "row", "col", "value", "cx", "cy")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf["h"].iloc[0]), int(pdf["w"].iloc[0])
-        own = np.zeros((h + 2, w + 2))
+        mine = pdf["channel"].isna().to_numpy()
         r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        own[r + 1, c + 1] = pdf["own"]
-        chans = sorted(pdf["channel"].unique())
-        data = np.full((len(chans), h, w), np.nan)
-        data[np.searchsorted(chans, pdf["channel"]), r, c] = pdf["value"]
-        ok, data = ~np.isnan(data), np.nan_to_num(data)
-        cx, cy = ((h - 1) / 2, (w - 1) / 2) if swapped_centre else ((w - 1) / 2, (h - 1) / 2)
-        rr, cc = np.mgrid[0:h, 0:w]
-        means = []
-        for lo in range(0, len(params), chunk):
-            tx, ty, rot, sx, sy, shx, shy = params[lo : lo + chunk].T[:, :, None, None]
-            co, si = np.cos(rot), np.sin(rot)
-            a, b, d, e = co * sx - si * shy * sx, co * shx * sy - si * sy, si * sx + co * shy * sx, si * shx * sy + co * sy
-            dx, dy = cc - (cx - a * cx - b * cy + tx), rr - (cy - d * cx - e * cy + ty)
+        cell_r, cell_c, r, c = r[mine], c[mine], r[~mine], c[~mine]
+        names, channel = np.unique(pdf["channel"][~mine].to_numpy(str), return_inverse=True)
+        if not len(names):
+            return pd.DataFrame({"image_id": [], "ObjectNumber": [], "channel": [], "mean": []})
+        cy, cx = pdf["cy"].iloc[0] - cell_r.min(), pdf["cx"].iloc[0] - cell_c.min()
+        own = np.zeros((np.ptp(cell_r) + 3, np.ptp(cell_c) + 3))
+        own[cell_r - cell_r.min() + 1, cell_c - cell_c.min() + 1] = 1
+        top, left = r.min(), c.min()
+        h, w = np.ptp(r) + 1, np.ptp(c) + 1
+        data, ok = np.zeros((len(names), h * w)), np.zeros((len(names), h * w))
+        data[channel, (r - top) * w + c - left] = pdf["value"].to_numpy()[~mine]
+        ok[channel, (r - top) * w + c - left] = 1
+        x, y = np.arange(left, left + w) - cell_c.min(), np.arange(top, top + h)[:, None] - cell_r.min()
+        means, some = [], max(1, (1 << 19) // (h * w))
+        for lo in range(0, len(params), some):
+            part = params[lo : lo + some]
+            a, b, d, e = (m[:, None, None] for m in _linear(part))
+            dx, dy = x - cx - part[:, 0, None, None], y - cy - part[:, 1, None, None]
             det = a * e - b * d
-            x, y = (e * dx - b * dy) / det, (a * dy - d * dx) / det
-            x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
-            weight = sum(own[np.clip(y0 + i + 1, 0, h + 1), np.clip(x0 + j + 1, 0, w + 1)] * (1 - np.abs(y - y0 - i)) * (1 - np.abs(x - x0 - j)) for i in (0, 1) for j in (0, 1))
-            inside = (weight >= 0.5).reshape(len(weight), -1).astype(float)
-            n = inside @ ok.reshape(len(chans), -1).T.astype(float)
-            means.append(np.divide(inside @ data.reshape(len(chans), -1).T, n, out=np.full(n.shape, np.nan), where=n > 0))
-        m = np.concatenate(means)
-        med = [float(np.median(v[~np.isnan(v)])) if (~np.isnan(v)).any() else None for v in m.T]
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "ObjectNumber": pdf["ObjectNumber"].iloc[0], "channel": chans, "mean": med})
-
-    got = at.groupBy(*CELL).applyInPandas(run, "image_id string, ObjectNumber int, channel string, mean double")
+            inside = _inside(own, (e * dx - b * dy) / det + cx, (a * dy - d * dx) / det + cy).reshape(len(part), -1).astype(float)
+            n = inside @ ok.T
+            means.append(np.divide(inside @ data.T, n, out=np.full(n.shape, np.nan), where=n > 0))
+        med = [float(np.median(v[~np.isnan(v)])) if (~np.isnan(v)).any() else None for v in np.concatenate(means).T]
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "ObjectNumber": pdf["ObjectNumber"].iloc[0], "channel": names, "mean": med})
+
+    got = at.unionByName(own).groupBy(*CELL).applyInPandas(run, "image_id string, ObjectNumber int, channel string, mean double")
     return _medians(got, mask, pixels)
