@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.operators.cells import boxes
 from cellweave.operators.stencil import closing
 from cellweave.sources.images import PIXEL
+from cellweave.sources.lineage import cut
 
 CELL = ["image_id", "ObjectNumber"]
 #: (low, high) of each parameter: shifts in pixels, rotation in radians, scales and shears.
@@ -59,10 +59,19 @@ def with_matrix(transforms: DataFrame, cx: Column | float = 0.0, cy: Column | fl
     return out.withColumns({"m02": cx - (F.col("m00") * cx + F.col("m01") * cy) + F.col("tx"), "m12": cy - (F.col("m10") * cx + F.col("m11") * cy) + F.col("ty")})
 
 
+def _measured(mask: DataFrame) -> DataFrame:
+    """(image_id, label, r0, c0, r1, c1, area) of all labels, background included: one pass over the mask, a row for each cell."""
+    ends = {"r0": F.min("row"), "c0": F.min("col"), "r1": F.max("row") + 1, "c1": F.max("col") + 1, "area": F.count(F.lit(1))}
+    return mask.groupBy("image_id", "label").agg(*[v.alias(k) for k, v in ends.items()])
+
+
 def largest_cells(mask: DataFrame, share: float = 0.1) -> DataFrame:
     """Boxes of the cells in the top share of an image by height and by width and by area; all where there are fewer than 10."""
-    b = boxes(mask).join(mask.where("label <> 0").groupBy("image_id", F.col("label").alias("ObjectNumber")).agg(F.count(F.lit(1)).alias("area")), CELL)
-    b = b.withColumn("height", F.col("r1") - F.col("r0")).withColumn("width", F.col("c1") - F.col("c0"))
+    return _largest(_measured(mask), share)
+
+
+def _largest(measured: DataFrame, share: float) -> DataFrame:
+    b = measured.where("label <> 0").select("image_id", F.col("label").alias("ObjectNumber"), (F.col("r1") - F.col("r0")).alias("height"), (F.col("c1") - F.col("c0")).alias("width"), "area")
     w = Window.partitionBy("image_id")
     for c in ("height", "width", "area"):
         b = b.withColumn(f"rank_{c}", F.row_number().over(w.orderBy(F.col(c).desc(), "ObjectNumber")))
@@ -98,8 +107,12 @@ def padding(mask: DataFrame, transforms: DataFrame) -> DataFrame:
     / 2); so pads of elongated cells are wide. Without a cell large in all three ways the pad is 1. The transforms are a
     bounded table.
     """
+    return _pads(_measured(mask), transforms)
+
+
+def _pads(measured: DataFrame, transforms: DataFrame) -> DataFrame:
     params = _listed(transforms)
-    big = largest_cells(mask).select("image_id", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width")).distinct()
+    big = _largest(measured, 0.1).select("image_id", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width")).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -109,7 +122,7 @@ def padding(mask: DataFrame, transforms: DataFrame) -> DataFrame:
             yield pd.DataFrame({"image_id": pdf["image_id"], "pad": np.ceil(np.round(most, 9)).astype(int) + 1})
 
     pads = big.mapInPandas(run, "image_id string, pad int").groupBy("image_id").agg(F.max("pad").alias("pad")) if len(params) else None
-    images = mask.select("image_id").distinct()
+    images = measured.select("image_id").distinct()
     return images.withColumn("pad", F.lit(1)) if pads is None else images.join(pads, "image_id", "left").fillna(1, ["pad"])
 
 
@@ -132,9 +145,10 @@ def _centred(mask: DataFrame, pad: int | None, transforms: DataFrame | None, swa
     border than the pad, margins differ and so the swapped centre moves. Without a pad that of the image under the transforms
     counts for the centre alone, and whatever a transform reaches inside the image may be painted; a given pad clips.
     """
-    b = boxes(mask).select(*CELL, "r0", "c0", "r1", "c1").join(mask.groupBy("image_id").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols")), "image_id")
+    measured = cut(_measured(mask))  # boxes, image sizes and pads read it
+    b = measured.where("label <> 0").withColumnRenamed("label", "ObjectNumber").join(measured.groupBy("image_id").agg(F.max("r1").alias("rows"), F.max("c1").alias("cols")), "image_id")
     if pad is None:
-        b = b.join(padding(mask, transform_grid(mask.sparkSession, 2) if transforms is None else transforms), "image_id")
+        b = b.join(_pads(measured, transform_grid(mask.sparkSession, 2) if transforms is None else transforms), "image_id")
     else:
         b = b.withColumn("pad", F.lit(pad))
     h, w, top, left = F.col("r1") - F.col("r0") - less, F.col("c1") - F.col("c0") - less, F.least("r0", "pad"), F.least("c0", "pad")
