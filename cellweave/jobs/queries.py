@@ -598,7 +598,71 @@ def b12(spark, d):
     return shapes.marker_summaries(_what_if(spark, d, _all_shapes(spark)))
 
 
-@query("w2_boundary_what_if_job")
+def _listed_shapes(dmax: int) -> str:
+    """CTE sh: angles and depths of the shapes of widths 1 to 3 of 8 angles; those of width 0, with the ids 0 to 7, have none."""
+    first = [8, 8 + 8 * dmax, 8 + 8 * dmax + 8 * dmax**2]
+    ids = " ".join(f"WHEN {w} THEN {first[w - 1]} + s.s * {dmax**w} + c.c" for w in (1, 2, 3))
+    power = lambda x: f"CAST(pow({dmax}, {x}) AS INT)"
+    return f"""sh0 AS (SELECT w.w AS wd, s.s AS start, c.c AS code, CAST(CASE w.w {ids} END AS INT) AS shape_id FROM range(1, 4) w(w), range(8) s(s), range({dmax**3}) c(c) WHERE c.c < {power("w.w")}),
+sh AS (SELECT shape_id, CAST((start + i.i) % 8 AS INT) AS angle, CAST((code // {power("i.i")}) % {dmax} + 1 AS INT) AS depth FROM sh0, range(3) i(i) WHERE i.i < wd)"""
+
+
+#: prof: the profiles of the embeddings with their own nucleus.
+_EMB = f"prof AS (SELECT 'emb' AS image_id, {O}, 'emb' AS channel, angle, ring, value, own FROM rad)"
+
+
+def _listed_markers(prof: str, dmax: int, maxdist: int) -> str:
+    """CTE wi: the marker of each cell, channel, shape and (where two-layer patterns are moved) start."""
+    starts = maxdist - 1 if shapes.slides(dmax, maxdist) else 1
+    return f"""w AS (SELECT 1), {prof}, {_listed_shapes(dmax)},
+bd AS (SELECT image_id, {O}, angle, coalesce(min(ring) FILTER (own >= 1), 0) AS inner_, coalesce(max(ring) FILTER (own >= 1) + 1, 0) AS outer_ FROM prof GROUP BY ALL),
+ok AS (SELECT image_id, {O}, max(outer_) + {maxdist} <= (SELECT max(ring) FROM prof) AS fits FROM bd GROUP BY ALL),
+nu AS (SELECT image_id, {O}, channel, sum(value) AS ns, count(*) AS nn FROM prof JOIN bd USING (image_id, {O}, angle) WHERE ring BETWEEN inner_ AND outer_ GROUP BY ALL),
+ly AS (SELECT image_id, {O}, channel, angle, ring - outer_ AS layer, value FROM prof JOIN bd USING (image_id, {O}, angle) WHERE ring - outer_ BETWEEN 0 AND {maxdist - 1}),
+inn AS (SELECT image_id, {O}, channel, t.t AS start, coalesce(sum(value) FILTER (layer < t.t), 0) AS s, count(*) FILTER (layer < t.t) AS n FROM ly, range({starts}) t(t) GROUP BY ALL),
+sr AS (SELECT ly.*, t.t AS start, layer - t.t + 1 AS depth, sum(value) OVER (PARTITION BY image_id, {O}, channel, angle, t.t ORDER BY layer) AS run FROM ly, range({starts}) t(t) WHERE layer >= t.t),
+oo AS (SELECT image_id, {O}, channel, shape_id, start, sum(run) AS s, sum(depth) AS n FROM sr JOIN sh USING (angle, depth) GROUP BY ALL),
+every AS (SELECT DISTINCT shape_id FROM sh UNION ALL SELECT CAST(i.i AS INT) FROM range(8) i(i)),
+wi AS (SELECT image_id, {O}, channel, shape_id, start, inn.n + coalesce(oo.n, 0) AS n, CASE WHEN fits THEN (ns + inn.s + coalesce(oo.s, 0)) / (nn + inn.n + coalesce(oo.n, 0)) END AS marker, CASE WHEN fits THEN 'ok' ELSE 'past_last_ring' END AS status
+ FROM inn CROSS JOIN every LEFT JOIN oo USING (image_id, {O}, channel, shape_id, start) JOIN nu USING (image_id, {O}, channel) JOIN ok USING (image_id, {O}))"""
+
+
+@query("b1_subset_sums", f"""w AS (SELECT 1), {_EMB}, m AS (SELECT s.s AS bits, list_filter(range(8), lambda x: (s.s >> x) & 1 = 1) AS angles FROM range(256) s(s)),
+su AS (SELECT angles, row_number() OVER (ORDER BY len(angles), angles) - 1 AS subset_id FROM m)
+SELECT image_id, {L(O, O)}, channel, {L('subset_id', 'subset_id')}, {L('len(angles)', 'size')}, {D('coalesce(sum(value) FILTER (list_contains(angles, angle)), 0)', 'total')} FROM prof, su WHERE ring = 0 GROUP BY image_id, {O}, channel, subset_id, angles""")
+def b1(spark, d):
+    inner = fx.radial(spark, d).where("channel = 'emb' and ring = 0").groupBy(*shapes.PROFILE).agg(F.map_from_entries(F.collect_list(F.struct("angle", "value"))).alias("v"))
+    pick = F.transform("angles", lambda a: F.coalesce(F.try_element_at("v", a), F.lit(0.0)))
+    every = inner.join(F.broadcast(shapes.angle_subsets(spark, 8)))  # 2^8 subsets, fixed by the number of angles
+    return every.select(*shapes.PROFILE, "subset_id", "size", F.aggregate(pick, F.lit(0.0), lambda a, b: a + b).alias("total"))
+
+
+@query("b10_sliding_what_if", f"{_listed_markers(_EMB, 2, 3)} SELECT image_id, {L(O, O)}, channel, {L('shape_id', 'shape_id')}, {L('start', 'start')}, {L('n', 'n')}, {D('marker', 'marker')}, status FROM wi")
+def b10_sliding(spark, d):
+    return shapes.what_if(fx.radial(spark, d), _all_shapes(spark), 3)
+
+
+@query("b12_summaries_by_angle", f"{_listed_markers(_EMB, 3, 3)} SELECT image_id, {L(O, O)}, channel, {_SUM} FROM wi WHERE marker IS NOT NULL GROUP BY image_id, {O}, channel")
+def b12_by_angle(spark, d):
+    return shapes.what_if_summaries(fx.radial(spark, d))
+
+
+@query("b11_histogram_by_angle", f"{_listed_markers(_EMB, 3, 3)}, " + _HIST[_HIST.index("me AS"):] + f" SELECT 'emb' AS image_id, {L(O, O)}, 'emb' AS channel, {L('bin', 'bin')}, {D('grid', 'grid')}, {L('n', 'n')} FROM hg")
+def b11_by_angle(spark, d):
+    return shapes.what_if_histogram(fx.radial(spark, d), _means(spark, d))
+
+
+@query("b12_widest", f"{_listed_markers(_EMB, 3, 3)}, sd AS (SELECT image_id, {O}, channel, round(stddev_pop(marker), 9) AS sd FROM wi WHERE marker IS NOT NULL GROUP BY ALL) SELECT image_id, channel, {L(f'arg_min({O}, (-sd, {O}))', O)}, {D('max(sd)', 'sd')} FROM sd GROUP BY image_id, channel")
+def b12_widest(spark, d):
+    return shapes.widest(shapes.what_if_summaries(fx.radial(spark, d)).withColumn("sd", F.round("sd", 9)))
+
+
+#: prof: the profiles of all channels with their own nucleus, 12 rings.
+_TWELVE = _RADIAL.removeprefix("w AS (SELECT 1), ").replace(_LUT, "lut(dr, dc, angle, ring) AS (VALUES " + ", ".join(map(str, polar.lookup(8, 12))) + ")").replace("bn AS (SELECT DISTINCT angle, ring FROM lut)", "bn AS (SELECT CAST(a.a AS INT) AS angle, CAST(r.r AS INT) AS ring FROM range(8) a(a), range(12) r(r))") + f""",
+prof AS (SELECT a.image_id, a.{O}, a.channel, a.angle, a.ring, a.value, b.value AS own FROM rp a JOIN rp b USING (image_id, {O}, angle, ring) WHERE b.channel = 'own_nucleus' AND NOT regexp_matches(a.channel, '_(cell|nucleus)$'))"""
+
+
+@query("w2_boundary_what_if_job", f"{_listed_markers(_TWELVE, 3, 3)} SELECT image_id, {L(O, O)}, channel, {_SUM} FROM wi WHERE marker IS NOT NULL GROUP BY image_id, {O}, channel")
 def w2(spark, d):
     return workloads.boundary_what_if(fx.pixels(spark, d), fx.mask(spark, d), fx.mask_nuc(spark, d))
 

@@ -59,10 +59,9 @@ def marker_location(pixels: DataFrame, mask: DataFrame, min_p: float = 0.75, low
     return scores.marker_location(c, low, high, min_p=min_p, n_bootstrap=n_bootstrap)
 
 
-def boundary_what_if(pixels: DataFrame, mask: DataFrame, mask_nuc: DataFrame, n_angles: int = 8, rmax: int = 10, dmax: int = 2, maxdist: int = 2, maxp: float = 0.4, how: str = "all") -> DataFrame:
-    """Summaries over boundary shapes for each cell and channel; the shape-level rows are never written."""
+def boundary_what_if(pixels: DataFrame, mask: DataFrame, mask_nuc: DataFrame, n_angles: int = 8, rmax: int = 12, dmax: int = 3, maxdist: int | None = None, maxp: float = 0.4, how: str = "all") -> DataFrame:
+    """Summaries over boundary shapes for each cell and channel; shapes are never rows. maxdist is dmax where not given."""
     members = polar.membership(mask, mask_nuc)
-    profile = polar.radial(pixels, cells.boxes(mask_nuc).select("image_id", "ObjectNumber", "x", "y"), polar.lookup(n_angles, rmax), members)
-    keep = profile.where((F.col("channel") == "own_nucleus") | ~F.col("channel").rlike("_(cell|nucleus)$"))
-    s = shapes.shapes(pixels.sparkSession, n_angles, dmax, 0.0, maxp)
-    return shapes.marker_summaries(shapes.what_if(keep, s, maxdist, how))
+    profile = polar.radial(pixels, cells.boxes(mask_nuc).select("image_id", "ObjectNumber", "x", "y"), polar.lookup(n_angles, rmax), members, (n_angles, rmax))
+    keep = cut(profile.where((F.col("channel") == "own_nucleus") | ~F.col("channel").rlike("_(cell|nucleus)$")))
+    return shapes.what_if_summaries(keep, n_angles, dmax, 0.0, maxp, maxdist, how)

@@ -70,17 +70,22 @@ def planes(at: DataFrame, members: DataFrame) -> DataFrame:
     return long.withColumn("p", F.explode(pairs)).select(*at.columns, F.col("p.c").alias("channel"), F.col("p.v").alias("value"))
 
 
-def radial(pixels: DataFrame, centres: DataFrame, lut: list[tuple[int, int, int, int]], members: DataFrame | None = None) -> DataFrame:
+def radial(pixels: DataFrame, centres: DataFrame, lut: list[tuple[int, int, int, int]], members: DataFrame | None = None, size: tuple[int, int] | None = None) -> DataFrame:
     """(image_id, ObjectNumber, channel, angle, ring, value, cumulative, n): ring means, and means of all rings so far.
 
-    Offsets outside the image do not count; a bin without a pixel has value 0 and n 0.
+    Offsets outside the image do not count; a bin without a pixel has value 0 and n 0. Bins are those of the lookup, or all
+    of a size (angles, rings).
     """
     at = placed(centres, lut)
     long = at.join(pixels, ["image_id", "row", "col"]).select(*at.columns, "channel", "value")
     if members is not None:
         long = long.unionByName(planes(at, members))
     sums = long.groupBy(*PROFILE, "angle", "ring").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
-    bins = sorted({(k, j) for _, _, k, j in lut})
+    return _binned(sums, sorted({(k, j) for _, _, k, j in lut}) if size is None else [(k, j) for k in range(size[0]) for j in range(size[1])])
+
+
+def _binned(sums: DataFrame, bins: list[tuple[int, int]]) -> DataFrame:
+    """Means and running means of all bins from sums s and counts n."""
     every = F.explode(F.array(*[F.struct(F.lit(k).alias("angle"), F.lit(j).alias("ring")) for k, j in bins]))
     grid = sums.select(*PROFILE).distinct().withColumn("b", every).select(*PROFILE, "b.angle", "b.ring")
     full = grid.join(sums, [*PROFILE, "angle", "ring"], "left").fillna(0, ["s", "n"])
