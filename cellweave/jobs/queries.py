@@ -425,6 +425,29 @@ def r4(spark, d):
     return _profile(spark, d)
 
 
+#: Sub-pixels, three to a pixel, of 16 angles and 16 rings around each nucleus: linear for channels, nearest for planes.
+_SCALED = f"""w AS (SELECT 1), lut3(dr, dc, angle, ring) AS (VALUES {", ".join(map(str, polar.lookup(16, 16, 3)))}),
+ce AS (SELECT image_id, label AS {O}, avg(row) AS x, avg(col) AS y, greatest(0, min(row) - 16) AS r0, greatest(0, min(col) - 16) AS c0, least({fx.SIDE}, max(row) + 17) AS r1, least({fx.SIDE}, max(col) + 17) AS c1 FROM mkn WHERE label <> 0 GROUP BY ALL),
+sp AS (SELECT image_id, {O}, angle, ring, r0, c0, r1 - r0 AS h, c1 - c0 AS wd, CAST(round_even((x - r0) * 3, 0) AS INT) + dr AS r, CAST(round_even((y - c0) * 3, 0) AS INT) + dc AS c FROM ce CROSS JOIN lut3),
+sub AS (SELECT *, (r + 0.5::DOUBLE) / 3 - 0.5::DOUBLE AS sy, (c + 0.5::DOUBLE) / 3 - 0.5::DOUBLE AS sx FROM sp WHERE r >= 0 AND c >= 0 AND r < h * 3 AND c < wd * 3),
+fw AS (SELECT image_id, {O}, angle, ring, CAST(r0 + greatest(0, least(h - 1, floor(sy) + i.i)) AS INT) AS row, CAST(c0 + greatest(0, least(wd - 1, floor(sx) + j.j)) AS INT) AS col, sum((1 - abs(sy - floor(sy) - i.i)) * (1 - abs(sx - floor(sx) - j.j))) AS wt FROM sub, range(2) i(i), range(2) j(j) GROUP BY ALL),
+nn AS (SELECT image_id, {O}, angle, ring, CAST(r0 + r // 3 AS INT) AS row, CAST(c0 + c // 3 AS INT) AS col, count(*) AS n FROM sub GROUP BY ALL),
+cnt AS (SELECT image_id, {O}, angle, ring, sum(n) AS n FROM nn GROUP BY ALL),
+alm AS (SELECT image_id, row, col, a.label AS cell, b.label AS nuc FROM mk a JOIN mkn b USING (image_id, row, col)),
+sm2 AS (SELECT fw.image_id, {O}, channel, angle, ring, sum(value * wt) AS s FROM fw JOIN px USING (image_id, row, col) GROUP BY ALL
+ UNION ALL SELECT nn.image_id, {O}, u.c, angle, ring, sum(n * CASE u.c WHEN 'any_cell' THEN CAST(cell <> 0 AS INT) WHEN 'own_cell' THEN CAST(cell = {O} AS INT) WHEN 'other_cell' THEN CAST(cell <> 0 AND cell <> {O} AS INT) WHEN 'any_nucleus' THEN CAST(nuc <> 0 AS INT) WHEN 'own_nucleus' THEN CAST(nuc = {O} AS INT) ELSE CAST(nuc <> 0 AND nuc <> {O} AS INT) END)
+ FROM nn JOIN alm USING (image_id, row, col) CROSS JOIN (VALUES ('any_cell'), ('own_cell'), ('other_cell'), ('any_nucleus'), ('own_nucleus'), ('other_nucleus')) u(c) GROUP BY ALL),
+ks AS (SELECT DISTINCT image_id, {O}, channel FROM sm2),
+fl AS (SELECT ks.image_id, ks.{O}, ks.channel, CAST(a.a AS INT) AS angle, CAST(r.r AS INT) AS ring, coalesce(s, 0) AS s, coalesce(n, 0) AS n FROM ks CROSS JOIN range(16) a(a) CROSS JOIN range(16) r(r) LEFT JOIN sm2 ON sm2.image_id = ks.image_id AND sm2.{O} = ks.{O} AND sm2.channel = ks.channel AND sm2.angle = a.a AND sm2.ring = r.r LEFT JOIN cnt ON cnt.image_id = ks.image_id AND cnt.{O} = ks.{O} AND cnt.angle = a.a AND cnt.ring = r.r),
+rp AS (SELECT *, s / greatest(n, 1) AS value, sum(s) OVER wd / greatest(sum(n) OVER wd, 1) AS cumulative FROM fl WINDOW wd AS (PARTITION BY image_id, {O}, channel, angle ORDER BY ring ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+@query("r4_scaled", f"{_SCALED} SELECT {_BIN}, {D('value', 'value')}, {D('cumulative', 'cumulative')}, {L('n', 'n')} FROM rp")
+def r4_scaled(spark, d):
+    m, n = fx.mask(spark, d), fx.mask_nuc(spark, d)
+    return polar.radial_scaled(fx.pixels(spark, d), cells.boxes(n), 16, 16, 3, members=polar.membership(m, n))
+
+
 def _edge_of(plane: str, name: str) -> str:
     return f"""{name}0 AS (SELECT image_id, {O}, angle, ring, value >= 1.0 AS v, lead(value >= 1.0) OVER (PARTITION BY image_id, {O}, angle ORDER BY ring) AS nx FROM rp WHERE channel = '{plane}'),
 {name} AS (SELECT image_id, {O}, angle, coalesce(min(ring) FILTER (v <> nx AND ring >= 1), 1) AS {name} FROM {name}0 GROUP BY ALL)"""

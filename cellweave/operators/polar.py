@@ -3,23 +3,38 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.sources.lineage import cut
+
 PROFILE = ["image_id", "ObjectNumber", "channel"]
 
 
-def lookup(n_angles: int = 8, rmax: int = 10, scale: int = 1) -> list[tuple[int, int, int, int]]:
+def reach(rmax: float, resolution: float = 1.0) -> int:
+    """Whole pixels to the outermost ring."""
+    return int(rmax / resolution)
+
+
+def rings(rmax: float, resolution: float = 1.0) -> int:
+    return max(int(round(reach(rmax, resolution) * resolution)), 1)
+
+
+def lookup(n_angles: int = 8, rmax: float = 10, scale: int = 1, resolution: float = 1.0) -> list[tuple[int, int, int, int]]:
     """(drow, dcol, angle, ring) of each offset that is in a ring of a cone; the centre is in none.
 
     A cone of radius r around angle 2 pi k / n (from the row axis) is the four-sided figure of the centre and three points
     at distance r: half a sector to one side, the middle, half a sector to the other. A ring is what is in a cone and not
     in the cone made just before it (of the last angle's largest radius, for an angle's first).
+
+    With a resolution (length of a pixel) rmax is a length: the lookup reaches `reach` pixels, rings stay one unit apart.
+    With a scale offsets are sub-pixels, that many to a pixel.
     """
-    side, tol, half = int(rmax * scale), 1e-6, math.pi / n_angles
+    side, tol, half = reach(rmax, resolution) * scale, 1e-6, math.pi / n_angles
     d = np.arange(-side, side + 1)
     row, col = np.meshgrid(d, d, indexing="ij")
 
@@ -30,7 +45,7 @@ def lookup(n_angles: int = 8, rmax: int = 10, scale: int = 1) -> list[tuple[int,
             inside &= (x1 - x0) * (col - y0) - (y1 - y0) * (row - x0) >= -tol
         return inside
 
-    bins = [(k, j, cone(r, 2 * math.pi * k / n_angles)) for k in range(n_angles) for j, r in enumerate(np.linspace(1, side, max(int(round(rmax)), 1)))]
+    bins = [(k, j, cone(r, 2 * math.pi * k / n_angles)) for k in range(n_angles) for j, r in enumerate(np.linspace(1, side, rings(rmax, resolution)))]
     before, out = bins[-1][2], []
     for k, j, now in bins:
         new = now & ~before
@@ -94,6 +109,56 @@ def _binned(sums: DataFrame, bins: list[tuple[int, int]]) -> DataFrame:
     return full.select(*PROFILE, "angle", "ring", mean(F.col("s"), F.col("n")).alias("value"), mean(F.sum("s").over(w), F.sum("n").over(w)).alias("cumulative"), "n")
 
 
+def radial_scaled(pixels: DataFrame, boxes: DataFrame, n_angles: int = 8, rmax: float = 12, scale: int = 1, resolution: float = 1.0, members: DataFrame | None = None) -> DataFrame:
+    """radial on `scale` x `scale` sub-pixels for each pixel, with bins of all angles and rings; no image is scaled up.
+
+    boxes: (image_id, ObjectNumber, x, y, r0, c0, r1, c1) of nuclei. Channels are interpolated linearly between pixel
+    centres, inside the box and `reach` pixels around it (its border repeated); the pseudo-channels take the nearest pixel.
+    A task turns the sub-pixels of a cell into weights of source pixels for each bin, and only these meet the image: a
+    bin's sum of interpolated values is a weighted sum of pixels.
+    """
+    lut, far = np.array(lookup(n_angles, rmax, scale, resolution)), reach(rmax, resolution)
+    n_rings = rings(rmax, resolution)
+    sizes = pixels.groupBy("image_id").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
+    at = boxes.join(sizes, "image_id").select("image_id", "ObjectNumber", "x", "y", F.greatest(F.lit(0), F.col("r0") - far).alias("r0"), F.greatest(F.lit(0), F.col("c0") - far).alias("c0"), F.least("rows", F.col("r1") + far).alias("r1"), F.least("cols", F.col("c1") + far).alias("c1"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for cell in pdf.itertuples(index=False):
+                h, w = cell.r1 - cell.r0, cell.c1 - cell.c0
+                row, col = lut[:, 0] + int(np.rint((cell.x - cell.r0) * scale)), lut[:, 1] + int(np.rint((cell.y - cell.c0) * scale))
+                inside = (row >= 0) & (row < h * scale) & (col >= 0) & (col < w * scale)
+                row, col, where = row[inside], col[inside], lut[inside, 2] * n_rings + lut[inside, 3]
+                y, x = (row + 0.5) / scale - 0.5, (col + 0.5) / scale - 0.5
+                place = lambda r, c: (where * h + np.clip(r, 0, h - 1)) * w + np.clip(c, 0, w - 1)  # noqa: B023, E731
+                codes, weights = [place(row // scale, col // scale)], [np.zeros(len(row))]
+                for i in (0, 1):
+                    for j in (0, 1):
+                        r, c = np.floor(y).astype(int) + i, np.floor(x).astype(int) + j
+                        codes.append(place(r, c))
+                        weights.append((1 - np.abs(y - r)) * (1 - np.abs(x - c)))
+                code, which = np.unique(np.concatenate(codes), return_inverse=True)
+                weight = np.bincount(which, np.concatenate(weights), len(code))
+                near = np.bincount(which[: len(row)], minlength=len(code))
+                some = (weight > 0) | (near > 0)
+                code = code[some]
+                where_ = code // (h * w)
+                yield pd.DataFrame({
+                    "image_id": cell.image_id, "ObjectNumber": cell.ObjectNumber, "angle": where_ // n_rings, "ring": where_ % n_rings,
+                    "row": code // w % h + cell.r0, "col": code % w + cell.c0, "weight": weight[some], "near": near[some],
+                })
+
+    kinds = f"image_id {at.schema['image_id'].dataType.simpleString()}, ObjectNumber {at.schema['ObjectNumber'].dataType.simpleString()}, angle int, ring int, row int, col int, weight double, near long"
+    at = at.mapInPandas(run, kinds)
+    if members is not None:
+        at = cut(at)  # channels and pseudo-channels read it
+    long = at.join(pixels, ["image_id", "row", "col"]).select(*at.columns, "channel", (F.col("value") * F.col("weight")).alias("v"))
+    if members is not None:
+        long = long.unionByName(planes(at, members).withColumn("v", F.col("value") * F.col("near")).drop("value"))
+    sums = long.groupBy(*PROFILE, "angle", "ring").agg(F.sum("v").alias("s"), F.sum("near").alias("n"))
+    return _binned(sums, [(k, j) for k in range(n_angles) for j in range(n_rings)])
+
+
 def _boundary(profile: DataFrame, plane: str, name: str, thr: float, minp: int) -> DataFrame:
     """(image_id, ObjectNumber, angle, name): the first ring from minp on after which the plane crosses the threshold."""
     w = Window.partitionBy("image_id", "ObjectNumber", "angle").orderBy("ring")
