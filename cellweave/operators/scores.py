@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.operators.ordered import running
+from cellweave.sources.lineage import cut
+
 PLANE = ["image_id", "channel"]
 
 
@@ -33,43 +36,53 @@ def smooth_max(xy: DataFrame, max_dist: float = 10.0, min_dist: float = 25.0, mi
     return n.select(*PLANE).join(y0, PLANE, "left").select(*PLANE, "x0", "y0")
 
 
+def _widths(ranked: DataFrame, max_dist: float, min_dist: float, minp: float) -> DataFrame:
+    """(PLANE, id, width) of points with their rank in x: the minp-quantile of distances, cut to q99 / min_dist .. q99 / max_dist.
+
+    The j nearest values to a point and itself are a run of j + 1 neighbours in order: the one whose ends lie about the
+    point. Runs are sorted by the sum of their ends, in which the point's place is found by counting.
+    """
+    size = ranked.groupBy(*PLANE).agg(F.count(F.lit(1)).alias("n"))
+    at = ranked.join(size, PLANE)
+    pos = lambda p: F.lit(p) * (F.col("n") - 1)
+    part = pos(0.99) - F.floor(pos(0.99))
+    top = F.when(F.col("rank") == F.floor(pos(0.99)), F.col("x") * (1 - part)).when(F.col("rank") == F.floor(pos(0.99)) + 1, F.col("x") * part)
+    q99 = at.groupBy(*PLANE).agg(F.sum(top).alias("q99"))
+    both = at.withColumn("more", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("j", F.least(F.floor(pos(minp)) + F.col("more"), F.col("n") - 1))
+    ends = ranked.select(*PLANE, F.col("rank").alias("last"), F.col("x").alias("high"))
+    runs = cut(both.withColumn("last", F.col("rank") + F.col("j")).join(ends, [*PLANE, "last"]).select(*PLANE, "more", F.col("rank").alias("first"), F.col("x").alias("low"), "high"))
+    table = runs.select(*PLANE, "more", (F.col("low") + F.col("high")).alias("key"), F.lit(1).alias("kind"), F.col("first").alias("at"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("long").alias("runs"))
+    asked = both.select(*PLANE, "more", (2 * F.col("x")).alias("key"), F.lit(0).alias("kind"), F.col("rank").alias("at"), "x", (F.col("n") - F.col("j")).alias("runs"))
+    found = running(table.unionByName(asked), [*PLANE, "more"], ["key", "kind", "at"], {"below": F.col("kind").cast("long")}).where("kind = 0")
+    near = lambda d: F.greatest(F.lit(0), F.least(F.col("below") + d, F.col("runs") - 1))
+    found = found.select(*PLANE, "more", "x", F.col("at").alias("rank"), F.explode(F.array_distinct(F.array(near(-1), near(0)))).alias("first")).join(runs, [*PLANE, "more", "first"])
+    far = F.greatest(F.abs(F.col("x") - F.col("low")), F.abs(F.col("high") - F.col("x")))
+    dist = found.groupBy(*PLANE, "rank").agg(*[F.min(F.when(F.col("more") == k, far)).alias(f"d{k}") for k in (0, 1)])
+    part = pos(minp) - F.floor(pos(minp))
+    dq = F.col("d0") * (1 - part) + F.col("d1") * part
+    return dist.join(size, PLANE).join(q99, PLANE).select(*PLANE, "rank", F.greatest(F.least(dq, F.col("q99") / max_dist), F.col("q99") / min_dist).alias("width"))
+
+
 def smoothed(xy: DataFrame, max_dist: float = 10.0, min_dist: float = 25.0, minp: float = 0.01) -> DataFrame:
     """xy with ys: y smoothed over x with a triangular kernel of each point's own width (x >= 0).
 
-    The width of a point is its minp-quantile of distances, cut to q99 / min_dist .. q99 / max_dist. Quantiles are looked
-    up in the sorted x of one channel of one image (a value for each of its cells); neighbours are joined by bands as wide
-    as the largest width, so that no pair of far points is made.
+    The kernel is linear on either side of a point, so sums over it follow from running sums of 1, x, y and xy up to its
+    ends and its middle: three look-ups for each point, however many neighbours it has, and no pair of points is made.
+    A channel of an image may have any share of the points. NULL where the width is 0.
     """
-    some = xy.where("x is not null and y is not null")
-
-    def widths(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf["x"].to_numpy())
-        q99 = np.quantile(x, 0.99)
-        pos = minp * (len(x) - 1)
-        k, part = int(pos), pos - int(pos)
-
-        u = np.unique(x)
-
-        def kth(j: int) -> np.ndarray:
-            """The j-th smallest distance to each u: the nearest j + 1 values are a run of x, and the best run is the one whose ends lie about u."""
-            j = min(j, len(x) - 1)
-            low, high = x[: len(x) - j], x[j:]
-            at = np.searchsorted(low + high, 2 * u)
-            runs = (np.clip(at - 1, 0, len(low) - 1), np.clip(at, 0, len(low) - 1))
-            return np.minimum(*[np.maximum(np.abs(u - low[r]), np.abs(high[r] - u)) for r in runs])
-
-        w = kth(k) * (1 - part) + kth(k + 1) * part
-        w = np.maximum(np.minimum(w, q99 / max_dist), q99 / min_dist)
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "channel": pdf["channel"].iloc[0], "x": u, "width": w, "band": q99 / max_dist})
-
-    schema = "image_id string, channel string, x double, width double, band double"
-    at = some.join(some.select(*PLANE, "x").groupBy(*PLANE).applyInPandas(widths, schema), [*PLANE, "x"])
-    at = at.withColumn("b", F.floor(F.try_divide("x", "band")))
-    left = at.select(*PLANE, "ObjectNumber", "x", "width", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
-    right = at.select(*PLANE, F.col("x").alias("x2"), "y", "b")
-    w = 1 - F.try_divide(F.abs(F.col("x2") - F.col("x")), F.col("width"))
-    near = left.join(right, [*PLANE, "b"]).withColumn("w", w).where("w > 0")
-    ys = near.groupBy(*PLANE, "ObjectNumber").agg(F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w")).alias("ys"))
+    some = xy.where("x is not null and y is not null").select(*PLANE, "ObjectNumber", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    ranked = cut(running(some, PLANE, ["x", "ObjectNumber"], {"rank": F.lit(1).cast("long")}).withColumn("rank", F.col("rank") - 1))
+    at = cut(ranked.join(_widths(ranked, max_dist, min_dist, minp), [*PLANE, "rank"]))
+    sums = {"s1": F.lit(1.0), "sx": F.col("x"), "sy": F.col("y"), "sxy": F.col("x") * F.col("y")}
+    table = ranked.select(*PLANE, F.col("x").alias("key"), F.lit(0).alias("side"), "rank", *[v.alias(k) for k, v in sums.items()])
+    sides = F.explode(F.array(*[F.struct((F.col("x") + k * F.col("width")).alias("key"), F.lit(k + 2).alias("side")) for k in (-1, 0, 1)])).alias("q")
+    asked = at.select(*PLANE, "rank", sides).select(*PLANE, "q.key", "q.side", "rank", *[F.lit(0.0).alias(k) for k in sums])
+    found = running(table.unionByName(asked), PLANE, ["key", "side", "rank"], {f"u{k}": F.col(k) for k in sums}).where("side > 0")
+    found = found.groupBy(*PLANE, "rank").agg(*[F.max(F.when(F.col("side") == side, F.col(f"u{k}"))).alias(f"{k}_{side}") for k in sums for side in (1, 2, 3)])
+    left, right = (lambda k: F.col(f"{k}_2") - F.col(f"{k}_1")), (lambda k: F.col(f"{k}_3") - F.col(f"{k}_2"))
+    by = F.try_divide("x", "width")
+    over = lambda one, x: (1 - by) * left(one) + F.try_divide(left(x), "width") + (1 + by) * right(one) - F.try_divide(right(x), "width")
+    ys = at.join(found, [*PLANE, "rank"]).select(*PLANE, "ObjectNumber", F.try_divide(over("sy", "sxy"), over("s1", "sx")).alias("ys"))
     return xy.join(ys, [*PLANE, "ObjectNumber"], "left")
 
 
