@@ -6,6 +6,7 @@ A constant plane has no spread: G, H and p are NULL there.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -14,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from cellweave.functions.keyed import draw, key, permuted
 from cellweave.functions.special import phi
-from cellweave.operators.stencil import PLANE, Kernel, disc_sums, kernel_sum, neighbourhood_sum
+from cellweave.operators.stencil import PLANE, Kernel, disc_sums, disc_totals, kernel_sum, neighbourhood_sum
 
 HOT, COLD, BOTH = 1, 2, 4
 
@@ -177,12 +179,6 @@ def _seed(*parts) -> int:
     return zlib.crc32("|".join(map(str, parts)).encode())
 
 
-def _dense(pdf: pd.DataFrame) -> np.ndarray:
-    out = np.full((int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1), np.nan)
-    out[pdf["row"].to_numpy(), pdf["col"].to_numpy()] = pdf["value"].to_numpy()
-    return out
-
-
 def _stencil(x: np.ndarray, queen: bool) -> np.ndarray:
     """Sum of the neighbours of each pixel of the last two axes, the border repeated."""
     pad = np.pad(x, [(0, 0)] * (x.ndim - 2) + [(1, 1), (1, 1)], mode="edge")
@@ -191,9 +187,79 @@ def _stencil(x: np.ndarray, queen: bool) -> np.ndarray:
     return sum(pad[..., a : a + h, b : b + w] for a, b in steps)
 
 
-def _blocks(pixels: DataFrame, n_iter: int, block: int) -> DataFrame:
-    """Each plane once for each block of iterations: a group is one plane, and counts leave it once for each block."""
-    return pixels.select(*PLANE, "row", "col", "value").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_iter - 1) // block))))
+WHOLE = 512 * 512  # pixels of a plane that one group holds; larger planes are cut into tiles
+SIDE = 256  # side of a tile
+
+
+def _sized(pixels: DataFrame) -> DataFrame:
+    """pixels with the size and the sum of their plane: small aggregates joined back."""
+    size = pixels.groupBy(*PLANE).agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"), F.sum("value").alias("total"))
+    return pixels.select(*PLANE, "row", "col", F.col("value").cast("double").alias("value")).join(size, PLANE)
+
+
+def _plane_key(pdf: pd.DataFrame, seed: int, tag: str) -> tuple:
+    return seed, pdf["image_id"].iloc[0], pdf["channel"].iloc[0], tag
+
+
+def _rounds(n_iter: int, block: int, which: int) -> range:
+    return range(which * block, min(n_iter, (which + 1) * block))
+
+
+def _shuffled(sized: DataFrame, n_iter: int, block: int, seed: int, tag: str, halo: int, whole: int, work, schema: str) -> DataFrame:
+    """What `work` makes of shuffled planes: of each plane, or of its tiles with a halo, and a block of iterations.
+
+    In iteration b the value of pixel i goes to place permuted(i) under a key of the plane and b. A plane of up to `whole`
+    pixels is shuffled inside its group. Of a larger one each pixel is sent to the tiles of its new places, with one
+    shuffle and no join, so a group holds a tile for a block of iterations whatever the plane's size. Results are the same.
+
+    work(pdf of own pixels, x, planes (iterations, rows, columns), own rows and columns in them) gets pdf with total, rows
+    and cols.
+    """
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((n_iter - 1) // block)))
+    small = sized.where(F.col("rows") * F.col("cols") <= whole).withColumn("block", blocks)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, cols = int(pdf["rows"].iloc[0]), int(pdf["cols"].iloc[0])
+        x = np.full((rows, cols), np.nan)
+        at = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        x[at] = pdf["value"]
+        steps = _rounds(n_iter, block, int(pdf["block"].iloc[0]))
+        planes = np.empty((len(steps), rows * cols))
+        for k, b in enumerate(steps):
+            planes[k, permuted(key(*_plane_key(pdf, seed, tag), b), np.arange(rows * cols), rows * cols)] = x.ravel()
+        return work(pdf, x, planes.reshape(len(steps), rows, cols), *at)
+
+    def scatter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, pdf in batch.groupby([*PLANE], sort=False):
+                rows, cols = int(pdf["rows"].iloc[0]), int(pdf["cols"].iloc[0])
+                place = pdf["row"].to_numpy().astype(np.int64) * cols + pdf["col"].to_numpy()
+                for b in range(-1 - (n_iter - 1) // block, n_iter):  # below 0: the plane as it is, for each block
+                    to = place if b < 0 else permuted(key(*_plane_key(pdf, seed, tag), b), place, rows * cols)
+                    r, c = to // cols, to % cols
+                    ends = lambda v, n: (np.maximum(v - halo, 0) // SIDE, np.minimum(v + halo, n - 1) // SIDE)
+                    (r0, r1), (c0, c1) = ends(r, rows), ends(c, cols)
+                    for tr, some in ((r0, r0 >= 0), (r1, r1 > r0)):
+                        for tc, more in ((c0, c0 >= 0), (c1, c1 > c0)):
+                            at = np.flatnonzero(some & more)
+                            if len(at):
+                                yield pdf[[*PLANE, "rows", "cols", "total"]].iloc[at].assign(block=-1 - b if b < 0 else b // block, b=max(b, -1), tr=tr[at], tc=tc[at], row=r[at], col=c[at], value=pdf["value"].to_numpy()[at])
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        tr, tc, rows, cols = (int(pdf[c].iloc[0]) for c in ("tr", "tc", "rows", "cols"))
+        r0, c0 = max(tr * SIDE - halo, 0), max(tc * SIDE - halo, 0)
+        r1, c1 = min((tr + 1) * SIDE + halo, rows), min((tc + 1) * SIDE + halo, cols)
+        steps = _rounds(n_iter, block, int(pdf["block"].iloc[0]))
+        planes = np.full((len(steps) + 1, r1 - r0, c1 - c0), np.nan)
+        b = pdf["b"].to_numpy()
+        planes[np.where(b < 0, len(steps), b - steps.start), pdf["row"] - r0, pdf["col"] - c0] = pdf["value"]
+        own = pdf[(b < 0) & (pdf["row"] // SIDE == tr) & (pdf["col"] // SIDE == tc)]
+        return work(own, planes[-1], planes[:-1], own["row"].to_numpy() - r0, own["col"].to_numpy() - c0)
+
+    kinds = {f.name: f.dataType.simpleString() for f in sized.schema}
+    moved = f"image_id {kinds['image_id']}, channel {kinds['channel']}, rows {kinds['rows']}, cols {kinds['cols']}, total double, block int, b int, tr int, tc int, row int, col int, value double"
+    large = sized.where(F.col("rows") * F.col("cols") > whole).mapInPandas(scatter, moved)
+    return small.groupBy(*PLANE, "block").applyInPandas(run, schema).unionByName(large.groupBy(*PLANE, "block", "tr", "tc").applyInPandas(tile, schema))
 
 
 _COUNTS = "image_id string, channel string, row int, col int, g double, n_both long, n_cold long, n_hot long, n long"
@@ -204,45 +270,73 @@ def _p_from_counts(counts: DataFrame) -> DataFrame:
     return out.select(*PLANE, "row", "col", "g", *[((1 + F.col(f"n_{k}")) / (1 + F.col("n"))).alias(f"p_{k}") for k in ("both", "cold", "hot")])
 
 
-def _emit(pdf: pd.DataFrame, gi: np.ndarray, gp: list[np.ndarray]) -> pd.DataFrame:
-    r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-    both, cold, hot = (sum(f(p) for p in gp) for f in (lambda p: np.abs(p) > np.abs(gi), lambda p: p < gi, lambda p: p > gi))
-    return pd.DataFrame({"image_id": pdf["image_id"], "channel": pdf["channel"], "row": r, "col": c, "g": gi[r, c], "n_both": both[r, c], "n_cold": cold[r, c], "n_hot": hot[r, c], "n": len(gp)})
+def _compared(pdf: pd.DataFrame, gi: np.ndarray, gp: np.ndarray) -> pd.DataFrame:
+    """Counts of permuted values (iterations, pixels) beyond the observed ones of pdf's pixels."""
+    out = pdf[[*PLANE, "row", "col"]].assign(g=gi)
+    return out.assign(n_both=(np.abs(gp) > np.abs(gi)).sum(axis=0), n_cold=(gp < gi).sum(axis=0), n_hot=(gp > gi).sum(axis=0), n=len(gp))
 
 
-def g_permutation(pixels: DataFrame, n_iter: int = 99, queen: bool = True, centre: bool = True, whole_image: bool = True, seed: int = 42, block: int = 25) -> DataFrame:
+def g_permutation(pixels: DataFrame, n_iter: int = 99, queen: bool = True, centre: bool = True, whole_image: bool = True, seed: int = 42, block: int = 25, whole: int = WHOLE) -> DataFrame:
     """(image_id, channel, row, col, g, p_both, p_cold, p_hot) from shuffles of the plane, or of neighbours drawn from it.
 
-    Observed g is (neighbours + x if centre) / sum; permuted g divides by sum - x, as the definition has it.
+    Observed g is (neighbours + x if centre) / sum; permuted g divides by sum - x, as the definition has it. Permutations
+    are keyed, so a plane of any size gives the same result as if one task held it (see `_shuffled`).
     """
+    sized = _sized(pixels)
+    if not whole_image:
+        return _p_from_counts(_drawn_neighbours(sized, n_iter, queen, centre, seed, block, whole))
+
+    def work(pdf: pd.DataFrame, x: np.ndarray, planes: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        total, mid = pdf["total"].to_numpy(), x[i, j]
+        with np.errstate(all="ignore"):
+            gi = (_stencil(x, queen)[i, j] + (mid if centre else 0)) / (total if centre else total - mid)
+            return _compared(pdf, gi, ((mid if centre else 0) + _stencil(planes, queen)[:, i, j]) / (total - mid))
+
+    return _p_from_counts(_shuffled(sized, n_iter, block, seed, "g", 1, whole, work, _COUNTS))
+
+
+def _drawn_neighbours(sized: DataFrame, n_iter: int, queen: bool, centre: bool, seed: int, block: int, whole: int) -> DataFrame:
+    """Counts against neighbours drawn from the plane: inside its group, or for a larger plane by an equi-join on pixel numbers."""
     k = 8 if queen else 4
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((n_iter - 1) // block)))
+    small, large = (sized.where(c) for c in (F.col("rows") * F.col("cols") <= whole, F.col("rows") * F.col("cols") > whole))
+
+    def drawn(pdf: pd.DataFrame, b: int) -> np.ndarray:
+        """Pixel numbers (pixels, k) that the pixels of pdf draw in iteration b."""
+        rows, cols = int(pdf["rows"].iloc[0]), int(pdf["cols"].iloc[0])
+        place = pdf["row"].to_numpy().astype(np.int64) * cols + pdf["col"].to_numpy()
+        return draw(key(*_plane_key(pdf, seed, "drawn"), b), place[:, None] * k + np.arange(k), rows * cols)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _dense(pdf)
-        rng = np.random.default_rng(_seed(seed, pdf["image_id"].iloc[0], pdf["channel"].iloc[0], pdf["block"].iloc[0]))
-        total = x.sum()
+        x = np.full((int(pdf["rows"].iloc[0]), int(pdf["cols"].iloc[0])), np.nan)
+        i, j = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        x[i, j] = pdf["value"]
+        total, mid = pdf["total"].to_numpy(), x[i, j]
         with np.errstate(all="ignore"):
-            gi = (_stencil(x, queen) + (x if centre else 0)) / (total if centre else total - x)
-            out = []
-            for _ in range(min(block, n_iter - block * int(pdf["block"].iloc[0]))):
-                s = _stencil(rng.permutation(x.ravel()).reshape(x.shape), queen) if whole_image else rng.choice(x.ravel(), (k, *x.shape)).sum(axis=0)
-                out.append(((x if centre else 0) + s) / (total - x))
-        return _emit(pdf, gi, out)
-
-    return _p_from_counts(_blocks(pixels, n_iter, block).groupBy(*PLANE, "block").applyInPandas(run, _COUNTS))
-
-
-def _disc_totals(x: np.ndarray, r2: float) -> np.ndarray:
-    """Sum of x over the disc around each element, in rows of running sums; what lies outside x counts as 0."""
-    h, w = x.shape
-    run = np.concatenate([np.zeros((h, 1)), np.cumsum(x, axis=1)], axis=1)
-    out, cols = np.zeros(x.shape), np.arange(w)
-    reach = int(np.floor(np.sqrt(r2)))
-    for a in range(-min(reach, h - 1), min(reach, h - 1) + 1):
-        b = int(np.floor(np.sqrt(r2 - a * a)))
-        rows = run[max(a, 0) : h + min(a, 0)]
-        out[max(-a, 0) : h + min(-a, 0)] += rows[:, np.minimum(cols + b, w - 1) + 1] - rows[:, np.maximum(cols - b, 0)]
-    return out
+            gi = (_stencil(x, queen)[i, j] + (mid if centre else 0)) / (total if centre else total - mid)
+            near = np.stack([x.ravel()[drawn(pdf, b)].sum(axis=1) for b in _rounds(n_iter, block, int(pdf["block"].iloc[0]))])
+            return _compared(pdf, gi, ((mid if centre else 0) + near) / (total - mid))
+
+    counted = small.withColumn("block", blocks).groupBy(*PLANE, "block").applyInPandas(run, _COUNTS)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, pdf in batch.groupby([*PLANE], sort=False):
+                for b in range(n_iter):
+                    at = np.repeat(np.arange(len(pdf)), k)
+                    yield pdf[[*PLANE, "row", "col"]].iloc[at].assign(b=b, of=drawn(pdf, b).ravel())
+
+    kinds = {f.name: f.dataType.simpleString() for f in sized.schema}
+    asked = large.mapInPandas(ask, f"image_id {kinds['image_id']}, channel {kinds['channel']}, row int, col int, b int, of long")
+    number = large.select(*PLANE, (F.col("row").cast("long") * F.col("cols") + F.col("col")).alias("of"), F.col("value").alias("picked"))
+    near = asked.join(number, [*PLANE, "of"]).groupBy(*PLANE, "row", "col", "b").agg(F.sum("picked").alias("s"))
+    mid = F.col("value") if centre else F.lit(0.0)
+    seen = neighbourhood_sum(large, queen=queen, centre=False).withColumn("gi", F.try_divide(F.col("xns") + mid, F.col("total") if centre else F.col("total") - F.col("value")))
+    gp = F.try_divide(mid + F.col("s"), F.col("total") - F.col("value"))
+    met = near.join(seen, [*PLANE, "row", "col"]).withColumn("gp", gp).groupBy(*PLANE, "row", "col").agg(
+        F.first("gi").alias("g"), F.count_if(F.abs("gp") > F.abs("gi")).alias("n_both"), F.count_if(F.col("gp") < F.col("gi")).alias("n_cold"), F.count_if(F.col("gp") > F.col("gi")).alias("n_hot"), F.count(F.lit(1)).alias("n")
+    )
+    return counted.unionByName(met)
 
 
 def g_disc_permutation(pixels: DataFrame, radius: float, n_iter: int = 99, queen: bool = True, seed: int = 42, tile: int = 0) -> DataFrame:
@@ -272,8 +366,8 @@ def g_disc_permutation(pixels: DataFrame, radius: float, n_iter: int = 99, queen
             return pd.DataFrame(columns=["image_id", "channel", "row", "col", "g", "n_both", "n_cold", "n_hot", "n"])
         rng = np.random.default_rng(_seed(seed, pdf["image_id"].iloc[0], pdf["channel"].iloc[0], tr, tc, "disc"))
         i, j = (own["row"] - r0).to_numpy(), (own["col"] - c0).to_numpy()
-        places = _disc_totals(np.ones(x.shape), r2)[i, j] - 1
-        total, centre = _disc_totals(np.nan_to_num(x), r2)[i, j], x[i, j]
+        places = disc_totals(np.ones(x.shape), r2)[i, j] - 1
+        total, centre = disc_totals(np.nan_to_num(x), r2)[i, j], x[i, j]
         low, high = (np.stack(e) for e in ((np.maximum(-r, -i), np.maximum(-r, -j)), (np.minimum(r, x.shape[0] - 1 - i) + 1, np.minimum(r, x.shape[1] - 1 - j) + 1)))
 
         def drawn(at: np.ndarray) -> np.ndarray:
@@ -326,37 +420,47 @@ def g_radii(pixels: DataFrame, radii: tuple[float, ...] = (10, 25, 50, 100), n_i
     return best.select(*PLANE, "row", "col", *[F.col(p)["g"].alias(f"g_{p[2:]}") for p in ps], *[F.col(p)[p].alias(p) for p in ps])
 
 
-def h_permutation(pixels: DataFrame, n_iter: int = 99, queen: bool = True, seed: int = 42, block: int = 25) -> DataFrame:
+def h_permutation(pixels: DataFrame, n_iter: int = 99, queen: bool = True, seed: int = 42, block: int = 25, whole: int = WHOLE) -> DataFrame:
     """(image_id, channel, row, col, h, p): the plane is shuffled, each pixel's true value is put back, h is taken there.
 
     With the residual e of a shuffled plane and d = true - shuffled value, putting a value back changes the residuals of
     a neighbourhood to e - d / w1 (centre: e + d - d / w1), so all pixels follow from stencil sums of e and e squared.
+    Planes of any size, as in g_permutation; the mean square of the residuals of each iteration is summed up first.
     """
     w1 = 9.0 if queen else 5.0
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _dense(pdf)
-        rng = np.random.default_rng(_seed(seed, pdf["image_id"].iloc[0], pdf["channel"].iloc[0], pdf["block"].iloc[0], "h"))
-
-        def full(v: np.ndarray) -> np.ndarray:
-            return _stencil(v, queen) + v
-
-        e = x - full(x) / w1
-        with np.errstate(all="ignore"):
-            h = full(e * e) / ((e * e).mean() * w1)
-            more = np.zeros(x.shape, int)
-            n = min(block, n_iter - block * int(pdf["block"].iloc[0]))
-            for _ in range(n):
-                s = rng.permutation(x.ravel()).reshape(x.shape)
-                e, d = s - full(s) / w1, x - s
-                near, near2 = _stencil(e, queen), _stencil(e * e, queen)
-                top = near2 - 2 * d / w1 * near + (w1 - 1) * (d / w1) ** 2 + (e + d - d / w1) ** 2
-                more += top / ((e * e).mean() * w1) > h
-        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        return pd.DataFrame({"image_id": pdf["image_id"], "channel": pdf["channel"], "row": r, "col": c, "h": h[r, c], "more": more[r, c], "n": n})
-
-    got = _blocks(pixels, n_iter, block).groupBy(*PLANE, "block").applyInPandas(run, "image_id string, channel string, row int, col int, h double, more long, n long")
-    return got.groupBy(*PLANE, "row", "col").agg(F.first("h").alias("h"), ((1 + F.sum("more")) / (1 + F.sum("n"))).alias("p"))
+    sized = _sized(pixels)
+
+    def residual(v: np.ndarray) -> np.ndarray:
+        return v - (_stencil(v, queen) + v) / w1
+
+    def squares(pdf: pd.DataFrame, x: np.ndarray, planes: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        every = np.concatenate([residual(planes)[:, i, j] ** 2, residual(x)[None, i, j] ** 2]).sum(axis=1) if len(pdf) else np.zeros(0)
+        which = int(pdf["block"].iloc[0]) if len(pdf) else 0
+        b = [*_rounds(n_iter, block, which), -1 - which] if len(pdf) else []
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[:1].repeat(len(b)).to_numpy(), "channel": pdf["channel"].iloc[:1].repeat(len(b)).to_numpy(), "b": b, "s": every})
+
+    # a row for each plane and iteration; negative numbers are the plane as it is, once for each block
+    sums = _shuffled(sized, n_iter, block, seed, "h", 2, whole, squares, "image_id string, channel string, b int, s double").groupBy(*PLANE, "b").agg(F.sum("s").alias("s"))
+    means = sums.groupBy(*PLANE).agg(F.map_from_entries(F.collect_list(F.struct("b", "s"))).alias("m")).select(*PLANE, F.transform(F.sequence(F.lit(-1), F.lit(n_iter - 1)), lambda b: F.element_at("m", b)).alias("squares"))
+
+    def work(pdf: pd.DataFrame, x: np.ndarray, planes: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=[*PLANE, "row", "col", "b", "top"])
+        steps = _rounds(n_iter, block, int(pdf["block"].iloc[0]))
+        e, d = residual(planes), (x - planes)[:, i, j] / w1
+        mid = e[:, i, j]
+        top = _stencil(e * e, queen)[:, i, j] - 2 * d * _stencil(e, queen)[:, i, j] + (w1 - 1) * d**2 + (mid + d * w1 - d) ** 2
+        own = residual(x)
+        seen = (_stencil(own * own, queen) + own * own)[i, j]
+        return pdf[[*PLANE, "row", "col"]].assign(first=steps.start, seen=seen, tops=list(np.ascontiguousarray(top.T)))
+
+    tops = _shuffled(sized, n_iter, block, seed, "h", 2, whole, work, "image_id string, channel string, row int, col int, first int, seen double, tops array<double>")
+    n = sized.select(*PLANE, (F.col("rows").cast("double") * F.col("cols")).alias("size")).groupBy(*PLANE).agg(F.first("size").alias("size"))
+    at = tops.join(means, PLANE).join(n, PLANE)
+    h = lambda top, s: F.try_divide(top, s / F.col("size") * w1)
+    at = at.withColumn("own", h(F.col("seen"), F.col("squares")[0]))
+    more = F.size(F.filter(F.transform("tops", lambda t, k: h(t, F.get("squares", F.col("first") + k + 1)) > F.col("own")), lambda v: v))
+    return at.groupBy(*PLANE, "row", "col").agg(F.first("own").alias("h"), ((1 + F.sum(more)) / (1 + F.sum(F.size("tops")))).alias("p"))
 
 
 def h_statistic(pixels: DataFrame, n_iter: int = 99, queen: bool = True, seed: int = 42) -> DataFrame:

@@ -10,6 +10,8 @@ import math
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,28 +68,46 @@ def kernel_sum(grid: DataFrame, kernel: Kernel, value: str = "value", out: str =
     return g.withColumn(out, reduce(add, [shifted(names[line], a, cols) for a, line in lines.items()])).drop(*names.values())
 
 
+def disc_totals(x: np.ndarray, r2: float) -> np.ndarray:
+    """Sum of x over the disc around each element, in rows of running sums; what lies outside x counts as 0."""
+    h, w = x.shape
+    run = np.concatenate([np.zeros((h, 1)), np.cumsum(x, axis=1)], axis=1)
+    out, cols = np.zeros(x.shape), np.arange(w)
+    reach = int(np.floor(np.sqrt(r2)))
+    for a in range(-min(reach, h - 1), min(reach, h - 1) + 1):
+        b = int(np.floor(np.sqrt(r2 - a * a)))
+        rows = run[max(a, 0) : h + min(a, 0)]
+        out[max(-a, 0) : h + min(-a, 0)] += rows[:, np.minimum(cols + b, w - 1) + 1] - rows[:, np.maximum(cols - b, 0)]
+    return out
+
+
 def disc_sums(grid: DataFrame, values: dict[str, Column], radius: float, keys: list[str] = PLANE) -> DataFrame:
     """grid with, for each name, the sum of its expression over the pixels of the image within the radius.
 
-    Runs of a row are window sums by half-width; a disc is one run from each of its rows. Cost grows with the radius, not
-    with the disc, and rows are never multiplied.
+    The grid is cut into tiles with a halo, so a group is bounded whatever the image's size; with tiles of four radii at
+    least, 2.25 rows are shuffled for each pixel at most. Inside, a disc is one run of each of its rows, a difference of two
+    running sums. NULL counts as 0.
     """
     r = math.floor(radius)
-    half = {d: math.floor(math.sqrt(radius * radius - d * d)) for d in range(r + 1)}
-    rows, cols = along_rows(keys), along_cols(keys)
-    g = grid
-    for w in sorted(set(half.values())):
-        g = g.withColumns({f"__{name}_{w}": F.sum(x).over(rows.rowsBetween(-w, w)) for name, x in values.items()})
-    tmp = [f"__{name}_{w}" for name in values for w in set(half.values())]
-
-    def column(name: str) -> Column:
-        out = F.col(f"__{name}_{half[0]}")
-        for d in range(1, r + 1):
-            x = F.col(f"__{name}_{half[d]}")
-            out = out + F.coalesce(F.lag(x, d).over(cols), F.lit(0.0)) + F.coalesce(F.lead(x, d).over(cols), F.lit(0.0))
+    side = max(64, 4 * r)
+    near = lambda at: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(at) - r) / side)), F.floor((F.col(at) + r) / side)))
+    at = grid.withColumns({f"__{k}": v.cast("double") for k, v in values.items()}).withColumn("__tr", near("row")).withColumn("__tc", near("col"))
+
+    columns, names = grid.columns, list(values)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        r0, c0 = row.min(), col.min()
+        own = (row // side == pdf["__tr"].iloc[0]) & (col // side == pdf["__tc"].iloc[0])
+        out = pdf.loc[own, columns].copy()
+        for name in names:
+            plane = np.zeros((np.ptp(row) + 1, np.ptp(col) + 1))
+            plane[row - r0, col - c0] = np.nan_to_num(pdf[f"__{name}"].to_numpy(float))
+            out[name] = disc_totals(plane, radius * radius)[row[own] - r0, col[own] - c0]
         return out
 
-    return g.withColumns({name: column(name) for name in values}).drop(*tmp)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grid.schema)
+    return at.groupBy(*keys, "__tr", "__tc").applyInPandas(run, f"{fields}, " + ", ".join(f"`{name}` double" for name in values))
 
 
 def perimeter(mask: DataFrame) -> DataFrame:
