@@ -136,7 +136,12 @@ def a7(spark, d):
     return cells.hodges_lehmann(fx.pixels(spark, d), stencil.perimeter(fx.mask(spark, d)))
 
 
-@query("a8_core_edge_permutation")
+@query("a8_core_edge_permutation", f"""w AS (SELECT 1), {_EDGE},
+tot AS (SELECT image_id, {O}, channel, count(*) FILTER (is_edge) AS ne, count(*) AS n, sum(value) AS s, sum(value) FILTER (is_edge) AS se FROM ec GROUP BY ALL),
+dealt AS (SELECT image_id, {O}, channel, b.b AS b, value, row_number() OVER (PARTITION BY image_id, {O}, channel, b.b ORDER BY md5('42|' || image_id || '|' || {O} || '|' || channel || '|' || b.b || '|' || row || '|' || col)) AS k FROM ec, range(99) b(b)),
+pe2 AS (SELECT image_id, {O}, channel, b, sum(value) FILTER (k <= ne) AS pse FROM dealt JOIN tot USING (image_id, {O}, channel) GROUP BY ALL),
+df AS (SELECT *, CASE WHEN ne > 0 AND n > ne THEN (s - se) / (n - ne) - se / ne END AS diff FROM tot)
+SELECT {KEYS}, {D('any_value(diff)', 'diff')}, {D('CASE WHEN any_value(diff) IS NOT NULL THEN (1 + count(*) FILTER (abs((s - pse) / (n - ne) - pse / ne) > abs(diff))) / 100.0::DOUBLE END', 'p')} FROM df JOIN pe2 USING (image_id, {O}, channel) GROUP BY image_id, {O}, channel""")
 def a8(spark, d):
     return cells.core_edge_difference(fx.pixels(spark, d), stencil.perimeter(fx.mask(spark, d)))
 
@@ -700,20 +705,38 @@ def u2(spark, d):
     return affine.largest_cells(fx.mask(spark, d))
 
 
-@query("t1_t2_random_transforms_of_cells")
+def _unit(ids: str, name: str) -> str:
+    return f"((('0x' || substr(md5({ids} || '|42:{name}'), 1, 13))::BIGINT + 0.5::DOUBLE) / {1 << 52})"
+
+
+def _params(ids: str) -> str:
+    """tx .. shy of rows, hashed from ids."""
+    return ", ".join(f"{lo!r}::DOUBLE + {_unit(ids, n)} * ({hi!r}::DOUBLE - ({lo!r}::DOUBLE)) AS {n}" for n, (lo, hi) in affine.RANGES.items())
+
+
+#: The matrix of a row's tx .. shy, and its offset about a centre cx, cy.
+_MATRIX = "cos(rot) * sx - sin(rot) * shy * sx AS m00, cos(rot) * shx * sy - sin(rot) * sy AS m01, sin(rot) * sx + cos(rot) * shy * sx AS m10, sin(rot) * shx * sy + cos(rot) * sy AS m11"
+_OFFSET = "cx - (m00 * cx + m01 * cy) + tx AS m02, cy - (m10 * cx + m11 * cy) + ty AS m12"
+
+
+@query("t1_t2_random_transforms_of_cells", f"""w AS (SELECT DISTINCT image_id, label, 4.0::DOUBLE AS cx, 4.0::DOUBLE AS cy FROM mk WHERE label <> 0), j AS (SELECT *, {_params("image_id || '|' || label")} FROM w), m AS (SELECT *, {_MATRIX} FROM j), o AS (SELECT *, {_OFFSET} FROM m)
+SELECT image_id, {L('label', 'label')}, {", ".join(D(c, c) for c in ("tx", "ty", "rot", "sx", "sy", "shx", "shy", "m00", "m01", "m02", "m10", "m11", "m12"))} FROM o""")
 def t1(spark, d):
     c = fx.mask(spark, d).where("label <> 0").select("image_id", "label").distinct()
     return affine.with_matrix(affine.random_transforms(c), 4.0, 4.0)
 
 
-@query("t2_t3_padding", f"""w AS (SELECT image_id, label AS o, max(row) - min(row) + 1 AS h, max(col) - min(col) + 1 AS wd, count(*) AS a FROM mk WHERE label <> 0 GROUP BY ALL),
+#: most: how far large cells get out of their boxes under the extreme transforms.
+_PADS = f"""w AS (SELECT image_id, label AS o, max(row) - min(row) + 1 AS h, max(col) - min(col) + 1 AS wd, count(*) AS a FROM mk WHERE label <> 0 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY h DESC, o) AS rh, row_number() OVER (PARTITION BY image_id ORDER BY wd DESC, o) AS rw, row_number() OVER (PARTITION BY image_id ORDER BY a DESC, o) AS ra, floor(count(*) OVER (PARTITION BY image_id) * 0.1) AS n FROM w),
 big AS (SELECT DISTINCT image_id, h, wd FROM r WHERE n < 1 OR (rh <= n AND rw <= n AND ra <= n)),
 tf AS (SELECT 2.0 * (g // 64 % 2) - 1 AS tx, 2.0 * (g // 32 % 2) - 1 AS ty, (2 * (g // 16 % 2) - 1) * pi() / 12 AS rot, 0.8::DOUBLE + 0.4::DOUBLE * (g // 8 % 2) AS sx, 0.8::DOUBLE + 0.4::DOUBLE * (g // 4 % 2) AS sy, 0.2::DOUBLE * (g // 2 % 2) - 0.1::DOUBLE AS shx, 0.2::DOUBLE * (g % 2) - 0.1::DOUBLE AS shy FROM range(128) t(g)),
 mt AS (SELECT tx, ty, cos(rot) * sx - sin(rot) * shy * sx AS m00, cos(rot) * shx * sy - sin(rot) * sy AS m01, sin(rot) * sx + cos(rot) * shy * sx AS m10, sin(rot) * shx * sy + cos(rot) * sy AS m11 FROM tf),
 co AS (SELECT image_id, h, wd, (wd - 1) / 2.0::DOUBLE AS cx, (h - 1) / 2.0::DOUBLE AS cy, i * h - (wd - 1) / 2.0::DOUBLE AS dx, j * wd - (h - 1) / 2.0::DOUBLE AS dy FROM big, range(2) a(i), range(2) b(j)),
-ov AS (SELECT image_id, max(greatest(0, -(cx + tx + m00 * dx + m01 * dy), cx + tx + m00 * dx + m01 * dy - h, -(cy + ty + m10 * dx + m11 * dy), cy + ty + m10 * dx + m11 * dy - wd)) AS most FROM co, mt GROUP BY image_id)
-SELECT img.image_id, {L('coalesce(ceil(round(most, 9)) + 1, 1)', 'pad')} FROM img LEFT JOIN ov USING (image_id)""")
+ov AS (SELECT image_id, max(greatest(0, -(cx + tx + m00 * dx + m01 * dy), cx + tx + m00 * dx + m01 * dy - h, -(cy + ty + m10 * dx + m11 * dy), cy + ty + m10 * dx + m11 * dy - wd)) AS most FROM co, mt GROUP BY image_id)"""
+
+
+@query("t2_t3_padding", f"""{_PADS} SELECT img.image_id, {L('coalesce(ceil(round(most, 9)) + 1, 1)', 'pad')} FROM img LEFT JOIN ov USING (image_id)""")
 def t3(spark, d):
     return affine.padding(fx.mask(spark, d), affine.transform_grid(spark, 2))
 
@@ -723,12 +746,33 @@ def t5(spark, d):
     return stencil.closing(fx.mask(spark, d))
 
 
-@query("t4_random_masks")
+def _masks(n: int) -> str:
+    """CTE rm: n random masks of each image (iter, row, col, label), closed."""
+    near = lambda name, source, f: f"{name} AS (SELECT a.image_id, a.iter, a.row, a.col, {f}(b.label) AS label FROM {source} a JOIN {source} b ON a.image_id = b.image_id AND a.iter = b.iter AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY ALL)"
+    ids = "image_id || '|' || o || '|' || iter"
+    return f"""{_PADS},
+bx AS (SELECT image_id, label AS o, min(row) AS r0, min(col) AS c0, max(row) + 1 - min(row) AS h, max(col) + 1 - min(col) AS wd FROM mk WHERE label <> 0 GROUP BY ALL),
+pd AS (SELECT img.image_id, coalesce(ceil(round(most, 9)) + 1, 1) AS pad FROM img LEFT JOIN ov USING (image_id)),
+ji AS (SELECT image_id, o, i.i AS iter, c0 + h / 2.0::DOUBLE + least(r0, pad) - least(c0, pad) AS cx, r0 + wd / 2.0::DOUBLE + least(c0, pad) - least(r0, pad) AS cy FROM bx JOIN pd USING (image_id), range({n}) i(i)),
+jp AS (SELECT *, {_params(ids)} FROM ji), jm AS (SELECT *, {_MATRIX} FROM jp), jo AS (SELECT *, {_OFFSET} FROM jm),
+tg AS (SELECT jo.image_id, o, iter, row, col, (m11 * (col - m02) - m01 * (row - m12)) / (m00 * m11 - m01 * m10) AS x, (m00 * (row - m12) - m10 * (col - m02)) / (m00 * m11 - m01 * m10) AS y FROM jo JOIN gr USING (image_id)),
+tn AS (SELECT tg.* FROM tg JOIN bx USING (image_id, o) WHERE x > c0 - 1 AND x < c0 + wd AND y > r0 - 1 AND y < r0 + h),
+tk AS (SELECT image_id, o, iter, row, col, x, y, CAST(floor(y) + a.a AS INT) AS sr, CAST(floor(x) + b.b AS INT) AS sc FROM tn, range(2) a(a), range(2) b(b)),
+pt AS (SELECT tk.image_id, o, iter, tk.row, tk.col FROM tk JOIN mk ON mk.image_id = tk.image_id AND mk.row = sr AND mk.col = sc AND mk.label = o GROUP BY tk.image_id, o, iter, tk.row, tk.col HAVING sum((1 - abs(y - sr)) * (1 - abs(x - sc))) >= 0.5 - 1e-9),
+la AS (SELECT image_id, iter, row, col, arg_max(o, (md5(image_id || '|' || iter || '|' || o || '|42:paint'), o)) AS label FROM pt GROUP BY ALL),
+dn AS (SELECT gr.image_id, i.i AS iter, gr.row, gr.col, coalesce(label, 0) AS label FROM gr CROSS JOIN range({n}) i(i) LEFT JOIN la ON la.image_id = gr.image_id AND la.iter = i.i AND la.row = gr.row AND la.col = gr.col),
+{near("hi", "dn", "max")}, {near("rm", "hi", "min")}"""
+
+
+@query("t4_random_masks", f"{_masks(3)} SELECT image_id, {L('iter', 'iter')}, {L('row', 'row')}, {L('col', 'col')}, {L('label', 'label')} FROM rm")
 def t4(spark, d):
     return affine.random_masks(fx.mask(spark, d), 3)
 
 
-@query("t6_affine_medians")
+@query("t6_affine_medians", f"""{_masks(10)}, ar AS (SELECT image_id, label AS o, count(*) AS area FROM mk WHERE label <> 0 GROUP BY ALL),
+me AS (SELECT rm.image_id, label AS o, iter, channel, avg(value) AS m FROM rm JOIN px USING (image_id, row, col) WHERE label <> 0 GROUP BY ALL),
+md AS (SELECT image_id, o, channel, median(m) AS med FROM me GROUP BY ALL)
+SELECT ar.image_id, {L('ar.o', O)}, {L('area', 'area')}, c.channel, {D('med', 'median')} FROM ar CROSS JOIN (VALUES ('A'), ('N'), ('R')) c(channel) LEFT JOIN md ON md.image_id = ar.image_id AND md.o = ar.o AND md.channel = c.channel""")
 def t6(spark, d):
     return affine.affine_medians(fx.pixels(spark, d), fx.mask(spark, d))
 

@@ -31,15 +31,20 @@ def transform_grid(spark: SparkSession, steps: int = 3, ranges: dict[str, tuple[
     return g
 
 
+def _hashed(*parts: Column | str) -> Column:
+    """Hex md5 of the parts as text, joined by bars."""
+    return F.md5(F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts]))
+
+
 def random_transforms(ids: DataFrame, seed: int = 42, normal: bool = False, ranges: dict[str, tuple[float, float]] = RANGES) -> DataFrame:
     """ids with random tx .. shy: uniform, or normal about the middle with a quarter of the range as sd.
 
-    Numbers are hashes of the row's own columns and the seed, so they do not depend on how rows are partitioned.
+    Numbers are hashes of the row's own columns and the seed, so they do not depend on how rows are partitioned, and any
+    engine with md5 makes the same.
     """
-    keys = [F.col(c) for c in ids.columns]
 
     def unit(name: str) -> Column:
-        return (F.shiftrightunsigned(F.xxhash64(*keys, F.lit(f"{seed}:{name}")), 11).cast("double") + 0.5) / float(1 << 53)
+        return (F.conv(F.substring(_hashed(*ids.columns, F.lit(f"{seed}:{name}")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
     out = {}
     for n, (lo, hi) in ranges.items():
@@ -234,7 +239,7 @@ def random_masks(mask: DataFrame, n_iter: int, seed: int = 42, pad: int | None =
     cells = mask.where("label <> 0").select("image_id", F.col("label").alias("ObjectNumber")).distinct()
     jitter = random_transforms(cells.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1)))), seed)
     painted = warped(mask, jitter, pad, **options)
-    order = F.xxhash64("image_id", "iter", "ObjectNumber", F.lit(f"{seed}:paint"))
+    order = _hashed("image_id", "iter", "ObjectNumber", F.lit(f"{seed}:paint"))
     labels = painted.groupBy("image_id", "iter", "row", "col").agg(F.max_by("ObjectNumber", F.struct(order, "ObjectNumber")).alias("label"))
     dense = mask.select(*PIXEL).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))))
     full = dense.join(labels, ["image_id", "iter", "row", "col"], "left").select("image_id", "iter", "row", "col", F.coalesce("label", F.lit(0)).alias("label"))

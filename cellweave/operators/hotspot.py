@@ -17,7 +17,10 @@ from pyspark.sql.types import DoubleType
 
 from cellweave.functions.keyed import draw, key, permuted
 from cellweave.functions.special import phi
-from cellweave.operators.stencil import PLANE, Kernel, disc_sums, disc_totals, kernel_sum, neighbourhood_sum
+from cellweave.operators.ordered import running
+from cellweave.operators.stencil import PLANE, Kernel, disc_sums, kernel_sum, neighbourhood_sum
+from cellweave.operators.stencil import disc_totals as _disc_totals
+from cellweave.sources.lineage import cut
 
 HOT, COLD, BOTH = 1, 2, 4
 
@@ -146,8 +149,8 @@ def h_with_p(pixels: DataFrame, **kernel) -> DataFrame:
 def false_discovery(stat: DataFrame, p: str = "p", out: str = "q", scope: str = "column") -> DataFrame:
     """stat with Benjamini-Hochberg adjusted p-values, within each image column of a plane or within the whole plane.
 
-    NULL p-values are not counted and stay NULL. The plane scope works on the counts of distinct p-values, which are cut
-    into ranges, so that no plane has to be sorted by one task.
+    NULL p-values are not counted and stay NULL. The plane scope works on the counts of distinct p-values, in ranges of
+    about as many of them each, so that no plane has to be sorted by one task and low p-values may be in the majority.
     """
     if scope == "column":
         key = [*PLANE, "col"]
@@ -156,17 +159,11 @@ def false_discovery(stat: DataFrame, p: str = "p", out: str = "q", scope: str =
         at = at.withColumn("__i", F.count(p).over(Window.partitionBy(*key).orderBy(F.col(p).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
         q = F.min(F.when(F.col(p).isNotNull(), F.col(p) * F.col("__m") / F.col("__i"))).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
         return at.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), q))).drop("__m", "__i")
-    counts = stat.where(F.col(p).isNotNull()).groupBy(*PLANE, F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__cut", F.floor(F.col("__p") * 1024).cast("int"))
-    parts = counts.groupBy(*PLANE, "__cut").agg(F.sum("__n").alias("__s"))
-    before = F.coalesce(F.sum("__s").over(Window.partitionBy(*PLANE).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.withColumn("__before", before).withColumn("__m", F.sum("__s").over(Window.partitionBy(*PLANE)))
-    ranked = counts.join(parts, [*PLANE, "__cut"])
-    inner = Window.partitionBy(*PLANE, "__cut").orderBy("__p")
-    ranked = ranked.withColumn("__v", F.col("__p") * F.col("__m") / (F.col("__before") + F.sum("__n").over(inner)))
-    lows = ranked.groupBy(*PLANE, "__cut").agg(F.min("__v").alias("__low"))
-    lows = lows.withColumn("__after", F.min("__low").over(Window.partitionBy(*PLANE).orderBy(F.col("__cut").desc()).rowsBetween(Window.unboundedPreceding, -1))).drop("__low")
-    ranked = ranked.join(lows, [*PLANE, "__cut"]).withColumn(out, F.least(F.lit(1.0), F.min("__v").over(Window.partitionBy(*PLANE, "__cut").orderBy(F.col("__p").desc())), F.col("__after")))
-    q = ranked.select(*PLANE, F.col("__p"), out)
+    counts = stat.where(F.col(p).isNotNull()).groupBy(*PLANE, F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = running(counts, PLANE, ["__p"], {"__i": F.col("__n")})
+    ranked = cut(ranked.join(counts.groupBy(*PLANE).agg(F.sum("__n").alias("__m")), PLANE).withColumn("__down", -F.col("__p")))
+    lows = running(ranked, PLANE, ["__down"], {"__low": F.col("__p") * F.col("__m") / F.col("__i")}, least=True)
+    q = lows.select(*PLANE, "__p", F.least(F.lit(1.0), F.col("__low")).alias(out))
     return stat.withColumn("__p", F.col(p)).join(q, [*PLANE, "__p"], "left").drop("__p")
 
 
@@ -366,8 +363,8 @@ def g_disc_permutation(pixels: DataFrame, radius: float, n_iter: int = 99, queen
             return pd.DataFrame(columns=["image_id", "channel", "row", "col", "g", "n_both", "n_cold", "n_hot", "n"])
         rng = np.random.default_rng(_seed(seed, pdf["image_id"].iloc[0], pdf["channel"].iloc[0], tr, tc, "disc"))
         i, j = (own["row"] - r0).to_numpy(), (own["col"] - c0).to_numpy()
-        places = disc_totals(np.ones(x.shape), r2)[i, j] - 1
-        total, centre = disc_totals(np.nan_to_num(x), r2)[i, j], x[i, j]
+        places = _disc_totals(np.ones(x.shape), r2)[i, j] - 1
+        total, centre = _disc_totals(np.nan_to_num(x), r2)[i, j], x[i, j]
         low, high = (np.stack(e) for e in ((np.maximum(-r, -i), np.maximum(-r, -j)), (np.minimum(r, x.shape[0] - 1 - i) + 1, np.minimum(r, x.shape[1] - 1 - j) + 1)))
 
         def drawn(at: np.ndarray) -> np.ndarray:

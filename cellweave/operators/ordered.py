@@ -1,4 +1,4 @@
-"""Running sums over keys of any size: rows are sorted by ranges, and sums of earlier ranges are carried into later ones."""
+"""Running sums and minima over keys of any size: rows are sorted by ranges, and those of earlier ranges are carried into later ones."""
 
 from __future__ import annotations
 
@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from cellweave.sources.lineage import cut
 
 
-def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """rows with, for each name, the sum of its expression over the rows of the same keys up to and with this one.
+def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], least: bool = False) -> DataFrame:
+    """rows with, for each name, the sum (or the least) of its expression over the rows of the same keys up to and with this one.
 
     The order should tell rows apart, so that even equal values can be split over ranges. A key may have any share of the
     rows: what one task sorts is a part of one range, and of each part one row of sums goes on.
     """
-    cols = [f"__{name}" for name in sums]
+    cols, over = [f"__{name}" for name in sums], F.min if least else F.sum
     runs = rows.withColumns({f"__{name}": x for name, x in sums.items()}).repartitionByRange(*keys, *order)
     runs = cut(runs.withColumn("__run", F.spark_partition_id()))
-    parts = runs.groupBy(*keys, "__run").agg(*[F.sum(c).alias(c) for c in cols])
+    parts = runs.groupBy(*keys, "__run").agg(*[over(c).alias(c) for c in cols])
     before = Window.partitionBy(*keys).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*keys, "__run", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in cols])
+    parts = parts.select(*keys, "__run", *[over(c).over(before).alias(f"{c}_before") for c in cols])
     inside = Window.partitionBy(*keys, "__run").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = runs.withColumns({c: F.sum(c).over(inside) for c in cols}).join(parts, [*keys, "__run"])
-    return at.select(*rows.columns, *[(F.col(f"__{name}") + F.col(f"__{name}_before")).alias(name) for name in sums])
+    at = runs.withColumns({c: over(c).over(inside) for c in cols}).join(parts, [*keys, "__run"])
+    both = (lambda a, b: F.least(a, b)) if least else (lambda a, b: a + F.coalesce(b, F.lit(0)))
+    return at.select(*rows.columns, *[both(F.col(c), F.col(f"{c}_before")).alias(c[2:]) for c in cols])

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.operators import ordered, scores
+from cellweave.operators import hotspot, ordered, scores
 
 
 def _plain(x, y, minp=0.01, max_dist=10.0, min_dist=25.0):
@@ -38,3 +38,19 @@ def test_running_sums_of_a_hot_key(spark):
         rows = sorted((r["x"], r["id"], r["n"], r["s"]) for r in got if r["k"] == k)
         x = [r[0] for r in rows]
         assert [r[2] for r in rows] == list(range(1, len(rows) + 1)) and [r[3] for r in rows] == np.cumsum(x).tolist()
+
+
+def test_false_discovery_of_a_plane_of_low_values(spark):
+    """Nine of ten p-values are below 0.001: ranges follow the values, and the result is the plain one."""
+    rng = np.random.default_rng(7)
+    p = np.concatenate([rng.random(18000) * 0.001, rng.random(2000), np.full(50, 0.5)])
+    df = spark.createDataFrame([("i", "A", i % 50, i, float(v)) for i, v in enumerate(p)] + [("i", "A", 0, -1, None)], "image_id string, channel string, col int, row int, p double")
+    order = np.argsort(-p, kind="stable")
+    rank = np.searchsorted(np.sort(p), p, "right")
+    want = np.empty(len(p))
+    want[order] = np.minimum(1, np.minimum.accumulate((p * len(p) / rank)[order]))
+    got = {r["row"]: r["q"] for r in hotspot.false_discovery(df, scope="image").collect()}
+    assert got.pop(-1) is None and all(got[i] == pytest.approx(v) for i, v in enumerate(want))
+    parts = df.where("p is not null").select("p").distinct().repartitionByRange(8, "p").groupBy(F.spark_partition_id()).count().collect()
+    sizes = sorted(r["count"] for r in parts)
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
