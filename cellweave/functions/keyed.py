@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -48,3 +49,14 @@ def permuted(k: int, place: np.ndarray, n: int) -> np.ndarray:
         out[todo] = left << half | right
         todo = todo[out[todo] >= _U(n)]
     return out.astype(np.int64)
+
+
+def resampled(text: str, n: int) -> np.ndarray:
+    """n whole numbers from 0 to n - 1, drawn with replacement: mixed in 32 bits from the first 8 hex digits of md5(text).
+
+    Products stay below 2^63, so that an engine with 64-bit whole numbers makes the same.
+    """
+    x = (int(hashlib.md5(text.encode()).hexdigest()[:8], 16) + np.arange(n, dtype=np.int64) * 2654435769) % (1 << 32)
+    for _ in range(2):
+        x = ((x ^ (x >> 16)) * 73244475) % (1 << 32)
+    return ((x ^ (x >> 16)) * n) >> 32

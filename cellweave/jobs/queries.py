@@ -347,7 +347,19 @@ def c4(spark, d):
     return scores.weighted_share(fx.areas(spark, d)).drop("image_id")
 
 
-@query("c5_bootstrap_share")
+def _intervals(values: str) -> str:
+    """CTE ci: the interval of the weighted share of values(image_id, channel, o, v, wt) over 1,000 resamples."""
+    mixed = lambda x: f"(xor({x}, {x} >> 16) * 73244475) % 4294967296"
+    return f"""vl AS (SELECT *, row_number() OVER (PARTITION BY image_id, channel ORDER BY o, v, wt) - 1 AS k, count(*) OVER (PARTITION BY image_id, channel) AS n FROM {values}),
+gp AS (SELECT DISTINCT image_id, channel, n, b.b AS b, ('0x' || substr(md5('42|' || image_id || '|' || channel || '|' || b.b), 1, 8))::BIGINT AS key FROM vl, range(1000) b(b)),
+x0 AS (SELECT image_id, channel, n, b, (key + unnest(range(n)) * 2654435769) % 4294967296 AS x FROM gp), x1 AS (SELECT * REPLACE ({mixed("x")} AS x) FROM x0), x2 AS (SELECT * REPLACE ({mixed("x")} AS x) FROM x1),
+dw AS (SELECT image_id, channel, b, (xor(x, x >> 16) * n) >> 32 AS k FROM x2),
+sh2 AS (SELECT image_id, channel, b, coalesce(sum(CASE WHEN v > 0 THEN wt ELSE 0 END) / nullif(sum(wt), 0), 0) AS s FROM dw JOIN vl USING (image_id, channel, k) GROUP BY ALL),
+ci AS (SELECT image_id, channel, quantile_cont(s, 0.025) AS ci_low, quantile_cont(s, 0.975) AS ci_high FROM sh2 GROUP BY ALL)"""
+
+
+@query("c5_bootstrap_share", f"""w AS (SELECT 'part' AS image_id, p_type AS channel, l_orderkey || '-' || l_linenumber AS o, CAST(l_quantity AS DOUBLE) - 25 AS v, CAST(p_size AS DOUBLE) AS wt FROM lineitem JOIN part ON l_partkey = p_partkey),
+{_intervals("w")} SELECT image_id, channel, {D('ci_low', 'ci_low')}, {D('ci_high', 'ci_high')} FROM ci""")
 def c5(spark, d):
     return scores.bootstrap_share(fx.areas(spark, d))
 
@@ -373,7 +385,15 @@ def p9(spark, d):
     return cells.cell_intensities(fx.pixels(spark, d).withColumn("value", F.asinh("value")), fx.mask(spark, d)).select(*cells.KEY, "value")
 
 
-@query("c6_marker_location")
+def _located(cells: str, min_p: float) -> str:
+    """The located channels of cells(image_id, channel, o, e, c, area), area the smaller one of edge and core."""
+    return f"""kp AS (SELECT *, c - e AS v FROM {cells} WHERE (e > 0.5 OR c > 0.5) AND e < 1 AND c < 1),
+kw AS (SELECT image_id, channel, o, v, coalesce(area * count(*) OVER (PARTITION BY image_id, channel) / nullif(sum(area) OVER (PARTITION BY image_id, channel), 0), 0) AS wt FROM kp), {_intervals("kw")},
+ws AS (SELECT image_id, channel, count(*) AS n, coalesce(sum(CASE WHEN v > 0 THEN wt ELSE 0 END) / nullif(sum(wt), 0), 0) AS proportion FROM kw GROUP BY ALL)
+SELECT image_id, channel, CASE WHEN ci_low > {min_p} THEN 'Nuclear' WHEN ci_high < 1 - {min_p} THEN 'Membrane' ELSE 'Whole_cell' END AS location, {L('n', 'n')}, {D('proportion', 'proportion')}, {D('ci_low', 'ci_low')}, {D('ci_high', 'ci_high')} FROM ws JOIN ci USING (image_id, channel)"""
+
+
+@query("c6_marker_location", f"w AS (SELECT 'part' AS image_id, p_brand AS channel, p_partkey AS o, p_size / 50.0::DOUBLE AS e, CAST(p_retailprice AS DOUBLE) % 100 / 100 AS c, least(CAST(p_retailprice AS DOUBLE) % 40, CAST(p_retailprice AS DOUBLE) % 60) AS area FROM part), {_located('w', 0.5)}")
 def c6(spark, d):
     return scores.marker_location(_bands(spark, d))
 
@@ -393,12 +413,28 @@ def a9(spark, d):
     return workloads.calculate_features(fx.pixels(spark, d), fx.mask(spark, d))
 
 
-@query("a10_scored_features_job")
+#: fs: features of all planes of W1, planes weighted by p among them; sc: scores of each cell and channel.
+_SCORED = f"""{_PLANES}, wp AS (SELECT * FROM pl UNION ALL SELECT image_id, channel || '_weighted', row, col, px.value * least(1.0, greatest(0.1, 1 - least(fh.value, 0.1) / 0.1)) FROM fh JOIN px USING (image_id, channel, row, col)),
+{_EDGE.replace('FROM px JOIN pe', 'FROM wp JOIN pe')}, {_FEATURES},
+fs AS (SELECT image_id, {O}, channel, a, ae, s / a AS m, se / nullif(ae, 0) AS em, CASE WHEN a > ae THEN (s - coalesce(se, 0)) / (a - ae) ELSE 0 END AS cm FROM fe),
+bo AS (SELECT x.image_id, x.{O}, x.channel, x.m, x.em, x.cm, y.m AS pm, y.em AS pem, y.cm AS pcm FROM fs x JOIN fs y ON y.image_id = x.image_id AND y.{O} = x.{O} AND y.channel = x.channel || '_GP'),
+n1 AS (SELECT image_id, channel, count(*) AS n, quantile_cont(m, 0.99) AS q99 FROM bo WHERE m IS NOT NULL AND pm IS NOT NULL GROUP BY ALL),
+t1 AS (SELECT bo.*, n, q99, row_number() OVER (PARTITION BY image_id, channel ORDER BY pm, {O}) AS rk FROM bo JOIN n1 USING (image_id, channel) WHERE m IS NOT NULL AND pm IS NOT NULL),
+t2 AS (SELECT *, row_number() OVER (PARTITION BY image_id, channel ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY image_id, channel) AS mm FROM t1 WHERE rk > round_even(0.95 * n, 0)),
+pk0 AS (SELECT image_id, channel, m AS x0 FROM t2 WHERE i = mm // 2 AND n > 10),
+pk1 AS (SELECT t1.image_id, t1.channel, x0, greatest(least(quantile_cont(abs(m - x0), 0.01), min(q99) / 10), min(q99) / 25) AS width FROM t1 JOIN pk0 USING (image_id, channel) GROUP BY ALL),
+pk AS (SELECT image_id, channel, x0, sum(greatest(0, 1 - abs(m - x0) / nullif(width, 0)) * pm) / nullif(sum(greatest(0, 1 - abs(m - x0) / nullif(width, 0))), 0) AS y0 FROM t1 JOIN pk1 USING (image_id, channel) GROUP BY ALL),
+cy AS (SELECT image_id, {O}, channel, {", ".join(f"CASE WHEN x0 IS NULL THEN NULL WHEN {y} > y0 OR {x} < x0 THEN y0 ELSE {y} END AS {y}" for x, y in (("m", "pm"), ("em", "pem"), ("cm", "pcm")))} FROM bo LEFT JOIN pk USING (image_id, channel)),
+sc AS (SELECT image_id, {O}, channel, {", ".join(f"1 - {y} / nullif(max({y}) OVER (PARTITION BY image_id, channel), 0) AS s{y}" for y in ("pm", "pem", "pcm"))} FROM cy)"""
+
+
+@query("a10_scored_features_job", f"""w AS (SELECT 1), {_SCORED} SELECT {KEYS}, {_FEATURE_COLUMNS}, {D('spm', '"GP_SCORE"').replace('GP_SCORE', 'MEAN_GP_SCORE')}, {D('spem', '"EDGE_GP_SCORE"')}, {D('spcm', '"CORE_GP_SCORE"')}, {D('spcm - spem', '"SCORE_DIFF"')}, {L('least(ae, a - ae)', '"AREA_MIN_EDGE_CORE"')}
+FROM fe LEFT JOIN iq USING (image_id, {O}, channel) LEFT JOIN sc USING (image_id, {O}, channel)""")
 def a10(spark, d):
     return workloads.calculate_features(fx.pixels(spark, d), fx.mask(spark, d), include_scores=True, weighted=True)
 
 
-@query("c7_marker_location_job")
+@query("c7_marker_location_job", f"""w AS (SELECT 1), {_SCORED}, cc AS (SELECT image_id, channel, {O} AS o, spem AS e, spcm AS c, least(ae, a - ae) AS area FROM sc JOIN fs USING (image_id, {O}, channel) WHERE spcm IS NOT NULL), {_located('cc', 0.75)}""")
 def c7(spark, d):
     return workloads.marker_location(fx.pixels(spark, d), fx.mask(spark, d))
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.functions.keyed import resampled
 from cellweave.operators.ordered import running
 from cellweave.sources.lineage import cut
 
@@ -110,17 +109,18 @@ def weighted_share(values: DataFrame) -> DataFrame:
 def bootstrap_share(values: DataFrame, n_bootstrap: int = 1000, alpha: float = 0.05, seed: int = 42, block: int = 50) -> DataFrame:
     """(image_id, channel, ci_low, ci_high): percentile interval of the weighted share over resamples of n out of n values.
 
-    A group is one channel of one image (a value for each of its cells) and a block of resamples, seeded by its key; what
-    leaves it is one share for each resample.
+    A group is one channel of one image (a value for each of its cells) and a block of resamples; what leaves it is one
+    share for each resample. Draws are keyed by seed, image, channel and resample, over values in order of ObjectNumber,
+    value and weight.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ObjectNumber", "value", "weight"])
         first = int(pdf["block"].iloc[0]) * block
-        rng = np.random.default_rng(zlib.crc32("|".join(map(str, (seed, *pdf[[*PLANE, "block"]].iloc[0]))).encode()))
+        prefix = "|".join(map(str, (seed, *pdf[PLANE].iloc[0])))
         w, n = pdf["weight"].to_numpy(float), len(pdf)
         both = np.stack([np.where(pdf["value"].to_numpy(float) > 0, w, 0.0), w])
-        drawn = np.stack([both[:, rng.integers(0, n, n)].sum(axis=1) for _ in range(min(block, n_bootstrap - first))])
+        drawn = np.stack([both[:, resampled(f"{prefix}|{b}", n)].sum(axis=1) for b in range(first, min(first + block, n_bootstrap))])
         with np.errstate(all="ignore"):
             share = np.where(drawn[:, 0] > 0, drawn[:, 0] / drawn[:, 1], 0.0)
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "channel": pdf["channel"].iloc[0], "s": share})
