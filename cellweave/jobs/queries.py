@@ -104,6 +104,13 @@ def a2(spark, d):
     return cells.listed_intensities(fx.pixels(spark, d), fx.mask(spark, d), listed)
 
 
+@query("a2_listed_areas", f"w AS (SELECT DISTINCT image_id, label + 10 AS o FROM mk WHERE label <> 0), c AS (SELECT w.image_id, o, u.c AS channel FROM w, (VALUES ('A'), ('N'), ('R')) u(c)) SELECT c.image_id, {L('o', O)}, c.channel, {D('count(cl.value)', 'value')} FROM c LEFT JOIN cl ON cl.image_id = c.image_id AND cl.{O} = o AND cl.channel = c.channel GROUP BY c.image_id, o, c.channel")
+def a2_areas(spark, d):
+    m = fx.mask(spark, d)
+    listed = m.where("label <> 0").select("image_id", (F.col("label") + 10).alias("ObjectNumber"))
+    return cells.listed_intensities(fx.pixels(spark, d), m, listed, "area")
+
+
 @query("a3_a4_boxes_centroids", f"SELECT image_id, {L('label', O)}, {D('avg(row)', 'x')}, {D('avg(col)', 'y')}, {L('min(row)', 'r0')}, {L('min(col)', 'c0')}, {L('max(row) + 1', 'r1')}, {L('max(col) + 1', 'c1')} FROM mk WHERE label <> 0 GROUP BY image_id, label")
 def a3(spark, d):
     return cells.boxes(fx.mask(spark, d))
@@ -201,6 +208,13 @@ def g4(spark, d):
     return hotspot.g_radius(fx.pixels(spark, d), 5).drop("value")
 
 
+@query("g4_radius_50", f"""w AS (SELECT 1), {_near('px', 'value', 'nb')}, ds AS (SELECT a.image_id, a.channel, a.row, a.col, sum(b.value) AS sx, sum(b.value * b.value) AS sx2, CAST(count(*) AS DOUBLE) AS n
+ FROM px a JOIN px b ON b.image_id = a.image_id AND b.channel = a.channel AND (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) <= 2500 GROUP BY ALL),
+ z AS (SELECT *, (sx2 / n - (sx / n) * (sx / n)) * (n * 9.0 - 81.0) / (n - 1) AS spread FROM ds JOIN nb USING (image_id, channel, row, col)) SELECT {_PIX}, {D('CASE WHEN spread > 1e-12 THEN (xns - sx / n * 9.0) / sqrt(spread) END', 'g')} FROM z""")
+def g4_default(spark, d):
+    return hotspot.g_radius(fx.pixels(spark, d)).drop("value")
+
+
 #: Offsets and weights within a distance of 2, exp(-distance), and sums with them; the centre is among them.
 _WIDE_KERNEL = "w AS (SELECT dr, dc, exp(-sqrt(dr * dr + dc * dc)) AS w FROM (SELECT unnest(range(-2, 3)) AS dr) x, (SELECT unnest(range(-2, 3)) AS dc) y WHERE dr * dr + dc * dc <= 4), w1 AS (SELECT sum(w) AS w1 FROM w)"
 
@@ -726,6 +740,12 @@ _TWELVE = _RADIAL.removeprefix("w AS (SELECT 1), ").replace(_LUT, "lut(dr, dc, a
 prof AS (SELECT a.image_id, a.{O}, a.channel, a.angle, a.ring, a.value, b.value AS own FROM rp a JOIN rp b USING (image_id, {O}, angle, ring) WHERE b.channel = 'own_nucleus' AND NOT regexp_matches(a.channel, '_(cell|nucleus)$'))"""
 
 
+@query("r1_r2_r4_twelve_rings", f"w AS (SELECT 1), {_TWELVE} SELECT {_BIN}, {D('value', 'value')}, {D('cumulative', 'cumulative')}, {L('n', 'n')} FROM rp")
+def r4_twelve(spark, d):
+    m, n = fx.mask(spark, d), fx.mask_nuc(spark, d)
+    return polar.radial(fx.pixels(spark, d), cells.boxes(n).select("image_id", "ObjectNumber", "x", "y"), polar.lookup(8, 12), polar.membership(m, n), (8, 12))
+
+
 @query("w2_boundary_what_if_job", f"{_listed_markers(_TWELVE, 3, 3)} SELECT image_id, {L(O, O)}, channel, {_SUM} FROM wi WHERE marker IS NOT NULL GROUP BY image_id, {O}, channel")
 def w2(spark, d):
     return workloads.boundary_what_if(fx.pixels(spark, d), fx.mask(spark, d), fx.mask_nuc(spark, d))

@@ -96,8 +96,8 @@ def shape_sums(layered: DataFrame, s: DataFrame, own: DataFrame | None = None) -
     at = _owned(layered, own)
     w = Window.partitionBy(*PROFILE, "angle").orderBy("layer").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = at.select(*PROFILE, "angle", (F.col("layer") + 1).alias("depth"), F.sum("value").over(w).alias("s"))
-    sums = cum.join(F.broadcast(s), ["angle", "depth"]).groupBy(*PROFILE, "shape_id").agg(F.sum("s").alias("shape_sum"), F.sum("depth").alias("shape_n"))
-    return sums.unionByName(layered.select(*PROFILE).distinct().crossJoin(F.broadcast(_empty(s))).withColumn("shape_sum", F.lit(0.0)).withColumn("shape_n", F.lit(0).cast("long")))
+    sums = cum.join(_sent(s), ["angle", "depth"]).groupBy(*PROFILE, "shape_id").agg(F.sum("s").alias("shape_sum"), F.sum("depth").alias("shape_n"))
+    return sums.unionByName(layered.select(*PROFILE).distinct().join(_sent(_empty(s))).withColumn("shape_sum", F.lit(0.0)).withColumn("shape_n", F.lit(0).cast("long")))
 
 
 def _owned(layered: DataFrame, own: DataFrame | None) -> DataFrame:
@@ -106,6 +106,14 @@ def _owned(layered: DataFrame, own: DataFrame | None) -> DataFrame:
     return layered.join(own.select(*CELL, "angle", "ring", F.col("value").alias("__own")), [*CELL, "angle", "ring"]).withColumn("value", F.col("value") * F.col("__own")).drop("__own")
 
 
+SMALL = 200_000  # rows of a table of shapes that is sent to every task
+
+
+def _sent(s: DataFrame) -> DataFrame:
+    """s marked for broadcast where it has few rows; a larger table is joined as any other."""
+    return F.broadcast(s) if s.limit(SMALL + 1).count() <= SMALL else s
+
+
 def _empty(s: DataFrame) -> DataFrame:
     return s.where("depth = 0").select("shape_id").distinct()
 
@@ -117,9 +125,9 @@ def sliding_sums(layered: DataFrame, s: DataFrame, maxdist: int) -> DataFrame:
     """
     starts = F.explode(F.sequence(F.lit(0), F.lit(max(maxdist - 2, 0))))
     own = s.where("depth > 0").withColumn("start", starts).withColumn("layer", F.explode(F.expr("sequence(start, start + depth - 1)")))
-    own = layered.join(F.broadcast(own.drop("depth")), ["angle", "layer"]).groupBy(*PROFILE, "shape_id", "start").agg(F.sum("value").alias("own_sum"), F.count(F.lit(1)).alias("own_n"))
+    own = layered.join(_sent(own.drop("depth")), ["angle", "layer"]).groupBy(*PROFILE, "shape_id", "start").agg(F.sum("value").alias("own_sum"), F.count(F.lit(1)).alias("own_n"))
     inner = layered.withColumn("start", starts).groupBy(*PROFILE, "start").agg(F.sum(F.when(F.col("layer") < F.col("start"), F.col("value")).otherwise(0.0)).alias("in_sum"), F.count(F.when(F.col("layer") < F.col("start"), 1)).alias("in_n"))
-    every = inner.crossJoin(F.broadcast(s.select("shape_id").distinct())).join(own, [*PROFILE, "shape_id", "start"], "left").fillna(0, ["own_sum", "own_n"])
+    every = inner.join(_sent(s.select("shape_id").distinct())).join(own, [*PROFILE, "shape_id", "start"], "left").fillna(0, ["own_sum", "own_n"])
     return every.select(*PROFILE, "shape_id", "start", (F.col("in_sum") + F.col("own_sum")).alias("shape_sum"), (F.col("in_n") + F.col("own_n")).alias("shape_n"))
 
 

@@ -8,7 +8,8 @@ import pytest
 from cellweave.jobs.queries import QUERIES, SQL
 
 D = "/root/testdata/sf0.001"
-PICKED = ["s1_flatten_arrays", "s2_shape_violations", "s4_wide_cells", "a1_intensity_std", "a2_listed_cells", "a5_perimeter", "a6_p1_p2_features", "a7_hodges_lehmann", "g1_g2_kernel_sum", "g3_weighted_kernel", "j2_cells_with_metadata", "r8_resampled", "r9_to_scaled_grid", "g3_g5_g6_g9_analytic", "g4_radius", "g12_heteroscedasticity", "g14_fdr_column", "g14_fdr_plane", "c1_smooth_max", "c2_smoother", "r1_r2_r4_radial", "r11_shift_similarity", "b9_b10_what_if", "t5_closing"]
+PICKED = ["s1_flatten_arrays", "s2_shape_violations", "s4_wide_cells", "a1_intensity_std", "a2_listed_cells", "a5_perimeter", "a6_p1_p2_features", "a7_hodges_lehmann", "g1_g2_kernel_sum", "g3_weighted_kernel", "j2_cells_with_metadata", "r8_resampled", "r9_to_scaled_grid", "g3_g5_g6_g9_analytic", "g4_radius", "g12_heteroscedasticity", "g14_fdr_column", "g14_fdr_plane", "c1_smooth_max", "c2_smoother", "r1_r2_r4_radial", "r11_shift_similarity", "b9_b10_what_if", "t5_closing",
+          "a2_listed_areas", "a8_core_edge_permutation", "b1_subset_sums", "b10_sliding_what_if", "b11_histogram_by_angle", "b12_summaries_by_angle", "c5_bootstrap_share", "c6_marker_location", "a10_scored_features_job", "c7_marker_location_job", "w2_boundary_what_if_job", "r4_scaled", "t1_t2_random_transforms_of_cells", "t2_t3_padding", "t4_random_masks", "t6_affine_medians"]
 
 
 def _value(v):
