@@ -153,17 +153,19 @@ def _status(profile: DataFrame, b: DataFrame, maxdist: int) -> DataFrame:
     return last.select(*CELL, F.when(F.col("most") > F.col("last"), "past_last_ring").when(F.col("depth") < -maxdist, "nucleus_too_small").otherwise("ok").alias("status"))
 
 
-def what_if(profile: DataFrame, s: DataFrame, maxdist: int = 3, how: str = "all", thr: float = 1.0, offset: int = 0, only_own: bool = False) -> DataFrame:
+def what_if(profile: DataFrame, s: DataFrame, maxdist: int | None = None, how: str = "all", thr: float = 1.0, offset: int = 0, only_own: bool = False) -> DataFrame:
     """(image_id, ObjectNumber, channel, shape_id, n, marker, status) for each cell and shape.
 
     status: past_last_ring for a cell whose boundary + maxdist reaches the number of rings, nucleus_too_small for one that
-    is to shrink by more rings than its nucleus has at some angle (both have a NULL marker), else ok. Where the shapes'
-    largest depth is 2 and maxdist allows more, shapes are moved outward as well, and `start` says by how much.
+    is to shrink by more rings than its nucleus has at some angle (both have a NULL marker), else ok. maxdist is the shapes'
+    largest depth where not given; where that depth is 2 and maxdist allows more, shapes are moved outward as well, and
+    `start` says by how much.
     """
+    deepest = s.agg(F.max("depth")).first()[0] or 0  # of a table bounded by its parameters
+    maxdist = max(deepest, 1) if maxdist is None else maxdist
     b = nucleus_boundary(profile, thr, abs(maxdist), offset)
     data = profile.where("channel <> 'own_nucleus'")
     own = profile.where("channel = 'own_nucleus'") if only_own else None
-    deepest = s.agg(F.max("depth")).first()[0] or 0  # of a table bounded by its parameters
     at = layers(data, b, maxdist)
     sums = sliding_sums(_owned(at, own), s, abs(maxdist)) if slides(deepest, maxdist) else shape_sums(at, s.where(F.col("depth") <= abs(maxdist)), own)
     out = normalised(sums, nucleus_sums(data, b), how, maxdist < 0)
