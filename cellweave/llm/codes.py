@@ -13,7 +13,6 @@ bounded (entries x dimension) and travel with the tasks; a round sends back sums
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,11 +46,6 @@ class Codebooks:
         return [0, *np.cumsum([e.shape[1] for e in self.entries]).tolist()]
 
 
-def largest(dim: int) -> int:
-    """The largest component that keeps squared distances of whole vectors within int64; components beyond it count as it."""
-    return min(math.isqrt((1 << 61) // max(dim, 1)) // 2, 1 << 28)
-
-
 def widths(dim: int, parts: int) -> list[int]:
     """Widths of consecutive parts: equal, or the first dim % parts wider by one."""
     return [dim // parts + (i < dim % parts) for i in range(parts)]
@@ -117,7 +111,10 @@ def _sums(books: Codebooks):
 
 
 def whole_numbers(vectors: DataFrame, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(id, label, ints) of the vectors that are not null, not empty and have finite components only."""
+    """(id, label, ints) of the vectors that are not null, not empty and have finite components only.
+
+    Components beyond what keeps squared distances of whole vectors within int64 count as that bound.
+    """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     rows = rows.where((F.size("vec") > 0) & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
     limit = F.expr(f"least(floor(sqrt({1 << 61}D / size(vec)) / 2), {1 << 28}D)")
@@ -191,7 +188,7 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
 
     Left out: vectors that are null or hold null or non-finite components, and empty ones. Codes are two hex digits for
     each part (entries up to 256). label_error is summed over equal labels, nulls together, NULL beyond a long. Components
-    whose whole number passes `largest` count as that. Vectors of another dimension than the smallest id's have NULL for
+    whose whole number passes the bound of `whole_numbers` count as that. Vectors of another dimension than the smallest id's have NULL for
     code and error. Ids may repeat or be null; no vectors: no rows. Other columns are ignored.
     """
     ints = stored(whole_numbers(vectors, scale, id_col, vec_col, label_col), "whole")
