@@ -1,32 +1,35 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted lists.
 
-The examples are a bounded sample of labelled rows. Their terms are words, and the first letters of words, that tell the
-labels apart, of whichever label, as many as there are; how many of all documents have a term gives its IDF. TF-IDF vectors over these terms are stored as inverted lists cut into blocks of examples,
-each with its largest weight per term. A text is held against a block only if the sum of those maxima can still reach
-the k-th best cosine so far, so the k neighbours are exact. Votes weighted by cosine give a raw score; a logistic curve
-fitted on the examples' own votes (each left out of its own neighbours) turns it into a probability.
+The examples are a bounded sample of labelled rows. Their terms are all their words and the first letters of these. A term
+weighs its IDF, from how many of all documents have it, times what it tells of the labels: its likelihood ratio beyond
+chance, above a floor that every term has. TF-IDF vectors are stored as inverted lists cut into blocks of examples, each
+with its largest weight per term. A text is held against a block only if the sum of those maxima can still reach the k-th
+best cosine so far, so the k neighbours are exact. Votes weighted by cosine give a raw score; a logistic curve fitted on
+the examples' own votes (each left out of its own neighbours) turns it into a probability.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.labelled import held_out, training_rows
 
-SAMPLE_ROWS = 6000  # labelled rows that are the examples, at most
-STEMS = (5, 6, 7, 8)  # first letters of a word that are terms, too
+SAMPLE_ROWS = 2000  # labelled rows that are the examples, at most; all their words are in the lists
+STEMS = (5, 7)  # first letters of a word that are terms, too
 K = 15
 BLOCK = 64  # examples of a block
 FIRST = 4  # blocks of the highest bounds, whose cosines tell which others are worth a look
-LEAST_EVIDENCE = 4.2  # a term's root likelihood ratio between the labels; about one of 80,000 terms passes by chance
+FLOOR = 0.05  # what a term weighs that tells nothing of the labels
+CHANCE = 3.5  # root likelihood ratio that a term may have by chance
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -37,95 +40,105 @@ def _evidence(a: int, n: int, b: int, m: int) -> float:
     return math.sqrt(max(0.0, 2 * sum(x * math.log(x / e) for x, e in cells if x)))
 
 
-def _telling(n: int, pos: int) -> Column:
-    """Index.chosen as a condition on d examples with a form, a of them of label 1; a hair wider, as the index chooses itself."""
-    a, d = F.col("a").cast("double"), F.col("d").cast("double")
-    share = d / max(n, 1)
-    cells = ((a, share * pos), (pos - a, (1 - share) * pos), (d - a, share * (n - pos)), (n - pos - d + a, (1 - share) * (n - pos)))
-    total = sum((F.when((x > 0) & (e > 0), x * F.log(x / e)).otherwise(0.0) for x, e in cells), F.lit(0.0))
-    return (F.col("d") >= max(4, n // 2000)) & (2 * total > (LEAST_EVIDENCE - 1e-6) ** 2)
-
-
 def _forms(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
 
 
+def _spread(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers lo, lo + 1, ... of each run of so many, run after run."""
+    return np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 class Index:
-    """Examples' TF-IDF vectors over chosen terms as block-max inverted lists."""
+    """Examples' TF-IDF vectors over all their terms as block-max inverted lists.
 
-    @staticmethod
-    def chosen(bags: list[Counter], labels: np.ndarray) -> tuple[list[str], Counter]:
-        """The terms of the index: all forms that tell the labels apart; and how many examples have each form."""
+    Terms that all documents have tell no text from another and are left out. With examples of one label there is nothing to vote on:
+    the index is empty.
+    """
+
+    def __init__(self, bags: list[Counter], labels: np.ndarray, ids: np.ndarray, frequency: tuple[int, dict[str, int]] | None = None):
+        """frequency: the number of documents and of those that have a term; where it is not given, the examples are all documents."""
         n, pos = len(bags), int(labels.sum())
         df, hit = Counter(), Counter()
-        for bag, y in zip(bags, labels):
+        for bag, y in zip(bags, labels) if 0 < pos < n else ():
             df.update(bag.keys())
             if y:
                 hit.update(bag.keys())
-        if not 0 < pos < n:
-            return [], df
-        return sorted(t for t, d in df.items() if d >= max(4, n // 2000) and _evidence(hit[t], pos, d - hit[t], n - pos) > LEAST_EVIDENCE), df
-
-    def __init__(self, bags: list[Counter], labels: np.ndarray, ids: np.ndarray, frequency: tuple[int, dict[str, int]] | None = None):
-        """frequency: the number of documents and of those that have a term; where it is not given, the examples are all documents."""
-        n, pos = len(bags), int(labels.sum())
-        chosen, df = self.chosen(bags, labels)
-        self.term = {t: i for i, t in enumerate(chosen)}
         n_docs, having = frequency or (n, df)
+        self.term = {t: i for i, t in enumerate(sorted(t for t in df if having.get(t, 0) < n_docs))}
         self.idf = np.array([math.log((n_docs + 1) / (having.get(t, 0) + 0.5)) for t in self.term], np.float64)
-        keep = [i for i, bag in enumerate(bags) if bag.keys() & self.term.keys()]
+        told = (_evidence(hit[t], pos, df[t] - hit[t], n - pos) for t in self.term)
+        self.scale = self.idf * np.array([FLOOR + max(0.0, e - CHANCE) for e in told], np.float64)
+        keep = [i for i, bag in enumerate(bags) if not self.term.keys().isdisjoint(bag)]
+        # like examples (of one label, with the same most frequent word) share blocks, which keeps the blocks' maxima low
+        keep.sort(key=lambda i: (labels[i], max((c, df[t], t) for t, c in bags[i].items() if t in self.term)[2], i))
         self.labels, self.ids = labels[keep].astype(np.float64), ids[keep]
         self.base = pos / max(n, 1)
         rest = np.delete(labels, keep)
         self.without = float(rest.sum() + self.base) / (len(rest) + 1)  # share of label 1 among examples with no term
         self.blocks = (len(keep) + BLOCK - 1) // BLOCK
-        entries = [(t, j, w) for j, i in enumerate(keep) for t, w in zip(*self.weigh(bags[i]))]
-        entries.sort()
-        t, j, w = (np.array(x) for x in zip(*entries)) if entries else (np.zeros(0, int),) * 3
-        self.doc, self.weight = j.astype(np.int32), w.astype(np.float64)
-        bounds = np.arange(len(self.term) + 1)[:, None] * (self.blocks + 1) + np.arange(self.blocks + 1)
-        cell = t.astype(np.int64) * (self.blocks + 1) + self.doc // BLOCK
-        self.at = np.searchsorted(cell, bounds.ravel()).reshape(bounds.shape)
-        self.most = np.zeros((len(self.term), self.blocks))
-        np.maximum.at(self.most, (t.astype(np.int64), self.doc // BLOCK), self.weight)
+        weighed = [self.weigh(bags[i]) for i in keep]
+        t = np.concatenate([t for t, _ in weighed]) if keep else np.zeros(0, np.int64)
+        j = np.repeat(np.arange(len(keep)), [len(t) for t, _ in weighed])
+        order = np.lexsort((j, t))
+        t, self.doc = t[order], j[order].astype(np.int32)
+        self.weight = np.concatenate([w for _, w in weighed])[order] if keep else np.zeros(0)
+        cell = t * (self.blocks + 1) + self.doc // BLOCK  # the part of a list that is in one block
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.at = np.append(first, len(t))
+        self.block = self.doc[first] // BLOCK
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(t[first], np.arange(len(self.term) + 1))
         self.slope, self.shift = 1.0, 0.0
-        self._calibrate([bags[i] for i in keep])
+        self._calibrate(weighed)
 
     def weigh(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the terms in a bag and their weights, of length 1 together."""
         found = sorted((self.term[t], c) for t, c in bag.items() if t in self.term)
-        terms = np.array([t for t, _ in found], np.int64)
-        w = (1 + np.log(np.array([c for _, c in found], np.float64))) * self.idf[terms]
+        return self._unit(np.array([t for t, _ in found], np.int64), np.array([c for _, c in found], np.float64))
+
+    def _unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.scale[terms]
         return terms, w / np.linalg.norm(w) if len(w) else w
 
     def nearest(self, bag: Counter, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The K examples of the largest cosine (ties: the smaller number) and the cosines; those of 0 are left out."""
-        terms, w = self.weigh(bag)
+        return self._nearest(*self.weigh(bag), skip)
+
+    def _nearest(self, terms: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         if not len(terms):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.most[terms]
+        size = self.cells[terms + 1] - self.cells[terms]
+        cell, w = _spread(self.cells[terms], size), np.repeat(w, size)
+        block = self.block[cell]
+        bound = np.bincount(block, w * self.most[cell], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best_i, best_c = self._best(terms, w, order[:FIRST], skip)
+        best_i, best_c = self._best(cell, w, block, order[:FIRST], skip)
         rest = order[FIRST:]
         if len(best_c) == K:
             rest = rest[bound[rest] >= best_c[-1] - 1e-12]
         if len(rest):
-            more_i, more_c = self._best(terms, w, rest, skip)
+            more_i, more_c = self._best(cell, w, block, rest, skip)
             best_i, best_c = np.concatenate([best_i, more_i]), np.concatenate([best_c, more_c])
             kept = np.lexsort((best_i, -best_c))[:K]
             best_i, best_c = best_i[kept], best_c[kept]
         return best_i, best_c
 
-    def _best(self, terms: np.ndarray, w: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+    def _best(self, cell: np.ndarray, w: np.ndarray, block: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
         """The K nearest among the examples of some blocks."""
-        lo = self.at[np.ix_(terms, blocks)].ravel()
-        size = self.at[np.ix_(terms, blocks + 1)].ravel() - lo
-        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-        total = np.bincount(self.doc[at], np.repeat(np.repeat(w, len(blocks)), size) * self.weight[at], minlength=len(self.labels))
+        wanted = np.zeros(self.blocks, bool)
+        wanted[blocks] = True
+        here = wanted[block]
+        cell = cell[here]
+        size = self.at[cell + 1] - self.at[cell]
+        at = _spread(self.at[cell], size)
+        total = np.bincount(self.doc[at], np.repeat(w[here], size) * self.weight[at], minlength=len(self.labels))
         if skip >= 0:
             total[skip] = 0
         got = np.flatnonzero(total > 0)
+        if len(got) > K:
+            got = got[total[got] >= np.partition(total[got], -K)[-K]]
         kept = np.lexsort((got, -total[got]))[:K]
         return got[kept], total[got[kept]]
 
@@ -135,8 +148,8 @@ class Index:
         yes = float((v * self.labels[near]).sum()) + self.base
         return math.log(yes / (float((v * (1 - self.labels[near])).sum()) + 1 - self.base))
 
-    def _calibrate(self, bags: list[Counter]) -> None:
-        raw = np.array([self.votes(*self.nearest(bag, i)) for i, bag in enumerate(bags)])
+    def _calibrate(self, weighed: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        raw = np.array([self.votes(*self._nearest(t, w, i)) for i, (t, w) in enumerate(weighed)])
         y, a, b = self.labels, 1.0, 0.0
         for _ in range(30 if len(raw) else 0):  # Newton steps with a weak pull to slope 1 and shift 0
             p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
@@ -146,8 +159,9 @@ class Index:
             a, b = np.array([a, b]) - np.linalg.solve(h, g)
         self.slope, self.shift = max(a, 0.05), b
 
-    def score(self, bag: Counter) -> tuple[float, np.ndarray, np.ndarray]:
-        near, cosine = self.nearest(bag)
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The probability of label 1 of a text with so many of each of these terms, its neighbours and their cosines."""
+        near, cosine = self._nearest(*self._unit(terms, counts))
         if not len(near):
             return self.without, near, cosine
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * self.votes(near, cosine) + self.shift)))), near, cosine
@@ -161,71 +175,72 @@ def bag_of(text: str | None) -> Counter:
     return bag
 
 
-def known_forms(terms: Iterable[str], texts: Iterable[str | None]) -> Iterator[Counter]:
-    """The bag of each text, of the given terms only."""
-    known: dict[str, tuple[str, ...]] = {}
+def known_terms(term: dict[str, int], texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the numbers of its terms, ascending, and how often it has them."""
+    known: dict[str, tuple[int, ...]] = {}
     for text in texts:
-        bag: Counter = Counter()
+        bag: dict[int, int] = {}
         for word, n in Counter(_WORD.findall((text or "").lower())).items():
             forms = known.get(word)
             if forms is None:
                 if len(known) > 300_000:
                     known.clear()
-                forms = known[word] = tuple(f for f in _forms(word) if f in terms)
+                forms = known[word] = tuple(term[f] for f in _forms(word) if f in term)
             for form in forms:
-                bag[form] += n
-        yield bag
+                bag[form] = bag.get(form, 0) + n
+        terms = np.fromiter(bag, np.int64, len(bag))
+        order = np.argsort(terms)
+        yield terms[order], np.fromiter(bag.values(), np.float64, len(bag))[order]
 
 
 def document_frequency(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[int, dict[str, int]]:
     """The number of all documents, and of those that have each of the terms (a bounded list): counted in tasks."""
-    wanted = set(terms)
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, Counter()
+        wanted = shared.value
+        n, total, known = 0, Counter(), {}
         for batch in batches:
             n += batch.num_rows
-            for bag in known_forms(wanted, (t.as_py() for t in batch.column(0))) if wanted else ():
-                total.update(bag.keys())
+            for text in batch.column(0) if wanted else ():
+                seen: set[str] = set()
+                for word in set(_WORD.findall((text.as_py() or "").lower())):
+                    forms = known.get(word)
+                    if forms is None:
+                        if len(known) > 300_000:
+                            known.clear()
+                        forms = known[word] = tuple(f for f in _forms(word) if f in wanted)
+                    seen.update(forms)
+                total.update(seen)
         yield pa.RecordBatch.from_arrays([pa.array([None, *total], pa.string()), pa.array([n, *total.values()], pa.int64())], names=["t", "n"])
 
-    got = {r["t"]: r["n"] for r in docs.select(text_col).mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    counted = docs.select(text_col).mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    got = dict(zip(counted.column("t").to_pylist(), counted.column("n").to_pylist()))
     return got.pop(None, 0), got
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Index:
-    """The index over at most `rows` labelled examples that are not held out, IDF from all documents; bags are made in tasks."""
+    """The index over at most `rows` labelled examples that are not held out, IDF from all documents; bags are made in tasks.
+
+    Of a document id that repeats, the text that sorts first is the example.
+    """
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms, counts = [], []
-            for text in batch.column(1).to_pylist():
-                bag = bag_of(text)
-                terms.append(list(bag))
-                counts.append(list(bag.values()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], names=["id", "label", "terms", "counts"])
-
-    made = training_rows(docs, labels, label, rows).mapInArrow(bags, "id long, label int, terms array<string>, counts array<int>").cache()
-    try:
-        # which forms tell the labels apart is counted by Spark, so that only the index's own terms come to the driver
-        n, pos = made.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-        pairs = made.select("id", "label", F.explode(F.arrays_zip("terms", "counts")).alias("e")).select("id", "label", F.col("e.terms").alias("t"), F.col("e.counts").alias("c"))
-        forms = pairs.groupBy("t").agg(F.count(F.lit(1)).alias("d"), F.sum("label").alias("a"))
-        kept = pairs.join(forms.where(_telling(n, pos)).select("t"), "t")
-        got = made.select("id", "label").join(kept.groupBy("id").agg(F.collect_list("t").alias("t"), F.collect_list("c").alias("c")), "id", "left").toArrow()
-    finally:
-        made.unpersist()
-    got = got.sort_by("id")
-    found = [Counter(dict(zip(t or (), c or ()))) for t, c in zip(got.column("t").to_pylist(), got.column("c").to_pylist())]
-    y = got.column("label").to_numpy().astype(np.int64)
-    return Index(found, y, got.column("id").to_numpy(), document_frequency(docs, Index.chosen(found, y)[0]))
+            made = [bag_of(text) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(b) for b in made], pa.list_(pa.string())), pa.array([list(b.values()) for b in made], pa.list_(pa.int32()))], names=["id", "label", "terms", "counts"])
+
+    examples = training_rows(docs, labels, label, rows).groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    got = examples.select("id", "text", "label").mapInArrow(bags, "id long, label int, terms array<string>, counts array<int>").toArrow().sort_by("id")
+    found = [Counter(dict(zip(map(sys.intern, t.as_py()), c.as_py()))) for t, c in zip(got.column("terms"), got.column("counts"))]
+    return Index(found, got.column("label").to_numpy().astype(np.int64), got.column("id").to_numpy(), document_frequency(docs, sorted(set().union(*found))))
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", flag: float = 0.3) -> DataFrame:
     """(id_col, held_out, score, predicted, example_ids, cosines) of every row.
 
     score: the calibrated probability of label 1. example_ids and cosines: the neighbours that voted, the nearest first.
-    Null and empty texts, and texts with no term of the index, get the share of label 1 among such examples.
+    Null and empty texts, and texts with no word of an example, get the share of label 1 among such examples.
     The index is bounded by its parameters and sent to the executors once. Ids may repeat; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -234,8 +249,8 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
         idx = shared.value
         for batch in batches:
             scores, near, cosines = [], [], []
-            for bag in known_forms(idx.term, (t.as_py() for t in batch.column(1))):
-                s, i, c = idx.score(bag)
+            for terms, counts in known_terms(idx.term, (t.as_py() for t in batch.column(1))):
+                s, i, c = idx.score(terms, counts)
                 scores.append(s)
                 near.append(idx.ids[i].tolist())
                 cosines.append(c.tolist())
