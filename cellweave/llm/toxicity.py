@@ -15,6 +15,7 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +82,7 @@ class Index:
         t = np.concatenate([t for t, _ in weighed]) if keep else np.zeros(0, np.int64)
         j = np.repeat(np.arange(len(keep)), [len(t) for t, _ in weighed])
         order = np.lexsort((j, t))
-        t, self.doc = t[order], j[order].astype(np.int32)
+        t, self.doc = t[order], j[order]
         self.weight = np.concatenate([w for _, w in weighed])[order] if keep else np.zeros(0)
         cell = t * (self.blocks + 1) + self.doc // BLOCK  # the part of a list that is in one block
         first = np.flatnonzero(np.diff(cell, prepend=-1))
@@ -175,48 +176,52 @@ def bag_of(text: str | None) -> Counter:
     return bag
 
 
+class _Pieces(dict):
+    """Pieces of text between white space, each with the numbers of its words' terms; short ones are remembered."""
+
+    def __init__(self, term: dict[str, int]):
+        super().__init__()
+        self.term = term
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = tuple(self.term[f] for word in _WORD.findall(piece) for f in _forms(word) if f in self.term)
+        if len(piece) <= 64:
+            if len(self) > 300_000:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 def known_terms(term: dict[str, int], texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of each text the numbers of its terms, ascending, and how often it has them."""
-    known: dict[str, tuple[int, ...]] = {}
+    """Of each text the numbers of its terms, ascending, and how often it has them.
+
+    White space is in no word, so the words of a text are those of its pieces."""
+    pieces = _Pieces(term)
     for text in texts:
-        bag: dict[int, int] = {}
-        for word, n in Counter(_WORD.findall((text or "").lower())).items():
-            forms = known.get(word)
-            if forms is None:
-                if len(known) > 300_000:
-                    known.clear()
-                forms = known[word] = tuple(term[f] for f in _forms(word) if f in term)
-            for form in forms:
-                bag[form] = bag.get(form, 0) + n
-        terms = np.fromiter(bag, np.int64, len(bag))
-        order = np.argsort(terms)
-        yield terms[order], np.fromiter(bag.values(), np.float64, len(bag))[order]
+        bag = Counter((text or "").lower().split())
+        found = [pieces[p] for p in bag]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        terms, place = np.unique(np.fromiter(chain.from_iterable(found), np.int64, int(size.sum())), return_inverse=True)
+        yield terms, np.bincount(place, np.repeat(np.fromiter(bag.values(), np.float64, len(bag)), size), minlength=len(terms))
 
 
 def document_frequency(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[int, dict[str, int]]:
     """The number of all documents, and of those that have each of the terms (a bounded list): counted in tasks."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
-        n, total, known = 0, Counter(), {}
+        pieces, n, total = _Pieces(shared.value), 0, np.zeros(len(terms), np.int64)
         for batch in batches:
             n += batch.num_rows
-            for text in batch.column(0) if wanted else ():
-                seen: set[str] = set()
-                for word in set(_WORD.findall((text.as_py() or "").lower())):
-                    forms = known.get(word)
-                    if forms is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        forms = known[word] = tuple(f for f in _forms(word) if f in wanted)
-                    seen.update(forms)
-                total.update(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([None, *total], pa.string()), pa.array([n, *total.values()], pa.int64())], names=["t", "n"])
-
-    counted = docs.select(text_col).mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+            for text in batch.column(0) if terms else ():
+                found = chain.from_iterable([pieces[p] for p in set((text.as_py() or "").lower().split())])
+                total[list(set(found))] += 1
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *some.tolist()], pa.int32()), pa.array([n, *total[some].tolist()], pa.int64())], names=["t", "n"])
+
+    counted = docs.select(text_col).mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     got = dict(zip(counted.column("t").to_pylist(), counted.column("n").to_pylist()))
-    return got.pop(None, 0), got
+    return got.pop(None, 0), {terms[i]: n for i, n in got.items()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Index:
