@@ -9,7 +9,8 @@ Runs of code bits are bucket keys; how many bits and runs follows from the numbe
 pair at the threshold misses all buckets with probability under MISS). Equal vectors become one class first. Buckets are
 cut into blocks, and pairs of blocks are compared inside tasks, in two passes. The first has codes, factors and vectors
 rounded to a byte for each component (what rounding can add goes into the bound), and gives back the members of pairs that
-stay open; a pair in several buckets counts in the first. Whole vectors travel in the second pass, for these members only,
+stay open; a pair in several buckets counts in the first, of buckets with equal members only the first is looked at, and
+pairs within the largest class of members that share an earlier key are passed over. Whole vectors travel in the second pass, for these members only,
 which gives back counts and a spanning forest of the links, never the pairs.
 """
 
@@ -53,6 +54,12 @@ def _rows(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1. They are scaled by powers of two first, so that no square overflows or vanishes."""
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def _codes(bits: int, keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn: dict[int, np.ndarray] = {}
@@ -60,8 +67,7 @@ def _codes(bits: int, keys: int):
             dims = batch.column("vec").value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                v = _rows(part.column("vec"))
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
+                v = _unit(_rows(part.column("vec")))
                 if dim not in turn:
                     turn[dim] = rotations(dim, bits * keys)
                 turned = np.einsum("rij,nj->nri", turn[dim], v)
@@ -90,17 +96,33 @@ def _bytes(t: pa.Table, column: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(t.column(column).to_pylist()), kind).reshape(t.num_rows, -1)
 
 
-def _across(t: pa.Table, near: np.ndarray) -> np.ndarray:
-    """Of the pairs marked in near: each once, and only those between the two blocks where there are two."""
-    side = t.column("block").to_numpy()
-    near = np.triu(near, 1)
-    return near if t.column("x")[0] == t.column("y")[0] else near & (side[:, None] != side[None, :])
+def _unmet(key: np.ndarray, band: int) -> np.ndarray:
+    """The members of a bucket outside the largest class of it that has one earlier key in common.
+
+    Pairs within that class count in the earlier bucket, so only pairs with a member outside it are left to look at.
+    """
+    if not band:
+        return np.arange(len(key))
+    place = np.sort(key[:, :band], axis=0)
+    start = np.vstack([np.ones((1, band), bool), place[1:] != place[:-1]])
+    run = np.arange(len(key))[:, None] - np.maximum.accumulate(np.where(start, np.arange(len(key))[:, None], 0), axis=0)
+    last = run.argmax(axis=0)
+    best = int(run.max(axis=0).argmax())
+    return np.flatnonzero(key[:, best] != place[last[best], best])
+
 
+def _pairs(t: pa.Table, rest: np.ndarray, near: np.ndarray, key: np.ndarray, band: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs marked in near (a row for each of rest), each once, whose first common key is this group's, some at a time.
 
-def _pairs(t: pa.Table, near: np.ndarray, bits: int, keys: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs marked in near whose first common key is this group's, some at a time."""
+    Where there are two blocks, only those between them.
+    """
+    side, among = t.column("block").to_numpy(), np.zeros(len(key), bool)
+    among[rest] = True
+    near = near & (~among[None, :] | (rest[:, None] < np.arange(len(key))[None, :]))
+    if t.column("x")[0] != t.column("y")[0]:
+        near &= side[rest, None] != side[None, :]
     x, y = np.nonzero(near)
-    key, band = _keys(_bytes(t, "code", np.uint8), bits, keys), t.column("band")[0].as_py()
+    x = rest[x]
     for lo in range(0, len(x), PAIRS):
         a, b = x[lo : lo + PAIRS], y[lo : lo + PAIRS]
         first = np.argmax(key[a] == key[b], axis=1) == band
@@ -114,6 +136,11 @@ def _open(bits: int, keys: int, threshold: float):
     def group(t: pa.Table) -> pa.RecordBatch | None:
         if t.num_rows < 2:
             return None
+        packed = _bytes(t, "code", np.uint8)
+        key, band = _keys(packed, bits, keys), t.column("band")[0].as_py()
+        rest = _unmet(key, band)
+        if not len(rest):
+            return None
         step = t.column("step").to_numpy()
         v = _bytes(t, "rounded", np.int8) * step[:, None]
         n, dim = v.shape
@@ -121,15 +148,16 @@ def _open(bits: int, keys: int, threshold: float):
             turn[dim] = rotations(dim, bits * keys).astype(np.float32)
         turned = np.einsum("rij,nj->nri", turn[dim], v, optimize=True)
         signs = turned.shape[1]
-        code = np.unpackbits(_bytes(t, "code", np.uint8), axis=1)[:, : signs * dim].reshape(turned.shape) * np.float32(2) - 1
+        code = np.unpackbits(packed, axis=1)[:, : signs * dim].reshape(turned.shape) * np.float32(2) - 1
         factor = _rows(t.column("factor").combine_chunks())
         # unbiased estimates by each rotation, averaged; both directions of a pair
-        est = (code / (factor[:, :, None] * math.sqrt(dim))).astype(np.float32).reshape(n, -1) @ turned.reshape(n, -1).T / signs
-        est = (est + est.T) / 2
+        code = (code / (factor[:, :, None] * math.sqrt(dim))).astype(np.float32).reshape(n, -1)
+        turned = turned.reshape(n, -1)
+        est = (code[rest] @ turned.T + turned[rest] @ code.T) / (2 * signs)
         error = SIGMAS * np.sqrt(np.maximum(1 / factor**2 - 1, 0).mean(axis=1) / (max(dim - 1, 1) * signs))
         error += (1 / factor).mean(axis=1) * step.max() * math.sqrt(dim) / 2 + 1e-5  # rounding of either side
         flagged = np.zeros(n, bool)
-        for x, y in _pairs(t, _across(t, est + np.maximum(error[:, None], error[None, :]) >= threshold), bits, keys):
+        for x, y in _pairs(t, rest, est + np.maximum(error[rest, None], error[None, :]) >= threshold, key, band):
             flagged[x] = flagged[y] = True
         return t.select([*GROUP, "band", "block", "rep"]).filter(pa.array(flagged)).combine_chunks().to_batches()[0] if flagged.any() else None
 
@@ -142,10 +170,13 @@ def _compare(bits: int, keys: int, threshold: float):
     def group(t: pa.Table) -> pa.RecordBatch | None:
         ids, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
         label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-        v = _rows(t.column("vec").combine_chunks())
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        key, band = _keys(_bytes(t, "code", np.uint8), bits, keys), t.column("band")[0].as_py()
+        rest = _unmet(key, band)
+        if not len(rest):
+            return None
+        v = _unit(_rows(t.column("vec").combine_chunks()))
         links, ends = np.zeros(len(ids), np.int64), []
-        for x, y in _pairs(t, _across(t, (v @ v.T >= threshold - 1e-9) & (label[:, None] == label[None, :])), bits, keys):
+        for x, y in _pairs(t, rest, (v[rest] @ v.T >= threshold - 1e-9) & (label[rest, None] == label[None, :]), key, band):
             near = np.einsum("ij,ij->i", v[x], v[y]) >= threshold
             x, y = x[near], y[near]
             np.add.at(links, x, copies[y])
@@ -172,8 +203,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     """(id_col, n_links, component_id, kept) of every vector.
 
     Linked: equal labels that are not null, equal dimensions, and a cosine of at least the threshold. Vectors that are
-    null, empty, zero or hold null or non-finite components are linked with nothing, nor are rows with a null id. Ids are
-    unique. No vectors: no rows. Other columns are ignored.
+    null, empty, zero or hold null or non-finite components are linked with nothing, nor are rows with a null id. Any
+    finite length will do. Ids are unique but for whole rows that repeat, which link with one another. No
+    vectors: no rows. Other columns are ignored.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     good = F.col("id").isNotNull() & F.col("label").isNotNull() & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
@@ -183,7 +215,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     bits, keys = plan(most, threshold)
     coded = stored(classes.select("rep", "label", "copies", "vec").mapInArrow(_codes(bits, keys), "rep long, label string, copies long, vec array<double>, code binary, factor array<float>, keys array<long>, rounded binary, step float"), "codes")
     spread = coded.select("rep", F.posexplode("keys").alias("band", "bits"), "label", F.size("vec").alias("dim")).select("rep", "band", "dim", F.xxhash64("label", "dim", "band", "bits").alias("key"))
-    sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mark = lambda salt: F.bit_xor(F.xxhash64("rep", F.lit(salt))).alias(f"m{salt}")
+    sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("band").alias("band"), mark(1), mark(2)).where("n > 1")
+    # of buckets with equal members the first, in which all their pairs count
+    sizes = sizes.groupBy("n", "m1", "m2").agg(F.min(F.struct("band", "key"))["key"].alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = spread.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "dim", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "band", "block", "rep")
