@@ -31,6 +31,7 @@ from cellweave.llm.store import stored
 MISS = 1e-4
 BLOCK = 512  # vectors in a block, of which two meet
 FILL = 32  # vectors that a bucket would hold if all were spread evenly
+SMALL = 128  # members of a group that are compared whole sooner than sorted by their earlier keys
 SIGMAS = 5.0
 PAIRS = 1 << 15  # pairs looked at together in a task
 GROUP = ("key", "dim", "x", "y")
@@ -138,7 +139,7 @@ def _open(bits: int, keys: int, threshold: float):
             return None
         packed = _bytes(t, "code", np.uint8)
         key, band = _keys(packed, bits, keys), t.column("band")[0].as_py()
-        rest = _unmet(key, band)
+        rest = _unmet(key, band) if t.num_rows >= SMALL else np.arange(t.num_rows)
         if not len(rest):
             return None
         step = t.column("step").to_numpy()
@@ -171,7 +172,7 @@ def _compare(bits: int, keys: int, threshold: float):
         ids, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
         label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
         key, band = _keys(_bytes(t, "code", np.uint8), bits, keys), t.column("band")[0].as_py()
-        rest = _unmet(key, band)
+        rest = _unmet(key, band) if t.num_rows >= SMALL else np.arange(t.num_rows)
         if not len(rest):
             return None
         v = _unit(_rows(t.column("vec").combine_chunks()))
