@@ -211,6 +211,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = of.unionByName(more.join(found.select("id"), "id", "left_anti"))
 
     of_rep = classes.join(of.withColumnRenamed("id", "rep"), "rep", "left").select("sig_a", "sig_b", "n", F.coalesce("component_id", "rep").alias("component_id"))
-    joined = signed.select("id", "n", "sig_a", "sig_b").join(of_rep, ["sig_a", "sig_b", "n"], "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component_id", "id")).otherwise(F.col("id"))
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (component.isNull() | (component == F.col("id"))).alias("kept"))
+    # the many rows without words have one key between them and stay out of the join
+    joined = real.select("id", "n", "sig_a", "sig_b").join(of_rep, ["sig_a", "sig_b", "n"], "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
+    alone = signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
+    every = joined.unionByName(alone)
+    return every.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
