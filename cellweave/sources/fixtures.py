@@ -19,15 +19,16 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grid(images: DataFrame) -> DataFrame:
-    grid = images.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))))
-    return grid.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))))
+    """All pixels of the images, a cross join: Spark sees the size of one, and tasks share it by pixels, however few rows name the images."""
+    places = images.sparkSession.range(SIDE * SIDE).select(F.expr(f"int(id div {SIDE})").alias("row"), F.expr(f"int(id % {SIDE})").alias("col"))
+    return places.crossJoin(F.broadcast(images)).select(*images.columns, "row", "col")
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
     lines = _lines(spark, d)
     key = ["image_id", "channel", "row", "col"]
     sums = lines.select("image_id", F.col("l_returnflag").alias("channel"), (F.col("l_partkey") % SIDE).cast("int").alias("row"), (F.col("l_orderkey") % SIDE).cast("int").alias("col"), F.col("l_quantity").cast("double").alias("q")).groupBy(*key).agg(F.sum("q").alias("value"))
-    grid = _grid(lines.select("image_id").distinct().withColumn("channel", F.explode(F.array(*map(F.lit, CHANNELS)))))
+    grid = _grid(lines.select("image_id").distinct()).withColumn("channel", F.explode(F.array(*map(F.lit, CHANNELS))))
     return grid.join(sums, key, "left").select(*key, F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
