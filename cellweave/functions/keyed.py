@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -51,12 +52,20 @@ def permuted(k: int, place: np.ndarray, n: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def resampled(text: str, n: int) -> np.ndarray:
-    """n whole numbers from 0 to n - 1, drawn with replacement: mixed in 32 bits from the first 8 hex digits of md5(text).
+def resampled_pieces(text: str, n: int, piece: int = 1 << 16) -> Iterator[np.ndarray]:
+    """n whole numbers from 0 to n - 1 in pieces, drawn with replacement: mixed in 32 bits from the first 8 hex digits of md5(text).
 
-    Products stay below 2^63, so that an engine with 64-bit whole numbers makes the same.
+    Products stay below 2^63, so that an engine with 64-bit whole numbers makes the same; here 32 bits wrap around.
     """
-    x = (int(hashlib.md5(text.encode()).hexdigest()[:8], 16) + np.arange(n, dtype=np.int64) * 2654435769) % (1 << 32)
-    for _ in range(2):
-        x = ((x ^ (x >> 16)) * 73244475) % (1 << 32)
-    return ((x ^ (x >> 16)) * n) >> 32
+    first, by, mix = int(hashlib.md5(text.encode()).hexdigest()[:8], 16), 2654435769, np.uint32(73244475)
+    steps, half = np.arange(min(n, piece), dtype=np.uint32) * np.uint32(by), np.uint32(16)
+    for lo in range(0, n, piece):
+        x = steps[: n - lo] + np.uint32((first + lo * by) & 0xFFFFFFFF)
+        for _ in range(2):
+            x = (x ^ (x >> half)) * mix
+        yield (((x ^ (x >> half)).astype(_U) * _U(n)) >> _U(32)).astype(np.int64)
+
+
+def resampled(text: str, n: int) -> np.ndarray:
+    """The numbers of resampled_pieces in one array."""
+    return np.concatenate(list(resampled_pieces(text, n))) if n else np.zeros(0, np.int64)

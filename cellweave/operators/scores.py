@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.functions.keyed import resampled
+from cellweave.functions.keyed import resampled_pieces
 from cellweave.operators.ordered import running
 from cellweave.sources.lineage import cut
 
@@ -106,27 +106,33 @@ def weighted_share(values: DataFrame) -> DataFrame:
     return values.groupBy(*PLANE).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.try_divide(pos, F.sum("weight")), F.lit(0.0)).alias("proportion"))
 
 
-def bootstrap_share(values: DataFrame, n_bootstrap: int = 1000, alpha: float = 0.05, seed: int = 42, block: int = 50) -> DataFrame:
+def bootstrap_share(values: DataFrame, n_bootstrap: int = 1000, alpha: float = 0.05, seed: int = 42, part: int = 1 << 21) -> DataFrame:
     """(image_id, channel, ci_low, ci_high): percentile interval of the weighted share over resamples of n out of n values.
 
-    A group is one channel of one image (a value for each of its cells) and a block of resamples; what leaves it is one
-    share for each resample. Draws are keyed by seed, image, channel and resample, over values in order of ObjectNumber,
-    value and weight.
+    Draws are keyed by seed, image, channel and resample, over values in order of ObjectNumber, value and weight. Values are
+    numbered in that order and sent once, not for each resample: a group is a run of at most `part` numbers of a channel. It
+    makes all draws of each resample, which takes no value, and adds up those that fall into its run, so it is bounded
+    whatever share of the values a channel has; what leaves it is a row of sums for each resample.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ObjectNumber", "value", "weight"])
-        first = int(pdf["block"].iloc[0]) * block
+        first, n = int(pdf["part"].iloc[0]) * part, int(pdf["n"].iloc[0])
         prefix = "|".join(map(str, (seed, *pdf[PLANE].iloc[0])))
-        w, n = pdf["weight"].to_numpy(float), len(pdf)
-        both = np.stack([np.where(pdf["value"].to_numpy(float) > 0, w, 0.0), w])
-        drawn = np.stack([both[:, resampled(f"{prefix}|{b}", n)].sum(axis=1) for b in range(first, min(first + block, n_bootstrap))])
-        with np.errstate(all="ignore"):
-            share = np.where(drawn[:, 0] > 0, drawn[:, 0] / drawn[:, 1], 0.0)
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "channel": pdf["channel"].iloc[0], "s": share})
-
-    spread = values.select(*PLANE, "ObjectNumber", "value", "weight").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_bootstrap - 1) // block))))
-    share = spread.groupBy(*PLANE, "block").applyInPandas(run, "image_id string, channel string, s double")
+        at = pdf["k"].to_numpy() - first
+        w, both = pdf["weight"].to_numpy(float), np.empty(len(pdf), complex)  # weight with value > 0, and all, in one look-up
+        both.real[at], both.imag[at] = np.where(pdf["value"].to_numpy(float) > 0, w, 0.0), w
+        drawn = np.zeros(n_bootstrap, complex)
+        for b in range(n_bootstrap):
+            for k in resampled_pieces(f"{prefix}|{b}", n):
+                if len(both) < n:
+                    k = k[(k >= first) & (k < first + len(both))] - first
+                drawn[b] += both[k].sum()
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "channel": pdf["channel"].iloc[0], "b": range(n_bootstrap), "some": drawn.real, "every": drawn.imag})
+
+    ranked = running(values.select(*PLANE, "ObjectNumber", "value", "weight"), PLANE, ["ObjectNumber", "value", "weight"], {"rank": F.lit(1).cast("long")})
+    ranked = ranked.select(*PLANE, (F.col("rank") - 1).alias("k"), "value", "weight").join(values.groupBy(*PLANE).agg(F.count(F.lit(1)).alias("n")), PLANE)
+    sums = ranked.withColumn("part", F.expr(f"k div {part}")).groupBy(*PLANE, "part").applyInPandas(run, "image_id string, channel string, b int, some double, every double")
+    share = sums.groupBy(*PLANE, "b").agg(F.sum("some").alias("some"), F.sum("every").alias("every")).withColumn("s", F.when(F.col("some") > 0, F.col("some") / F.col("every")).otherwise(0.0))
     q = share.groupBy(*PLANE).agg(F.percentile("s", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
     return q.select(*PLANE, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
