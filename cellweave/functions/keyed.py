@@ -36,17 +36,19 @@ def permuted(k: int, place: np.ndarray, n: int) -> np.ndarray:
     """Where the keyed permutation of 0 .. n - 1 puts each place.
 
     A Feistel network over the smallest even number of bits that holds n, walked on until the result is below n: a
-    permutation whatever n is, and no place has to know another.
+    permutation whatever n is, and no place has to know another. A round's function takes half of the bits, so for many
+    places its values are looked up.
     """
     half = _U(max(1, ((n - 1).bit_length() + 1) // 2))
     low = (_U(1) << half) - _U(1)
     keys = scramble(np.arange(1, ROUNDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) ^ _U(k))
     out = np.asarray(place, _U).copy()
     todo = np.arange(len(out))
+    tables = scramble(np.arange(int(low) + 1, dtype=_U) ^ keys[:, None]) & low if len(out) > int(low) else None
     while len(todo):
         left, right = out[todo] >> half, out[todo] & low
-        for r in keys:
-            left, right = right, left ^ (scramble(right ^ r) & low)
+        for k, r in enumerate(keys):
+            left, right = right, left ^ (scramble(right ^ r) & low if tables is None else tables[k].take(right.astype(np.int64)))
         out[todo] = left << half | right
         todo = todo[out[todo] >= _U(n)]
     return out.astype(np.int64)

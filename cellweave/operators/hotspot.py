@@ -188,10 +188,15 @@ WHOLE = 512 * 512  # pixels of a plane that one group holds; larger planes are c
 SIDE = 256  # side of a tile
 
 
-def _sized(pixels: DataFrame) -> DataFrame:
-    """pixels with the size and the sum of their plane: small aggregates joined back."""
-    size = pixels.groupBy(*PLANE).agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"), F.sum("value").alias("total"))
-    return pixels.select(*PLANE, "row", "col", F.col("value").cast("double").alias("value")).join(size, PLANE)
+def _sized(pixels: DataFrame, whole: int) -> tuple[DataFrame, DataFrame | None]:
+    """(pixels of planes of up to `whole` pixels, those of larger ones or None), with the size and the sum of their plane.
+
+    The sizes, a row for each plane, are written once: without a larger plane the pixels need not be read for them.
+    """
+    size = cut(pixels.groupBy(*PLANE).agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"), F.sum("value").alias("total")))
+    at = pixels.select(*PLANE, "row", "col", F.col("value").cast("double").alias("value"))
+    large = size.where(F.col("rows") * F.col("cols") > whole)
+    return at.join(size.where(F.col("rows") * F.col("cols") <= whole), PLANE), None if large.isEmpty() else at.join(large, PLANE)
 
 
 def _plane_key(pdf: pd.DataFrame, seed: int, tag: str) -> tuple:
@@ -202,18 +207,17 @@ def _rounds(n_iter: int, block: int, which: int) -> range:
     return range(which * block, min(n_iter, (which + 1) * block))
 
 
-def _shuffled(sized: DataFrame, n_iter: int, block: int, seed: int, tag: str, halo: int, whole: int, work, schema: str) -> DataFrame:
+def _shuffled(small: DataFrame | None, large: DataFrame | None, n_iter: int, block: int, seed: int, tag: str, halo: int, work, schema: str) -> DataFrame:
     """What `work` makes of shuffled planes: of each plane, or of its tiles with a halo, and a block of iterations.
 
-    In iteration b the value of pixel i goes to place permuted(i) under a key of the plane and b. A plane of up to `whole`
-    pixels is shuffled inside its group. Of a larger one each pixel is sent to the tiles of its new places, with one
+    In iteration b the value of pixel i goes to place permuted(i) under a key of the plane and b. A small plane is shuffled
+    inside its group. Of a large one each pixel is sent to the tiles of its new places, with one
     shuffle and no join, so a group holds a tile for a block of iterations whatever the plane's size. Results are the same.
 
     work(pdf of own pixels, x, planes (iterations, rows, columns), own rows and columns in them) gets pdf with total, rows
     and cols.
     """
     blocks = F.explode(F.sequence(F.lit(0), F.lit((n_iter - 1) // block)))
-    small = sized.where(F.col("rows") * F.col("cols") <= whole).withColumn("block", blocks)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, cols = int(pdf["rows"].iloc[0]), int(pdf["cols"].iloc[0])
@@ -253,10 +257,12 @@ def _shuffled(sized: DataFrame, n_iter: int, block: int, seed: int, tag: str, ha
         own = pdf[(b < 0) & (pdf["row"] // SIDE == tr) & (pdf["col"] // SIDE == tc)]
         return work(own, planes[-1], planes[:-1], own["row"].to_numpy() - r0, own["col"].to_numpy() - c0)
 
-    kinds = {f.name: f.dataType.simpleString() for f in sized.schema}
-    moved = f"image_id {kinds['image_id']}, channel {kinds['channel']}, rows {kinds['rows']}, cols {kinds['cols']}, total double, block int, b int, tr int, tc int, row int, col int, value double"
-    large = sized.where(F.col("rows") * F.col("cols") > whole).mapInPandas(scatter, moved)
-    return small.groupBy(*PLANE, "block").applyInPandas(run, schema).unionByName(large.groupBy(*PLANE, "block", "tr", "tc").applyInPandas(tile, schema))
+    parts = [] if small is None else [small.withColumn("block", blocks).groupBy(*PLANE, "block").applyInPandas(run, schema)]
+    if large is not None:
+        kinds = {f.name: f.dataType.simpleString() for f in large.schema}
+        moved = f"image_id {kinds['image_id']}, channel {kinds['channel']}, rows {kinds['rows']}, cols {kinds['cols']}, total double, block int, b int, tr int, tc int, row int, col int, value double"
+        parts.append(large.mapInPandas(scatter, moved).groupBy(*PLANE, "block", "tr", "tc").applyInPandas(tile, schema))
+    return reduce(DataFrame.unionByName, parts)
 
 
 _COUNTS = "image_id string, channel string, row int, col int, g double, n_both long, n_cold long, n_hot long, n long"
@@ -279,9 +285,9 @@ def g_permutation(pixels: DataFrame, n_iter: int = 99, queen: bool = True, centr
     Observed g is (neighbours + x if centre) / sum; permuted g divides by sum - x, as the definition has it. Permutations
     are keyed, so a plane of any size gives the same result as if one task held it (see `_shuffled`).
     """
-    sized = _sized(pixels)
+    sized = _sized(pixels, whole)
     if not whole_image:
-        return _p_from_counts(_drawn_neighbours(sized, n_iter, queen, centre, seed, block, whole))
+        return _p_from_counts(_drawn_neighbours(*sized, n_iter, queen, centre, seed, block))
 
     def work(pdf: pd.DataFrame, x: np.ndarray, planes: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
         total, mid = pdf["total"].to_numpy(), x[i, j]
@@ -289,14 +295,13 @@ def g_permutation(pixels: DataFrame, n_iter: int = 99, queen: bool = True, centr
             gi = (_stencil(x, queen)[i, j] + (mid if centre else 0)) / (total if centre else total - mid)
             return _compared(pdf, gi, ((mid if centre else 0) + _stencil(planes, queen)[:, i, j]) / (total - mid))
 
-    return _p_from_counts(_shuffled(sized, n_iter, block, seed, "g", 1, whole, work, _COUNTS))
+    return _p_from_counts(_shuffled(*sized, n_iter, block, seed, "g", 1, work, _COUNTS))
 
 
-def _drawn_neighbours(sized: DataFrame, n_iter: int, queen: bool, centre: bool, seed: int, block: int, whole: int) -> DataFrame:
+def _drawn_neighbours(small: DataFrame, large: DataFrame | None, n_iter: int, queen: bool, centre: bool, seed: int, block: int) -> DataFrame:
     """Counts against neighbours drawn from the plane: inside its group, or for a larger plane by an equi-join on pixel numbers."""
     k = 8 if queen else 4
     blocks = F.explode(F.sequence(F.lit(0), F.lit((n_iter - 1) // block)))
-    small, large = (sized.where(c) for c in (F.col("rows") * F.col("cols") <= whole, F.col("rows") * F.col("cols") > whole))
 
     def drawn(pdf: pd.DataFrame, b: int) -> np.ndarray:
         """Pixel numbers (pixels, k) that the pixels of pdf draw in iteration b."""
@@ -315,6 +320,8 @@ def _drawn_neighbours(sized: DataFrame, n_iter: int, queen: bool, centre: bool,
             return _compared(pdf, gi, ((mid if centre else 0) + near) / (total - mid))
 
     counted = small.withColumn("block", blocks).groupBy(*PLANE, "block").applyInPandas(run, _COUNTS)
+    if large is None:
+        return counted
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -323,7 +330,7 @@ def _drawn_neighbours(sized: DataFrame, n_iter: int, queen: bool, centre: bool,
                     at = np.repeat(np.arange(len(pdf)), k)
                     yield pdf[[*PLANE, "row", "col"]].iloc[at].assign(b=b, of=drawn(pdf, b).ravel())
 
-    kinds = {f.name: f.dataType.simpleString() for f in sized.schema}
+    kinds = {f.name: f.dataType.simpleString() for f in large.schema}
     asked = large.mapInPandas(ask, f"image_id {kinds['image_id']}, channel {kinds['channel']}, row int, col int, b int, of long")
     number = large.select(*PLANE, (F.col("row").cast("long") * F.col("cols") + F.col("col")).alias("of"), F.col("value").alias("picked"))
     near = asked.join(number, [*PLANE, "of"]).groupBy(*PLANE, "row", "col", "b").agg(F.sum("picked").alias("s"))
@@ -422,14 +429,39 @@ def h_permutation(pixels: DataFrame, n_iter: int = 99, queen: bool = True, seed:
 
     With the residual e of a shuffled plane and d = true - shuffled value, putting a value back changes the residuals of
     a neighbourhood to e - d / w1 (centre: e + d - d / w1), so all pixels follow from stencil sums of e and e squared.
-    Planes of any size, as in g_permutation; the mean square of the residuals of each iteration is summed up first.
+    Planes of any size, as in g_permutation. A plane of up to `whole` pixels is settled in its group, which has the mean
+    square of its residuals; for a larger one that of each iteration is summed up first.
     """
     w1 = 9.0 if queen else 5.0
-    sized = _sized(pixels)
+    small, large = _sized(pixels, whole)
 
     def residual(v: np.ndarray) -> np.ndarray:
         return v - (_stencil(v, queen) + v) / w1
 
+    def put_back(x: np.ndarray, planes: np.ndarray, e: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of squares around the pixels: of x, and of each iteration with the pixel's value put back."""
+        d, own = (x - planes)[:, i, j] / w1, residual(x)
+        tops = _stencil(e * e, queen)[:, i, j] - 2 * d * _stencil(e, queen)[:, i, j] + (w1 - 1) * d**2 + (e[:, i, j] + d * w1 - d) ** 2
+        return (_stencil(own * own, queen) + own * own)[i, j], tops
+
+    def settled(pdf: pd.DataFrame, x: np.ndarray, planes: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        e = residual(planes)
+        seen, tops = put_back(x, planes, e, i, j)
+
+        def share(top: np.ndarray, s: np.ndarray) -> np.ndarray:
+            s = s / len(pdf) * w1
+            return np.divide(top, s, out=np.full(top.shape, np.nan), where=s != 0)
+
+        own = share(seen, (residual(x)[i, j] ** 2).sum(keepdims=True))
+        more = (share(tops, (e[:, i, j] ** 2).sum(axis=1, keepdims=True)) > own).sum(axis=0)
+        return pdf[[*PLANE, "row", "col"]].assign(own=pd.Series(own, pdf.index).astype(object).where(~np.isnan(own), None), more=more, n=len(planes))
+
+    counts = "image_id string, channel string, row int, col int, own double, more long, n long"
+    of_pixels = lambda counted: counted.groupBy(*PLANE, "row", "col").agg(F.first("own").alias("h"), ((1 + F.sum("more")) / (1 + F.sum("n"))).alias("p"))
+    counted = _shuffled(small, None, n_iter, block, seed, "h", 2, settled, counts)
+    if large is None:
+        return of_pixels(counted)
+
     def squares(pdf: pd.DataFrame, x: np.ndarray, planes: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
         every = np.concatenate([residual(planes)[:, i, j] ** 2, residual(x)[None, i, j] ** 2]).sum(axis=1) if len(pdf) else np.zeros(0)
         which = int(pdf["block"].iloc[0]) if len(pdf) else 0
@@ -437,27 +469,23 @@ def h_permutation(pixels: DataFrame, n_iter: int = 99, queen: bool = True, seed:
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[:1].repeat(len(b)).to_numpy(), "channel": pdf["channel"].iloc[:1].repeat(len(b)).to_numpy(), "b": b, "s": every})
 
     # a row for each plane and iteration; negative numbers are the plane as it is, once for each block
-    sums = _shuffled(sized, n_iter, block, seed, "h", 2, whole, squares, "image_id string, channel string, b int, s double").groupBy(*PLANE, "b").agg(F.sum("s").alias("s"))
+    sums = _shuffled(None, large, n_iter, block, seed, "h", 2, squares, "image_id string, channel string, b int, s double").groupBy(*PLANE, "b").agg(F.sum("s").alias("s"))
     means = sums.groupBy(*PLANE).agg(F.map_from_entries(F.collect_list(F.struct("b", "s"))).alias("m")).select(*PLANE, F.transform(F.sequence(F.lit(-1), F.lit(n_iter - 1)), lambda b: F.element_at("m", b)).alias("squares"))
 
     def work(pdf: pd.DataFrame, x: np.ndarray, planes: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame(columns=[*PLANE, "row", "col", "b", "top"])
         steps = _rounds(n_iter, block, int(pdf["block"].iloc[0]))
-        e, d = residual(planes), (x - planes)[:, i, j] / w1
-        mid = e[:, i, j]
-        top = _stencil(e * e, queen)[:, i, j] - 2 * d * _stencil(e, queen)[:, i, j] + (w1 - 1) * d**2 + (mid + d * w1 - d) ** 2
-        own = residual(x)
-        seen = (_stencil(own * own, queen) + own * own)[i, j]
+        seen, top = put_back(x, planes, residual(planes), i, j)
         return pdf[[*PLANE, "row", "col"]].assign(first=steps.start, seen=seen, tops=list(np.ascontiguousarray(top.T)))
 
-    tops = _shuffled(sized, n_iter, block, seed, "h", 2, whole, work, "image_id string, channel string, row int, col int, first int, seen double, tops array<double>")
-    n = sized.select(*PLANE, (F.col("rows").cast("double") * F.col("cols")).alias("size")).groupBy(*PLANE).agg(F.first("size").alias("size"))
+    tops = _shuffled(None, large, n_iter, block, seed, "h", 2, work, "image_id string, channel string, row int, col int, first int, seen double, tops array<double>")
+    n = large.select(*PLANE, (F.col("rows").cast("double") * F.col("cols")).alias("size")).groupBy(*PLANE).agg(F.first("size").alias("size"))
     at = tops.join(means, PLANE).join(n, PLANE)
     h = lambda top, s: F.try_divide(top, s / F.col("size") * w1)
     at = at.withColumn("own", h(F.col("seen"), F.col("squares")[0]))
     more = F.size(F.filter(F.transform("tops", lambda t, k: h(t, F.get("squares", F.col("first") + k + 1)) > F.col("own")), lambda v: v))
-    return at.groupBy(*PLANE, "row", "col").agg(F.first("own").alias("h"), ((1 + F.sum(more)) / (1 + F.sum(F.size("tops")))).alias("p"))
+    return of_pixels(counted.unionByName(at.select(*PLANE, "row", "col", "own", more.cast("long").alias("more"), F.size("tops").cast("long").alias("n"))))
 
 
 def h_statistic(pixels: DataFrame, n_iter: int = 99, queen: bool = True, seed: int = 42) -> DataFrame:
