@@ -133,6 +133,16 @@ def hodges_lehmann(pixels: DataFrame, perimeter: DataFrame, pairs: int = 1 << 22
     return at.groupBy(*KEY).applyInPandas(run, "image_id string, ObjectNumber int, channel string, hl double")
 
 
+def _hash_order(starts: list[bytes], ends: list[bytes]) -> np.ndarray:
+    """For each start (a row) the order of the ends by md5(start + end): by its first 8 bytes, by all 16 in a row where these tie."""
+    digests = np.frombuffer(b"".join([hashlib.md5(s + x).digest() for s in starts for x in ends]), ">u8").astype(np.uint64).reshape(len(starts), len(ends), 2)
+    order = np.argsort(digests[..., 0], axis=1)
+    top = np.take_along_axis(digests[..., 0], order, axis=1)
+    for k in np.flatnonzero((top[:, 1:] == top[:, :-1]).any(axis=1)):
+        order[k] = np.lexsort((digests[k, :, 1], digests[k, :, 0]))
+    return order
+
+
 def core_edge_difference(pixels: DataFrame, perimeter: DataFrame, n_iter: int = 99, seed: int = 42) -> DataFrame:
     """(image_id, ObjectNumber, channel, diff, p): core mean - edge mean and its two-sided permutation p; NULL without a core.
 
@@ -147,15 +157,16 @@ def core_edge_difference(pixels: DataFrame, perimeter: DataFrame, n_iter: int =
             return out.assign(diff=None, p=None)
         n_edge, total = e.sum(), v.sum()
         prefix = "|".join(map(str, (seed, *out.iloc[0])))
-        ends = [f"|{r}|{c}" for r, c in zip(pdf["row"], pdf["col"])]
+        ends = [f"|{r}|{c}".encode() for r, c in zip(pdf["row"], pdf["col"])]
 
-        def apart(edge: np.ndarray) -> float:
+        def apart(edge: float | np.ndarray) -> float | np.ndarray:
             return (total - edge) / (len(v) - n_edge) - edge / n_edge
 
         diff, far = apart(v[e].sum()), 0
-        for b in range(n_iter):
-            order = np.argsort([hashlib.md5(f"{prefix}|{b}{x}".encode()).hexdigest() for x in ends])
-            far += abs(apart(v[order[:n_edge]].sum())) > abs(diff)
+        step = max(1, (1 << 20) // len(v))
+        for lo in range(0, n_iter, step):
+            order = _hash_order([f"{prefix}|{b}".encode() for b in range(lo, min(n_iter, lo + step))], ends)
+            far += int((np.abs(apart(v[order[:, :n_edge]].sum(axis=1))) > abs(diff)).sum())
         return out.assign(diff=diff, p=(1 + far) / (1 + n_iter))
 
     at = edge_core_pixels(pixels, perimeter).select(*KEY, "value", "is_edge", "row", "col")
