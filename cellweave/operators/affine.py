@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.operators.stencil import closing
 from cellweave.sources.images import PIXEL
 from cellweave.sources.lineage import cut
 
@@ -161,7 +160,7 @@ def _centred(mask: DataFrame, pad: int | None, transforms: DataFrame | None, swa
     box = [F.lit(0), F.lit(0), F.col("rows"), F.col("cols")]
     if pad is not None:
         box = [F.greatest(F.lit(0), F.col("r0") - pad), F.greatest(F.lit(0), F.col("c0") - pad), F.least("rows", F.col("r1") + pad), F.least("cols", F.col("c1") + pad)]
-    return b.select(*CELL, "r0", "c0", "r1", "c1", (F.col("c0") + x).alias("cx"), (F.col("r0") + y).alias("cy"), *[c.cast("int").alias(n) for c, n in zip(box, ("lr", "lc", "hr", "hc"))])
+    return b.select(*CELL, "r0", "c0", "r1", "c1", (F.col("c0") + x).alias("cx"), (F.col("r0") + y).alias("cy"), *[c.cast("int").alias(n) for c, n in zip(box, ("lr", "lc", "hr", "hc"))], "rows", "cols")
 
 
 TILE = 64  # side of the tiles in which cells are painted
@@ -200,72 +199,143 @@ def _inside_of(codes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return inside
 
 
+def _target(own: np.ndarray, m: np.ndarray, lr: int, lc: int, hr: int, hc: int) -> tuple[np.ndarray, int, int]:
+    """Target (transforms, rows, columns) in a window, with its first row and column, of a cell's pixels (row in the upper 32 bits) under each row of m."""
+    m00, m01, m02, m10, m11, m12 = m.T[:, :, None, None]
+    r, c = own >> 32, own & 0xFFFFFFFF
+    r0, c0, r1, c1 = r.min(), c.min(), r.max(), c.max()
+    # the target of these pixels' box and one pixel around it
+    edge_x, edge_y = np.array([c0 - 1, c1 + 1]), np.array([[r0 - 1], [r1 + 1]])
+    to_x, to_y = m00 * edge_x + m01 * edge_y + m02, m10 * edge_x + m11 * edge_y + m12
+    top, left = max(lr, math.floor(to_y.min())), max(lc, math.floor(to_x.min()))
+    below, right = max(top, min(hr, math.ceil(to_y.max()) + 1)), max(left, min(hc, math.ceil(to_x.max()) + 1))
+    plane = np.zeros((r1 - r0 + 3, c1 - c0 + 3))
+    plane[r - r0 + 1, c - c0 + 1] = 1
+    dx, dy, det = np.arange(left, right) - m02, np.arange(top, below)[:, None] - m12, m00 * m11 - m01 * m10
+    return _inside(plane, (m11 * dx - m01 * dy) / det - c0, (m00 * dy - m10 * dx) / det - r0), top, left
+
+
 def _painted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Target pixels of one cell, transform and tile in each row."""
     for batch in batches:
-        col = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("m00", "m01", "m02", "m10", "m11", "m12", "tr", "tc", "lr", "lc", "hr", "hc")}
+        col = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in (*_M, "tr", "tc", *_LIMITS)}
         lists = batch.column("own")
         ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         which, rows, cols = [], [], []
         for k in range(batch.num_rows):
-            m00, m01, m02, m10, m11, m12, tr, tc, lr, lc, hr, hc = (v[k] for v in col.values())
-            r, c = flat[ends[k] : ends[k + 1]] >> 32, flat[ends[k] : ends[k + 1]] & 0xFFFFFFFF
-            r0, c0 = r.min(), c.min()
-            own = np.zeros((r.max() - r0 + 3, c.max() - c0 + 3))
-            own[r - r0 + 1, c - c0 + 1] = 1
-            # the target of these pixels' box and one pixel around it
-            edge_x, edge_y = np.array([c0 - 1, c.max() + 1]), np.array([[r0 - 1], [r.max() + 1]])
-            to_x, to_y = m00 * edge_x + m01 * edge_y + m02, m10 * edge_x + m11 * edge_y + m12
-            top, left = max(lr, tr * TILE, math.floor(to_y.min())), max(lc, tc * TILE, math.floor(to_x.min()))
-            below, right = min(hr, tr * TILE + TILE, math.ceil(to_y.max()) + 1), min(hc, tc * TILE + TILE, math.ceil(to_x.max()) + 1)
-            if top >= below or left >= right:
-                continue
-            dx, dy, det = np.arange(left, right) - m02, np.arange(top, below)[:, None] - m12, m00 * m11 - m01 * m10
-            at = np.nonzero(_inside(own, (m11 * dx - m01 * dy) / det - c0, (m00 * dy - m10 * dx) / det - r0))
-            which.append(np.full(len(at[0]), k))
-            rows.append(at[0] + top)
-            cols.append(at[1] + left)
+            *m, tr, tc, lr, lc, hr, hc = (v[k] for v in col.values())
+            inside, top, left = _target(flat[ends[k] : ends[k + 1]], np.array([m]), max(lr, tr * TILE), max(lc, tc * TILE), min(hr, tr * TILE + TILE), min(hc, tc * TILE + TILE))
+            r, c = np.nonzero(inside[0])
+            which.append(np.full(len(r), k))
+            rows.append(r + top)
+            cols.append(c + left)
         if which:
             at = pa.array(np.concatenate(which))
             yield pa.RecordBatch.from_arrays([*[batch.column(n).take(at) for n in ("image_id", "iter", "ObjectNumber")], pa.array(np.concatenate(rows).astype(np.int32)), pa.array(np.concatenate(cols).astype(np.int32))], names=["image_id", "iter", "ObjectNumber", "row", "col"])
 
 
-def warped(mask: DataFrame, jitter: DataFrame, pad: int | None = None, swapped_centre: bool = True) -> DataFrame:
-    """(image_id, iter, ObjectNumber, row, col): each cell's pixels after its own transform in each iteration.
+_M = ["m00", "m01", "m02", "m10", "m11", "m12"]
+_LIMITS = ["lr", "lc", "hr", "hc"]
 
-    jitter: (image_id, ObjectNumber, iter, tx .. shy). A target pixel belongs to the cell if the bilinear weight of the
-    cell's own pixels at its source is at least a half. For centre and pad see `_centred`. Cells are cut into tiles; each
-    tile goes to the target tiles that its box reaches under the transform, where one task paints it, so memory follows
-    the tile and not the cell.
-    """
+
+def _reached(mask: DataFrame, jitter: DataFrame, pad: int | None, swapped_centre: bool, halo: int = 0) -> DataFrame:
+    """Tiles of cells (their pixels as `own`) with matrix and limits, a row for each target tile they reach or come within the halo of."""
     cells = mask.where("label <> 0").withColumnRenamed("label", "ObjectNumber")
     pieces = cells.groupBy(*CELL, F.expr(f"row div {TILE}"), F.expr(f"col div {TILE}")).agg(
         F.collect_list(F.shiftleft(F.col("row").cast("long"), 32) + F.col("col")).alias("own"), (F.min("row") - 1).alias("y0"), (F.max("row") + 1).alias("y1"), (F.min("col") - 1).alias("x0"), (F.max("col") + 1).alias("x1")
     ).select(*CELL, "own", "y0", "y1", "x0", "x1")
     at = with_matrix(jitter.join(_centred(mask, pad, None, swapped_centre, 0), CELL), F.col("cx"), F.col("cy"))
-    m = ["m00", "m01", "m02", "m10", "m11", "m12"]
-    limits = ["lr", "lc", "hr", "hc"]
-    at = at.select(*CELL, "iter", *m, *limits).join(pieces, CELL)
+    at = at.select(*CELL, "iter", *_M, *_LIMITS, "rows", "cols").join(pieces, CELL)
     to = lambda a, b, o: [F.col(a) * F.col(x) + F.col(b) * F.col(y) + F.col(o) for x in ("x0", "x1") for y in ("y0", "y1")]
-    tiles = lambda ends, low, high: F.sequence(F.floor(F.greatest(low, F.least(*ends)) / TILE).cast("int"), F.floor(F.least(high, F.greatest(*ends)) / TILE).cast("int"))
+    tiles = lambda ends, low, high: F.sequence(F.floor((F.greatest(low, F.least(*ends)) - halo) / TILE).cast("int"), F.floor((F.least(high, F.greatest(*ends)) + halo) / TILE).cast("int"))
     x, y = to("m00", "m01", "m02"), to("m10", "m11", "m12")
     seen = (F.greatest(*y) >= F.col("lr")) & (F.least(*y) <= F.col("hr") - 1) & (F.greatest(*x) >= F.col("lc")) & (F.least(*x) <= F.col("hc") - 1)
-    at = at.where(seen).withColumn("tr", F.explode(tiles(y, F.col("lr"), F.col("hr") - 1))).withColumn("tc", F.explode(tiles(x, F.col("lc"), F.col("hc") - 1)))
-    met = at.groupBy(*CELL, "iter", "tr", "tc").agg(F.flatten(F.collect_list("own")).alias("own"), *[F.first(c).alias(c) for c in (*m, *limits)])
-    kinds = ", ".join(f"{n} {jitter.schema[n].dataType.simpleString() if n != 'ObjectNumber' else cells.schema[n].dataType.simpleString()}" for n in ("image_id", "iter", "ObjectNumber"))
-    return met.mapInArrow(_painted, f"{kinds}, row int, col int")
+    return at.where(seen).withColumn("tr", F.explode(tiles(y, F.col("lr"), F.col("hr") - 1))).withColumn("tc", F.explode(tiles(x, F.col("lc"), F.col("hc") - 1)))
 
 
-def random_masks(mask: DataFrame, n_iter: int, seed: int = 42, pad: int | None = None, **options) -> DataFrame:
-    """(image_id, iter, row, col, label), dense: all cells warped and painted in random order (the later wins), then closed."""
+def _kinds(mask: DataFrame, jitter: DataFrame) -> str:
+    return f"image_id {mask.schema['image_id'].dataType.simpleString()}, iter {jitter.schema['iter'].dataType.simpleString()}, ObjectNumber {mask.schema['label'].dataType.simpleString()}"
+
+
+def warped(mask: DataFrame, jitter: DataFrame, pad: int | None = None, swapped_centre: bool = True) -> DataFrame:
+    """(image_id, iter, ObjectNumber, row, col): each cell's pixels after its own transform in each iteration.
+
+    jitter: (image_id, ObjectNumber, iter, tx .. shy). A target pixel belongs to the cell if the bilinear weight of the
+    cell's own pixels at its source is at least a half. For centre and pad see `_centred`. Cells are cut into tiles; each
+    tile goes to the target tiles that its box reaches under the transform, where one task paints it, so memory follows
+    the tile and not the cell.
+    """
+    met = _reached(mask, jitter, pad, swapped_centre).groupBy(*CELL, "iter", "tr", "tc").agg(F.flatten(F.collect_list("own")).alias("own"), *[F.first(c).alias(c) for c in (*_M, *_LIMITS)])
+    return met.mapInArrow(_painted, f"{_kinds(mask, jitter)}, row int, col int")
+
+
+BLOCK = 16  # iterations of a tile that one group holds
+HALO = 2  # how far a closing sees
+
+
+def _closed(x: np.ndarray) -> np.ndarray:
+    """`stencil.closing` of the last two axes."""
+    ends = np.iinfo(x.dtype)
+    for f, beyond in ((np.maximum, ends.min), (np.minimum, ends.max)):
+        p = np.pad(x, [(0, 0)] * (x.ndim - 2) + [(1, 1), (1, 1)], constant_values=beyond)
+        p = f(f(p[..., :-2, :], p[..., 1:-1, :]), p[..., 2:, :])
+        x = f(f(p[..., :-2], p[..., 1:-1]), p[..., 2:])
+    return x
+
+
+def _in_masks(mask: DataFrame, places: DataFrame, n_iter: int, seed: int, pad: int | None, work, schema: str, swapped_centre: bool = True) -> DataFrame:
+    """What work(places of a tile, iterations, their labels there (iterations, places)) makes of random masks.
+
+    places: image_id, row, col and any more. A group holds a tile with what its closing sees, for a block of iterations: all
+    cells that reach it are painted in random order (the later wins), then it is closed, so no pixel of a mask is shuffled.
+    The groups are dealt out to as many tasks as a shuffle has, however few bytes they are.
+    """
     cells = mask.where("label <> 0").select("image_id", F.col("label").alias("ObjectNumber")).distinct()
     jitter = random_transforms(cells.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1)))), seed)
-    painted = warped(mask, jitter, pad, **options)
-    order = _hashed("image_id", "iter", "ObjectNumber", F.lit(f"{seed}:paint"))
-    labels = painted.groupBy("image_id", "iter", "row", "col").agg(F.max_by("ObjectNumber", F.struct(order, "ObjectNumber")).alias("label"))
-    dense = mask.select(*PIXEL).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))))
-    full = dense.join(labels, ["image_id", "iter", "row", "col"], "left").select("image_id", "iter", "row", "col", F.coalesce("label", F.lit(0)).alias("label"))
-    return closing(full, ["image_id", "iter"])
+    keys = ["image_id", "block", "tr", "tc"]
+    tasks = int(mask.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    painted = _reached(mask, jitter, pad, swapped_centre, HALO).withColumn("block", F.expr(f"int(iter div {BLOCK})")).withColumn("order", _hashed("image_id", "iter", "ObjectNumber", F.lit(f"{seed}:paint")))
+    painted = painted.select(*keys, "iter", "order", "ObjectNumber", *_M, *_LIMITS, "rows", "cols", "own").repartition(tasks, *keys)
+    tile = lambda at: F.expr(f"int({at} div {TILE})")
+    at = places.select(*[F.col(c).alias(c) for c in places.columns], tile("row").alias("tr"), tile("col").alias("tc")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_iter - 1) // BLOCK)))).repartition(tasks, *keys)
+
+    def run(key: tuple, cells: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        _, block, tr, tc = key
+        steps = np.arange(block * BLOCK, min(n_iter, (block + 1) * BLOCK))
+        if not len(own) or not len(cells):
+            return work(own, steps, np.zeros((len(steps), len(own)), np.int64))
+        rows, cols = int(cells["rows"].iloc[0]), int(cells["cols"].iloc[0])
+        top, left, below, right = max(tr * TILE - HALO, 0), max(tc * TILE - HALO, 0), min(tr * TILE + TILE + HALO, rows), min(tc * TILE + TILE + HALO, cols)
+        own = own[(own["row"] < rows) & (own["col"] < cols)]
+        cells = cells.sort_values("ObjectNumber")
+        b, label, parts = cells["iter"].to_numpy() - steps[0], cells["ObjectNumber"].to_numpy(), cells["own"].to_numpy()
+        m, limits = cells[_M].to_numpy(), cells[_LIMITS].to_numpy().tolist()
+        order = np.lexsort((label, cells["order"].to_numpy(str)))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(1, len(order) + 1)
+        best = np.zeros((len(steps), max(below - top, 0), max(right - left, 0)), np.int64)
+        starts = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+        for lo, hi in zip(starts, [*starts[1:], len(b)]):  # a cell in all of its iterations, all of its tiles that come here
+            of, first = np.unique(b[lo:hi], return_index=True)
+            lr, lc, hr, hc = limits[lo]
+            inside, r, c = _target(np.concatenate(parts[lo:hi]), m[lo + first], max(lr, top), max(lc, left), min(hr, below), min(hc, right))
+            seen = of[:, None, None], np.arange(r - top, r - top + inside.shape[1])[:, None], np.arange(c - left, c - left + inside.shape[2])
+            best[seen] = np.maximum(best[seen], inside * rank[lo + first][:, None, None])
+        labels = np.r_[0, label[order]][best]
+        return work(own, steps, _closed(labels)[:, own["row"].to_numpy() - top, own["col"].to_numpy() - left])
+
+    return painted.groupBy(*keys).cogroup(at.groupBy(*keys)).applyInPandas(run, schema)
+
+
+def random_masks(mask: DataFrame, n_iter: int, seed: int = 42, pad: int | None = None, **options) -> DataFrame:
+    """(image_id, iter, row, col, label), dense: all cells warped and painted in random order (the later wins), then closed."""
+
+    def work(own: pd.DataFrame, steps: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
+        n = len(steps)
+        return pd.DataFrame({"image_id": np.tile(own["image_id"].to_numpy(), n), "iter": np.repeat(steps, len(own)), "row": np.tile(own["row"].to_numpy(), n), "col": np.tile(own["col"].to_numpy(), n), "label": labels.ravel()})
+
+    kinds = {f.name: f.dataType.simpleString() for f in mask.schema}
+    return _in_masks(mask, mask.select(*PIXEL), n_iter, seed, pad, work, f"image_id {kinds['image_id']}, iter int, row {kinds['row']}, col {kinds['col']}, label {kinds['label']}", **options)
 
 
 def _medians(means: DataFrame, mask: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -279,8 +349,21 @@ def affine_medians(pixels: DataFrame, mask: DataFrame, n_iter: int = 10, seed: i
 
     A cell that vanishes from a mask is skipped there; NULL where it vanishes from all.
     """
-    m = random_masks(mask, n_iter, seed, pad, **options).where("label <> 0").withColumnRenamed("label", "ObjectNumber")
-    means = m.join(pixels, PIXEL).groupBy(*CELL, "iter", "channel").agg(F.avg("value").alias("mean"))
+
+    def work(own: pd.DataFrame, steps: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
+        names, channel = np.unique(own["channel"].to_numpy(str), return_inverse=True)
+        b, at = np.nonzero(labels)
+        some, which = np.unique(labels[b, at], return_inverse=True)
+        place = (b * len(some) + which) * len(names) + channel[at]
+        n = np.bincount(place, minlength=len(steps) * len(some) * len(names))
+        total = np.bincount(place, own["value"].to_numpy(float)[at], len(n))
+        met = np.flatnonzero(n)
+        return pd.DataFrame({"image_id": np.repeat(own["image_id"].to_numpy()[:1], len(met)), "ObjectNumber": some[met // len(names) % max(len(some), 1)], "iter": steps[met // max(len(names) * len(some), 1)], "channel": names[met % max(len(names), 1)], "total": total[met], "n": n[met]})
+
+    kinds = f"image_id {mask.schema['image_id'].dataType.simpleString()}, ObjectNumber {mask.schema['label'].dataType.simpleString()}, iter int, channel {pixels.schema['channel'].dataType.simpleString()}"
+    inside = pixels.where("value IS NOT NULL").select(*PIXEL, "channel", "value")
+    sums = _in_masks(mask, inside, n_iter, seed, pad, work, f"{kinds}, total double, n long", **options)
+    means = sums.groupBy(*CELL, "iter", "channel").agg((F.sum("total") / F.sum("n")).alias("mean"))
     return _medians(means, mask, pixels)
 
 
