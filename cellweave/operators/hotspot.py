@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -343,22 +344,98 @@ def _drawn_neighbours(small: DataFrame, large: DataFrame | None, n_iter: int, qu
     return counted.unionByName(met)
 
 
-def g_disc_permutation(pixels: DataFrame, radius: float, n_iter: int = 99, queen: bool = True, seed: int = 42, tile: int = 0) -> DataFrame:
-    """As g_permutation with neighbours drawn from the disc of radius + 0.5 around each pixel (up to ten tries for distinct ones).
+SOME = 1 << 13  # pixels that are drawn for at once: few calls, and what is made for each stays in a core's cache
+_LOW = np.uint64(0xFFFFFFFF)
+_HALF = np.uint64(32)
+
+
+def _disc(r2: float) -> np.ndarray:
+    """Whether places are in the disc, by their rows and columns from -r to r."""
+    at = np.arange(-int(np.sqrt(r2)), int(np.sqrt(r2)) + 1) ** 2
+    return np.add.outer(at, at) <= r2
+
+
+def _disc_sums_drawn(x: np.ndarray, i: np.ndarray, j: np.ndarray, r2: float, k: int, n_iter: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of pixels i, j; sums (iterations, pixels) of k places drawn from the disc around each), some at a time.
+
+    Places come from the square around a pixel, cut off at the ends of x, and are drawn again outside the disc; all k of a
+    pixel are drawn again up to ten times for distinct ones. Each pixel needs another place in its disc. A place takes 32
+    random bits: their product with the rows is a row and a fraction, which times the columns is a column.
+    """
+    r, (h, w) = int(np.sqrt(r2)), x.shape
+    low_r, low_c = np.maximum(-r, -i), np.maximum(-r, -j)
+    high_r, high_c = np.minimum(r, h - 1 - i), np.minimum(r, w - 1 - j)
+    rows, cols = (high_r - low_r + 1).astype(np.uint64), (high_c - low_c + 1).astype(np.uint64)
+    # places of x and of the disc in rows of one length, so that they differ by a number for each pixel
+    length = max(w, 2 * r + 1)
+    flat = np.pad(x, [(0, 0), (0, length - w)]).ravel()
+    first, own = (i + low_r) * length + j + low_c, i * length + j
+    beyond = np.pad(~_disc(r2), [(0, 0), (0, length - 2 * r - 1)])
+    beyond[r, r] = True
+    beyond, shift = beyond.ravel(), r * length + r - own
+    cut_off = np.maximum(-low_r, high_r) ** 2 + np.maximum(-low_c, high_c) ** 2 > r2  # squares that are not wholly in the disc
+    pairs = list(combinations(range(k), 2))
+
+    def tried(of: np.ndarray, shape: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Places in x, and whether they are beyond the disc."""
+        n = math.prod(shape)
+        a = rng.integers(0, 1 << 64, (n + 1) // 2, np.uint64).view(np.uint32)[:n].reshape(shape).astype(np.uint64)
+        a *= rows[of]
+        b = a & _LOW
+        b *= cols[of]
+        a >>= _HALF
+        b >>= _HALF
+        a *= np.uint64(length)
+        a += b
+        place = a.view(np.int64)
+        place += first[of]
+        return place, beyond.take(place + shift[of]) if cut_off[of].any() else place == own[of]
+
+    def drawn(of: np.ndarray) -> np.ndarray:
+        place, out = tried(of, (k, len(of)))
+        again, flat_place = np.flatnonzero(out), place.ravel()
+        while len(again):
+            # few are drawn four times at once, of which the first in the disc counts
+            more, out = tried(of[again % len(of)], (1 if len(again) > SOME else 4, len(again)))
+            best = more[0]
+            for n in range(1, len(more)):
+                best = np.where(out[0], more[n], best)
+                out[0] &= out[n]
+            flat_place[again] = best
+            again = again[out[0]]
+        return place
+
+    for lo in range(0, len(i), SOME):
+        at = np.arange(lo, min(lo + SOME, len(i)))
+        steps = max(1, SOME // len(at))
+        for done in range(0, n_iter, steps):
+            of = np.tile(at, min(steps, n_iter - done))
+            pick = drawn(of)
+            bad = np.arange(len(of))
+            for _ in range(10):
+                some = (pick if len(bad) == len(of) else pick[:, bad]).astype(np.int32)
+                twice = np.zeros(len(bad), bool)
+                for n, m in pairs:
+                    twice |= some[n] == some[m]
+                bad = bad[twice]
+                if not len(bad):
+                    break
+                pick[:, bad] = drawn(of[bad])
+            yield at, flat.take(pick).sum(axis=0).reshape(-1, len(at))
+
+
+def _disc_tests(pixels: DataFrame, radii: list[float], n_iter: int, queen: bool, seed: int, tile: int = 0) -> DataFrame:
+    """(image_id, channel, row, col, then g0, p_both0, p_cold0, p_hot0, g1 ...): permutation G in the disc of each radius + 0.5.
 
-    The plane is cut into tiles with a halo, so a group is bounded whatever the image's size. Places are drawn from the
-    square around a pixel, cut off at the image's edges, and drawn again outside the disc, so memory goes with the pixels
-    of a tile, not with the disc. Observed g lacks the centre, permuted g has it; both divide by the disc's sum.
+    The plane is cut into tiles with the halo of the largest radius, so a group is bounded whatever the image's size, and a
+    pixel is settled for all radii in the group that holds it. Memory goes with the pixels of a tile, not with the disc.
+    Groups are dealt out to as many tasks as a shuffle has, however few bytes they are.
     """
-    r2 = (radius + 0.5) ** 2
-    r = int(np.floor(radius + 0.5))
+    r = int(np.floor(max(radii) + 0.5))
     side = tile or max(32, 4 * r)
-    k = min(8 if queen else 4, sum(a * a + b * b <= r2 for a in range(-r, r + 1) for b in range(-r, r + 1)) - 1)
-    reach = F.sequence(F.lit(-1), F.lit(1))
-    t = pixels.select(*PLANE, "row", "col", "value").withColumn("dr", F.explode(reach)).withColumn("dc", F.explode(reach))
-    t = t.withColumn("tr", F.floor(F.col("row") / side) + F.col("dr")).withColumn("tc", F.floor(F.col("col") / side) + F.col("dc"))
-    halo = lambda x, at: (F.col(x) >= F.col(at) * side - r - 1) & (F.col(x) < (F.col(at) + 1) * side + r + 1)
-    t = t.where(halo("row", "tr") & halo("col", "tc")).drop("dr", "dc")
+    near = lambda at: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(at) - r - 1) / side)), F.floor((F.col(at) + r + 1) / side)))
+    t = pixels.select(*PLANE, "row", "col", "value").withColumn("tr", near("row")).withColumn("tc", near("col"))
+    names = [[f"{c}{n}" for c in ("g", "p_both", "p_cold", "p_hot")] for n in range(len(radii))]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tr, tc = int(pdf["tr"].iloc[0]), int(pdf["tc"].iloc[0])
@@ -366,62 +443,66 @@ def g_disc_permutation(pixels: DataFrame, radius: float, n_iter: int = 99, queen
         x = np.full((int(pdf["row"].max()) - r0 + 1, int(pdf["col"].max()) - c0 + 1), np.nan)
         x[pdf["row"] - r0, pdf["col"] - c0] = pdf["value"]
         own = pdf[(pdf["row"] // side == tr) & (pdf["col"] // side == tc)].sort_values(["row", "col"])
-        if own.empty:
-            return pd.DataFrame(columns=["image_id", "channel", "row", "col", "g", "n_both", "n_cold", "n_hot", "n"])
-        rng = np.random.default_rng(_seed(seed, pdf["image_id"].iloc[0], pdf["channel"].iloc[0], tr, tc, "disc"))
+        out = own[[*PLANE, "row", "col"]].copy()
         i, j = (own["row"] - r0).to_numpy(), (own["col"] - c0).to_numpy()
-        places = _disc_totals(np.ones(x.shape), r2)[i, j] - 1
-        total, centre = _disc_totals(np.nan_to_num(x), r2)[i, j], x[i, j]
-        low, high = (np.stack(e) for e in ((np.maximum(-r, -i), np.maximum(-r, -j)), (np.minimum(r, x.shape[0] - 1 - i) + 1, np.minimum(r, x.shape[1] - 1 - j) + 1)))
-
-        def drawn(at: np.ndarray) -> np.ndarray:
-            """Places (2, len(at), k) within the disc and the image, without the centre."""
-            got = rng.integers(low[:, at, None], high[:, at, None], (2, len(at), k))
-            flat, of = got.reshape(2, -1), np.repeat(at, k)
-            again = np.arange(flat.shape[1])
-            while True:
-                d = flat[0, again] ** 2 + flat[1, again] ** 2
-                again = again[(d > r2) | (d == 0)]
-                if not len(again):
-                    return flat.reshape(got.shape)
-                flat[:, again] = rng.integers(low[:, of[again]], high[:, of[again]])
+        for radius, (g, *ps) in zip(radii, names):
+            r2 = (radius + 0.5) ** 2
+            k = min(8 if queen else 4, np.count_nonzero(_disc(r2)) - 1)
+            rng = np.random.default_rng(_seed(seed, *(pdf[c].iloc[0] for c in PLANE), tr, tc, "disc", radius))
+            some = np.flatnonzero(_disc_totals(np.ones(x.shape), r2)[i, j] > 1)
+            total, mid = _disc_totals(np.nan_to_num(x), r2)[i, j], x[i, j]
+            beyond = np.zeros((3, len(own)), int)
+
+            def compare(at: np.ndarray, gp: np.ndarray, times: int = 1) -> None:
+                seen = gi[at]
+                beyond[:, at] += [times * v.sum(axis=0) for v in (np.abs(gp) > np.abs(seen), gp < seen, gp > seen)]
+
+            with np.errstate(all="ignore"):
+                gi = _stencil(x, queen)[i, j] / total
+                if k:
+                    alone = np.setdiff1d(np.arange(len(own)), some)
+                    compare(alone, (mid / total)[None, alone], n_iter)
+                    for at, sums in _disc_sums_drawn(x, i[some], j[some], r2, k, n_iter, rng):
+                        at = some[at]
+                        compare(at, (mid[at] + sums) / total[at])
+            out[g] = gi
+            for p, n in zip(ps, beyond):
+                out[p] = (1 + n) / (1 + n_iter)
+        return out
+
+    kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
+    keys = [*PLANE, "tr", "tc"]
+    dealt = t.repartition(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return dealt.groupBy(*keys).applyInPandas(run, ", ".join([*[f"{c} {kinds[c]}" for c in (*PLANE, "row", "col")], *[f"{c} double" for four in names for c in four]]))
 
-        with np.errstate(all="ignore"):
-            gi = _stencil(x, queen)[i, j] / total
-            both, cold, hot = (np.zeros(len(own), int) for _ in range(3))
-            some = np.flatnonzero(places >= 1)
-            for _ in range(n_iter if k else 0):
-                pick = drawn(some)
-                bad = np.arange(len(some))
-                for _ in range(10):
-                    s = np.sort(pick[0, bad] * (4 * r + 1) + pick[1, bad], axis=1)
-                    bad = bad[(s[:, 1:] == s[:, :-1]).any(axis=1)]
-                    if not len(bad):
-                        break
-                    pick[:, bad] = drawn(some[bad])
-                gp = centre.copy()
-                gp[some] += x[i[some, None] + pick[0], j[some, None] + pick[1]].sum(axis=1)
-                gp /= total
-                both += np.abs(gp) > np.abs(gi)
-                cold += gp < gi
-                hot += gp > gi
-        return pd.DataFrame({"image_id": own["image_id"], "channel": own["channel"], "row": own["row"], "col": own["col"], "g": gi, "n_both": both, "n_cold": cold, "n_hot": hot, "n": n_iter})
-
-    return _p_from_counts(t.groupBy(*PLANE, "tr", "tc").applyInPandas(run, _COUNTS))
-
-
-def g_radii(pixels: DataFrame, radii: tuple[float, ...] = (10, 25, 50, 100), n_iter: int = 99, merge: str = "min", **options) -> DataFrame:
-    """Permutation G over several radii (-1: the whole plane), merged by pixel: means, or for each test the least p and its g."""
-    runs = []
-    for pos, radius in enumerate(radii):
-        one = g_permutation(pixels, n_iter, **options) if radius < 0 else g_disc_permutation(pixels, radius, n_iter, **options)
-        runs.append(one.withColumn("pos", F.lit(pos)))
-    every = reduce(DataFrame.unionByName, runs).groupBy(*PLANE, "row", "col")
+
+def g_disc_permutation(pixels: DataFrame, radius: float, n_iter: int = 99, queen: bool = True, seed: int = 42, tile: int = 0) -> DataFrame:
+    """As g_permutation with neighbours drawn from the disc of radius + 0.5 around each pixel (up to ten tries for distinct ones).
+
+    Observed g lacks the centre, permuted g has it; both divide by the disc's sum. For tiles and memory see `_disc_tests`.
+    """
+    at = _disc_tests(pixels, [radius], n_iter, queen, seed, tile)
+    return at.select(*PLANE, "row", "col", *[F.col(f"{c}0").alias(c) for c in ("g", "p_both", "p_cold", "p_hot")])
+
+
+def g_radii(pixels: DataFrame, radii: tuple[float, ...] = (10, 25, 50, 100), n_iter: int = 99, merge: str = "min", queen: bool = True, seed: int = 42, **options) -> DataFrame:
+    """Permutation G over several radii (-1: the whole plane), merged by pixel: means, or for each test the least p and its g.
+
+    All discs of a pixel are settled in one group; further options are those of g_permutation, for the whole plane.
+    """
     ps = ("p_both", "p_cold", "p_hot")
+    discs, key = [radius for radius in radii if radius >= 0], [*PLANE, "row", "col"]
+    every, at = _disc_tests(pixels, discs, n_iter, queen, seed) if discs else pixels.select(*key), iter(range(len(discs)))
+    names = [next(at) if radius >= 0 else "_whole" for radius in radii]
+    if len(discs) < len(radii):
+        whole = g_permutation(pixels, n_iter, queen=queen, seed=seed, **options)
+        every = every.join(whole.select(*[F.col(c).alias(c) for c in key], *[F.col(c).alias(f"{c}_whole") for c in ("g", *ps)]), key)
     if merge == "mean":
-        return every.agg(F.avg("g").alias("g"), *[F.avg(p).alias(p) for p in ps])
-    best = every.agg(*[F.min(F.struct(p, "pos", "g")).alias(p) for p in ps])
-    return best.select(*PLANE, "row", "col", *[F.col(p)["g"].alias(f"g_{p[2:]}") for p in ps], *[F.col(p)[p].alias(p) for p in ps])
+        mean = lambda c: F.try_divide(reduce(Column.__add__, [F.coalesce(f"{c}{n}", F.lit(0.0)) for n in names]), reduce(Column.__add__, [F.col(f"{c}{n}").isNotNull().cast("int") for n in names]))
+        return every.select(*key, *[mean(c).alias(c) for c in ("g", *ps)])
+    tests = lambda p: F.array(*[F.struct(F.col(f"{p}{n}").alias("p"), F.lit(pos).alias("pos"), F.col(f"g{n}").alias("g")) for pos, n in enumerate(names)])
+    best = every.select(*key, *[F.array_min(tests(p)).alias(p) for p in ps])
+    return best.select(*key, *[F.col(p)["g"].alias(f"g_{p[2:]}") for p in ps], *[F.col(p)["p"].alias(p) for p in ps])
 
 
 def h_permutation(pixels: DataFrame, n_iter: int = 99, queen: bool = True, seed: int = 42, block: int = 25, whole: int = WHOLE) -> DataFrame:
