@@ -155,11 +155,12 @@ def false_discovery(stat: DataFrame, p: str = "p", out: str = "q", scope: str =
     """
     if scope == "column":
         key = [*PLANE, "col"]
+        # one order for all three, so that rows are sorted once: those not above a p are all but those before its ties
         w = Window.partitionBy(*key).orderBy(F.col(p).desc_nulls_last())
-        at = stat.withColumn("__m", F.count(p).over(Window.partitionBy(*key)))
-        at = at.withColumn("__i", F.count(p).over(Window.partitionBy(*key).orderBy(F.col(p).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        at = stat.withColumns({"__m": F.count(p).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "__before": F.rank().over(w) - 1})
+        at = at.withColumn("__i", F.col("__m") - F.col("__before"))
         q = F.min(F.when(F.col(p).isNotNull(), F.col(p) * F.col("__m") / F.col("__i"))).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        return at.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), q))).drop("__m", "__i")
+        return at.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), q))).drop("__m", "__before", "__i")
     counts = stat.where(F.col(p).isNotNull()).groupBy(*PLANE, F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     ranked = running(counts, PLANE, ["__p"], {"__i": F.col("__n")})
     ranked = cut(ranked.join(counts.groupBy(*PLANE).agg(F.sum("__n").alias("__m")), PLANE).withColumn("__down", -F.col("__p")))
