@@ -13,11 +13,16 @@ from cellweave.sources.lineage import cut
 
 def hot_spot_planes(pixels: DataFrame, fdr: bool = True, **options) -> DataFrame:
     """Planes {channel}, {channel}_GP (two-sided p) and {channel}_GPhot, adjusted within image columns when fdr."""
-    g = hotspot.g_statistic(pixels, types=hotspot.HOT | hotspot.BOTH, **options)
+    one_pass = not options.get("n_iter")  # then g keeps the pixels' other columns, and pixels need not be made twice
+    g = hotspot.g_statistic(pixels.withColumn("__value", F.col("value")) if one_pass else pixels, types=hotspot.HOT | hotspot.BOTH, **options)
     if fdr:
         g = hotspot.false_discovery(hotspot.false_discovery(g, "p_both", "p_both"), "p_hot", "p_hot")
-    long = g.select("image_id", "row", "col", F.explode(F.array(F.struct(F.concat("channel", F.lit("_GP")).alias("c"), F.col("p_both").alias("v")), F.struct(F.concat("channel", F.lit("_GPhot")).alias("c"), F.col("p_hot").alias("v")))).alias("p"))
-    return pixels.unionByName(long.select("image_id", F.col("p.c").alias("channel"), "row", "col", F.col("p.v").alias("value")))
+    plane = lambda name, value: F.struct(name.alias("c"), F.col(value).alias("v"))
+    made = F.array(plane(F.concat("channel", F.lit("_GP")), "p_both"), plane(F.concat("channel", F.lit("_GPhot")), "p_hot"))
+    if one_pass:  # pixels without a channel are of no plane that has a statistic
+        made = F.concat(F.array(plane(F.col("channel"), "__value")), F.when(F.col("channel").isNotNull(), made).otherwise(F.slice(made, 1, 0)))
+    long = g.select("image_id", "row", "col", F.explode(made).alias("p")).select("image_id", F.col("p.c").alias("channel"), "row", "col", F.col("p.v").alias("value"))
+    return long if one_pass else pixels.unionByName(long)
 
 
 def calculate_features(pixels: DataFrame, mask: DataFrame, include_scores: bool = False, weighted: bool = False, include_weights: bool = False, min_pval: float = 0.1, offset: float = 0.1, qs: tuple[float, ...] = cells.QUANTILES, calc_hle: bool = False, calc_coreedgediff: bool = False, **options) -> DataFrame:

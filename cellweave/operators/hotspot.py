@@ -32,8 +32,8 @@ def split_types(types: int) -> list[str]:
 
 
 def _with_plane_sums(grid: DataFrame, **aggs) -> DataFrame:
-    """Sums of each plane on its pixels: a small aggregate joined back, not a window over the image."""
-    return grid.join(grid.groupBy(*PLANE).agg(*[a.alias(n) for n, a in aggs.items()]), PLANE)
+    """Sums of each plane on its pixels: a small aggregate joined back, not a window over the image. NULL without a channel."""
+    return grid.join(grid.groupBy(*PLANE).agg(*[a.alias(n) for n, a in aggs.items()]), PLANE, "left")
 
 
 def _z(xns, x, n, sx, sx2, w1, inner) -> Column:
