@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 CELL = ["image_id", "ObjectNumber"]
 PROFILE = [*CELL, "channel"]
+PLANE = ["image_id", "channel"]
+PARTS = 256  # of the cells of a plane, where all meet a row of their plane
 
 
 def angle_subsets(spark: SparkSession, n: int) -> DataFrame:
@@ -421,8 +423,11 @@ def _binned(at: DataFrame, bins: int) -> DataFrame:
     """(PROFILE, bin, grid, n) from counts c of each cell's own fine bins j between lo and hi."""
     fine = bins * 10
     spread = F.col("hi") - F.col("lo")
-    ends = at.groupBy("image_id", "channel").agg(F.min(F.col("lo") - F.col("mean")).alias("first"), F.max(F.col("hi") - F.col("mean")).alias("last"))
-    at = at.join(ends, ["image_id", "channel"])
+    # a channel of an image may have any share of the cells: rows meet its ends part by part, and the ends of parts are few
+    part, plane = [*PLANE, "__part"], Window.partitionBy(*PLANE)
+    at = at.withColumn("__part", F.pmod(F.hash("ObjectNumber"), F.lit(PARTS)))
+    ends = at.groupBy(*part).agg(F.min(F.col("lo") - F.col("mean")).alias("first"), F.max(F.col("hi") - F.col("mean")).alias("last"))
+    at = at.join(ends.select(*part, F.min("first").over(plane).alias("first"), F.max("last").over(plane).alias("last")), part)
     point = (F.col("lo") - F.col("mean")) + F.col("j") * (spread / (fine - 1))
     width = (F.col("last") - F.col("first")) / bins
     b = F.when(width > 0, F.least(F.lit(bins), F.ceil(F.round((point - F.col("first")) / width, 9))) - 1).otherwise(-1)
