@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +101,7 @@ def p_weights(stat: DataFrame, p: str = "p_hot", min_p: float = 0.1, offset: flo
 
 
 def hodges_lehmann(pixels: DataFrame, perimeter: DataFrame, pairs: int = 1 << 22) -> DataFrame:
-    """(image_id, ObjectNumber, channel, hl): the median of all core - edge differences, NULL without a core.
+    """(image_id, ObjectNumber, channel, hl): the median of all core - edge differences, NULL without a core. Pixels without a value have none.
 
     A cell with more pairs than `pairs` is solved by bisection on the number of differences at or below a value, so that
     no table of pairs is held; the result is the same.
@@ -119,18 +121,47 @@ def hodges_lehmann(pixels: DataFrame, perimeter: DataFrame, pairs: int = 1 << 22
         ok = at < len(edge)
         return float((core[ok] - edge[at[ok]]).max())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edge, core = (pdf.loc[pdf["is_edge"] == e, "value"].to_numpy() for e in (True, False))
+    def shift(core: np.ndarray, edge: np.ndarray) -> float | None:
+        core, edge = core[~np.isnan(core)], edge[~np.isnan(edge)]
         n = len(edge) * len(core)
-        hl = None
-        if n and n <= pairs:
-            hl = float(np.median(core[:, None] - edge[None, :]))
-        elif n:
-            hl = (middle(core, edge, (n - 1) // 2) + middle(core, edge, n // 2)) / 2
-        return pdf[KEY].head(1).assign(hl=hl)
-
-    at = edge_core_pixels(pixels, perimeter).select(*KEY, "value", "is_edge")
-    return at.groupBy(*KEY).applyInPandas(run, "image_id string, ObjectNumber int, channel string, hl double")
+        if n > pairs:
+            return (middle(core, edge, (n - 1) // 2) + middle(core, edge, n // 2)) / 2
+        return float(np.median(core[:, None] - edge[None, :])) if n else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the cell that may go on in the next batch
+
+        def out(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            rows = rows.combine_chunks()
+            new = np.zeros(rows.num_rows, bool)
+            new[0] = True
+            for k in KEY:
+                c = rows.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+                new[1:] |= c[1:] != c[:-1]
+            at = np.append(np.flatnonzero(new), rows.num_rows)
+            done = len(at) - 1 if last else len(at) - 2
+            v, e = rows.column("value").to_numpy(), rows.column("is_edge").to_numpy()
+            hl = [shift(v[lo:hi][~e[lo:hi]], v[lo:hi][e[lo:hi]]) for lo, hi in zip(at[:done], at[1 : done + 1])]
+            if done:
+                first = rows.select(KEY).take(pa.array(at[:done]))
+                yield from first.append_column("hl", pa.array(hl, pa.float64())).combine_chunks().to_batches()
+            held[:] = rows.slice(at[done]).to_batches() if not last else []
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # a cell that fills whole batches is put together once, at its end
+            same = held and all(held[0].column(k)[0] == batch.column(k)[batch.num_rows - 1] for k in KEY)
+            held.append(batch)
+            if not same:
+                yield from out(pa.Table.from_batches(held), False)
+        if held:
+            yield from out(pa.Table.from_batches(held), True)
+
+    at = edge_core_pixels(pixels, perimeter).select(*KEY, F.col("value").cast("double").alias("value"), "is_edge")
+    kinds = ", ".join(f"{k} {at.schema[k].dataType.simpleString()}" for k in KEY)
+    # a row is a pixel, a group a run of rows of a task: cells cost no call each
+    return at.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, f"{kinds}, hl double")
 
 
 def _hash_order(starts: list[bytes], ends: list[bytes]) -> np.ndarray:
