@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,32 +108,69 @@ def weighted_share(values: DataFrame) -> DataFrame:
     return values.groupBy(*PLANE).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.try_divide(pos, F.sum("weight")), F.lit(0.0)).alias("proportion"))
 
 
-def bootstrap_share(values: DataFrame, n_bootstrap: int = 1000, alpha: float = 0.05, seed: int = 42, part: int = 1 << 21) -> DataFrame:
+def bootstrap_share(values: DataFrame, n_bootstrap: int = 1000, alpha: float = 0.05, seed: int = 42, part: int = 1 << 26, draws: int = 1 << 31) -> DataFrame:
     """(image_id, channel, ci_low, ci_high): percentile interval of the weighted share over resamples of n out of n values.
 
     Draws are keyed by seed, image, channel and resample, over values in order of ObjectNumber, value and weight. Values are
-    numbered in that order and sent once, not for each resample: a group is a run of at most `part` numbers of a channel. It
-    makes all draws of each resample, which takes no value, and adds up those that fall into its run, so it is bounded
-    whatever share of the values a channel has; what leaves it is a row of sums for each resample.
+    numbered in that order, packed into blocks (a code for each value beside the weights that codes stand for) and sent once
+    for each sixteenth of the resamples at most, once for all of them where they are few. A group is a run of at most `part`
+    numbers of a channel, so one for most; at most 4,194,304 where weights are so many that codes save nothing. It makes all
+    draws of its resamples, which takes no value, and adds up those that fall into its run, so it is bounded whatever share
+    of the values a channel has; what leaves it is a row of sums for each resample.
     """
+    block, few, most = min(part, 1 << 18), 1 << 12, 16
+
+    def pack(rows: pa.Table) -> pa.Table:
+        k, value, weight = (rows.column(c).to_numpy() for c in ("k", "value", "weight"))
+        code, weights = pd.factorize(weight.astype(float), use_na_sentinel=False)
+        codes = np.empty(len(k), np.min_scalar_type(max(2 * len(weights) - 1, 0)))
+        codes[k % block] = 2 * code + (value.astype(float) > 0)
+        made = {"size": [len(k)], "kinds": [2 * len(weights)], "codes": [codes.tobytes()], "weights": [weights.tobytes()]}
+        return pa.table({c: rows.column(c).slice(0, 1) for c in (*PLANE, "block")} | made)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, n = int(pdf["part"].iloc[0]) * part, int(pdf["n"].iloc[0])
-        prefix = "|".join(map(str, (seed, *pdf[PLANE].iloc[0])))
-        at = pdf["k"].to_numpy() - first
-        w, both = pdf["weight"].to_numpy(float), np.empty(len(pdf), complex)  # weight with value > 0, and all, in one look-up
-        both.real[at], both.imag[at] = np.where(pdf["value"].to_numpy(float) > 0, w, 0.0), w
-        drawn = np.zeros(n_bootstrap, complex)
-        for b in range(n_bootstrap):
+        pdf = pdf.sort_values("block")
+        n, of, at = (int(pdf[c].iloc[0]) for c in ("n", "chunks", "chunk"))
+        first, prefix = int(pdf["block"].iloc[0]) * block, "|".join(map(str, (seed, *pdf[PLANE].iloc[0])))
+        tables = [np.frombuffer(x) for x in pdf["weights"]]
+        code, weights = pd.factorize(np.concatenate(tables), use_na_sentinel=False)
+        both = np.empty(2 * len(weights), complex)  # weight with value > 0, and all, in one look-up
+        both.real, both.imag = np.column_stack([np.zeros(len(weights)), weights]).ravel(), np.repeat(weights, 2)
+        codes = np.empty(int(pdf["size"].sum()), np.min_scalar_type(max(len(both) - 1, 0)))
+        lo = done = 0
+        for x, table, size in zip(pdf["codes"], tables, pdf["size"]):
+            mine = 2 * np.repeat(code[lo : lo + len(table)], 2) + np.tile([0, 1], len(table))
+            codes[done : done + size] = mine[np.frombuffer(x, np.min_scalar_type(max(2 * len(table) - 1, 0)))]
+            lo, done = lo + len(table), done + size
+        coded = bool(pdf["coded"].iloc[0])
+        held = codes if coded else both[codes]
+        chosen = range(at * n_bootstrap // of, (at + 1) * n_bootstrap // of)
+        drawn = np.zeros(len(chosen), complex)
+        for i, b in enumerate(chosen):
+            times = np.zeros(len(both), np.int64)
             for k in resampled_pieces(f"{prefix}|{b}", n):
-                if len(both) < n:
-                    k = k[(k >= first) & (k < first + len(both))] - first
-                drawn[b] += both[k].sum()
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "channel": pdf["channel"].iloc[0], "b": range(n_bootstrap), "some": drawn.real, "every": drawn.imag})
+                if len(held) < n:
+                    k = k[(k >= first) & (k < first + len(held))] - first
+                got = held.take(k, mode="wrap")
+                if coded:
+                    times += np.bincount(got, minlength=len(both))
+                else:
+                    drawn[i] += got.sum()
+            if coded:
+                drawn[i] = (both[times > 0] * times[times > 0]).sum()
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "channel": pdf["channel"].iloc[0], "b": chosen, "some": drawn.real, "every": drawn.imag})
 
     ranked = running(values.select(*PLANE, "ObjectNumber", "value", "weight"), PLANE, ["ObjectNumber", "value", "weight"], {"rank": F.lit(1).cast("long")})
-    ranked = ranked.select(*PLANE, (F.col("rank") - 1).alias("k"), "value", "weight").join(values.groupBy(*PLANE).agg(F.count(F.lit(1)).alias("n")), PLANE)
-    sums = ranked.withColumn("part", F.expr(f"k div {part}")).groupBy(*PLANE, "part").applyInPandas(run, "image_id string, channel string, b int, some double, every double")
+    ranked = ranked.select(*PLANE, (F.col("rank") - 1).alias("k"), F.expr(f"(rank - 1) div {block}").alias("block"), "value", "weight")
+    blocks = cut(ranked.groupBy(*PLANE, "block").applyInArrow(pack, "image_id string, channel string, block long, size long, kinds long, codes binary, weights binary"))
+    sizes = blocks.groupBy(*PLANE).agg(F.sum("size").alias("n"), F.max("kinds").alias("kinds"))
+    # as many chunks of the resamples as keep a group near that many draws
+    sizes = sizes.select(*PLANE, "n", F.expr(f"n > 65536 and kinds <= {few}").alias("coded"), F.expr(f"least({min(most, n_bootstrap)}, ceil(n * {n_bootstrap} / {draws}))").alias("chunks"))
+    at = blocks.drop("kinds").join(sizes, PLANE).withColumn("part", F.when(F.col("coded"), F.expr(f"block div {part // block}")).otherwise(F.expr(f"block div {max(1, min(part, 1 << 22) // block)}")))
+    keys = [*PLANE, "part", "chunk"]
+    at = at.join(values.sparkSession.range(most).withColumnRenamed("id", "chunk"), F.col("chunk") < F.col("chunks"))
+    at = at.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    sums = at.groupBy(*keys).applyInPandas(run, "image_id string, channel string, b int, some double, every double")
     share = sums.groupBy(*PLANE, "b").agg(F.sum("some").alias("some"), F.sum("every").alias("every")).withColumn("s", F.when(F.col("some") > 0, F.col("some") / F.col("every")).otherwise(0.0))
     q = share.groupBy(*PLANE).agg(F.percentile("s", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
     return q.select(*PLANE, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
